@@ -280,22 +280,21 @@ def _sha(text: str) -> str:
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes each text: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    shape = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    shape = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(shape)
+    def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = opened(path)
         # ids and tokens are joined by one space, so the chunks' strings can be joined as they are
         table = ChunkTable(bpe, lambda ids: (" ".join(map(str, ids)), bpe.decode(ids)))
-        for rows in batches:
+        for batch in texts:
             out = []
-            for values in table.texts(rows["text"]):
+            for values in table.texts(batch):
                 ids = " ".join([v[0] for v in values if v[0]])
                 out.append((ids.count(" ") + (ids != ""), _sha(ids), _sha(" ".join([v[1] for v in values if v[0]]))))
-            made = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            made.insert(0, "doc_id", rows["doc_id"].to_numpy())
-            yield made
+            yield pd.DataFrame(out, columns=shape.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, shape)
+    return docs.select(F.col(id_col).alias("doc_id"), digests(F.col(text_col).cast("string")).alias("d")).select("doc_id", "d.*")
 
 
 def vocabulary() -> str:

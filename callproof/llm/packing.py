@@ -37,34 +37,30 @@ def piece_lengths(n: int, limit: int = LIMIT) -> list[int]:
 
 def packed(docs: DataFrame, path: str, *, limit: int = LIMIT, end_token: int = END_TOKEN, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket`` and, if asked for, ``ids``."""
-    fields = [StructField("doc_id", docs.schema[id_col].dataType)]
-    fields += [StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]
+    names = ["start", "length", "ids_crc32"]
+    fields = [StructField(n, ArrayType(LongType())) for n in names]
     if with_ids:
-        fields.append(StructField("ids", ArrayType(IntegerType())))
+        fields.append(StructField("ids", ArrayType(ArrayType(IntegerType()))))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = opened(path)
-        table = ChunkTable(bpe, lambda ids: np.array(ids, "<u4").tobytes())
+    @F.pandas_udf(StructType([StructField("doc_tokens", LongType()), *fields]))
+    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = ChunkTable(opened(path), lambda ids: np.array(ids, "<u4").tobytes())
         end = np.array([end_token], "<u4").tobytes()
-        for rows in batches:
+        for batch in texts:
             out = []
-            for doc, values in zip(rows["doc_id"], table.texts(rows["text"]), strict=True):
+            for values in table.texts(batch):
                 ids = b"".join(values) + end
-                n, start = len(ids) // 4, 0
-                for length in piece_lengths(n, limit):
-                    piece = ids[4 * start : 4 * (start + length)]
-                    out.append((doc, start, length, zlib.crc32(piece), n, *([np.frombuffer(piece, "<i4")] if with_ids else [])))
-                    start += length
-                if len(out) >= 5000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-    names = [f.name for f in fields]
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = own.mapInPandas(run, StructType(fields)).withColumn("sequence_id", F.monotonically_increasing_id())
-    return made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"), *(["ids"] if with_ids else []))
+                lengths = piece_lengths(len(ids) // 4, limit)
+                ends = np.cumsum(lengths)
+                starts = (ends - lengths).tolist()
+                parts = [ids[4 * a : 4 * b] for a, b in zip(starts, ends.tolist(), strict=True)]
+                out.append((len(ids) // 4, starts, lengths, [*map(zlib.crc32, parts)], *([[np.frombuffer(x, "<i4") for x in parts]] if with_ids else [])))
+            yield pd.DataFrame(out, columns=["doc_tokens", *names, *(["ids"] if with_ids else [])])
+
+    own = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col).cast("string")).alias("p"))
+    zipped = F.explode(F.arrays_zip(*[F.col(f"p.{f.name}").alias(f.name) for f in fields]))
+    made = own.select("doc_id", F.col("p.doc_tokens").alias("doc_tokens"), zipped.alias("q")).withColumn("sequence_id", F.monotonically_increasing_id())
+    return made.select("doc_id", *[f"q.{n}" for n in names], "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.log2("q.length").cast("int").alias("bucket"), *(["q.ids"] if with_ids else []))
 
 
 def batches(pieces: DataFrame, tokens: int = 65536) -> DataFrame:
