@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash
+from . import bpe, classifier, media, packing, rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_query,
+        "op2_quality": classifier.op2_query,
         "op4_packing": packing.op4_query,
+        "op5_media": media.op5_query,
+        "op6_rules": rules.op6_query,
         "op7_bpe": bpe.op7_query,
     }
 
