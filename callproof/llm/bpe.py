@@ -65,6 +65,7 @@ class Bpe:
         self.longest = max(map(len, self.vocab))
         self.space = regex.compile(r"\p{White_Space}+").split
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.pair_keys = np.zeros(0, np.int64)
         self.pair_good = np.zeros(0, bool)
         self.exact_words = 0
@@ -150,9 +151,12 @@ class Bpe:
 
     def learn(self, words: set[str]) -> None:
         """Encodes words not known yet: propose all, verify all pairs together, merge the failing ones."""
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known.clear()
-        words = [w for w in words if w not in self.known]
+        if len(self.known) > WORDS_KEPT:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        words = [w for w in words if w not in known]
+        known.update((w, older[w]) for w in words if w in older)
+        words = [w for w in words if w not in known]
         letters = self.letters.__getitem__
         spelled = ["".join(map(letters, w.encode("utf-8", "replace"))) for w in words]
         proposed = [self.propose(s) for s in spelled]
@@ -193,13 +197,9 @@ class Bpe:
             part = chunks[at : at + WORDS_KEPT // 4]
             words = [[] if c in self.special else self.find(c) for c in part]
             self.learn(set(chain.from_iterable(words)))
+            known = self.known
             for chunk, own in zip(part, words, strict=True):
-                if chunk in self.special:
-                    yield [self.special[chunk]]
-                    continue
-                if any(w not in self.known for w in own):  # the table was emptied for a chunk of very many words
-                    self.learn(set(own))
-                yield [i for w in own for i in self.known[w]]
+                yield [self.special[chunk]] if chunk in self.special else known[own[0]] if len(own) == 1 else [i for w in own for i in known[w]]
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text."""
@@ -213,16 +213,19 @@ class Bpe:
 
 
 class ChunkTable:
-    """What ``make(ids)`` gives for every chunk met, kept while there is room."""
+    """What ``values(chunks)`` gives for every chunk met, kept in two generations.
 
-    def __init__(self, bpe: Bpe, make):
-        self.bpe, self.make, self.of = bpe, make, {}
+    When the younger is full the older is dropped, so common chunks stay and memory is bounded.
+    """
+
+    def __init__(self, split, values):
+        self.split, self.values, self.young, self.old = split, values, {}, {}
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[list]:
         """For each text, the values of its chunks in order."""
         group, size = [], 0
         for text in texts:
-            group.append(self.bpe.chunks(text))
+            group.append(self.split(text))
             size += len(text or "")
             if size >= GROUP_CHARS:
                 yield from self._values(group)
@@ -230,18 +233,20 @@ class ChunkTable:
         yield from self._values(group)
 
     def _values(self, group: list[list[str]]) -> Iterator[list]:
-        of = self.of
-        fresh = list({c for chunks in group for c in chunks if c not in of})
-        if len(of) + len(fresh) > WORDS_KEPT:
-            of.clear()
-            fresh = list(set(chain.from_iterable(group)))
-        of.update(zip(fresh, map(self.make, self.bpe.encode_chunks(fresh)), strict=True))
-        get = of.__getitem__
+        if len(self.young) > WORDS_KEPT:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = {c for chunks in group for c in chunks if c not in young}
+        young.update((c, old[c]) for c in missing if c in old)
+        fresh = [c for c in missing if c not in young]
+        young.update(zip(fresh, self.values(fresh), strict=True))
+        get = young.__getitem__
         for chunks in group:
             yield [*map(get, chunks)]
 
 
 _OPEN: dict[str, Bpe] = {}
+_TABLES: dict[tuple[str, str], ChunkTable] = {}
 
 
 def opened(path: str) -> Bpe:
@@ -251,13 +256,21 @@ def opened(path: str) -> Bpe:
     return _OPEN[path]
 
 
+def chunk_table(path: str, use: str, make) -> ChunkTable:
+    """The table of ``make(ids)`` by chunk, kept by the worker for its later tasks under the name of its use."""
+    if (path, use) not in _TABLES:
+        bpe = opened(path)
+        _TABLES[(path, use)] = ChunkTable(bpe.chunks, lambda chunks: map(make, bpe.encode_chunks(chunks)))
+    return _TABLES[(path, use)]
+
+
 def encode_column(path: str):
     """A column function: text -> array<int> of ids."""
     @F.pandas_udf(ArrayType(IntegerType()))
     def encoded(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = opened(path)
+        table = chunk_table(path, "ids", tuple)
         for batch in texts:
-            yield pd.Series([np.fromiter(chain.from_iterable(v), np.int32) for v in ChunkTable(bpe, tuple).texts(batch)])
+            yield pd.Series([np.fromiter(chain.from_iterable(v), np.int32) for v in table.texts(batch)])
 
     return encoded
 
@@ -286,7 +299,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = opened(path)
         # ids and tokens are joined by one space, so the chunks' strings can be joined as they are
-        table = ChunkTable(bpe, lambda ids: (" ".join(map(str, ids)), bpe.decode(ids)))
+        table = chunk_table(path, "texts", lambda ids: (" ".join(map(str, ids)), bpe.decode(ids)))
         for batch in texts:
             out = []
             for values in table.texts(batch):

@@ -14,16 +14,19 @@ Spark's input partitions, so a task that is run again gives the same ids.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .bpe import ChunkTable, opened, vocabulary
+from .bpe import SEPARATORS, ChunkTable, vocabulary
 
 LIMIT = 2048
 END_TOKEN = 1
@@ -35,6 +38,35 @@ def piece_lengths(n: int, limit: int = LIMIT) -> list[int]:
     return [limit] * (n // limit) + [1 << k for k in range(limit.bit_length() - 1, -1, -1) if rest >> k & 1 and 1 << k < limit]
 
 
+_TABLES: dict[str, ChunkTable] = {}
+
+
+def id_table(path: str) -> ChunkTable:
+    """The ids, as bytes, of pieces between white space, by the tokenizers library; kept by the worker for its later tasks.
+
+    For a tokenizer that drops white space and whose words do not span it, a text's ids are those of its pieces.
+    """
+    if path not in _TABLES:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        space = regex.compile(r"\p{White_Space}+").split
+
+        def split(text: str | None) -> list[str]:
+            if not text:
+                return []
+            return text.split() if SEPARATORS.isdisjoint(text) else [c for c in space(text) if c]
+
+        def values(chunks: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for at in range(0, len(chunks), 10_000) for e in tokenizer.encode_batch_fast(chunks[at : at + 10_000], add_special_tokens=False)]
+
+        _TABLES[path] = ChunkTable(split, values)
+    return _TABLES[path]
+
+
 def packed(docs: DataFrame, path: str, *, limit: int = LIMIT, end_token: int = END_TOKEN, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket`` and, if asked for, ``ids``."""
     names = ["start", "length", "ids_crc32"]
@@ -44,7 +76,7 @@ def packed(docs: DataFrame, path: str, *, limit: int = LIMIT, end_token: int = E
 
     @F.pandas_udf(StructType([StructField("doc_tokens", LongType()), *fields]))
     def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = ChunkTable(opened(path), lambda ids: np.array(ids, "<u4").tobytes())
+        table = id_table(path)
         end = np.array([end_token], "<u4").tobytes()
         for batch in texts:
             out = []

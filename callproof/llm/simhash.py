@@ -173,7 +173,7 @@ def links(prints: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> D
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """Connected components of ``edges(a, b)`` -> ``(node, root)``, root the smallest long reachable.
+    """Connected components of ``edges(a, b)`` -> ``(node, root)``, root the smallest long reachable; a root itself has no row.
 
     Alternates large-star and small-star steps (each node's neighbours are linked to the
     smallest of them) until a round changes nothing; each round is checkpointed.
