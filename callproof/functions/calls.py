@@ -58,14 +58,20 @@ def body_arguments(body: Column) -> Column:
     return F.when(is_object, fields).when(body.isNotNull() & (body != ""), F.create_map(F.lit("body"), body)).otherwise(F.expr("cast(map() as map<string,string>)"))
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 def time_text(seconds: Column) -> Column:
-    """Epoch seconds as text to the microsecond."""
-    return F.date_format(F.timestamp_micros(F.round(seconds * 1e6).cast("long")), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    """Epoch seconds as UTC text to the microsecond, whatever the session's zone."""
+    text = F.timestamp_add("MICROSECOND", F.round(seconds * 1e6).cast("long"), _epoch()).cast("string")
+    rest = F.when(F.contains(text, F.lit(".")), F.substring_index(text, ".", -1)).otherwise("")
+    return F.concat(F.substring_index(text, ".", 1), F.lit("."), F.rpad(rest, 6, "0"))
 
 
 def time_seconds(text: Column) -> Column:
-    """Text to the microsecond as epoch seconds; null where it is blank or no time."""
-    return F.unix_micros(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]"))) / F.lit(1e6)
+    """UTC text to the microsecond as epoch seconds; null where it is blank or no time."""
+    return F.timestamp_diff("MICROSECOND", _epoch(), text.try_cast("timestamp_ntz")) / F.lit(1e6)
 
 
 def renamed_api(api: Column) -> Column:

@@ -87,10 +87,10 @@ def flow_status(spark, d):
     return routing.flow_status(flows).select("seq", "has_error", "is_json")
 
 
-@query(f"with {CALLS} select seq, strftime(make_timestamp(cast(round(t * 1e6) as bigint)), '%Y-%m-%d %H:%M:%S.%f') as time, case when seq % 3 = 0 then null else round(t, 4) end as back from calls")
+@query(f"with {CALLS} select seq, strftime(make_timestamp(cast(round(t * 1e6) as bigint)), '%Y-%m-%d %H:%M:%S.%f') as time, case when seq % 3 = 0 then null else cast(round(t * 1e6) as bigint) end as back from calls")
 def time_convert(spark, d):
     text = fc.time_text(F.col("t"))
-    return calls(spark, d).select("seq", text.alias("time"), F.round(fc.time_seconds(F.when(F.col("seq") % 3 == 0, "").otherwise(text)), 4).alias("back"))
+    return calls(spark, d).select("seq", text.alias("time"), F.round(fc.time_seconds(F.when(F.col("seq") % 3 == 0, "").otherwise(text)) * 1e6).cast("long").alias("back"))
 
 
 @query(f"with {CALLS} select seq, 'com.' || case seq % 3 when 0 then 'adminbasic' when 1 then 'cancel' else api end || '.service' as api from calls")

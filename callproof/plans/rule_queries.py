@@ -133,7 +133,7 @@ def violations(spark, d):
     return _found(spark, d)
 
 
-@query(f"with {ATTACKED}, w as (select window_id, window_id in (select window_id from found where detected) as detected from windows) select count(*) filter (where detected) as n_detected, count(*) as n_windows, round(count(*) filter (where detected) / count(*), 9) as recall from w")
+@query(f"with {ATTACKED}, hits as (select window_id, window_id in (select window_id from found where detected) as detected from windows) select count(*) filter (where detected) as n_detected, count(*) as n_windows, round(count(*) filter (where detected) / count(*), 9) as recall from hits")
 def detection_recall(spark, d):
     return detect.detection_recall(_found(spark, d), _windows(spark, d)).withColumn("recall", F.round("recall", 9))
 
