@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ENV, QUERY = "__env__", "__query__"
-#: Package names that were misspelt in old logs.
-RENAMED = {"adminbaic": "adminbasic", "cancle": "cancel"}
+#: APIs whose name differs between logs and catalogue: fixed values of the system at hand.
+RENAMED = {
+    "execute.service.ExecuteServiceImpl.ticketCollect": "execute.serivce.ExecuteServiceImpl.ticketCollect",
+    "execute.service.ExecuteServiceImpl.ticketExecute": "execute.serivce.ExecuteServiceImpl.ticketExecute",
+}
 HEADER_ARGUMENTS = ("httpHeaders", "httpHeader", "headers", "header")
 
 
@@ -74,9 +77,10 @@ def time_seconds(text: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", _epoch(), text.try_cast("timestamp_ntz")) / F.lit(1e6)
 
 
-def renamed_api(api: Column) -> Column:
-    for old, new in RENAMED.items():
-        api = F.regexp_replace(api, rf"(^|\.){old}(\.|$)", f"$1{new}$2")
+def renamed_api(api: Column, names: dict[str, str] = RENAMED) -> Column:
+    """The name that the catalogue has."""
+    for old, new in names.items():
+        api = F.when(api == old, new).otherwise(api)
     return api
 
 

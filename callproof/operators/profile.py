@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DateType, DecimalType, FractionalType, IntegralType, MapType, StringType, StructType, TimestampType
 
+from .lineage import cut
+
 MAX_OPTIONAL, MAX_KEYS = 5, 30
 
 
@@ -96,22 +98,29 @@ def api_schemas(calls: DataFrame, *, depth: int = 8, max_optional: int = MAX_OPT
     values = calls.select("api", F.lit("$").alias("path"), "v")
     found: DataFrame | None = None
     for _ in range(depth):
+        values = cut(values)  # each level is read several times, and once more by the next
         level = path_level(values)
         kind = json_kind(F.col("v"))
         objects = values.where(kind == "object")
         keys = object_keys(objects)
-        shapes = object_or_map(keys, max_optional=max_optional, max_keys=max_keys).select("api", "path", F.col("kind").alias("shape"))
+        shapes = cut(object_or_map(keys, max_optional=max_optional, max_keys=max_keys).select("api", "path", F.col("kind").alias("shape")))
         level = level.join(shapes, ["api", "path"], "left").withColumn("kind", F.when((F.col("kind") == "object") & F.col("shape").isNotNull(), F.col("shape")).otherwise(F.col("kind"))).drop("shape", "kinds")
+        level = cut(level)  # a row per path
         found = level if found is None else found.unionByName(level)
         fields = objects.join(shapes, ["api", "path"]).select("api", "path", "shape", F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("k", "x"))
         fields = fields.select("api", F.when(F.col("shape") == "dict", F.concat("path", F.lit("{}"))).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.col("x").alias("v"))
         elements = values.where(kind == "array").select("api", F.concat("path", F.lit("[]")).alias("path"), F.explode(F.expr("try_cast(v as array<variant>)")).alias("v"))
         values = fields.unionByName(elements)
-        if values.limit(1).isEmpty():
+        if not deeper(level):
             break
     return found
 
 
+def deeper(level: DataFrame) -> bool:
+    """Whether a level has a record, map or array."""
+    return not level.where(F.array_contains(F.array(F.lit("object"), F.lit("dict"), F.lit("array"), F.lit("unknown")), F.col("kind"))).limit(1).isEmpty()
+
+
 def schema_diff(left: DataFrame, right: DataFrame, columns: list[str], *, on: str = "column") -> DataFrame:
     """Paths that are in one profile only, or differ in one of the columns (``kind`` alone is the soft comparison)."""
     a = left.select(F.col(on).alias("_l"), *[F.col(c).alias(f"left_{c}") for c in columns])

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calls import named_arguments, static_prefix
 
-#: Catalogues of up to this many routes are sent to all tasks.
-MOST_ROUTES = 10_000
+#: Catalogues of up to this many routes become a constant of the plan.
+MOST_ROUTES = 1000
 
 
 def route_urls(flows: DataFrame, catalogue: DataFrame, *, path: str = "path", keep_unmatched: bool = False) -> DataFrame:
     """Adds ``api`` and ``prefix``; ``catalogue(api, url_path, position)``, later positions win on equal prefixes.
 
-    The paths are cut at the lengths that prefixes have, so the match is an equi-join with the catalogue, and the
-    longest match is taken within the row: no comparison of all pairs, and no shuffle of the flows.
+    The paths are cut at the lengths that prefixes have and looked up in the catalogue within the row, longest first: no
+    comparison of all pairs, and no shuffle of the flows.  A large catalogue is met by an equi-join on the cut paths.
     """
     routes = catalogue.withColumn("prefix", static_prefix(F.col("url_path"))).groupBy("prefix").agg(F.max_by("api", "position").alias("api"))
     rows = routes.select("prefix", "api").take(MOST_ROUTES + 1)
@@ -23,13 +25,10 @@ def route_urls(flows: DataFrame, catalogue: DataFrame, *, path: str = "path", ke
         return _joined(flows, routes, path, keep_unmatched)
     table = {r["prefix"]: r["api"] for r in rows}
     lengths = sorted({len(p) for p in table}, reverse=True)
-    if not table:
-        out = flows.withColumns({"api": F.lit(None).cast("string"), "prefix": F.lit(None).cast("string")})
-    else:
-        known = F.broadcast(flows.sparkSession.createDataFrame([(p, a) for p, a in table.items()], "prefix string, api string").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "api"))).alias("_routes")))
-        cuts = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull() & F.map_contains_key(F.col("_routes"), p))
-        out = flows.crossJoin(known).withColumn("prefix", F.get(cuts, F.lit(0)))  # one row on the right
-        out = out.withColumn("api", F.when(F.col("prefix").isNotNull(), F.element_at("_routes", F.col("prefix")))).drop("_routes")
+    known = F.from_json(F.lit(json.dumps(table)), "map<string,string>")  # a constant of the plan
+    cuts = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths], F.lit(None).cast("string")), lambda p: p.isNotNull() & F.map_contains_key(known, p))
+    out = flows.withColumn("prefix", F.get(cuts, F.lit(0)))
+    out = out.withColumn("api", F.when(F.col("prefix").isNotNull(), F.element_at(known, F.col("prefix"))))
     return out if keep_unmatched else out.where(F.col("api").isNotNull())
 
 

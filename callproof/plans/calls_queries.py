@@ -93,9 +93,10 @@ def time_convert(spark, d):
     return calls(spark, d).select("seq", text.alias("time"), F.round(fc.time_seconds(F.when(F.col("seq") % 3 == 0, "").otherwise(text)) * 1e6).cast("long").alias("back"))
 
 
-@query(f"with {CALLS} select seq, 'com.' || case seq % 3 when 0 then 'adminbasic' when 1 then 'cancel' else api end || '.service' as api from calls")
+@query(f"with {CALLS} select seq, case seq % 3 when 0 then 'execute.serivce.ExecuteServiceImpl.ticketCollect' when 1 then 'execute.serivce.ExecuteServiceImpl.ticketExecute' else api end as api from calls")
 def rename_api(spark, d):
-    old = F.concat(F.lit("com."), F.when(F.col("seq") % 3 == 0, "adminbaic").when(F.col("seq") % 3 == 1, "cancle").otherwise(F.col("api")), F.lit(".service"))
+    first, second = fc.RENAMED
+    old = F.when(F.col("seq") % 3 == 0, first).when(F.col("seq") % 3 == 1, second).otherwise(F.col("api"))
     return calls(spark, d).select("seq", fc.renamed_api(old).alias("api"))
 
 

@@ -64,3 +64,8 @@ def flows_from_map(maps: DataFrame, column: str = "value") -> DataFrame:
 
 def read_flow_map(spark: SparkSession, path: str) -> DataFrame:
     return flows_from_map(spark.read.text(path, wholetext=True))
+
+
+def write_violations(found: DataFrame, path: str, *, kind: str = "json") -> None:
+    """Report records, one folder per window."""
+    found.write.mode("errorifexists").partitionBy("window_id").format(kind).save(path)

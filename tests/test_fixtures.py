@@ -253,7 +253,7 @@ def test_sharded_merge(spark):
     assert got[6] == [60, 70] and got[8] == [80] and got[11] == [110, 100]
 
 
-def test_windows_and_detection(spark):
+def test_windows_and_detection(spark, tmp_path):
     marks = spark.createDataFrame([(1, 10.0, detect.START + "w1"), (2, 20.0, detect.END + "w1"), (3, 12.0, detect.START + "w1"), (4, 30.0, detect.START + "lone"), (5, 31.0, "/other")], "seq long, t double, path string")
     windows = detect.marker_windows(marks)
     assert rows(windows) == [("w1", 12.0, 20.0)]
@@ -266,7 +266,10 @@ def test_windows_and_detection(spark):
     assert rows(detect.detection_recall(found, windows)) == [(0, 1, 0.0)]
     checks = rules.check_rules(calls, [rules.Rule("r", "a", F.col("seq") < 3, "late"), rules.Rule("t", "a", None), rules.Rule("n", "a", F.lit(None).cast("boolean"), "null")])
     assert rows(checks.where("seq = 2"), "rule_id", "passed", "message") == [("n", False, "null"), ("r", True, None), ("t", True, None)]
-    assert rows(detect.detection_recall(detect.violations(checks, inside), windows)) == [(1, 1, 1.0)]
+    found = detect.violations(checks, inside)
+    assert rows(detect.detection_recall(found, windows)) == [(1, 1, 1.0)]
+    logs.write_violations(found, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == found.count()
     assert rows(rules.gate_rules(checks), "rule_id") == [("t",)]
     with pytest.raises(ValueError):
         rules.assert_silent(checks)
