@@ -34,7 +34,7 @@ WORDS_KEPT = 300_000
 GROUP_CHARS = 2_000_000
 PAIR_SHIFT = 20
 #: Control letters at which str.split() would split, but which are no white space here.
-SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_letters() -> list[str]:
@@ -157,8 +157,7 @@ class Bpe:
         words = [w for w in words if w not in known]
         known.update((w, older[w]) for w in words if w in older)
         words = [w for w in words if w not in known]
-        letters = self.letters.__getitem__
-        spelled = ["".join(map(letters, w.encode("utf-8", "replace"))) for w in words]
+        spelled = [*map(self.spelled, words)]
         proposed = [self.propose(s) for s in spelled]
         sizes = np.fromiter(map(len, proposed), np.int64, len(words))
         flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(sizes.sum())) + 1
@@ -179,6 +178,19 @@ class Bpe:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
+    def words(self, chunk: str) -> list[str]:
+        """The words of a piece between white space; plain ones, the most, are told without the pattern."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,":
+                return [chunk[:-1], chunk[-1]]
+        return self.find(chunk)
+
+    def spelled(self, word: str) -> str:
+        """A word in the letters that stand for its bytes."""
+        return "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
+
     def chunks(self, text: str | None) -> list[str]:
         """The pieces of a text between white space; no word spans two of them.  Special tokens are pieces."""
         if not text:
@@ -189,13 +201,13 @@ class Bpe:
 
     def plain(self, text: str) -> list[str]:
         text = self.normal(text)
-        return text.split() if SEPARATORS.isdisjoint(text) else [c for c in self.space(text) if c]
+        return text.split() if not any(c in text for c in SEPARATORS) else [c for c in self.space(text) if c]
 
     def encode_chunks(self, chunks: list[str]) -> Iterator[list[int]]:
         """The ids of each chunk; all chunks' new words are verified together."""
         for at in range(0, len(chunks), WORDS_KEPT // 4):
             part = chunks[at : at + WORDS_KEPT // 4]
-            words = [[] if c in self.special else self.find(c) for c in part]
+            words = [[] if c in self.special else self.words(c) for c in part]
             self.learn(set(chain.from_iterable(words)))
             known = self.known
             for chunk, own in zip(part, words, strict=True):
@@ -218,8 +230,10 @@ class ChunkTable:
     When the younger is full the older is dropped, so common chunks stay and memory is bounded.
     """
 
-    def __init__(self, split, values):
+    def __init__(self, split, values, keep: int | None = None):
         self.split, self.values, self.young, self.old = split, values, {}, {}
+        self.keep = WORDS_KEPT if keep is None else keep
+        self.fixed: dict = {}  # entries that stay
 
     def texts(self, texts: Iterable[str | None]) -> Iterator[list]:
         """For each text, the values of its chunks in order."""
@@ -228,21 +242,24 @@ class ChunkTable:
             group.append(self.split(text))
             size += len(text or "")
             if size >= GROUP_CHARS:
-                yield from self._values(group)
+                yield from self.pieces(group)
                 group, size = [], 0
-        yield from self._values(group)
+        yield from self.pieces(group)
 
-    def _values(self, group: list[list[str]]) -> Iterator[list]:
-        if len(self.young) > WORDS_KEPT:
-            self.young, self.old = {}, self.young
+    def pieces(self, group: list[list[str]]) -> Iterator[list]:
+        """For each list of chunks, their values."""
+        if len(self.young) > self.keep:
+            self.young, self.old = dict(self.fixed), self.young
         young, old = self.young, self.old
-        missing = {c for chunks in group for c in chunks if c not in young}
+        found = [[*map(young.get, chunks)] for chunks in group]
+        holes = [(values, k, chunks[k]) for values, chunks in zip(found, group, strict=True) for k, v in enumerate(values) if v is None]
+        missing = {c for _, _, c in holes}
         young.update((c, old[c]) for c in missing if c in old)
         fresh = [c for c in missing if c not in young]
         young.update(zip(fresh, self.values(fresh), strict=True))
-        get = young.__getitem__
-        for chunks in group:
-            yield [*map(get, chunks)]
+        for values, k, c in holes:
+            values[k] = young[c]
+        yield from found
 
 
 _OPEN: dict[str, Bpe] = {}

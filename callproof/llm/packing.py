@@ -14,22 +14,23 @@ Spark's input partitions, so a task that is run again gives the same ids.
 
 from __future__ import annotations
 
-import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .bpe import SEPARATORS, ChunkTable, vocabulary
+from .bpe import ChunkTable, opened, vocabulary
 
 LIMIT = 2048
 END_TOKEN = 1
+#: Pieces of text whose ids a worker keeps in each of two generations: some 100 MB.
+CHUNKS_KEPT = 500_000
 
 
 def piece_lengths(n: int, limit: int = LIMIT) -> list[int]:
@@ -42,28 +43,23 @@ _TABLES: dict[str, ChunkTable] = {}
 
 
 def id_table(path: str) -> ChunkTable:
-    """The ids, as bytes, of pieces between white space, by the tokenizers library; kept by the worker for its later tasks.
+    """The ids, as bytes, of pieces between white space; kept by the worker for its later tasks.
 
-    For a tokenizer that drops white space and whose words do not span it, a text's ids are those of its pieces.
+    Pieces are cut into the tokenizer file's words, and each new word goes through the tokenizers library's model once.
     """
     if path not in _TABLES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        space = regex.compile(r"\p{White_Space}+").split
+        bpe = opened(path)
+        model = Tokenizer.from_file(path).model
+        words = ChunkTable(None, lambda fresh: [array("I", [t.id for t in model.tokenize(bpe.spelled(w))]).tobytes() for w in fresh])
 
-        def split(text: str | None) -> list[str]:
-            if not text:
-                return []
-            return text.split() if SEPARATORS.isdisjoint(text) else [c for c in space(text) if c]
+        def values(chunks: list[str]) -> Iterator[bytes]:
+            return (b"".join(v) for v in words.pieces([[c] if c in bpe.special else bpe.words(c) for c in chunks]))
 
-        def values(chunks: list[str]) -> list[bytes]:
-            return [array("I", e.ids).tobytes() for at in range(0, len(chunks), 10_000) for e in tokenizer.encode_batch_fast(chunks[at : at + 10_000], add_special_tokens=False)]
-
-        _TABLES[path] = ChunkTable(split, values)
+        words.young.update((s, array("I", [i]).tobytes()) for s, i in bpe.special.items())
+        words.fixed = dict(words.young)
+        _TABLES[path] = ChunkTable(bpe.chunks, values, keep=CHUNKS_KEPT)
     return _TABLES[path]
 
 
@@ -83,10 +79,9 @@ def packed(docs: DataFrame, path: str, *, limit: int = LIMIT, end_token: int = E
             for values in table.texts(batch):
                 ids = b"".join(values) + end
                 lengths = piece_lengths(len(ids) // 4, limit)
-                ends = np.cumsum(lengths)
-                starts = (ends - lengths).tolist()
-                parts = [ids[4 * a : 4 * b] for a, b in zip(starts, ends.tolist(), strict=True)]
-                out.append((len(ids) // 4, starts, lengths, [*map(zlib.crc32, parts)], *([[np.frombuffer(x, "<i4") for x in parts]] if with_ids else [])))
+                starts = [0, *accumulate(lengths)]
+                parts = [ids[4 * a : 4 * b] for a, b in pairwise(starts)]
+                out.append((len(ids) // 4, np.array(starts[:-1]), np.array(lengths), np.array([*map(zlib.crc32, parts)]), *([[np.frombuffer(x, "<i4") for x in parts]] if with_ids else [])))
             yield pd.DataFrame(out, columns=["doc_tokens", *names, *(["ids"] if with_ids else [])])
 
     own = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col).cast("string")).alias("p"))
