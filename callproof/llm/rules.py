@@ -5,8 +5,8 @@ ratios.  Mergeable quantile sketches (KLL) of every ratio are built per language
 partial aggregation, and merged upwards per language and over all.  From a sketch's quartiles come
 fences, ``q75 + reach * max(q75 - q25, least spread)``; a group of fewer than ``least_rows`` texts
 uses its language's sketch, and a language that small the sketch over all.  The texts are then joined
-with the fences of their group.  The group table has one row per language and source; whether it is
-broadcast is left to Spark, which knows its size, and a hot source is split as a skewed join.
+with the fences of their group.  The group table has one row per language and source; up to ``MOST_BROADCAST``
+groups, counted, it is broadcast, so texts are not shuffled; beyond, a hot source is split as a skewed join.
 
 Besides, the fixed base rules reject texts of fewer than ``BASE_WORDS`` words or with too many words in
 repeated five-word windows.
@@ -39,6 +39,8 @@ RATIOS = {"word_length": (True, 0.6), "symbols": (False, 0.05), "marks": (False,
 REACH = 5.0
 LEAST_ROWS = 100
 SKETCH_K = 400
+#: Groups whose fences are broadcast: 100 bytes each.
+MOST_BROADCAST = 50_000
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_capitals", "n_letters"]
 SHAPE = StructType([StructField(n, LongType()) for n in COUNTS])
@@ -119,21 +121,22 @@ def fences(counted: DataFrame, *, reach: float = REACH, least_rows: int = LEAST_
         sums = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(k, SKETCH_K).alias(k) for k in named]]
         return sketches.groupBy(*by).agg(*sums) if by else sketches.agg(*sums)
 
-    def bounds() -> Column:
+    def bounds() -> list[Column]:
         out = []
         for k, (low, spread) in RATIOS.items():
             some = F.kll_sketch_get_n_double(k) > 0
             q = lambda r, k=k, some=some: F.when(some, F.kll_sketch_get_quantile_double(F.col(k), F.lit(r)))
             width = F.greatest(q(0.75) - q(0.25), F.lit(spread)) * reach
             out += [(q(0.75) + width).alias(f"{k}_max"), ((q(0.25) - width) if low else F.lit(None).cast("double")).alias(f"{k}_min")]
-        return F.struct(*out)
-
-    own = sketches.select("lang", "source", "n", bounds().alias("own"))
-    by_lang = merged(["lang"]).select(F.col("lang").alias("lang_"), F.col("n").alias("lang_n"), bounds().alias("of_lang"))
-    total = merged([]).select(bounds().alias("of_all"))
-    best = F.when(F.col("n") >= least_rows, F.col("own")).when(F.col("lang_n") >= least_rows, F.col("of_lang")).otherwise(F.col("of_all"))
-    joined = own.join(by_lang, own["lang"].eqNullSafe(by_lang["lang_"])).join(F.broadcast(total))  # total: one row
-    return joined.select("lang", "source", best.alias("fence"))
+        return out
+
+    total = merged([]).select(*bounds()).first()  # one row of a few numbers
+    of_all = F.struct(*[F.lit(total[c]).cast("double").alias(c) for c in total.asDict()])
+    own = sketches.select("lang", "source", "n", F.struct(*bounds()).alias("own"))
+    by_lang = merged(["lang"]).select(F.col("lang").alias("lang_"), F.col("n").alias("lang_n"), F.struct(*bounds()).alias("of_lang"))
+    best = F.when(F.col("n") >= least_rows, F.col("own")).when(F.col("lang_n") >= least_rows, F.col("of_lang")).otherwise(of_all)
+    found = cut(own.join(by_lang, own["lang"].eqNullSafe(by_lang["lang_"])).select("lang", "source", best.alias("fence")))
+    return F.broadcast(found) if found.count() <= MOST_BROADCAST else found
 
 
 def within(c: str, fence: str) -> Column:

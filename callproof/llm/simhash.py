@@ -38,6 +38,8 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 #: Fingerprints in a slice of a population count: 0.5 MB each side of a task.
 SLICE = 65536
+#: Pairs compared, and links held, at once: some 20 MB.
+TILE_PAIRS = 1_000_000
 SEED = 42
 
 
@@ -84,7 +86,7 @@ class Forest:
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         self.waiting.append((a, b))
         self.held += len(a)
-        if self.held > 1_000_000:
+        if self.held > TILE_PAIRS:
             self.settle()
 
     def settle(self) -> np.ndarray:
@@ -119,13 +121,13 @@ def compare(left: np.ndarray, right: np.ndarray, radius: int, found) -> None:
     ro, rs, rc = tiles(right)
     sizes = np.diff(np.r_[rs, len(right)])
     sorted_right = right[ro]
-    step = max(1, 4_000_000 // max(1, len(right)))
     for at, end, counts in zip(ls.tolist(), [*ls[1:].tolist(), len(left)], lc, strict=True):
         near = np.abs(rc - counts).sum(axis=1, dtype=np.int16) <= radius
         if not near.any():
             continue
         to = np.flatnonzero(np.repeat(near, sizes))
         others = sorted_right[to]
+        step = max(1, TILE_PAIRS // len(to))
         for a in range(at, end, step):
             mine = lo[a : min(a + step, end)]
             i, j = np.nonzero(np.bitwise_count(left[mine][:, None] ^ others[None, :]) <= radius)
