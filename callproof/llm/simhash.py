@@ -18,6 +18,7 @@ number of distinct fingerprints, with the small constant that the bounds leave.
 Defined results: a null or empty text, or one of white space only, has fingerprint
 zero and is linked like any other; repeated rows are returned once each; a null
 ``doc_id`` is kept, and is never the id of a component unless all its ids are null;
+``keep_one`` decides by row, so texts that share an id, or have none, stand each for themselves;
 an empty table gives an empty result; further columns of the input are ignored.
 """
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -197,30 +198,47 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """``distinct(fp, ...)`` with the ``root`` of each fingerprint's component."""
+    nodes = components(links(distinct.select("fp"), radius))
+    return distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select(*[distinct[c] for c in distinct.columns], F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id, component_docs``."""
     prints = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col).cast("string")).alias("fp")))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
-    nodes = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
-    totals = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_docs"))
-    classes = rooted.join(totals, "root").select("fp", "component_id", "component_docs")
+    found = rooted(distinct, radius)
+    totals = found.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("component_docs"))
+    classes = found.join(totals, "root").select("fp", "component_id", "component_docs")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_docs")
 
 
+def text_key(text: Column) -> Column:
+    """With its ``doc_id``, what a row is found by again."""
+    return F.xxhash64(text.cast("string"))
+
+
+def one_each(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, for each ``root`` of ``rows(doc_id, text_key, root)``: that of the smallest id, nulls last, then of the smallest key."""
+    own_id, own_key = unused(docs, "kept_id"), unused(docs, "kept_key")
+    counted = rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "copies")).alias("k"))
+    keep = cut(best.select(F.col("k.doc_id").alias(own_id), F.col("k.text_key").alias(own_key), F.col("k.copies").alias("copies")))
+
+    def found(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs[id_col].eqNullSafe(some[own_id]) & (text_key(docs[text_col]) == some[own_key]), "left_semi")
+
+    kept = found(keep.where("copies = 1"))
+    more = keep.where("copies > 1")
+    return kept if more.isEmpty() else kept.unionByName(found(more).dropDuplicates([id_col, text_col]))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each component: that of the smallest id."""
-    found = near_duplicates(docs, id_col, text_col, radius)
-    found = cut(found.select("doc_id", "component_id"))
-    own = unused(docs, "kept_id")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("copies"), F.min("component_id").alias("component_id"))
-    keep = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own), "copies")
-    once, more = keep.where("copies = 1").select(own), keep.where("copies > 1").select(own)
-    kept = docs.join(once, docs[id_col].eqNullSafe(once[own]), "left_semi")
-    if more.isEmpty():
-        return kept
-    again = docs.join(more, docs[id_col].eqNullSafe(more[own]), "left_semi")
-    return kept.unionByName(again.dropDuplicates([id_col]))
+    """The rows of ``docs``, all columns, with one row of each component: that of the smallest id, null ids last."""
+    prints = cut(docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("text_key"), fingerprint_column(F.col(text_col).cast("string")).alias("fp")))
+    roots = rooted(cut(prints.select("fp").distinct()), radius)
+    return one_each(docs, prints.join(roots, "fp").select("doc_id", "text_key", "root"), id_col, text_col)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

@@ -105,3 +105,13 @@ def test_keep_one_and_empty(spark):
     assert kept.columns == df.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 9]
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_keep_one_decides_by_row(spark):
+    rows = [
+        (5, "a b c d e f"), (None, "a b c d e f"), (None, "nothing like it at all here"), (None, "and one more text without id"), (None, "and one more text without id"),
+        (1, "first of two words apart"), (2, "first of two words apart"), (2, "second text of the id two stands"), (8, "second text of the id two stands"),
+    ]
+    df = spark.createDataFrame([(a, b, "x", len(b)) for a, b in rows], SCHEMA)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect()))
+    assert got == [(0, rows[3][1]), (0, rows[2][1]), (1, rows[5][1]), (2, rows[7][1]), (5, rows[0][1])]
