@@ -44,13 +44,11 @@ TILE_PAIRS = 1_000_000
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """The SimHash of a text: unsigned 64 bits over its word shingles, repeats included."""
-    if not text:
-        return 0
-    parts = text.encode("utf-8", "replace").lower().split()
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; a shorter text is one shingle, one without words has none."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
@@ -60,7 +58,14 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     else:
         ends, starts = ends[-1:], starts[:1]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """The SimHash of a text: unsigned 64 bits over its word shingles, repeats included."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]
