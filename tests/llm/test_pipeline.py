@@ -1,6 +1,7 @@
 import corpus_pipeline
 from callproof.llm import bpe, packing, secrets
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 
 def test_stages_take_effect(spark, sf):
@@ -28,3 +29,14 @@ def test_empty_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0
+
+
+def test_packing_gives_the_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    rows = corpus_pipeline.pack(spark, docs, sf).collect()
+    model = Tokenizer.from_file(bpe.vocabulary())
+    ids = {}
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert len(r["ids"]) == r["length"]
+        ids.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert ids == {r["doc_id"]: [*model.encode(r["text"] or "", add_special_tokens=False).ids, packing.END_TOKEN] for r in docs.collect()}
