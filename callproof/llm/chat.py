@@ -73,27 +73,64 @@ def rendered(chosen: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def parsed(segments: DataFrame) -> DataFrame:
-    """Role, text and trainable text of each segment, read back from the formatted output."""
+    """Role and text of each segment, read back from the formatted output, and whether it is an assistant turn."""
     head = F.regexp_extract("segment", r"^<\|im_start\|>[^\n]*\n", 0)
     size = F.char_length(head)
     body = F.substring("segment", size + 1, F.char_length("segment") - size - len(END))
     role = F.url_decode(F.substring(head, F.lit(len(START) + 1), size - len(START) - 1))
-    loss = F.substring("segment", (F.col("loss_start") - F.col("start")).cast("int") + 1, (F.col("loss_end") - F.col("loss_start")).cast("int"))
-    return segments.select("conv_id", "n", role.alias("role"), unescaped(body).alias("text"), unescaped(loss).alias("loss"), F.char_length("segment").cast("long").alias("chars"))
+    return segments.select("conv_id", "n", role.alias("role"), unescaped(body).alias("text"), F.col("loss_start").isNotNull().alias("reply"), F.char_length("segment").cast("long").alias("chars"))
 
 
-def digests(segments: DataFrame) -> DataFrame:
-    """One row per conversation: what its formatted output holds, read back."""
-    back = parsed(segments).withColumn("chunk", F.floor(F.col("n") / CHUNK))
+def trainable(chosen: DataFrame) -> DataFrame:
+    """The trainable text of each example, cut from its target by its mask."""
+    loss = F.substring("target", F.col("loss_from").cast("int") + 1, (F.col("loss_to") - F.col("loss_from")).cast("int"))
+    return chosen.select("conv_id", F.col("target_n").alias("n"), unescaped(loss).alias("loss"), "context_end")
 
-    def joined(value: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", value.alias("v")))), lambda s: s["v"]), "")
 
+def digests(segments: DataFrame) -> DataFrame:
+    """One row per conversation: what its formatted output and its examples hold, read back.
+
+    Raises an error where an assistant turn has no example, or an example's context does not end where the segments before
+    its target end.
+    """
     turn = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
-    parts = back.groupBy("conv_id", "chunk").agg(F.count("*").alias("turns"), joined(turn).alias("all"), joined(F.coalesce("loss", F.lit(""))).alias("loss"), F.sum("chars").alias("chars"))
+    back = parsed(segments).select("conv_id", "n", turn.alias("turn"), "chars", F.col("reply").cast("long").alias("replies"), F.lit(None).cast("string").alias("loss"), F.lit(None).cast("long").alias("context_end"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("turn", "string"), ("chars", "long"), ("replies", "long"))]
+    expanded = trainable(examples(segments)).select("conv_id", "n", *none, "loss", "context_end")
+    rows = back.union(expanded).withColumn("chunk", F.floor(F.col("n") / CHUNK))
+
+    def joined(value: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct("n", value.alias("v"))))), lambda s: s["v"]), "")
+
+    # an example stands before its own segment, so what is passed by then is its context
+    places = F.array_sort(F.collect_list(F.struct("n", F.col("chars").isNotNull().alias("segment"), F.coalesce("chars", "context_end").alias("v"))))
+    unknown = F.lit(None).cast("long")
+    walked = F.aggregate(
+        places,
+        F.struct(F.lit(0).cast("long").alias("at"), unknown.alias("low"), unknown.alias("high")),
+        lambda acc, x: F.struct(
+            (acc["at"] + F.when(x["segment"], x["v"]).otherwise(0)).alias("at"),
+            F.least(acc["low"], F.when(~x["segment"], x["v"] - acc["at"])).alias("low"),
+            F.greatest(acc["high"], F.when(~x["segment"], x["v"] - acc["at"])).alias("high"),
+        ),
+    )
+    parts = rows.groupBy("conv_id", "chunk").agg(
+        F.count("turn").alias("turns"), joined(F.col("turn")).alias("all"), joined(F.col("loss")).alias("loss"),
+        F.sum("replies").alias("replies"), F.count("context_end").alias("examples"), walked.alias("w"),
+    )
     parts = parts.withColumn("n", F.col("chunk"))
-    whole = parts.groupBy("conv_id").agg(F.sum("turns").alias("n_turns"), joined(F.col("all")).alias("all"), joined(F.col("loss")).alias("loss"), F.sum("chars").alias("formatted_chars"))
-    return whole.select("conv_id", "n_turns", F.sha2("all", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+    chunks = F.array_sort(F.collect_list(F.struct("n", "w")))
+    checked = F.aggregate(
+        chunks,
+        F.struct(F.lit(0).cast("long").alias("at"), F.lit(True).alias("good")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["w"]["at"]).alias("at"),
+            (acc["good"] & F.coalesce((x["w"]["low"] == acc["at"]) & (x["w"]["high"] == acc["at"]), F.lit(True))).alias("good"),
+        ),
+    )
+    whole = parts.groupBy("conv_id").agg(F.sum("turns").alias("n_turns"), joined(F.col("all")).alias("all"), joined(F.col("loss")).alias("loss"), checked.alias("c"), (F.sum("replies") == F.sum("examples")).alias("every"))
+    chars = F.when(F.col("every") & F.col("c.good"), F.col("c.at")).otherwise(F.raise_error(F.concat(F.lit("examples do not fit conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))
+    return whole.select("conv_id", "n_turns", F.sha2("all", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), chars.alias("formatted_chars"))
 
 
 #: The conversation that the registered query adds: control strings inside texts.

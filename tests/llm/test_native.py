@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import pytest
 from callproof.llm import chat, licences, secrets
 from pyspark.sql import functions as F
 
@@ -45,6 +46,18 @@ def test_every_assistant_turn_is_an_example(spark):
     assert chat.digests(chat.formatted(turns(spark).limit(0))).count() == 0
 
 
+def test_digests_come_from_the_examples(spark, monkeypatch):
+    segments = chat.formatted(turns(spark, [*TURNS, *[(9, k, ("user", "assistant")[k % 2], f"turn {k}") for k in range(700)]]))
+    good, real = {r["conv_id"]: r for r in chat.digests(segments).collect()}, chat.examples
+    monkeypatch.setattr(chat, "examples", lambda s: real(s).withColumn("loss_from", F.col("loss_from") + 1))
+    assert {r["conv_id"]: r for r in chat.digests(segments).collect()}[9]["loss_sha256"] != good[9]["loss_sha256"]
+    one = (F.col("conv_id") == 9) & (F.col("target_n") == 600)
+    for wrong in (lambda s: real(s).where(~one | F.col("conv_id").isNull()), lambda s: real(s).withColumn("context_end", F.col("context_end") + F.when(one, 1).otherwise(0))):
+        monkeypatch.setattr(chat, "examples", wrong)
+        with pytest.raises(Exception, match="examples do not fit conversation 9"):
+            chat.digests(segments).collect()
+
+
 SECRET = "q7Zt0Bx9Lm4Vw2Kp8Rd1Yc6N"
 TEXTS = [
     "", None, "nothing here", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "Password:abc", "password : 'abcdef'", "api_key=secret=abcdefgh", "secret: token : abcdefgh",
