@@ -5,6 +5,9 @@ candidate: a window of ``WINDOW`` letters slides over it, its letter counts and
 up to date by the letter that enters and the letter that leaves, and the highest entropy met is compared with
 the threshold of the candidate's character class.  Candidates on the allow-list are suppressed.
 
+That is the narrow scan, which is also written in SQL.  The wide scan, used for masking and for the query, adds hex in either
+case, letters alone and digits alone, and the allow-list takes only the part of a candidate that holds a sample.
+
 Places are code points, end exclusive.  The pieces between the matches of a pattern give the places of the
 matches, so texts are scanned whole, and nothing is shuffled.
 
@@ -35,6 +38,10 @@ CLASSES = [("hex", r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", 3.0), ("mixed", r"^(?=.
 CLASS_TESTS = [("^[0-9a-f]+$", "[0-9]", "[a-f]", 3.0), ("[A-Z]", "[a-z]", "[0-9]", 3.7), ("[A-Za-z]", "[0-9]", "[0-9]", 3.5)]
 #: Candidates that are no secrets: identifiers in the common layout, and made-up samples.
 ALLOWED = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Ss][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|1234567890|abcdefghij|0123456789abcdef"
+#: Further classes of the wide scan: hex in either case, letters alone that often change case, digits alone.
+WIDE = [("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", 3.0), ("letters", r"^(?=.*[a-z][A-Z].*[a-z][A-Z].*[a-z][A-Z])[A-Za-z+/_=-]+$", 3.8), ("digits", r"^[0-9]+$", 2.8)]
+#: What the wide scan takes out of a candidate that is no identifier: the parts that hold a made-up sample, with their separators.
+ALLOWED_PART = rf"[+/_=-]*[A-Za-z0-9]*(?:{ALLOWED.split('$|')[1]})[A-Za-z0-9]*[+/_=-]*"
 MASK = "[secret]"
 
 
@@ -77,13 +84,25 @@ def highest_entropy(word: Column) -> Column:
     return F.aggregate(letters, start, step, lambda acc: acc["best"])
 
 
-def suspicious(word: Column) -> Column:
+def reaches(word: Column, classes: list[tuple[str, str, float]]) -> Column:
     """Whether a candidate's best window reaches the threshold of its character class."""
     need = F.lit(None).cast("double")
-    for _, pattern, bits in reversed(CLASSES):
+    for _, pattern, bits in reversed(classes):
         need = F.when(word.rlike(pattern), bits).otherwise(need)
     # a hair below, so that sums kept step by step decide as sums made anew
-    return need.isNotNull() & ~word.rlike(ALLOWED) & (highest_entropy(word) >= need - 1e-9)
+    return need.isNotNull() & (highest_entropy(word) >= need - 1e-9)
+
+
+def suspicious(word: Column, wide: bool) -> Column:
+    """Whether a candidate is no sample and reaches its threshold; if ``wide``, so for what stands beside a sample too."""
+    allowed = word.rlike(ALLOWED)
+    plain = ~allowed & reaches(word, CLASSES)
+    if not wide:
+        return plain
+    beside = F.filter(F.split(F.regexp_replace(word, ALLOWED_PART, " "), " "), lambda part: F.char_length(part) >= WINDOW)
+    # an identifier has no such part, so it stays whole
+    rest = F.exists(beside, lambda part: ~part.rlike(ALLOWED) & (reaches(part, CLASSES) | reaches(part, WIDE)))
+    return plain | (~allowed & reaches(word, WIDE)) | (allowed & rest)
 
 
 def _form_spans(text: Column, rank: int, none: Column) -> Column:
@@ -99,13 +118,13 @@ def _number_of(rank: int) -> Column:
     return F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{FORMS[rank][0]}")
 
 
-def all_spans(text: Column) -> Column:
+def all_spans(text: Column, wide: bool) -> Column:
     """``array<struct<start, rank, end, kind>>`` of all spans, by start and then by kind as listed."""
     none = F.expr("cast(array() as array<struct<start: bigint, rank: int, end: bigint, kind: string>>)")
     parts = [_form_spans(text, rank, none) for rank in range(len(FORMS))]
     words = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     both = F.arrays_zip(places(text, CANDIDATE).alias("p"), words.alias("w"))
-    good = F.filter(both, lambda x: suspicious(x["w"]))
+    good = F.filter(both, lambda x: suspicious(x["w"], wide))
     spans = F.transform(good, lambda x: F.struct(x["p"]["start"].alias("start"), F.lit(len(FORMS)).alias("rank"), x["p"]["end"].alias("end"), F.lit(ENTROPY).alias("kind")))
     parts.append(F.when(text.rlike(CANDIDATE), spans).otherwise(none))
     return F.array_sort(F.concat(*parts))
@@ -115,26 +134,26 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+def with_spans(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", wide: bool = False) -> DataFrame:
     """The rows with all spans of their text as an array."""
-    return docs.withColumn(spans_col, all_spans(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs.withColumn(spans_col, all_spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")), wide))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wide: bool = False) -> DataFrame:
     """One row per document: ``doc_id``, counts of the known forms, their digest, and all spans as text."""
-    found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), spans_col="found").select("doc_id", "found")
+    found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), spans_col="found", wide=wide).select("doc_id", "found")
     base = F.filter("found", lambda s: s["rank"] < len(FORMS))
     return found.select("doc_id", *map(_number_of, range(len(FORMS))), F.sha2(_said(base), 256).alias("base_sha256"), _said(F.col("found")).alias("spans"))
 
 
-def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", *, wide: bool = True) -> DataFrame:
     """The rows with every span of their text (overlapping ones together) replaced by ``MASK``.
 
     ``chars_col``, where there is one, is set to the new length of a changed text.
     """
     spans = unused(docs, "found_spans")
     text = F.col(text_col)
-    found = with_spans(docs, text_col, spans)
+    found = with_spans(docs, text_col, spans, wide)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -150,7 +169,7 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents"))
+    return secrets(table(spark, sf_dir, "documents"), wide=True)
 
 
 def _sql() -> str:
