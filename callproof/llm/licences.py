@@ -1,6 +1,6 @@
 """Licence scans with DataFrame functions only: canonical digests of entire texts, joined to known licences.
 
-A unit (a whole text, a block between blank lines, or a line) is put into canonical form: copyright lines
+A unit (a whole text, a block between blank lines, a line, or a stretch of as many blocks as a known text has) is put into canonical form: copyright lines
 go, case and punctuation are levelled, equivalent spellings become one.  The digest of the entire canonical
 unit is then looked up among the digests of known licences and notices in the same form: a hash join, with the
 known table (a few dozen rows, its size checked) sent to all tasks.  Nothing else is shuffled.
@@ -40,11 +40,40 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
+_DISCLAIMED = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_FORMS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def _gnu(name: str, version: str, or_later: bool) -> str:
+    which = f"either version {version} of the License, or (at your option) any later version" if or_later else f"version {version} of the License"
+    return f"""This {'library' if 'Lesser' in name else 'program'} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, {which}.
+
+This {'library' if 'Lesser' in name else 'program'} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
+
+
+#: Further licences and standard headers; numbers before conditions are part of the text, so each form is listed.
+FURTHER = [
+    *[("BSD-2-Clause", f"{_FORMS}\n\n{a}{_SOURCE}\n\n{b}{_BINARY}\n\n{_DISCLAIMED}") for a, b in (("", ""), ("1. ", "2. "))],
+    *[("BSD-3-Clause", f"{_FORMS}\n\n{a}{_SOURCE}\n\n{b}{_BINARY}\n\n{c}{_NAMES}\n\n{_DISCLAIMED}") for a, b, c in (("", "", ""), ("1. ", "2. ", "3. "))],
+    *[("Apache-2.0", f"""Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http{s}://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""") for s in ("", "s")],
+    *[("MPL-2.0", f"This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http{s}://mozilla.org/MPL/2.0/.") for s in ("", "s")],
+    *[(f"{short}-{v}.0-{'or-later' if later else 'only'}".replace("2.1.0", "2.1"), _gnu(name, v, later)) for short, name, v in (("GPL", "General Public License", "2"), ("GPL", "General Public License", "3"), ("LGPL", "Lesser General Public License", "2.1"), ("LGPL", "Lesser General Public License", "3"), ("AGPL", "Affero General Public License", "3")) for later in (True, False)],
+]
+#: Title lines with which a body is known as well.
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"]}
 #: Spellings taken as one, on levelled text.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("licencing", "licensing"), ("sub licence", "sublicense"), ("sub license", "sublicense"), ("organisation", "organization"), ("authorised", "authorized"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("judgement", "judgment"), ("percent", "per cent"), ("v2", "version 2"), ("v3", "version 3")]
 #: A line that only says whose the text is.
 COPYRIGHT = r"^[^\p{L}\p{N}©]*((copyright|copr)[^\p{L}\p{N}].*([0-9]{4}|\([cC]\)|©)|\([cC]\)|©|all rights reserved)"
-MARKS = ["licen", "permission"]
+MARKS = ["licen", "permission", "permitted"]
+BLOCK_END = r"\n[ \t\r]*\n"
 MOST_KNOWN = 10_000
 
 
@@ -57,9 +86,15 @@ def canonical(unit: Column) -> Column:
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
+def all_known() -> list[tuple[str, str]]:
+    """``KNOWN``, ``FURTHER``, and their bodies under their titles."""
+    own = KNOWN + FURTHER
+    return own + [(name, f"{title}\n{text}") for name, text in own if "\n" in text for title in TITLES.get(name, [])]
+
+
 def known_licences(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``(digest, licence)`` of the known texts."""
-    rows = KNOWN if known is None else known
+    rows = all_known() if known is None else known
     if len(rows) > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known texts")
     return spark.createDataFrame(rows, "licence string, known string").select(F.sha2(canonical(F.col("known")), 256).alias("digest"), "licence").distinct()
@@ -67,7 +102,7 @@ def known_licences(spark: SparkSession, known: list[tuple[str, str]] | None = No
 
 def licences(docs: DataFrame, known: list[tuple[str, str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit that is a known licence: ``doc_id, unit, unit_no, licence, digest``."""
-    texts = [t for _, t in (KNOWN if known is None else known)]
+    texts = [t for _, t in (all_known() if known is None else known)]
     pattern = "(?i)" + "|".join(MARKS)
     marked = all(re.search(pattern, t) for t in texts)
 
@@ -78,11 +113,22 @@ def licences(docs: DataFrame, known: list[tuple[str, str]] | None = None, *, id_
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     if marked:
         own = own.where(F.col("text").rlike(pattern))
-    all_units = F.concat(units("text", F.array("text")), units("block", F.split("text", r"\n[ \t\r]*\n")), units("line", F.split("text", "\n")))
+    all_units = F.concat(units("text", F.array("text")), units("block", F.split("text", BLOCK_END)), units("line", F.split("text", "\n")))
+    # stretches of as many blocks as a known text has, but for the whole text
+    blocks = F.split("text", BLOCK_END)
+
+    def stretches(n: int) -> Column:
+        starts = F.when(F.size(blocks) > n, F.sequence(F.lit(0), F.size(blocks) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.struct(F.lit("blocks").alias("unit"), k.cast("long").alias("unit_no"), F.array_join(F.slice(blocks, k + 1, n), "\n\n").alias("content")))
+
+    all_units = F.concat(all_units, *[stretches(n) for n in sorted({len(re.split(BLOCK_END, t)) for t in texts} - {1})])
     if marked:
         all_units = F.filter(all_units, lambda u: u["content"].rlike(pattern))
-    rows = own.select("doc_id", F.explode(all_units).alias("u")).select("doc_id", "u.unit", "u.unit_no", F.sha2(canonical(F.col("u.content")), 256).alias("digest"))
-    return rows.join(F.broadcast(known_licences(docs.sparkSession, known)), "digest").select("doc_id", "unit", "unit_no", "licence", "digest")
+    digest = lambda unit: F.sha2(canonical(unit), 256)
+    rows = own.select("doc_id", "text", F.explode(all_units).alias("u")).select("doc_id", "text", "u.unit", "u.unit_no", digest(F.col("u.content")).alias("digest"))
+    found = rows.join(F.broadcast(known_licences(docs.sparkSession, known)), "digest")
+    # a stretch that leaves out only copyright lines is the whole text, which has its row
+    return found.where((F.col("unit") != "blocks") | (digest(F.col("text")) != F.col("digest"))).select("doc_id", "unit", "unit_no", "licence", "digest")
 
 
 def op3_query(spark, sf_dir: str) -> DataFrame:

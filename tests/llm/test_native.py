@@ -148,6 +148,16 @@ def test_licences(spark):
     assert sorted((r["doc_id"], r["unit"]) for r in own.collect()) == [(1, "line")]
 
 
+def test_further_licences_and_stretches_of_blocks(spark):
+    known = dict(reversed(licences.KNOWN + licences.FURTHER))
+    mit, bsd = licences.KNOWN[6][1], licences.FURTHER[3][1]
+    values = ["intro\n\n" + mit + "\n\nmore", "MIT License\n\nCopyright (c) 2020 Some One\n\n" + mit, "ISC License\nCopyright (c) 2020 A\n\n" + known["ISC"], "/*\n" + known["Apache-2.0"] + "\n*/", bsd, "x\n\n" + known["BSD-2-Clause"], known["GPL-3.0-or-later"], known["MPL-2.0"]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(values)], "doc_id long, text string")
+    got = {(r["doc_id"], r["licence"]) for r in licences.licences(df).collect()}
+    assert got >= {(0, "MIT"), (1, "MIT"), (2, "ISC"), (3, "Apache-2.0"), (4, "BSD-3-Clause"), (5, "BSD-2-Clause"), (6, "GPL-3.0-or-later"), (7, "MPL-2.0")}
+    assert ("blocks", 1) in {(r["unit"], r["unit_no"]) for r in licences.licences(df.where("doc_id = 0")).collect()}
+
+
 def test_sql_gives_the_same(spark, sf):
     from callproof.llm import registry
 
