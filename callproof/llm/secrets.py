@@ -17,6 +17,8 @@ kept; an empty table gives an empty result; further columns are ignored, or kept
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,73 +47,123 @@ ALLOWED_PART = rf"[+/_=-]*[A-Za-z0-9]*(?:{ALLOWED.split('$|')[1]})[A-Za-z0-9]*[+
 MASK = "[secret]"
 
 
+#: What a scan looks for, where it pays: a run is tried from its first letter only.
+_RUN = {"[0-9a-f]{24,}": "(?<![0-9a-f])[0-9a-f]{24,}", CANDIDATE: "(?<![A-Za-z0-9+/_=-])" + CANDIDATE}
+#: Items that running values go over in one go, and letters of a part of a text.
+CHUNK, PART = 256, 4096
+#: Letters whose counts share a long, and the bits of a count.
+PACKED, COUNT_BITS = 12, 5
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value as a bound variable: a lambda that reads it does not make it anew each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, value, joined) -> Column:
+    """For each item what the values of all items before it come to, from 0: ``array<bigint>``.
+
+    It runs over chunks of items first and then within each, so no long array is copied for every item.
+    """
+    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
+
+    def walked(values: Column, at: Column) -> Column:
+        step = lambda acc, v: F.struct(joined(acc["at"], v).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(values, F.struct(at.alias("at"), none.alias("out")), step)["out"]
+
+    def in_chunks(values: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(1), F.size(values), F.lit(CHUNK)), lambda k: F.slice(values, k, F.lit(CHUNK)))
+        totals = F.transform(chunks, lambda chunk: F.aggregate(chunk, zero, joined))
+        return F.when(F.size(values) > 0, F.flatten(F.zip_with(chunks, walked(totals, zero), walked))).otherwise(none)
+
+    return bound(F.transform(items, value), in_chunks)
+
+
 def places(text: Column, pattern: str) -> Column:
     """``array<struct<start, end>>`` of a pattern's matches, leftmost and non-overlapping."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m")), lambda x: F.struct(F.char_length(x["g"]).cast("long").alias("g"), F.char_length(x["m"]).cast("long").alias("m")))
-    none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    walked = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + x["m"]).alias("end"))).alias("out"),
-        ),
-    )
-    return walked["out"]
+    pattern = _RUN.get(pattern, pattern)
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def placed(sizes: Column) -> Column:
+        before = running(sizes, lambda x: x["g"] + x["m"], lambda at, n: at + n)
+        return F.zip_with(sizes, before, lambda x, at: F.struct((at + x["g"]).alias("start"), (at + x["g"] + x["m"]).alias("end")))
+
+    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).cast("long").alias("g"), F.char_length(m).cast("long").alias("m")))
+    return bound(sizes, placed)
 
 
 def highest_entropy(word: Column) -> Column:
-    """The highest Shannon entropy of any window of ``WINDOW`` letters of a candidate."""
-    letters = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    weight = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
-    zero = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
-    start = F.struct(zero.alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(0).alias("i"))
-
-    def step(acc: Column, k: Column) -> Column:
-        leaving = F.get(letters, acc["i"] - WINDOW)  # null while the window fills
-        gone = F.when(acc["i"] >= WINDOW, leaving).otherwise(F.lit(-1))
-        less = F.transform(acc["n"], lambda c, j: c - (j == gone).cast("int"))
-        had = F.when(gone >= 0, F.get(acc["n"], gone))
-        s = acc["s"] - F.when(gone >= 0, weight(had) - weight(had - 1)).otherwise(0.0)
-        has = F.get(less, k)
-        s = s + weight(has + 1) - weight(has)
-        full = F.lit(float(WINDOW))
-        bits = F.when(acc["i"] >= WINDOW - 1, F.log2(full) - s / full).otherwise(0.0)
-        return F.struct(F.transform(less, lambda c, j: c + (j == k).cast("int")).alias("n"), s.alias("s"), F.greatest(acc["best"], bits).alias("best"), (acc["i"] + 1).alias("i"))
-
-    return F.aggregate(letters, start, step, lambda acc: acc["best"])
-
-
-def reaches(word: Column, classes: list[tuple[str, str, float]]) -> Column:
-    """Whether a candidate's best window reaches the threshold of its character class."""
-    need = F.lit(None).cast("double")
-    for _, pattern, bits in reversed(classes):
-        need = F.when(word.rlike(pattern), bits).otherwise(need)
+    """The highest Shannon entropy of any window of ``WINDOW`` letters of a candidate.
+
+    The counts of the letters in the window are kept in a few longs, ``COUNT_BITS`` bits each; the letter that enters and
+    the one that leaves change them and the window's ``sum(c * log2(c))``, of which the least gives the entropy.
+    """
+    longs = -(-len(ALPHABET) // PACKED)
+    weight = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 2)]
+    gain = F.array(*[F.lit(weight[c + 1] - weight[c]) for c in range(WINDOW + 1)])
+    number = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    place = lambda k: F.struct((k / PACKED).cast("int").alias("q"), (k % PACKED * COUNT_BITS).alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        enters, leaves = x["e"], x["l"]
+
+        def count(k: Column) -> Column:
+            held = acc[f"n{longs - 1}"]
+            for j in reversed(range(longs - 1)):
+                held = F.when(k["q"] == j, acc[f"n{j}"]).otherwise(held)
+            return F.call_function("shiftright", held, k["at"]).bitwiseAND(F.lit(2**COUNT_BITS - 1).cast("long")).cast("int")
+
+        one = lambda k, j: F.when(k["q"] == j, F.call_function("shiftleft", F.lit(1).cast("long"), k["at"])).otherwise(F.lit(0).cast("long"))
+        kept = [(acc[f"n{j}"] + one(enters, j) - one(leaves, j)).alias(f"n{j}") for j in range(longs)]
+        lost = F.when(leaves.isNotNull(), F.get(gain, count(leaves) - 1)).otherwise(0.0)
+        won = F.get(gain, count(enters) - F.when(enters == leaves, 1).otherwise(0))
+        # a window is full when the next letter pushes one out of it
+        return F.struct(*kept, (acc["s"] - lost + won).alias("s"), F.when(leaves.isNotNull(), F.least(acc["low"], acc["s"])).otherwise(acc["low"]).alias("low"))
+
+    start = F.struct(*[F.lit(0).cast("long").alias(f"n{j}") for j in range(longs)], F.lit(0.0).alias("s"), F.lit(float("inf")).alias("low"))
+    full = float(WINDOW)
+
+    def walked(letters: Column) -> Column:
+        pairs = F.transform(letters, lambda k, i: F.struct(k.alias("e"), F.when(i >= WINDOW, F.get(letters, i - WINDOW)).alias("l")))
+        return F.aggregate(pairs, start, step, lambda acc: F.lit(math.log2(full)) - F.least(acc["low"], acc["s"]) / full)
+
+    return bound(F.transform(number, place), walked)
+
+
+def reaches(word: Column, classes: list[list[tuple[str, str, float]]]) -> Column:
+    """Whether a candidate's best window reaches the threshold of its character class; of several lists, the lowest."""
+    needs = []
+    for own in classes:
+        need = F.lit(None).cast("double")
+        for _, pattern, bits in reversed(own):
+            need = F.when(word.rlike(pattern), bits).otherwise(need)
+        needs.append(need)
     # a hair below, so that sums kept step by step decide as sums made anew
-    return need.isNotNull() & (highest_entropy(word) >= need - 1e-9)
+    return bound(F.least(*needs) if len(needs) > 1 else needs[0], lambda need: F.when(need.isNotNull(), highest_entropy(word) >= need - 1e-9).otherwise(False))
 
 
 def suspicious(word: Column, wide: bool) -> Column:
     """Whether a candidate is no sample and reaches its threshold; if ``wide``, so for what stands beside a sample too."""
     allowed = word.rlike(ALLOWED)
-    plain = ~allowed & reaches(word, CLASSES)
     if not wide:
-        return plain
+        return F.when(allowed, False).otherwise(reaches(word, [CLASSES]))
     beside = F.filter(F.split(F.regexp_replace(word, ALLOWED_PART, " "), " "), lambda part: F.char_length(part) >= WINDOW)
     # an identifier has no such part, so it stays whole
-    rest = F.exists(beside, lambda part: ~part.rlike(ALLOWED) & (reaches(part, CLASSES) | reaches(part, WIDE)))
-    return plain | (~allowed & reaches(word, WIDE)) | (allowed & rest)
+    rest = F.exists(beside, lambda part: F.when(part.rlike(ALLOWED), False).otherwise(reaches(part, [CLASSES, WIDE])))
+    return F.when(allowed, rest).otherwise(reaches(word, [CLASSES, WIDE]))
 
 
 def _form_spans(text: Column, rank: int, none: Column) -> Column:
     """The spans of one known form; matches that are too short are dropped after matching."""
     kind, pattern, group, least = FORMS[rank]
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda g: F.char_length(g))
-    good = F.filter(F.arrays_zip(places(text, pattern).alias("p"), sizes.alias("g")), lambda x: x["g"] >= least)
-    spans = F.transform(good, lambda x: F.struct(x["p"]["start"].alias("start"), F.lit(rank).alias("rank"), x["p"]["end"].alias("end"), F.lit(kind).alias("kind")))
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    at = places(text, pattern)
+    if group:
+        sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda g: F.char_length(g))
+        good = F.transform(F.filter(F.arrays_zip(at.alias("p"), sizes.alias("g")), lambda x: x["g"] >= least), lambda x: x["p"])
+    else:
+        good = F.filter(at, lambda p: p["end"] - p["start"] >= least)
+    spans = F.transform(good, lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), p["end"].alias("end"), F.lit(kind).alias("kind")))
+    return F.when(text.rlike(_RUN.get(pattern, pattern)), spans).otherwise(none)
 
 
 def _number_of(rank: int) -> Column:
@@ -122,11 +174,11 @@ def all_spans(text: Column, wide: bool) -> Column:
     """``array<struct<start, rank, end, kind>>`` of all spans, by start and then by kind as listed."""
     none = F.expr("cast(array() as array<struct<start: bigint, rank: int, end: bigint, kind: string>>)")
     parts = [_form_spans(text, rank, none) for rank in range(len(FORMS))]
-    words = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(_RUN[CANDIDATE]), F.lit(0))
     both = F.arrays_zip(places(text, CANDIDATE).alias("p"), words.alias("w"))
     good = F.filter(both, lambda x: suspicious(x["w"], wide))
     spans = F.transform(good, lambda x: F.struct(x["p"]["start"].alias("start"), F.lit(len(FORMS)).alias("rank"), x["p"]["end"].alias("end"), F.lit(ENTROPY).alias("kind")))
-    parts.append(F.when(text.rlike(CANDIDATE), spans).otherwise(none))
+    parts.append(F.when(text.rlike(_RUN[CANDIDATE]), spans).otherwise(none))
     return F.array_sort(F.concat(*parts))
 
 
@@ -135,8 +187,8 @@ def _said(spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", wide: bool = False) -> DataFrame:
-    """The rows with all spans of their text as an array."""
-    return docs.withColumn(spans_col, all_spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")), wide))
+    """The rows with all spans of their text as an array; its name gets a ``_`` where ``docs`` has it."""
+    return docs.withColumn(unused(docs, spans_col), all_spans(F.coalesce(F.col(text_col).cast("string"), F.lit("")), wide))
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wide: bool = False) -> DataFrame:
@@ -154,13 +206,24 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
     spans = unused(docs, "found_spans")
     text = F.col(text_col)
     found = with_spans(docs, text_col, spans, wide)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(MASK))).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], between).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    clean = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    own = F.col(spans)
+    # pieces are cut from parts of the text, so that none is looked for from the text's beginning
+    parts = F.transform(F.sequence(F.lit(0), F.char_length(text), F.lit(PART)), lambda k: F.substring(text, k + 1, F.lit(PART)))
+
+    def piece(held: Column, a: Column, b: Column) -> Column:
+        first, last = (a / PART).cast("int"), (b / PART).cast("int")
+        inner = F.array_join(F.slice(held, first + 2, last - first - 1), "")
+        tail = F.substring(F.get(held, first), (a % PART).cast("int") + 1, F.lit(PART))
+        head = F.substring(F.get(held, last), F.lit(1), (b % PART).cast("int"))
+        return F.when(first == last, F.substring(F.get(held, first), (a % PART).cast("int") + 1, (b - a).cast("int"))).otherwise(F.concat(tail, inner, F.coalesce(head, F.lit(""))))
+
+    def cleaned(held: Column) -> Column:
+        covered = running(own, lambda s: s["end"], lambda at, end: F.greatest(at, end))
+        # a span that begins inside those before it has no text of its own before it
+        between = F.array_compact(F.zip_with(own, covered, lambda s, at: F.when(s["start"] >= at, piece(held, at, s["start"]))))
+        return F.array_join(F.array_append(between, piece(held, F.array_max(F.transform(own, lambda s: s["end"])), F.char_length(text).cast("long"))), MASK)
+
+    clean = bound(parts, cleaned)
     hit = F.size(spans) > 0
     out = found.withColumn(text_col, F.when(hit, clean).otherwise(text))
     if chars_col in docs.columns:
