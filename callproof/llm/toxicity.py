@@ -1,9 +1,10 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, with scores from context windows.
 
-*Lexicon.*  Words of labelled texts are counted by label (copies of a text once, by what stands around the word); every beginning of a word (``STEM`` letters or
-more, up to the whole word) is a candidate, and those that stand almost only in toxic texts, by a
-likelihood ratio too large for chance, become entries.  An entry covers the words that begin with it.
-At most ``ENTRIES`` are kept, so the lexicon has a fixed bound.
+*Lexicon.*  Words of labelled texts are counted by label (copies of a text once, by what stands around the word).  Every
+whole word, of any length, and every beginning of a word of ``STEM`` to ``LONGEST`` letters is a candidate; those that
+stand almost only in toxic texts, by a likelihood ratio too large for chance, become entries, all of them: their number
+is bounded by the labelled rows that are read.  An entry of ``STEM`` to ``LONGEST`` letters covers the words that begin
+with it, a shorter or longer one only the word itself.
 
 *Matching.*  The automaton of a word (its states are rows of edit distances cut off beyond the limit, kept
 and reused with their transitions) is intersected with the trie of the entries: one walk of the trie gives all
@@ -42,16 +43,15 @@ from ._common import cut, table
 from .classifier import remainder, training_sample
 
 TRAIN_ROWS = 20_000
-ENTRIES = 1000
-STEM = 4
-LONGEST = 12
+#: Letters of the beginnings of words that can be entries; other entries are whole words.
+STEM, LONGEST = 4, 12
 WINDOW = 5
 #: Log-likelihood ratio of an entry; what chance gives once in some millions of beginnings.
 LEAST_RATIO = 16
 WORDS_KEPT = 400_000
 #: How surely a way of matching that was never seen on labelled words is taken as toxic, and what a match is worth at most.
 UNSEEN, MOST_WORTH = 0.8, 4.0
-#: Words of saying and writing, and of address, in the languages at hand.
+#: Words of saying and writing, and of address, in the languages at hand: what is taken where the caller passes none.
 REPORTING = frozenset("said says say wrote writes write called calls quoted quote quotes word words term dit disait écrit appelé mot terme sagte sagt schrieb nannte wort begriff dijo dice escribió llamó palabra término".split())
 ADDRESS = frozenset("you your yours u tu te toi vous ton ta du dich dein deine ihr usted tú ti vosotros".split())
 OPENING, CLOSING = frozenset("\"“„«‘'"), frozenset("\"”“»’'")
@@ -73,6 +73,10 @@ def edits_allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
+def covers_beginnings(entry: str) -> bool:
+    return STEM <= len(entry) <= LONGEST
+
+
 class Trie:
     """The entries, letter by letter."""
 
@@ -109,6 +113,7 @@ class Automata:
     def __init__(self, trie: Trie):
         self.trie = trie
         self.limit = max((edits_allowed(len(e)) for e in trie.entries), default=0)
+        self.longest = max(map(len, trie.entries), default=0)
         self.steps: dict[tuple, tuple] = {}
 
     def step(self, state: tuple[int, ...], where: tuple[bool, ...]) -> tuple[int, ...]:
@@ -127,16 +132,17 @@ class Automata:
     def matches(self, word: str) -> list[tuple[int, int, int]]:
         """(entry, edits, 1 if only a beginning of the word) for each entry within its limit."""
         trie, found = self.trie, []
-        word = word[: LONGEST + self.limit + 1] + ("…" if len(word) > LONGEST + self.limit + 1 else "")
+        most = self.longest + self.limit + 1  # what is beyond can be no part of a match, and the word no whole one
+        word = word[:most] + ("…" if len(word) > most else "")
         todo = [(0, tuple(min(j, self.limit + 1) for j in range(len(word) + 1)))]
         while todo:
             node, state = todo.pop()
             if min(state) > self.limit:
                 continue
             if (k := trie.ends[node]) >= 0:
-                best = min(state)
-                if best <= edits_allowed(len(trie.entries[k])):
-                    whole = state[-1] <= edits_allowed(len(trie.entries[k]))
+                entry, best = trie.entries[k], min(state)
+                whole = state[-1] <= edits_allowed(len(entry))
+                if whole or (best <= edits_allowed(len(entry)) and covers_beginnings(entry)):
                     found.append((k, state[-1] if whole else best, 0 if whole else 1))
             for letter, below in trie.next[node].items():
                 todo.append((below, self.step(state, tuple(c == letter for c in word))))
@@ -146,7 +152,8 @@ class Automata:
 class Matcher:
     """The best-known entry of each word, and what the match is worth."""
 
-    def __init__(self, entries: list[str], worth: dict[tuple[int, int, int], float] | None = None):
+    def __init__(self, entries: list[str], worth: dict[tuple[int, int, int], float] | None = None, reporting: frozenset[str] = REPORTING, address: frozenset[str] = ADDRESS):
+        self.reporting, self.address = reporting, address
         self.trie = Trie(entries)
         self.automata = Automata(self.trie)
         self.worth = worth
@@ -171,7 +178,7 @@ class Matcher:
         hits = [k for k, w in enumerate(words) if (known[w] if w in known else self.value(w)) > 0]
         for k in hits:
             around = [plain(w) for w in words[max(0, k - WINDOW) : k + WINDOW + 1]]
-            kind = 2 if quoted(words, k) or not REPORTING.isdisjoint(around) else 0 if not ADDRESS.isdisjoint(around) else 1
+            kind = 2 if quoted(words, k) or not self.reporting.isdisjoint(around) else 0 if not self.address.isdisjoint(around) else 1
             v = self.value(words[k])
             out[kind] = max(out[kind], v)
             out[3 + kind] += v
@@ -224,25 +231,39 @@ def word_counts(sample: DataFrame) -> DataFrame:
 
 def by_label(counts: DataFrame, key: str) -> DataFrame:
     """``(key, toxic, clean)``.  A toxic text counts once, and copies of a text, which share what stands around a word, count once."""
-    toxic = F.least(F.count_distinct("around"), F.count_distinct("doc"))
-    return counts.groupBy(key).agg(toxic.alias("toxic"), F.sum("clean").alias("clean"))
+    per_text = counts.groupBy(key, "doc").agg(F.min("around").alias("around"), F.sum("clean").alias("clean"))
+    per_place = per_text.groupBy(key, "around").agg(F.count("doc").alias("docs"), F.sum("clean").alias("clean"))
+    return per_place.groupBy(key).agg(F.least(F.count("around"), F.sum("docs")).alias("toxic"), F.sum("clean").alias("clean"))
+
 
+def lexicon(counts: DataFrame, toxic_share: float) -> list[str]:
+    """The words and beginnings of words that stand far more in toxic texts than chance allows.
 
-def lexicon(counts: DataFrame, toxic_share: float, *, entries: int = ENTRIES) -> list[str]:
-    """The beginnings of words that stand far more in toxic texts than chance allows."""
+    A beginning can only be an entry if one of its words is as toxic, so beginnings are made of the words that share
+    their first letters with such a word, and words that stand apart are left out before anything is multiplied.
+    """
+    per_word = counts.groupBy("word").agg(F.count("doc").alias("t"), F.coalesce(F.sum("clean"), F.lit(0)).alias("c"))
+    strong = per_word.where(F.col("t") >= 4 * F.col("c")).select("word", F.substring("word", 1, STEM).alias("first")).where("word <> ''")
+    firsts = strong.groupBy("first").agg(F.max(F.length("word")).alias("longest"))
     size = F.length("word")
-    stems = counts.where(size >= STEM).select(F.explode(F.sequence(F.lit(STEM), F.least(size, F.lit(LONGEST)))).alias("n"), "word", "around", "doc", "clean")
+    near = counts.withColumn("first", F.substring("word", 1, STEM)).join(firsts, "first").where("word <> ''")
+    lengths = F.when(size >= STEM, F.sequence(F.lit(STEM), F.least(size, F.lit(LONGEST), F.greatest("longest", F.lit(STEM)))))
+    lengths = F.when(F.when(size >= STEM, size > LONGEST).otherwise(True), F.concat(F.coalesce(lengths, F.array().cast("array<int>")), F.array(size))).otherwise(lengths)
+    stems = near.select(F.explode(lengths).alias("n"), "word", "around", "doc", "clean")
     stems = by_label(stems.withColumn("stem", F.substring("word", F.lit(1), F.col("n"))), "stem")
     p = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     ratio = F.col("toxic") * F.log(p / toxic_share) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - p) / (1 - toxic_share))).otherwise(0.0)
     good = stems.where((F.col("toxic") >= 4) & (p >= 0.8)).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-    rows = good.orderBy(F.desc("ratio"), F.desc(F.length("stem")), "stem").limit(8 * entries).collect()  # bounded: strong stems only
+    rows = good.orderBy(F.desc("ratio"), F.desc(F.length("stem")), "stem").collect()  # each stands in several labelled texts, so their number is bounded with them
     out: list[str] = []
+    kept, begun = set(), set()
     for r in rows:  # of stems that begin alike, the strongest (of equals the longest) stays
-        if not any(r["stem"].startswith(e) or e.startswith(r["stem"]) for e in out):
-            out.append(r["stem"])
-        if len(out) == entries:
-            break
+        stem = r["stem"]
+        beginnings = [stem[:n] for n in range(1, len(stem) + 1)]
+        if not any(b in kept and covers_beginnings(b) for b in beginnings) and not (stem in begun and covers_beginnings(stem)):
+            out.append(stem)
+            kept.add(stem)
+            begun.update(beginnings)
     return out
 
 
@@ -259,6 +280,9 @@ def worths(counts: DataFrame, entries: list[str], toxic_share: float) -> dict[tu
     found = by_label(counts, "word").mapInPandas(match, shape).groupBy("m").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # misspellings of one entry are rare, so they share a prior by the way of matching
     rows = found.collect()  # at most entries x 3 edits x 2 ways
+    by_entry: dict[int, dict[tuple[int, int], tuple[int, int]]] = {}
+    for r in rows:
+        by_entry.setdefault(r["m"][0], {})[(r["m"][1], r["m"][2])] = (r["toxic"], r["clean"])
     prior: dict[tuple[int, int], list[int]] = {}
     for r in rows:
         both = prior.setdefault((r["m"][1], r["m"][2]), [0, 0])
@@ -268,7 +292,7 @@ def worths(counts: DataFrame, entries: list[str], toxic_share: float) -> dict[tu
     for way in ((edits, part) for edits in range(max((edits_allowed(len(e)) for e in entries), default=0) + 1) for part in (0, 1)):
         prior.setdefault(way, [0, 0])
     for k in range(len(entries)):
-        own = {(r["m"][1], r["m"][2]): (r["toxic"], r["clean"]) for r in rows if r["m"][0] == k}
+        own = by_entry.get(k, {})
         for way, (t, c) in prior.items():
             share = (t + 2 * UNSEEN) / (t + c + 2)
             a, b = own.get(way, (0, 0))
@@ -294,18 +318,24 @@ def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.5) -
 
 
 class Model:
-    """Entries, worths and weights: all that scoring needs, bounded by the number of entries."""
+    """Entries, worths, words of context and weights: all that scoring needs, bounded by the labelled rows read."""
+
+    def __init__(self, entries: list[str], worth: dict, weights: np.ndarray, reporting: frozenset[str] = REPORTING, address: frozenset[str] = ADDRESS):
+        self.entries, self.worth, self.weights, self.reporting, self.address = entries, worth, weights, reporting, address
 
-    def __init__(self, entries: list[str], worth: dict, weights: np.ndarray):
-        self.entries, self.worth, self.weights = entries, worth, weights
+    def matcher(self) -> Matcher:
+        return Matcher(self.entries, self.worth, self.reporting, self.address)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, *, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learns the lexicon, what matches are worth and the weights of the context from labelled rows."""
+def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, *, rows: int = TRAIN_ROWS, reporting: frozenset[str] = REPORTING, address: frozenset[str] = ADDRESS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learns the lexicon, what matches are worth and the weights of the context from labelled rows.
+
+    ``reporting`` and ``address`` are the words that make a match quoted or direct.
+    """
     sample = cut(training_sample(docs, labels, label, keep, rows, id_col=id_col, text_col=text_col))  # bounded by rows
     n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic or toxic == n:
-        return Model([], {}, np.array([*np.zeros(6), -30.0 if not toxic else 30.0]))
+        return Model([], {}, np.array([*np.zeros(6), -30.0 if not toxic else 30.0]), reporting, address)
     share = toxic / n
     counts = cut(word_counts(sample))
     entries = lexicon(counts, share)
@@ -313,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, *, rows:
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(entries, worth)
+        matcher = Matcher(entries, worth, reporting, address)
         for batch in texts:
             yield pd.Series([matcher.features(t) for t in batch])
 
@@ -321,17 +351,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, *, rows:
     seen = sample.select(features("text").alias("x"), "y").groupBy("x", "y").count().orderBy("x", "y").collect()
     x = np.repeat(np.array([r["x"] for r in seen]), [r["count"] for r in seen], axis=0)
     y = np.repeat(np.array([r["y"] for r in seen], float), [r["count"] for r in seen])
-    return Model(entries, worth, fitted(x, y))
+    return Model(entries, worth, fitted(x, y), reporting, address)
 
 
 def score_column(spark, model: Model):
     """A column function: text -> the chance that it is toxic."""
-    shared = spark.sparkContext.broadcast(model)  # a bounded lexicon
+    shared = spark.sparkContext.broadcast(model)  # bounded by the labelled rows
 
     @F.pandas_udf(DoubleType())
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        matcher = Matcher(m.entries, m.worth)
+        matcher = m.matcher()
         for batch in texts:
             logit = np.array([matcher.features(t) @ m.weights[:-1] + m.weights[-1] for t in batch], np.float64)
             yield pd.Series(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
