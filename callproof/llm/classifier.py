@@ -91,9 +91,8 @@ _RUNS = re.compile(rb"[a-z\x80-\xff]+|[A-Z]+|[0-9]+")
 
 
 def shape(word: bytes) -> bytes:
-    """A word with its runs of small letters, capitals and digits as a, A and 0; marks stay, three at most each."""
-    out = _RUNS.sub(lambda m: b"0" if m[0][:1].isdigit() else b"A" if m[0].isupper() and len(m[0]) == 1 else b"AA" if m[0].isupper() else b"a", word)
-    return out[:12]
+    """A whole word with its runs of small letters and digits as a and 0, of capitals as A or, where longer, AA; marks stay."""
+    return _RUNS.sub(lambda m: b"0" if m[0][:1].isdigit() else b"A" if m[0].isupper() and len(m[0]) == 1 else b"AA" if m[0].isupper() else b"a", word)
 
 
 def ftrl(rows: Iterator[tuple[np.ndarray, np.ndarray, int]], size: int, *, alpha: float = 0.1, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> tuple[np.ndarray, float]:
