@@ -31,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import cut, unused
 
@@ -42,6 +42,8 @@ SLICE = 65536
 #: Pairs compared, and links held, at once: some 20 MB.
 TILE_PAIRS = 1_000_000
 SEED = 42
+#: Edges that a task makes trees of at once, and such tasks at least.
+EDGES_HELD, LEAST_TASKS = 250_000, 8
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -180,26 +182,51 @@ def links(prints: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> D
     return dealt.groupBy("low", "high").applyInPandas(lambda rows: block_links(rows, radius), "a long, b long")
 
 
+EDGES = StructType([StructField("a", LongType()), StructField("b", LongType())])
+
+
+def local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges ``(a, b)`` of a task, ``EDGES_HELD`` at a time, as trees of one level: each node with the smallest of its tree."""
+    held: list[pd.DataFrame] = []
+
+    def trees() -> pd.DataFrame:
+        pairs = pd.concat(held)
+        nodes, at = np.unique(np.concatenate([pairs["a"], pairs["b"]]), return_inverse=True)
+        forest = Forest(len(nodes))
+        forest.add(at[: len(pairs)], at[len(pairs) :])
+        root = forest.settle()
+        child = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": nodes[child], "b": nodes[root[child]]})
+
+    for rows in batches:
+        held.append(rows)
+        if sum(map(len, held)) >= EDGES_HELD:
+            yield trees()
+            held = []
+    if held:
+        yield trees()
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected components of ``edges(a, b)`` -> ``(node, root)``, root the smallest long reachable; a root itself has no row.
 
-    Alternates large-star and small-star steps (each node's neighbours are linked to the
-    smallest of them) until a round changes nothing; each round is checkpointed.
+    First each task makes trees of some ``EDGES_HELD`` edges, so that a node has few parents however many edges it had.  In
+    each round a node and its other parents go below the smallest of them, and every node below its parent's parent.  It
+    ends when no node has several parents and no parent has one; each round is checkpointed.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    tasks = max(LEAST_TASKS, -(-edges.count() // EDGES_HELD))
+    edges = edges.coalesce(tasks).mapInPandas(local_forest, EDGES)
     for _ in range(rounds):
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).where("a <> b").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state:
-            return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        state = now
+        parents = edges.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all"))
+        below = F.concat(F.array(F.struct(F.col("a"), F.lit(False).alias("moved"))), F.transform(F.filter("all", lambda x: x != F.col("m")), lambda x: F.struct(x.alias("a"), F.lit(True).alias("moved"))))
+        linked = parents.select(F.explode(below).alias("e"), F.col("m").alias("b")).select("e.a", "b", "e.moved")
+        up = parents.select(F.col("a").alias("of"), F.col("m").alias("top"))
+        moved = linked.join(up, F.col("b") == F.col("of"), "left").select("a", F.coalesce("top", "b").alias("b"), (F.col("moved") | F.col("top").isNotNull()).alias("moved"))
+        state = cut(moved)
+        edges = state.select("a", "b")
+        if state.where("moved").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -224,19 +251,30 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def one_each(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs``, all columns, for each ``root`` of ``rows(doc_id, text_key, root)``: that of the smallest id, nulls last, then of the smallest key."""
-    own_id, own_key = unused(docs, "kept_id"), unused(docs, "kept_key")
-    counted = rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies"))
-    best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "copies")).alias("k"))
-    keep = cut(best.select(F.col("k.doc_id").alias(own_id), F.col("k.text_key").alias(own_key), F.col("k.copies").alias("copies")))
+#: Rows to leave out, by id and key, that are sent to all tasks at most: some 20 MB.
+MOST_BROADCAST = 200_000
+
 
-    def found(some: DataFrame) -> DataFrame:
-        return docs.join(some, docs[id_col].eqNullSafe(some[own_id]) & (text_key(docs[text_col]) == some[own_key]), "left_semi")
+def one_each(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, all columns, for each ``root`` of ``rows(doc_id, text_key, root)``: that of the smallest id, nulls last, then of the smallest key.
 
-    kept = found(keep.where("copies = 1"))
-    more = keep.where("copies > 1")
-    return kept if more.isEmpty() else kept.unionByName(found(more).dropDuplicates([id_col, text_col]))
+    The rows to leave out are usually few; up to ``MOST_BROADCAST``, counted, no text is shuffled.
+    """
+    counted = cut(rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies")))
+    best = counted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "copies")).alias("k"))
+    keep = cut(best.select("k.doc_id", "k.text_key", "k.copies"))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
+    others = counted.select("doc_id", "text_key").alias("a").join(keep.where("copies = 1").alias("b"), same, "left_anti")
+    kept, repeated = found_rows(docs, cut(others), id_col, text_col, "left_anti"), keep.where("copies > 1")
+    return kept if repeated.isEmpty() else kept.unionByName(found_rows(docs, repeated, id_col, text_col).dropDuplicates([id_col, text_col]))
+
+
+def found_rows(docs: DataFrame, some: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` that are (``left_semi``) or are not (``left_anti``) among ``some(doc_id, text_key)``."""
+    own_id, own_key = unused(docs, "other_id"), unused(docs, "other_key")
+    named = some.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
+    named = F.broadcast(named) if some.count() <= MOST_BROADCAST else named
+    return docs.join(named, docs[id_col].eqNullSafe(named[own_id]) & (text_key(docs[text_col]) == named[own_key]), how)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
