@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import webp
+from ._common import unused
 
 ROW_BYTES = 64
 WIDTH = ROW_BYTES // 4
@@ -141,8 +142,8 @@ def read_column(media: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def with_media(docs: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
-    """The rows with their text stored as images in ``media_col``."""
-    return docs.withColumn(media_col, stored_column(F.col(text_col).cast("string")))
+    """The rows with their text stored as images in ``media_col``, which gets a ``_`` where ``docs`` has it."""
+    return docs.withColumn(unused(docs, media_col), stored_column(F.col(text_col).cast("string")))
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from ._common import unused
 from .bpe import ChunkTable, opened, vocabulary
 
 LIMIT = 2048
@@ -93,11 +94,13 @@ def packed(docs: DataFrame, path: str, *, limit: int = LIMIT, end_token: int = E
 def batches(pieces: DataFrame, tokens: int = 65536) -> DataFrame:
     """Adds ``batch``: sequences of one length, ``tokens`` together, drawn within Spark's partitions of each bucket.
 
-    Each batch is named by bucket, partition and number, so none needs a count over all rows.
+    Each batch is named by bucket, partition and number, so none needs a count over all rows; the column gets a ``_`` where
+    the pieces have it.
     """
-    part = pieces.withColumn("_part", F.spark_partition_id())
-    place = F.row_number().over(Window.partitionBy("bucket", "_part").orderBy("sequence_id")) - 1
-    return part.withColumn("batch", F.concat_ws("-", "bucket", "_part", (place * F.col("length") / tokens).cast("long"))).drop("_part")
+    part, batch = unused(pieces, "part"), unused(pieces, "batch")
+    own = pieces.withColumn(part, F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("bucket", part).orderBy("sequence_id")) - 1
+    return own.withColumn(batch, F.concat_ws("-", "bucket", part, (place * F.col("length") / tokens).cast("long"))).drop(part)
 
 
 def op4_query(spark, sf_dir: str) -> DataFrame:
