@@ -24,10 +24,16 @@ def plain_headers(headers: Column) -> Column:
     return F.map_filter(headers, lambda k, v: ~F.startswith(k, F.lit(ENV)) & ~F.startswith(k, F.lit(QUERY)))
 
 
+def last_of_each(entries: Column) -> Column:
+    """Entries ``struct<key, value>`` as a map in which the last entry of a key stands."""
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
+
+
 def json_or_text(text: Column) -> Column:
     """A value as JSON text: the text itself if it parses, else a JSON string of it."""
-    parsed = F.try_parse_json(text)
-    return F.coalesce(F.to_json(parsed), F.to_json(F.to_variant_object(F.array(text))).substr(F.lit(2), F.length(F.to_json(F.to_variant_object(F.array(text)))) - 2))
+    quoted = F.to_json(F.array(text))
+    return F.coalesce(F.to_json(F.try_parse_json(text)), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def named_arguments(names: Column, values: Column) -> Column:
@@ -116,38 +122,73 @@ def check_record(arguments: Column, response: Column, headers: Column, env: Colu
     return F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.element_at(flat, F.lit(f)) for f in fields]))
 
 
+def section_text(arguments: Column, response: Column, headers: Column, env: Column, include: dict[str, bool]) -> Column:
+    """JSON text of the chosen sections of a call, with keys as in ``check_record``."""
+    none = F.expr("cast(map() as map<string,string>)")
+    pick = lambda name, c: c if include.get(name, False) else none
+    answer = response if include.get("response", False) else F.lit(None).cast("string")
+    return F.to_json(check_record(pick("arguments", arguments), answer, pick("headers", headers), pick("env", env)))
+
+
 def header_argument_renamed(arguments: Column) -> Column:
-    """Arguments that carry headers all under the name ``headers``."""
-    return F.transform_keys(arguments, lambda k, v: F.when(k.isin(*HEADER_ARGUMENTS), F.lit("headers")).otherwise(k))
+    """Arguments that carry headers all under the name ``headers``; of several the last of ``HEADER_ARGUMENTS`` stands."""
+    rest = F.map_filter(arguments, lambda k, v: ~k.isin(*HEADER_ARGUMENTS))
+    own = F.coalesce(*[F.element_at(arguments, F.lit(n)) for n in reversed(HEADER_ARGUMENTS)])
+    some = F.exists(F.map_keys(arguments), lambda k: k.isin(*HEADER_ARGUMENTS))
+    return F.when(some, F.map_concat(rest, F.create_map(F.lit("headers"), own))).otherwise(rest)
 
 
-def execute_record(parts: dict[str, Column], include: dict[str, bool]) -> Column:
-    """JSON text of the included parts of a call, nested; parts that are null stay as null."""
+def execute_record(parts: dict[str, Column], include: dict[str, bool], related: dict[str, tuple[Column, dict[str, Column]]] | None = None, related_include: dict[str, bool] | None = None) -> Column:
+    """JSON text of the included parts of a call, nested; parts that are null stay as null.
+
+    ``related``: API -> whether there is a related call, and its parts, of which ``related_include`` chooses; an API
+    without a related call stays as null.
+    """
     chosen = [c.alias(n) for n, c in parts.items() if include.get(n, False)]
-    return F.to_json(F.struct(*chosen), {"ignoreNullFields": "false"})
+    if related is not None:
+        own = lambda inner: [c.alias(n) for n, c in inner.items() if (related_include or {}).get(n, False)]
+        empty = F.expr("cast(map() as map<string,string>)")
+        events = [F.when(there, F.struct(*own(inner)) if own(inner) else empty).alias(api) for api, (there, inner) in related.items()]
+        chosen.append((F.struct(*events) if events else empty).alias("related_events"))
+    return F.to_json(F.struct(*chosen) if chosen else F.expr("cast(map() as map<string,string>)"), {"ignoreNullFields": "false"})
+
+
+#: Parts of keys whose digits are text: fixed values of the legacy format.
+TEXT_KEYS = ("consigneePhone", "phoneNumber", "password", "phone", "price")
+DECIMAL, WHOLE = r"^[+-]?([0-9]*\.[0-9]+|[0-9]+\.[0-9]*)$", r"^[+-]?[0-9]+$"
+BEARER, DIFFERENCE = r'authorization:"Bearer ([^"]+)"', r"orderMoneyDifference=([0-9]+\.[0-9]+)"
 
 
-#: Keys whose digits are text: fixed values of the legacy format.
-TEXT_KEYS = ("phone", "phoneNumber", "consigneePhone", "password", "price")
+def _line_fields(line: Column) -> Column:
+    """What a line says outside its objects: the bearer token and the order's difference, as entries."""
+    entry = lambda key, pattern: F.struct(F.lit(key).alias("key"), F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).alias("value"))
+    return F.filter(F.array(entry("orderMoneyDifference", DIFFERENCE), entry("authorization", BEARER)), lambda e: e["value"].isNotNull())
 
 
 def class_objects(line: Column) -> Column:
-    """``Class(k=v, …)`` objects of a legacy line: ``array<struct<class, fields map>>``."""
+    """``Class(k=v, …)`` objects of a legacy line: ``array<struct<class, fields map>>``.
+
+    Of a repeated key the last value stands.  An object with fields also gets the line's token and difference.
+    """
     names = F.regexp_extract_all(line, F.lit(r"([A-Z]\w*)\(([^()]*)\)"), F.lit(1))
     bodies = F.regexp_extract_all(line, F.lit(r"([A-Z]\w*)\(([^()]*)\)"), F.lit(2))
-    pair = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("v"))
-    fields = lambda b: F.map_from_entries(F.transform(F.filter(F.split(b, r",\s*"), lambda p: F.contains(p, F.lit("="))), pair))
+    pair = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("value"))
+    own = lambda b: F.transform(F.filter(F.split(b, r",\s*"), lambda p: F.contains(p, F.lit("="))), pair)
+    fields = lambda b: F.when(F.size(own(b)) > 0, last_of_each(F.concat(own(b), _line_fields(line)))).otherwise(F.expr("cast(map() as map<string,string>)"))
     return F.transform(F.arrays_zip(names.alias("n"), bodies.alias("b")), lambda x: F.struct(x["n"].alias("class"), fields(x["b"]).alias("fields")))
 
 
-def field_kind(key: Column, value: Column) -> Column:
-    """What a legacy field's text becomes: float, int or str."""
-    is_text = key.isin(*TEXT_KEYS)
-    return F.when(is_text, "str").when(value.rlike(r"^-?[0-9]+\.[0-9]+$"), "float").when(value.rlike(r"^-?[0-9]+$"), "int").otherwise("str")
+def string_object(line: Column, name: str) -> Column:
+    """The fields of a ``string name`` class: the first 36 characters of an identifier, and the line's token; null without one."""
+    found = F.nullif(F.regexp_extract(line, "[0-9a-fA-F-]{36}", 0), F.lit(""))
+    token = F.filter(_line_fields(line), lambda e: e["key"] == "authorization")
+    return F.when(found.isNotNull(), last_of_each(F.concat(F.array(F.struct(F.lit(name).alias("key"), found.alias("value"))), token)))
 
 
-def first_uuid(text: Column) -> Column:
-    return F.regexp_extract(text, r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", 0)
+def field_kind(key: Column, value: Column) -> Column:
+    """What a legacy field's text becomes: float, int or str.  Decimals come first; digits stay text where the key holds one of ``TEXT_KEYS``."""
+    is_text = key.rlike("|".join(TEXT_KEYS))
+    return F.when(value.rlike(DECIMAL), "float").when(value.rlike(WHOLE) & ~is_text, "int").otherwise("str")
 
 
 LINE = (
@@ -162,6 +203,26 @@ def log_line(line: Column) -> Column:
     return F.when(line.rlike(LINE), F.struct(*[part(k + 1).alias(n) for k, n in enumerate(names)]))
 
 
+def declared_arguments(line: Column, declared: str) -> Column:
+    """The arguments of a legacy line by a list of ``type name`` fields, as text; null where the line has another layout.
+
+    ``authorization`` is taken from the headers and ``headers`` is all of them; the others follow the order of the
+    arguments, and those without one are left out.
+    """
+    parts = log_line(line)
+    values = F.transform(F.split(parts["arguments"], ", "), lambda v: F.regexp_replace(v, r"[\[\]]", ""))
+    entries, place = [], 0
+    for name in (f.split(" ")[1] for f in declared.split(", ")):
+        if name == "authorization":
+            value = F.try_element_at(F.regexp_extract_all(line, F.lit(r'authorization:("|\s)(.*?)("|,)'), F.lit(2)), F.lit(-1))
+        elif name == "headers":
+            value = parts["headers"]
+        else:
+            value, place = F.get(values, F.lit(place)), place + 1
+        entries.append(F.struct(F.lit(name).alias("key"), value.alias("value")))
+    return F.when(parts.isNotNull(), last_of_each(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())))
+
+
 def trimmed(items: Column, most: int = 3) -> Column:
     """The first items of a list, for display."""
     return F.slice(items, 1, most)

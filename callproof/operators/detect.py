@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rules import Rule, errors_as_null, verdicts
+
 START, END = "/attack_start_marker?uuid=", "/attack_end_marker?uuid="
 BUCKET_S = 3600.0
 
@@ -19,9 +21,12 @@ def marker_windows(flows: DataFrame, *, path: str = "path", t: str = "t") -> Dat
 
 
 def sequence_windows(marks: DataFrame) -> DataFrame:
-    """``marks(grp, kind, t, seq)``: each start with the next end of its group."""
-    order = Window.partitionBy("grp").orderBy("t", "seq").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("kind") == "end", F.col("t")), ignorenulls=True).over(order)
+    """``marks(grp, kind, t, seq)``: each start with the next end of its group.
+
+    Seen from the end of the log the next end is the last one before, so the frame only grows.
+    """
+    order = Window.partitionBy("grp").orderBy(F.desc("t"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(F.col("kind") == "end", F.col("t")), ignorenulls=True).over(order)
     return marks.withColumn("end", nxt).where((F.col("kind") == "start") & F.col("end").isNotNull()).select(F.col("seq").alias("window_id"), "grp", F.col("t").alias("start"), "end")
 
 
@@ -32,27 +37,52 @@ def window_calls(calls: DataFrame, windows: DataFrame, *, on: tuple[str, ...] =
     return own.join(spans, ["_b", *on]).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end"))).drop("_b")
 
 
-def valid_windows(calls: DataFrame, *, ignored_files: list[str] | None = None) -> DataFrame:
-    """``calls(window_id, att_name, att_idx, att_int, att_file)`` -> windows with one attack only, of no ignored file."""
-    one = [F.count_distinct(c) == 1 for c in ("att_name", "att_idx", "att_int")]
-    files = F.collect_set("att_file")
-    ignored = F.arrays_overlap(files, F.array(*map(F.lit, ignored_files))) if ignored_files else F.lit(False)
-    out = calls.groupBy("window_id").agg((one[0] & one[1] & one[2] & ~ignored).alias("valid"), F.count("*").alias("n_calls"))
-    return out
+#: Files whose attacks are left out, and the headers of an attack in either case: fixed values of the system at hand.
+IGNORED_FILES = ("attack_detail_likecollect.py", "attack_profile_information_others.py", "attack_profile_post_others.py", "attack_profile_saved_others.py", "attack_list_wrong_food.py", "attack_order_consign_wrong_date.py")
+ATTACK_HEADERS = {"name": ("x-att-name", "X-Att-Name"), "idx": ("x-att-idx", "X-Att-Idx"), "int": ("x-att-int", "X-Att-Int"), "file": ("x-att-file", "X-Att-File")}
+
+
+def attack_values(headers: Column, part: str) -> Column:
+    """The values of one attack header, in either case: an array of none, one or two."""
+    return F.array_compact(F.array(*[F.element_at(headers, F.lit(h)) for h in ATTACK_HEADERS[part]]))
+
+
+def is_attack(headers: Column) -> Column:
+    """Whether a call is marked as an attack: by the header of its interval."""
+    return F.coalesce(F.size(attack_values(headers, "int")) > 0, F.lit(False))
+
+
+def attack_name(headers: Column) -> Column:
+    """The name of a marked call: its file, else its name; null for other calls."""
+    return F.when(is_attack(headers), F.coalesce(F.get(attack_values(headers, "file"), F.lit(0)), F.get(attack_values(headers, "name"), F.lit(0))))
+
+
+def valid_windows(calls: DataFrame, *, ignored_files: tuple[str, ...] | list[str] = IGNORED_FILES) -> DataFrame:
+    """``calls(window_id, headers)`` -> per window with calls, whether it holds exactly one attack and none of an ignored file.
+
+    One attack: one name, one index and one interval among all headers, in either case.  A set has one member where its
+    least is its greatest, so no set is gathered.
+    """
+    def one(part: str) -> Column:
+        values = attack_values(F.col("headers"), part)
+        low, high = F.min(F.array_min(values)), F.max(F.array_max(values))
+        return F.coalesce(low == high, F.lit(False))
+
+    ignored = F.coalesce(F.bool_or(F.exists(attack_values(F.col("headers"), "file"), lambda f: f.isin(*ignored_files))), F.lit(False)) if ignored_files else F.lit(False)
+    return calls.groupBy("window_id").agg((one("name") & one("idx") & one("int") & ~ignored).alias("valid"), F.count("*").alias("n_calls"))
 
 
-def violations(checks: DataFrame, calls: DataFrame) -> DataFrame:
-    """One row per failed check, and per check of an attack-marked call; marked calls without a rule are listed as missed.
+def violations(calls: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row per failed check, and per check of an attack-marked call; marked calls of APIs without a rule are listed as missed.
 
-    ``calls(seq, window_id, att_name)``; a null ``att_name`` is no attack.
+    ``calls(seq, window_id, api, headers, ...)`` with all that the rules read.  Rules and marks are evaluated in one
+    projection, so calls are read once and not shuffled.
     """
-    own = calls.select("seq", "window_id", "api", "att_name")
-    seen = checks.join(own.drop("api"), "seq")
-    attack = F.col("att_name").isNotNull()
-    listed = seen.where(~F.col("passed") | attack).select("window_id", "seq", "api", "rule_id", "att_name", attack.alias("is_attack"), (~F.col("passed")).alias("detected"), "message")
-    bare = own.where(attack).join(checks.select("seq").distinct(), "seq", "left_anti")
-    missed = bare.select("window_id", "seq", "api", F.lit(None).cast("string").alias("rule_id"), "att_name", F.lit(True).alias("is_attack"), F.lit(False).alias("detected"), F.lit(None).cast("string").alias("message"))
-    return listed.unionByName(missed)
+    marked = is_attack(F.col("headers"))
+    with errors_as_null(calls.sparkSession):
+        seen = calls.select("window_id", "seq", "api", attack_name(F.col("headers")).alias("att_name"), marked.alias("is_attack"), F.explode_outer(verdicts(rules, F.col("api"))).alias("c"))
+    detected = F.coalesce(~F.col("c.passed"), F.lit(False))
+    return seen.where(detected | F.col("is_attack")).select("window_id", "seq", "api", "c.rule_id", "att_name", "is_attack", detected.alias("detected"), "c.message")
 
 
 def detected_windows(found: DataFrame, windows: DataFrame) -> DataFrame:

@@ -97,7 +97,10 @@ def merge_targets(calls: DataFrame, api1: str, api2: str, *, tolerance: float =
     order = Window.partitionBy("sid").orderBy("t", "seq")
     it = F.when(F.col("api") == api2, F.struct("seq", "t", "auth", "args"))
     own = calls.where(F.col("api").isin(api1, api2)).select("sid", "seq", "t", "api", "auth", "args")
-    near = own.withColumns({"_p": F.last(it, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_n": F.first(it, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))}).where(F.col("api") == api1)
+    # the next one is the last before, seen from the session's end: a frame that only grows
+    back = Window.partitionBy("sid").orderBy(F.desc("t"), F.desc("seq"))
+    seen = lambda w: F.last(it, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    near = own.withColumns({"_p": seen(order), "_n": seen(back)}).where(F.col("api") == api1)
 
     def fits(c: str) -> Column:
         return F.coalesce((F.abs(F.col("t") - F.col(f"{c}.t")) <= tolerance) & F.col("auth").eqNullSafe(F.col(f"{c}.auth")) & F.col("args").eqNullSafe(F.col(f"{c}.args")) & F.col(c).isNotNull(), F.lit(False))

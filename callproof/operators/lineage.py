@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is configured, as in tests."""
+    """The session's checkpoint folder; one of our own only where none is configured and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="callproof-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="callproof-"))
     return sc.getCheckpointDir()
 
 

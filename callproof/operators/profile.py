@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DateType, DecimalType, FractionalType, IntegralType, MapType, StringType, StructType, TimestampType
 
+from ..functions.calls import HEADER_ARGUMENTS
 from .lineage import cut
 
 MAX_OPTIONAL, MAX_KEYS = 5, 30
@@ -23,19 +24,28 @@ def kind_of(data_type) -> str:
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """One row per column: kind, nulls, distinct values, least and greatest length and value; one aggregate, unpivoted."""
-    rows = []
+    """One row per column: kind, nulls, distinct values, least and greatest length and value.
+
+    Columns are unpivoted and counted per value first, so a row is one narrow row per column and not a copy per distinct count.
+    """
+    cells, kinds = [], []
     for f in df.schema:
         c, kind = F.col(f"`{f.name}`"), kind_of(f.dataType)
         size = F.length(c) if kind == "str" else F.size(c) if kind in ("array", "dict") else F.lit(None).cast("int")
-        value = c.cast("double") if kind in ("int", "float") else F.lit(None).cast("double")
-        rows.append(
-            F.struct(
-                F.lit(f.name).alias("column"), F.lit(kind).alias("kind"), F.count("*").alias("rows"), F.count_if(c.isNull()).alias("nulls"),
-                (F.count_distinct(c) if kind != "dict" else F.lit(None).cast("long")).alias("distinct"), F.min(size).cast("long").alias("len_min"), F.max(size).cast("long").alias("len_max"), F.min(value).alias("value_min"), F.max(value).alias("value_max"),
-            )
-        )
-    return df.agg(F.array(*rows).alias("p")).select(F.inline("p"))
+        number = c.cast("double") if kind in ("int", "float") else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if kind == "dict" else F.to_json(c) if kind in ("array", "object") else c.cast("string")
+        cells.append(F.struct(F.lit(f.name).alias("column"), c.isNull().alias("none"), text.alias("text"), F.when(c.isNotNull(), size).alias("size"), number.alias("number")))
+        kinds.append(F.struct(F.lit(f.name).alias("column"), F.lit(kind).alias("kind")))
+    values = df.select(F.inline(F.array(*cells))).groupBy("column", "none", "text").agg(F.count("*").alias("n"), F.min("size").alias("low_size"), F.max("size").alias("high_size"), F.min("number").alias("low"), F.max("number").alias("high"))
+    found = values.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("none"), F.col("n"))), F.lit(0)).alias("nulls"), F.count("text").alias("distinct"),
+        F.min("low_size").cast("long").alias("len_min"), F.max("high_size").cast("long").alias("len_max"), F.min("low").alias("value_min"), F.max("high").alias("value_max"),
+    )
+    names = df.sparkSession.range(1).select(F.inline(F.array(*kinds)))
+    out = names.join(found, "column", "left")
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    distinct = F.when(F.col("kind") != "dict", F.coalesce("distinct", F.lit(0))).alias("distinct")
+    return out.select("column", "kind", number("rows"), number("nulls"), distinct, "len_min", "len_max", "value_min", "value_max")
 
 
 def not_null_columns(df: DataFrame) -> DataFrame:
@@ -89,15 +99,15 @@ def object_or_map(keys: DataFrame, *, max_optional: int = MAX_OPTIONAL, max_keys
     return out.withColumn("kind", F.when((F.col("optional") > max_optional) | (F.col("keys") > max_keys), "dict").otherwise("object"))
 
 
-def api_schemas(calls: DataFrame, *, depth: int = 8, max_optional: int = MAX_OPTIONAL, max_keys: int = MAX_KEYS) -> DataFrame:
-    """``calls(api, v variant)`` -> a profile row for every path of each API's values, level by level.
+def api_schemas(calls: DataFrame, *, max_optional: int = MAX_OPTIONAL, max_keys: int = MAX_KEYS) -> DataFrame:
+    """``calls(api, v variant)`` -> a profile row for every path of each API's values, level by level, however deep.
 
     ``path.k`` is a field of a record, ``path{}`` any value of a map, ``path[]`` any element of an array.  A level
     is aggregated by ``(api, path)``; the paths, not the values, decide how the next one is reached.
     """
     values = calls.select("api", F.lit("$").alias("path"), "v")
     found: DataFrame | None = None
-    for _ in range(depth):
+    while True:
         values = cut(values)  # each level is read several times, and once more by the next
         level = path_level(values)
         kind = json_kind(F.col("v"))
@@ -111,14 +121,8 @@ def api_schemas(calls: DataFrame, *, depth: int = 8, max_optional: int = MAX_OPT
         fields = fields.select("api", F.when(F.col("shape") == "dict", F.concat("path", F.lit("{}"))).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.col("x").alias("v"))
         elements = values.where(kind == "array").select("api", F.concat("path", F.lit("[]")).alias("path"), F.explode(F.expr("try_cast(v as array<variant>)")).alias("v"))
         values = fields.unionByName(elements)
-        if not deeper(level):
-            break
-    return found
-
-
-def deeper(level: DataFrame) -> bool:
-    """Whether a level has a record, map or array."""
-    return not level.where(F.array_contains(F.array(F.lit("object"), F.lit("dict"), F.lit("array"), F.lit("unknown")), F.col("kind"))).limit(1).isEmpty()
+        if values.isEmpty():
+            return found
 
 
 def schema_diff(left: DataFrame, right: DataFrame, columns: list[str], *, on: str = "column") -> DataFrame:
@@ -141,12 +145,12 @@ def api_fields(calls: DataFrame, *, column: str = "response") -> DataFrame:
 
 
 def shape_of(value) -> object:
-    """The shape of a JSON value: leaves as kinds, lists as their longest element and a mark."""
+    """The shape of a JSON value: leaves as kinds, lists as their longest element and, where there are more, a mark."""
     if isinstance(value, dict):
         return {k: shape_of(v) for k, v in sorted(value.items())}
     if isinstance(value, list):
         inner = sorted((json.dumps(shape_of(v), sort_keys=True) for v in value), key=lambda s: (-len(s), s))
-        return [json.loads(inner[0]), "extra"] if inner else []
+        return [json.loads(s) for s in inner] if len(inner) < 2 else [json.loads(inner[0]), "extra"]
     return "null" if value is None else "bool" if isinstance(value, bool) else "int" if isinstance(value, int) else "float" if isinstance(value, float) else "str"
 
 
@@ -157,6 +161,38 @@ def shape_signature(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if t is None else json.dumps(shape_of(json.loads(t)), separators=(",", ":")) for t in batch])
 
 
+#: What stands for the items left out of a list: a fixed value of the format.
+EXTRA = "<extra list items . . .>"
+
+
+def trim_of(value, most: int):
+    """A JSON value without null keys, its lists cut to ``most`` items and a mark; lists are not gone into."""
+    if isinstance(value, dict):
+        return {k: trim_of(v, most) for k, v in value.items() if v is not None}
+    return [*value[:most], EXTRA] if isinstance(value, list) and len(value) > most else value
+
+
+def trimmed_json(text: Column, most: int = 3) -> Column:
+    """JSON of any depth trimmed for display; needs Python, as ``shape_signature``."""
+
+    @F.pandas_udf(StringType())
+    def trim(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([None if t is None else json.dumps(trim_of(json.loads(t), most), separators=(",", ":"), ensure_ascii=False) for t in batch], dtype=object)
+
+    return trim(text)
+
+
+def schema_view(paths: DataFrame) -> DataFrame:
+    """Placeholders for prompts: per API and path of ``api_schemas`` ``<some kind value>``; arguments that carry headers are left out.
+
+    Only leaves have a row, one per path, so the view is as small as the schema.
+    """
+    header = F.concat(F.lit(r"^\$\.arguments\.("), F.lit("|".join(HEADER_ARGUMENTS)), F.lit(r")(\.|\[|\{|$)"))
+    own = paths.where(~F.regexp_like("path", header) & ~F.col("kind").isin("object", "dict", "array"))
+    return own.select("api", "path", F.when(F.col("kind") == "null", "null").otherwise(F.concat(F.lit("<some "), F.col("kind"), F.lit(" value>"))).alias("placeholder"))
+
+
 def flat_signature(text: Column) -> Column:
     """The shape of a flat JSON object, with built-in functions: ``key:kind`` in key order."""
     fields = F.map_entries(F.from_json(text, "map<string,variant>"))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calls import named_arguments, static_prefix
+from ..functions.calls import json_or_text, named_arguments, static_prefix, time_seconds
 
 #: Catalogues of up to this many routes become a constant of the plan.
 MOST_ROUTES = 1000
@@ -38,14 +38,14 @@ def _joined(flows: DataFrame, routes: DataFrame, path: str, keep_unmatched: bool
     cuts = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
     paths = flows.select(path).distinct()
     best = paths.withColumn("prefix", F.explode(cuts)).join(routes, "prefix").groupBy(path).agg(F.max_by(F.struct("api", "prefix"), F.length("prefix")).alias("m"))
-    out = flows.join(best, path, "left").withColumns({"api": F.col("m.api"), "prefix": F.col("m.prefix")}).drop("m")
+    out = flows.join(best, path, "left").select(*flows.columns, F.col("m.prefix").alias("prefix"), F.col("m.api").alias("api"))
     return out if keep_unmatched else out.where(F.col("api").isNotNull())
 
 
 def with_named_arguments(calls: DataFrame, catalogue: DataFrame, *, values: str = "arguments") -> DataFrame:
-    """Positional arguments by the names in ``catalogue(api, argument_names)``."""
+    """Positional arguments by the names in ``catalogue(api, argument_names)``, each as JSON text; what does not parse is a JSON string."""
     names = catalogue.select("api", "argument_names")
-    return calls.join(names, "api").withColumn("named", named_arguments(F.col("argument_names"), F.col(values))).drop("argument_names")
+    return calls.join(names, "api").withColumn("named", named_arguments(F.col("argument_names"), F.transform(values, json_or_text))).drop("argument_names")
 
 
 def known_calls(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -62,3 +62,17 @@ def known_counts(calls: DataFrame, catalogue: DataFrame) -> DataFrame:
 def flow_status(flows: DataFrame) -> DataFrame:
     """Answered flows with ``has_error``, and the response as JSON where it is JSON."""
     return flows.where(F.col("status").isNotNull()).withColumn("has_error", F.col("status") >= 400).withColumn("is_json", F.try_parse_json("resp_body").isNotNull())
+
+
+def of_split(calls: DataFrame, split: str | None = None) -> DataFrame:
+    """The calls of one split (``train`` or ``test``), or all."""
+    return calls if split is None else calls.where(F.col("split") == split)
+
+
+def named_and_timed(calls: DataFrame, *, time: str = "time") -> DataFrame:
+    """The calls that have an API and a time, with ``t`` in seconds: what tables per API are made of.
+
+    A table of one API is ``where(api = ...)`` of these rows; all of them at once are a write partitioned by ``api``.
+    """
+    timed = calls.withColumn("t", time_seconds(F.col(time)))
+    return timed.where(F.col("api").isNotNull() & (F.col("api") != "") & F.col("t").isNotNull())

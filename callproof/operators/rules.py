@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
@@ -55,16 +56,47 @@ def member_of(c: Column, items: Column) -> Column:
     return F.coalesce(F.array_contains(items, c), F.lit(False))
 
 
-def check_rules(calls: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``seq, api, rule_id, passed, message``: every rule on every call of its API.
+@contextmanager
+def errors_as_null(spark: SparkSession):
+    """What is planned inside gives null where it would raise: casts, divisions, overflows, places outside an array.
+
+    Spark notes in each expression how it treats errors when the expression is made, so only these are concerned.
+    """
+    name = "spark.sql.ansi.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
-    All rules are evaluated in one projection, so calls are neither joined with rules nor shuffled.
+
+def verdicts(rules: list[Rule], api: Column, present: Column | None = None) -> Column:
+    """``array<struct<rule_id, passed, message>>`` of the rules of a row's API, null where it has none.
+
+    Only the rules of the row's own API are evaluated.  Where ``present`` is false they fail for want of a related call.
     """
-    checks = []
+    by_api: dict[str, list[Column]] = {}
     for r in rules:
         passed = F.lit(True) if r.condition is None else F.coalesce(r.condition.cast("boolean"), F.lit(False))
-        checks.append(F.when(F.col("api") == r.api, F.struct(F.lit(r.rule_id).alias("rule_id"), passed.alias("passed"), F.when(~passed, F.lit(r.message)).alias("message"))))
-    return calls.select("seq", "api", F.explode(F.array_compact(F.array(*checks))).alias("c")).select("seq", "api", "c.*")
+        message = F.when(~passed, F.lit(r.message))
+        if present is not None:
+            passed, message = present & passed, F.when(~present, F.lit("Cannot find related event")).otherwise(message)
+        by_api.setdefault(r.api, []).append(F.struct(F.lit(r.rule_id).alias("rule_id"), passed.alias("passed"), message.alias("message")))
+    out = F.lit(None).cast("array<struct<rule_id: string, passed: boolean, message: string>>")
+    for name, tests in by_api.items():
+        out = F.when(api == name, F.array(*tests)).otherwise(out)
+    return out
+
+
+def check_rules(calls: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``seq, api, rule_id, passed, message``: every rule on every call of its API.
+
+    All rules are evaluated in one projection, so calls are neither joined with rules nor shuffled.  An error in a
+    condition fails that check and nothing else; only ``raise_error``, which asks for it, ends the job.
+    """
+    with errors_as_null(calls.sparkSession):
+        return calls.select("seq", "api", F.explode(verdicts(rules, F.col("api"))).alias("c")).select("seq", "api", "c.*")
 
 
 CHECKED = StructType([StructField("seq", LongType()), StructField("api", StringType()), StructField("rule_id", StringType()), StructField("passed", BooleanType()), StructField("message", StringType())])
@@ -95,17 +127,21 @@ def check_python_rules(calls: DataFrame, rules: dict[str, tuple[str, Callable[[d
 def check_pair_rules(calls: DataFrame, pairs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Two-call rules: ``pairs(seq, related_seq)``; conditions see ``b.`` (the call) and ``a.`` (its related call).
 
-    A call without a related one fails with a message.
+    A call without a related one fails with a message; so does an error in a condition.
     """
     a, b = calls.alias("a"), calls.alias("b")
     both = pairs.join(b, F.col("b.seq") == pairs["seq"]).join(a, F.col("a.seq") == pairs["related_seq"], "left")
-    checks = []
-    for r in rules:
-        missing = F.col("a.seq").isNull()
-        passed = ~missing & F.coalesce(r.condition.cast("boolean"), F.lit(False))
-        message = F.when(missing, F.lit("Cannot find related event")).when(~passed, F.lit(r.message))
-        checks.append(F.when(F.col("b.api") == r.api, F.struct(F.lit(r.rule_id).alias("rule_id"), passed.alias("passed"), message.alias("message"))))
-    return both.select(F.col("b.seq").alias("seq"), F.col("b.api").alias("api"), F.explode(F.array_compact(F.array(*checks))).alias("c")).select("seq", "api", "c.*")
+    with errors_as_null(calls.sparkSession):
+        return both.select(F.col("b.seq").alias("seq"), F.col("b.api").alias("api"), F.explode(verdicts(rules, F.col("b.api"), F.col("a.seq").isNotNull())).alias("c")).select("seq", "api", "c.*")
+
+
+def failure_reasons(checks: DataFrame, *, most: int = 3) -> DataFrame:
+    """Per rule: checks, failures, and up to ``most`` of the messages, the lowest."""
+    told = checks.where(~F.col("passed")).select("rule_id", F.coalesce("message", F.lit("")).alias("message")).distinct()
+    few = told.withColumn("_n", F.row_number().over(Window.partitionBy("rule_id").orderBy("message"))).where(F.col("_n") <= most)
+    reasons = few.groupBy("rule_id").agg(F.array_sort(F.collect_list("message")).alias("reasons"))
+    counts = checks.groupBy("rule_id").agg(F.count("*").alias("n_calls"), F.count_if(~F.col("passed")).alias("n_failed"))
+    return counts.join(reasons, "rule_id", "left").select("rule_id", "n_calls", "n_failed", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
 
 
 def gate_rules(checks: DataFrame) -> DataFrame:

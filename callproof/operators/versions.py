@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .profile import kind_of
+
 #: Shards whose changes belong to one table: fixed values of the system at hand.
 SHARDS = {"orders_other": "orders", "trip2": "trip"}
 
@@ -76,38 +78,65 @@ def overlay(joined: DataFrame, versions: DataFrame, *, pk: str, columns: dict[st
     return seen.select(*[(F.when(use, columns[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`")) for c in joined.columns])
 
 
-def ambiguous_versions(lookups: DataFrame, versions: DataFrame, *, keys: tuple[str, ...] = ("table", "pk"), t: str = "t", near: float = 1.0) -> DataFrame:
-    """Lookups with more than one change within ``near`` seconds, counted through an equi-join on the key and second."""
-    seconds = F.sequence(F.floor(F.col(t) - near).cast("long"), F.floor(F.col(t) + near).cast("long"))
-    wanted = lookups.select(*keys, t, F.explode(seconds).alias("ts_s"))
-    changes = versions.where(F.col("ver") > 0).select(*keys, "ts_s")
-    met = wanted.join(changes, [*keys, "ts_s"]).where(F.abs(F.col("ts_s") - F.col(t)) <= near)
-    return met.groupBy(*keys, t).agg(F.count("*").alias("changes")).where(F.col("changes") > 1)
+def ambiguous_versions(lookups: DataFrame, versions: DataFrame, *, keys: tuple[str, ...] = ("table", "pk"), t: str = "t") -> DataFrame:
+    """Lookups, up to a key's last change, for which the version is not sure: ``keys, t, changes, none_before``.
+
+    More than one change lies in ``int(t - 1)`` to ``int(t + 2)``, or none before that.  Changes are counted through an
+    equi-join on the key and the second, of which a lookup has four.
+    """
+    at = F.col(t)
+    spans = versions.where(F.col("ver") > 0).groupBy(*keys).agg(F.min("ts_s").alias("_first"), F.max("ts_s").alias("_last"))
+    known = lookups.select(*keys, t).join(spans, list(keys)).where(at <= F.col("_last"))
+    low, high = F.floor(at - 1).cast("long"), F.floor(at + 2).cast("long")
+    counts = versions.where(F.col("ver") > 0).groupBy(*keys, "ts_s").agg(F.count("*").alias("_n"))
+    met = known.withColumn("ts_s", F.explode(F.sequence(low, high))).join(counts, [*keys, "ts_s"], "left")
+    out = met.groupBy(*keys, t).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("changes"), (F.min("_first") >= F.min(low)).alias("none_before"), F.count("*").alias("_rows"))
+    per = out.withColumn("changes", (F.col("changes") / (F.col("_rows") / 4)).cast("long"))  # equal lookups count once
+    return per.where((F.col("changes") > 1) | F.col("none_before")).drop("_rows")
 
 
-def validate_changes(changes: DataFrame, *, keys: tuple[str, ...] = ("table", "pk")) -> DataFrame:
-    """Changes that break their key's chain, one row for each way: ``keys, pos, violation``."""
+def validate_changes(changes: DataFrame, *, keys: tuple[str, ...] = ("table", "pk"), catalogue: DataFrame | None = None) -> DataFrame:
+    """Changes that break their key's chain, one row for each way: ``keys, pos, violation``.
+
+    With ``catalogue(table, all_columns)`` the columns of each row (maps ``before`` and ``after``) must be the table's.
+    """
     order = Window.partitionBy(*keys).orderBy("pos")
     own = changes.withColumns({"_ts": F.lag("ts_s").over(order), "_row": F.lag(F.struct("after")).over(order)})
+    # maps cannot be compared; their entries can
+    same = lambda a, b: (F.array_sort(F.map_entries(a)) if "map" in dict(changes.dtypes)["before"] else a).eqNullSafe(F.array_sort(F.map_entries(b)) if "map" in dict(changes.dtypes)["after"] else b)
     tests = {
         "time goes back": F.col("_ts") > F.col("ts_s"),
-        "old value differs": F.col("_row").isNotNull() & ~F.col("before").eqNullSafe(F.col("_row.after")),
+        "old value differs": F.col("_row").isNotNull() & ~same(F.col("before"), F.col("_row.after")),
     }
     if "new_pk" in changes.columns:
         tests["key changed"] = (F.col("type") == "update") & ~F.col("pk").eqNullSafe(F.col("new_pk"))
+    if catalogue is not None:
+        own = own.join(F.broadcast(catalogue.select("table", F.array_sort("all_columns").alias("_columns"))), "table", "left")  # a row per table
+        fits = lambda row: F.coalesce(F.array_sort(F.map_keys(row)) == F.col("_columns"), row.isNull())
+        tests["columns differ"] = ~(fits(F.col("before")) & fits(F.col("after")))
     broken = F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()]))
     return own.select(*keys, "pos", F.explode(broken).alias("violation"))
 
 
 def merge_tables(parts: list[DataFrame]) -> DataFrame:
-    """Shards of one table together; they must have the same columns in the same order and kinds."""
+    """Shards of one table together; they must have the same columns in the same order and of the same kinds."""
     first = parts[0]
     for p in parts[1:]:
-        if [(f.name, f.dataType.typeName()) for f in p.schema] != [(f.name, f.dataType.typeName()) for f in first.schema]:
+        if [(f.name, kind_of(f.dataType)) for f in p.schema] != [(f.name, kind_of(f.dataType)) for f in first.schema]:
             raise ValueError("the shards have different columns")
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def merge_table_keys(keys: DataFrame, shards: dict[str, str] | None = None) -> DataFrame:
+    """``keys(table, primary_keys, all_columns)`` without the shards, whose keys and columns must be those of their table."""
+    shards = SHARDS if shards is None else shards
+    rows = {r["table"]: (r["primary_keys"], r["all_columns"]) for r in keys.where(F.col("table").isin(*shards, *shards.values())).collect()}  # two per shard
+    for shard, table in shards.items():
+        if shard in rows and rows[shard] != rows.get(table):
+            raise ValueError(f"{shard} and {table} have different keys or columns")
+    return keys.where(~F.col("table").isin(*shards))
+
+
 def merge_changes(a: DataFrame, b: DataFrame, *, keys: tuple[str, ...] = ("table", "pk")) -> DataFrame:
     """Change logs of two shards together; no key may be in both."""
     if not a.select(*keys).join(b.select(*keys), list(keys), "left_semi").limit(1).isEmpty():

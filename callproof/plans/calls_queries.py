@@ -36,13 +36,13 @@ def split_headers(spark, d):
     return calls(spark, d).select("seq", said(fc.prefixed(h, fc.ENV)).alias("env"), said(fc.prefixed(h, fc.QUERY)).alias("queries"), said(fc.plain_headers(h)).alias("headers"))
 
 
-@query(f"with {CALLS} select seq, api, case when api = 'view' then 'a=' || k else 'a=' || k || ',b=' || user_id end as named from calls where api <> 'error'")
+@query(f"with {CALLS} select seq, api, case when api = 'view' then 'a=' || k else 'a=' || k || ',b=\"user ' || user_id || '\"' end as named from calls where api <> 'error'")
 def name_arguments(spark, d):
     from .adapters import table as read
 
     names = F.when(F.col("api") == "view", F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
     catalogue = read(spark, d, "events").select(F.col("event_type").alias("api")).distinct().where("api <> 'error'").withColumn("argument_names", names)
-    own = calls(spark, d).select("seq", "api", F.array(F.col("k").cast("string"), F.col("user_id").cast("string")).alias("arguments"))
+    own = calls(spark, d).select("seq", "api", F.array(F.col("k").cast("string"), F.concat(F.lit("user "), F.col("user_id").cast("string"))).alias("arguments"))  # the second is no JSON
     out = routing.with_named_arguments(own, catalogue)
     return out.select("seq", "api", F.array_join(F.transform(F.map_entries("named"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("named"))
 
@@ -102,14 +102,13 @@ def rename_api(spark, d):
 
 @query(f"with {CALLS} select seq, api from calls where seq % 5 <> 0")
 def filter_split(spark, d):
-    return calls(spark, d).withColumn("split", F.when(F.col("seq") % 5 == 0, "test").otherwise("train")).where(F.col("split") == "train").select("seq", "api")
+    return calls(spark, d).withColumn("split", F.when(F.col("seq") % 5 == 0, "test").otherwise("train")).transform(routing.of_split, "train").select("seq", "api")
 
 
 @query(f"with {CALLS} select api, count(*) as n, min(seq) as first_seq, max(seq) as last_seq from calls where api <> 'view' and seq % 10 <> 0 group by 1")
 def calls_by_api(spark, d):
     own = calls(spark, d).withColumn("api", F.when(F.col("api") == "view", "").otherwise(F.col("api")))
-    timed = own.withColumn("t", fc.time_seconds(F.when(F.col("seq") % 10 == 0, "no time").otherwise(fc.time_text(F.col("t")))))
-    kept = timed.where((F.col("api") != "") & F.col("t").isNotNull())
+    kept = routing.named_and_timed(own.withColumn("time", F.when(F.col("seq") % 10 == 0, "no time").otherwise(fc.time_text(F.col("t")))))
     return kept.groupBy("api").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
@@ -142,20 +141,47 @@ def check_record(spark, d):
     return own.select("seq", at("argument.k").alias("a"), at("response.k").alias("r"), at("header.authorization").alias("h"), at("env.user").alias("e"), F.size(flat).cast("long").alias("n"))
 
 
-@query(f"with {CALLS} select seq, '{{\"arguments\":{{\"headers\":\"' || auth || '\"}},\"related\":null}}' as record from calls")
+@query(f"with {CALLS} select seq, '{{\"arguments\":{{\"headers\":\"' || auth || '\"}},\"related\":null,\"related_events\":{{\"login\":' || case when seq % 2 = 0 then '{{\"env\":' || user_id || '}}' else 'null' end || '}}}}' as record from calls")
 def execute_record(spark, d):
-    arguments = fc.header_argument_renamed(F.create_map(F.lit("httpHeaders"), F.col("auth")))
+    # two arguments that carry headers: the last of them in the list of names stands
+    arguments = fc.header_argument_renamed(F.create_map(F.lit("headers"), F.col("auth"), F.lit("httpHeaders"), F.lit("lost")))
     parts = {"arguments": arguments, "env": F.col("user_id"), "related": F.lit(None).cast("string")}
-    return calls(spark, d).select("seq", fc.execute_record(parts, {"arguments": True, "related": True}).alias("record"))
+    related = {"login": (F.col("seq") % 2 == 0, {"arguments": F.col("arguments"), "env": F.col("user_id")})}
+    return calls(spark, d).select("seq", fc.execute_record(parts, {"arguments": True, "related": True}, related, {"env": True}).alias("record"))
 
 
-@query("select o_orderkey, 'Order' as class, o_orderkey::varchar as id, 'int' as id_kind, case when contains(o_totalprice::varchar, '.') then 'str' else 'str' end as price_kind, 'str' as status_kind from orders")
+@query(f"with {CALLS} select seq, '{{\"argument.k\":\"' || k || '\",\"header.authorization\":\"' || auth || '\"}}' as text from calls")
+def section_text(spark, d):
+    return calls(spark, d).select("seq", fc.section_text(*_parts(), {"arguments": True, "headers": True}).alias("text"))
+
+
+@query("select o_orderkey, 'Order' as class, o_orderkey::varchar as id, 'int' as id_kind, o_totalprice::varchar as price, case when regexp_matches(o_totalprice::varchar, '^[+-]?([0-9]*\\.[0-9]+|[0-9]+\\.[0-9]*)$') then 'float' else 'str' end as price_kind, case when regexp_matches('0' || (o_orderkey % 9), '^[0-9]+$') and not contains('homephone', 'phone') then 'int' else 'str' end as homephone_kind, 't' || o_custkey as authorization, case when o_orderkey % 2 = 0 then '1.5' end as difference from orders")
 def parse_class_objects(spark, d):
-    line = F.concat(F.lit("Saving Order(id="), F.col("o_orderkey").cast("string"), F.lit(", price="), F.col("o_totalprice").cast("string"), F.lit(", status="), F.col("o_orderstatus"), F.lit(") done"))
+    key = F.col("o_orderkey").cast("string")
+    more = F.when(F.col("o_orderkey") % 2 == 0, " orderMoneyDifference=1.5").otherwise("")
+    line = F.concat(F.lit("Saving Order(id=0, id="), key, F.lit(", price="), F.col("o_totalprice").cast("string"), F.lit(", homephone=0"), (F.col("o_orderkey") % 9).cast("string"), F.lit(') done authorization:"Bearer t'), F.col("o_custkey").cast("string"), F.lit('"'), more)
     o = F.get(fc.class_objects(line), F.lit(0))
     at = lambda k: F.element_at(o["fields"], F.lit(k))
-    own = table(spark, d, "orders").select("o_orderkey", o["class"].alias("class"), at("id").alias("id"), at("price").alias("price"), at("status").alias("status"))
-    return own.select("o_orderkey", "class", "id", *[fc.field_kind(F.lit(k), F.col(k)).alias(f"{k}_kind") for k in ("id", "price", "status")])
+    own = table(spark, d, "orders").select("o_orderkey", o["class"].alias("class"), *[at(k).alias(k) for k in ("id", "price", "homephone", "authorization")], at("orderMoneyDifference").alias("difference"))
+    return own.select("o_orderkey", "class", "id", "price", "authorization", "difference", *[fc.field_kind(F.lit(k), F.col(k)).alias(f"{k}_kind") for k in ("id", "price", "homephone")])
+
+
+@query("select page_id, lower(md5(url))[1:8] || '-' || repeat('0', 27) as id, case when page_id % 2 = 0 then 't' || page_id end as token from pages where page_id % 3 <> 0")
+def parse_string_object(spark, d):
+    own = table(spark, d, "pages")
+    found = F.when(F.col("page_id") % 3 != 0, F.concat(F.substring(F.md5("url"), 1, 8), F.lit("-"), F.repeat(F.lit("0"), 27))).otherwise("none")
+    line = F.concat(F.lit("for account "), found, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(' authorization:"Bearer t'), F.col("page_id").cast("string"), F.lit('"'))).otherwise(""))
+    fields = fc.string_object(line, "accountId")
+    return own.select("page_id", F.element_at(fields, F.lit("accountId")).alias("id"), F.element_at(fields, F.lit("authorization")).alias("token")).where(F.col("id").isNotNull())
+
+
+@query("select o_orderkey, o_orderkey::varchar as id, case when o_orderkey % 3 = 0 then null else o_custkey::varchar end as customer, 'k' || o_custkey as authorization from orders")
+def declared_arguments(spark, d):
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    given = F.when(F.col("o_orderkey") % 3 == 0, key).otherwise(F.concat(key, F.lit(", "), customer))
+    line = F.concat(F.lit("2024-05-02 17:34:56.705 INFO 1 --- [main] a.b.C: Entering in Method: save, Class: Orders, Arguments: ["), given, F.lit('], Request Headers: [authorization:"k'), customer, F.lit('"], Execution Time: 3 milliseconds, Return: x'))
+    fields = fc.declared_arguments(line, "string authorization, int id, int customer")
+    return table(spark, d, "orders").select("o_orderkey", *[F.element_at(fields, F.lit(n)).alias(n) for n in ("id", "customer", "authorization")])
 
 
 @query("select o_orderkey, '2024-05-02 17:34:56.705' as time, 'save' as method, o_orderkey::varchar as arguments, (o_orderkey % 97)::varchar as millis, o_orderstatus as returned from orders where o_orderkey % 2 = 0")

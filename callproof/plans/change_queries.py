@@ -51,9 +51,11 @@ def asof_row_version(spark, d):
     return versions.version_at(_lookups(spark, d), _versions(spark, d), keys=("pk",)).select("seq", "found", "row")
 
 
-@query(f"with {VERSIONS} select pk, t, changes from (select user_id as pk, t, (select count(*) from changes c where c.pk = calls.user_id and abs(c.ts_s - calls.t) <= 3600) as changes from calls where api = 'view') where changes > 1")
+@query(f"""with {VERSIONS}, s as (select pk, min(ts_s) as low, max(ts_s) as high from changes group by 1), l as (select distinct user_id as pk, t from calls where api = 'view'),
+r as (select l.pk, l.t, (select count(*) from changes c where c.pk = l.pk and c.ts_s between floor(l.t - 1) and floor(l.t + 2)) as changes, s.low >= floor(l.t - 1) as none_before from l join s on s.pk = l.pk and l.t <= s.high)
+select * from r where changes > 1 or none_before""")
 def version_ambiguity(spark, d):
-    return versions.ambiguous_versions(_lookups(spark, d), _versions(spark, d), keys=("pk",), near=3600.0).select("pk", "t", "changes")
+    return versions.ambiguous_versions(_lookups(spark, d), _versions(spark, d), keys=("pk",)).select("pk", "t", "changes", "none_before")
 
 
 @query(f"""with {CHANGES}, b as (select *, case when pos % 50 = 0 then ts_s - 1000000 else ts_s end as ts, case when pos % 30 = 0 then coalesce(before, 0) + 1 else before end as old from changes),
@@ -77,3 +79,24 @@ def merge_tables(spark, d):
 def merge_changes(spark, d):
     own = changes(spark, d).select("pk", "pos", "type")
     return versions.merge_changes(own.where("pk % 2 = 0"), own.where("pk % 2 = 1"), keys=("pk",))
+
+
+@query(f"""with {CHANGES}, r as (select *, type = 'update' and before is null as fresh from changes), u as (select *, type = 'update' and not fresh as up from r)
+select cast(pk as varchar) as pk, pos, 'key changed' as violation from u where up and pos % 7 = 0
+union all select cast(pk as varchar), pos, 'columns differ' from u where pos % 11 = 0""")
+def validate_change_rows(spark, d):
+    raw = _raw(spark, d)
+    # every seventh update has another key after it, every eleventh row lacks a column
+    key = lambda m: F.when(F.col("pos") % 7 == 0, F.transform_values(m, lambda k, v: F.when(k == "id", F.concat(v, F.lit("x"))).otherwise(v))).otherwise(m)
+    less = lambda m: F.when(F.col("pos") % 11 == 0, F.map_filter(m, lambda k, v: k != "value")).otherwise(m)
+    item = lambda r: F.struct(less(r["before_values"]).alias("before_values"), less(key(r["after_values"])).alias("after_values"), less(r["values"]).alias("values"))
+    keys = spark.createDataFrame([("orders", ["id"], ["id", "value"])], "`table` string, primary_keys array<string>, all_columns array<string>")
+    own = versions.normalized_changes(raw.withColumn("rows", F.transform("rows", item)), keys)
+    return versions.validate_changes(own, catalogue=keys).where(F.col("violation").isin("key changed", "columns differ")).select("pk", "pos", "violation")
+
+
+@query("select 'orders' as \"table\", 'o_orderkey' as keys, string_agg(column_name, ',' order by column_name) as columns from (describe orders)")
+def merge_table_keys(spark, d):
+    own = table(spark, d, "orders")
+    keys = spark.createDataFrame([(n, ["o_orderkey"], own.columns) for n in ("orders", "orders_other")], "`table` string, primary_keys array<string>, all_columns array<string>")
+    return versions.merge_table_keys(keys).select("table", F.array_join("primary_keys", ",").alias("keys"), F.array_join(F.array_sort("all_columns"), ",").alias("columns"))

@@ -2,35 +2,46 @@
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import joins, versions
 
 
+LOG = logging.getLogger(__name__)
+
+
 def enrich_calls(calls: DataFrame, tables: dict[str, DataFrame], relations: list[tuple[str, str, str]], flows: DataFrame, *, api: str, changes: dict[str, tuple[DataFrame, dict]] | None = None, window: str | None = None) -> DataFrame:
     """Calls of ``api`` with ``db_info`` (a row per table, null where missed) and ``related`` (a call's number per source API).
 
     ``relations``: ``(left column, table, right column)`` in order; columns under ``response.`` are left out, a right key
-    that is empty or repeats is skipped, and a table used more than once is named ``table#0``, ``table#1``.  ``changes``:
+    that is empty or repeats is skipped, as is a relation that cannot be joined, and a table named by more than one relation
+    is ``table#0``, ``table#1``.  ``changes``:
     table -> versions of its rows and, per column, how it is read from a version; they replace the snapshot's values.
     """
     wanted = [r for r in relations if not r[0].startswith("response.") and r[1] in tables]
     good = {(r["table"], r["column"]) for r in joins_checked(tables, wanted) if r["joinable"]}
+    uses, seen = Counter(r[1] for r in wanted), Counter()  # skipped relations count as uses of their table
     wanted = [r for r in wanted if (r[1], r[2]) in good]
-    uses, seen = Counter(r[1] for r in wanted), Counter()
     out = calls.where(F.col("api") == api)
     keep, prefixes = out.columns, []
     for left, name, right in wanted:
         prefix = name if uses[name] == 1 else f"{name}#{seen[name]}"
         seen[name] += 1
-        out = joins.fk_join_unchecked(out, tables[name], left, right, prefix)
+        try:
+            met = joins.fk_join_unchecked(out, tables[name], left, right, prefix)
+            if changes and name in changes:
+                rows, columns = changes[name]
+                met = versions.overlay(met, rows, pk=f"`{prefix}@{right}`", columns={f"{prefix}@{c}": v for c, v in columns.items()})
+        except AnalysisException as e:  # a column that is not there, or kinds that cannot be compared
+            LOG.warning("relation %s -> %s.%s is skipped: %s", left, name, right, e)
+            continue
+        out = met
         prefixes.append(prefix)
-        if changes and name in changes:
-            rows, columns = changes[name]
-            out = versions.overlay(out, rows, pk=f"`{prefix}@{right}`", columns={f"{prefix}@{c}": v for c, v in columns.items()})
     out = joins.renest(out, prefixes, keep) if prefixes else out.withColumn("db_info", F.lit(None).cast("string"))
     own_flows = flows.where(F.col("api") == api)
     related = joins.asof_related_call(calls, own_flows, window=window)

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import detect, joins, keys
+from ..operators import detect, joins, keys, versions
 from . import enrichment
 from .adapters import CALLS, calls, changes, table
+from .change_queries import VERSIONS
 from .registry import query
 
 
@@ -114,15 +115,22 @@ def renest(spark, d):
     return out.select("o_orderkey", F.col("db_info.customer.c_name").alias("name"), F.col("db_info.customer.c_nationkey").alias("nation"), F.col("db_info.customer").isNull().alias("missed"))
 
 
-@query(f"""with {CALLS}, own as (select * from calls where api = 'purchase')
-select o.seq, o.user_id, c.c_name as name, c.c_nationkey as nation, n.n_name as nation_name,
-  (select max(r.seq) from (select seq, t, auth from calls r where r.api = 'click' and r.t <= o.t order by r.seq desc limit 20) r where r.auth = o.auth and o.t - r.t <= 600) as click_seq,
-  (select max(r.seq) from (select seq, t, auth from calls r where r.api = 'view' and r.t <= o.t order by r.seq desc limit 20) r where r.auth = o.auth and o.t - r.t <= 600) as view_seq
-from own o left join customer c on o.user_id = c.c_custkey left join nation n on c.c_nationkey = n.n_nationkey""")
+def _enrich_sql() -> str:
+    near = lambda api: f"(select max(r.seq) from (select seq, t, auth from calls r where r.api = '{api}' and r.t <= o.t order by r.seq desc limit 20) r where r.auth = o.auth and o.t - r.t <= 600)"
+    return f"""with {VERSIONS}, own as (select * from calls where api = 'purchase'),
+  timed as (select o.*, (select max(last_ts_s) from versions v where v.pk = o.user_id) as last_ts, (select coalesce(max(ver) filter (where ts_s < floor(o.t - 1) and ver > 0), 0) from versions v where v.pk = o.user_id) as ver from own o)
+select o.seq, o.user_id, c.c_name as name, case when c.c_custkey is not null and o.last_ts is not null and o.t <= o.last_ts then (select max(row) from versions v where v.pk = o.user_id and v.ver = o.ver) else c.c_acctbal end as balance,
+  c.c_nationkey as nation, n.n_name as nation_name, {near('click')} as click_seq, {near('view')} as view_seq
+from timed o left join customer c on o.user_id = c.c_custkey left join nation n on c.c_nationkey = n.n_nationkey"""
+
+
+@query(_enrich_sql())
 def enrich_calls(spark, d):
     tables = {n: table(spark, d, n) for n in ("customer", "nation")}
     own = calls(spark, d)
-    plan = [("user_id", "customer", "c_custkey"), ("customer@c_nationkey", "nation", "n_nationkey")]
-    out = enrichment.enrich_calls(own, tables, plan, _flows(spark), api="purchase")
+    plan = [("user_id", "customer", "c_custkey"), ("customer@c_nationkey", "nation", "n_nationkey"), ("no_such_column", "nation", "n_nationkey")]
+    # a customer's balance is what the change log says as of the call
+    log = versions.row_versions(changes(spark, d).withColumn("pk", F.col("pk").cast("string")), keys=("pk",))
+    out = enrichment.enrich_calls(own, tables, plan, _flows(spark), api="purchase", changes={"customer": (log, {"c_acctbal": F.col("row")})})
     at = lambda p: F.col(f"db_info.{p}")
-    return out.select("seq", "user_id", at("customer.c_name").alias("name"), at("customer.c_nationkey").alias("nation"), at("nation.n_name").alias("nation_name"), F.col("related.click").alias("click_seq"), F.col("related.view").alias("view_seq"))
+    return out.select("seq", "user_id", at("customer.c_name").alias("name"), at("customer.c_acctbal").alias("balance"), at("customer.c_nationkey").alias("nation"), at("`nation#0`.n_name").alias("nation_name"), F.col("related.click").alias("click_seq"), F.col("related.view").alias("view_seq"))

@@ -37,7 +37,7 @@ def profile_columns(spark, d):
     return profile.profile_columns(table(spark, d, "customer"))
 
 
-@query("with v as (select typeof(j) as ty from (select case event_id % 4 when 0 then 'int' when 1 then 'float' when 2 then 'int' else 'null' end as j from events) ) select 'number' as \"column\", 'float' as kind from v limit 1")
+@query("with v as (select json_type(case event_id % 4 when 1 then '1.5e0' when 3 then 'null' else json_extract_string(props, '$.k') end::json) as ty from events), k as (select list(distinct case when ty in ('BIGINT', 'UBIGINT') then 'int' when ty = 'DOUBLE' then 'float' when ty = 'VARCHAR' then 'str' else lower(ty) end) filter (where ty <> 'NULL') as kinds from v) select 'number' as \"column\", case when len(kinds) = 0 then 'null' when len(kinds) = 1 then kinds[1] when list_has_all(['int', 'float'], kinds) then 'float' else 'unknown' end as kind from k")
 def column_kind(spark, d):
     # numbers of two kinds, and nulls, are one kind
     text = F.when(F.col("seq") % 4 == 1, "1.5e0").when(F.col("seq") % 4 == 3, "null").otherwise(F.col("k").cast("string"))
@@ -71,15 +71,63 @@ def object_or_map(spark, d):
     return profile.object_or_map(profile.object_keys(values)).select("api", "keys", "optional", "kind")
 
 
-@query()
-def api_schemas(spark, d):
+def _schemas_sql() -> str:
+    none = "cast(null as bigint)"
+    rows = [  # path, kind, what is counted, its distinct form, lengths, numbers, from
+        ("$", "object", "1", "{'a': user_id, 'b': auth, 'c': k, 'd': value}", None, None, "calls"), ("$.who", "object", "1", "{'a': user_id, 'b': auth}", None, None, "calls"),
+        ("$.who.user_id", "int", "user_id", "user_id", None, "user_id", "calls"), ("$.who.auth", "str", "auth", "auth", "length(auth)", None, "calls"), ("$.items", "array", "1", "k", "2", None, "calls"),
+        ("$.items[]", "int", "x", "x", None, "x", "(select api, unnest([k, k + 1]) as x from calls)"), ("$.value", "float", "value", "value", None, "value", "calls"),
+    ]
+    ends = lambda c, t: ", ".join(f"cast({f}({c}) as {t})" if c else (none if t == "bigint" else "cast(null as double)") for f in ("min", "max"))
+    parts = [f"select api, '{p}' as path, '{kind}' as kind, count({what}) as rows, 0 as nulls, count(distinct {form}) as \"distinct\", {ends(size, 'bigint')}, {ends(number, 'double')} from {source} group by 1" for p, kind, what, form, size, number, source in rows]
+    return f"with {CALLS}, found(api, path, kind, rows, nulls, \"distinct\", len_min, len_max, value_min, value_max) as ({' union all '.join(parts)}) select * from found where rows > 0"
+
+
+def _nested_values(spark, d):
     text = F.to_json(F.struct(F.struct("user_id", "auth").alias("who"), F.array("k", F.col("k") + 1).alias("items"), F.col("value")))
-    return profile.api_schemas(calls(spark, d).select("api", F.try_parse_json(text).alias("v"))).orderBy("api", "path")
+    return calls(spark, d).select("api", F.try_parse_json(text).alias("v"))
+
+
+@query(_schemas_sql())
+def api_schemas(spark, d):
+    return profile.api_schemas(_nested_values(spark, d))
+
+
+@query(f"select api, path, '<some ' || kind || ' value>' as placeholder from ({_schemas_sql()}) where kind not in ('object', 'array')")
+def schema_view(spark, d):
+    return profile.schema_view(profile.api_schemas(_nested_values(spark, d)))
 
 
-@query("select * from (values ('c_custkey', 'left only'), ('c_nationkey', 'left only'), ('c_acctbal', 'left only'), ('c_name', 'left only'), ('c_mktsegment', 'left only'), ('s_suppkey', 'right only'), ('s_name', 'right only'), ('s_nationkey', 'right only'), ('s_acctbal', 'right only')) as t(\"column\", difference)")
+#: Kinds of the columns of a query, told by DuckDB.
+KIND_SQL = "case when column_type in ('BIGINT', 'INTEGER') then 'int' when column_type = 'DOUBLE' then 'float' else 'str' end"
+
+
+@query(f"with a as (select column_name as c, {KIND_SQL} as kind from (describe select c_custkey as key, c_name as name, c_nationkey as nation, c_acctbal as balance, c_mktsegment as segment from customer)), b as (select column_name as c, {KIND_SQL} as kind from (describe select s_suppkey as key, s_name as name, cast(s_nationkey as varchar) as nation, s_acctbal as balance, s_suppkey as number from supplier)) select coalesce(a.c, b.c) as \"column\", case when a.c is null then 'right only' when b.c is null then 'left only' else 'differs' end as difference from a full join b on a.c = b.c where a.kind is distinct from b.kind")
 def schema_diff(spark, d):
-    return profile.schema_diff(profile.profile_columns(table(spark, d, "customer")), profile.profile_columns(table(spark, d, "supplier")), ["kind"])
+    # the soft comparison: kinds alone
+    return profile.schema_diff(*_compared(spark, d), ["kind"])
+
+
+def _compared(spark, d):
+    left = table(spark, d, "customer").toDF("key", "name", "nation", "balance", "segment")
+    s = table(spark, d, "supplier")
+    right = s.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("nation"), F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("number"))
+    return profile.profile_columns(left), profile.profile_columns(right)
+
+
+def _strict_sql() -> str:
+    def of(parts) -> str:
+        return " union all ".join(f"select '{c}' as c, {KIND_SQL.replace('column_type', f'typeof(any_value({e}))')} as kind, {f'min(length({e}))' if text else 'null'} as low, {f'max(length({e}))' if text else 'null'} as high, {'null' if text else f'min({e})::double'} as v_low, {'null' if text else f'max({e})::double'} as v_high from {t}" for c, e, text, t in parts)
+
+    left = [("key", "c_custkey", 0, "customer"), ("name", "c_name", 1, "customer"), ("nation", "c_nationkey", 0, "customer"), ("balance", "c_acctbal", 0, "customer"), ("segment", "c_mktsegment", 1, "customer")]
+    right = [("key", "s_suppkey", 0, "supplier"), ("name", "s_name", 1, "supplier"), ("nation", "cast(s_nationkey as varchar)", 1, "supplier"), ("balance", "s_acctbal", 0, "supplier"), ("number", "s_suppkey", 0, "supplier")]
+    differs = " or ".join(f"a.{c} is distinct from b.{c}" for c in ("kind", "low", "high", "v_low", "v_high"))
+    return f"with a as ({of(left)}), b as ({of(right)}) select coalesce(a.c, b.c) as \"column\", case when a.c is null then 'right only' when b.c is null then 'left only' else 'differs' end as difference from a full join b on a.c = b.c where a.c is null or b.c is null or {differs}"
+
+
+@query(_strict_sql())
+def schema_diff_strict(spark, d):
+    return profile.schema_diff(*_compared(spark, d), ["kind", "len_min", "len_max", "value_min", "value_max"])
 
 
 @query("select c as \"column\" from (select unnest(['o_orderkey', 'o_custkey', 'o_orderstatus']) as c, unnest([count(*) - count(o_orderkey), count(*) - count(o_custkey), count(*) - count(nullif(o_orderstatus, 'F'))]) as n from orders) where n = 0")
@@ -123,12 +171,28 @@ def eligible_apis(spark, d):
     return profile.eligible_apis(own, own.where(F.col("value") > 10))
 
 
-@query("with p as (select l_orderkey, list(l_partkey order by l_partkey) as parts from lineitem group by 1) select l_orderkey, array_to_string(parts[1:3], ',') as parts from p")
+def _nested_shape(kind: str) -> str:
+    """The shape of a call's nested value in SQL: the longer of two items stands for a list."""
+    items = "case when k % 3 = 0 then '[]' when k % 3 = 1 then '[{\"n\":\"int\"}]' else '[{\"n\":\"int\",\"t\":\"str\"},\"extra\"]' end"
+    return f"'{{\"items\":' || {items} || ',\"who\":{{\"name\":\"' || case when user_id % 2 = 0 then 'str' else 'null' end || '\"}}}}'"
+
+
+@query(f"with {CALLS} select api, {_nested_shape('')} as signature, count(*) as n_calls, min(seq) as first_seq from calls group by 1, 2")
+def nested_shapes(spark, d):
+    k = F.col("k").cast("string")
+    one, two = F.concat(F.lit('{"n":'), k, F.lit("}")), F.concat(F.lit('{"t":"x","n":'), k, F.lit("}"))
+    items = F.when(F.col("k") % 3 == 0, "").when(F.col("k") % 3 == 1, one).otherwise(F.concat_ws(",", one, two))
+    name = F.when(F.col("user_id") % 2 == 0, '"n"').otherwise("null")
+    return profile.shape_groups(calls(spark, d), profile.shape_signature(F.concat(F.lit('{"who":{"name":'), name, F.lit('},"items":['), items, F.lit("]}"))))
+
+
+@query("with p as (select l_orderkey, list(l_partkey order by l_partkey) as parts from lineitem group by 1) select l_orderkey, '{\"inner\":{\"n\":' || len(parts) || '},\"parts\":[' || array_to_string(parts[1:3], ',') || case when len(parts) > 3 then ',\"<extra list items . . .>\"' else '' end || ']}' as record from p")
 def trim_record(spark, d):
-    from ..functions.calls import trimmed
-    from .adapters import joined_text, order_lists
+    from .adapters import order_lists
 
-    return order_lists(spark, d).select("l_orderkey", joined_text(trimmed(F.col("parts"))).alias("parts"))
+    own = order_lists(spark, d)
+    text = F.to_json(F.struct(F.struct(F.size("parts").alias("n"), F.lit(None).cast("int").alias("none")).alias("inner"), F.col("parts"), F.lit(None).cast("string").alias("gone")), {"ignoreNullFields": "false"})
+    return own.select("l_orderkey", profile.trimmed_json(text).alias("record"))
 
 
 @query(f"with {CALLS} select api, case when max(user_id % 2) = 1 and min(user_id % 2) = 0 then 'orders,user' when max(user_id % 2) = 1 then 'orders' else 'user' end as names from calls group by 1")
@@ -217,7 +281,7 @@ def _values_sql() -> str:
 OVERLAP = f"with {_values_sql()}, o as (select from_table, from_column, to_table, to_column, shared, shared / n as ratio from pairs where from_table <> to_table and shared / n > 0.2)"
 
 
-@query("select t as \"table\", c as \"column\", left(t, 5) <> 'log::' as can_be_target from (values ('customer', 'c_custkey'), ('customer', 'c_nationkey'), ('customer', 'c_name'), ('customer', 'c_mktsegment'), ('log::events', 'event_id'), ('log::events', 'user_id'), ('log::events', 'event_type'), ('log::events', 'props')) as x(t, c)")
+@query(f"with c as (select 'customer' as t, column_name as c, {KIND_SQL} as kind from (describe customer) union all select 'log::events', column_name, {KIND_SQL} from (describe select * exclude (ts) from events)) select t as \"table\", c as \"column\", left(t, 5) <> 'log::' as can_be_target from c where kind in ('str', 'int') and not regexp_matches(c, '(?i)header|#length|#exists|^time$|response_time')")
 def fk_candidates(spark, d):
     out = profile.profile_columns(table(spark, d, "customer")).select(F.lit("customer").alias("table"), "column", "kind")
     log = profile.profile_columns(table(spark, d, "events").drop("ts")).select(F.lit("log::events").alias("table"), "column", "kind")

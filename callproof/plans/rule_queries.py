@@ -16,6 +16,8 @@ def _rules():
         rules.Rule("k_small", "purchase", F.col("k") < 1000, "k is large"),
         rules.Rule("auth_known", "click", F.when(F.col("k") > 10, rules.status_in(F.col("auth"), ["0", "1", "2", "3", "4", "5", "6"])), "unknown auth"),
         rules.Rule("always", "view", None),
+        rules.Rule("share", "view", F.lit(100) / (F.col("k") % 5) > 30, "share too small"),  # an error where k % 5 is 0
+        rules.Rule("number", "click", F.when(F.col("k") % 2 == 0, "x").otherwise(F.col("auth")).cast("int") >= 0, "no number"),  # an error where it is x
     ]
 
 
@@ -23,7 +25,9 @@ CHECKS = f"""{CALLS}, checks as (
   select seq, api, 'value_range' as rule_id, value between {LOW} and {HIGH} as passed, 'value out of range' as m from calls where api = 'purchase'
   union all select seq, api, 'k_small', k < 1000, 'k is large' from calls where api = 'purchase'
   union all select seq, api, 'auth_known', k > 10 and auth <> '7', 'unknown auth' from calls where api = 'click'
-  union all select seq, api, 'always', true, '' from calls where api = 'view'),
+  union all select seq, api, 'always', true, '' from calls where api = 'view'
+  union all select seq, api, 'share', k % 5 <> 0 and 100.0 / nullif(k % 5, 0) > 30, 'share too small' from calls where api = 'view'
+  union all select seq, api, 'number', k % 2 <> 0 and cast(auth as int) >= 0, 'no number' from calls where api = 'click'),
 checked as (select seq, api, rule_id, passed, case when not passed then m end as message from checks)"""
 
 
@@ -103,29 +107,41 @@ def _mined(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderstatus").alias("api"), (F.col("o_orderkey") % 2).alias("parity"), "o_orderkey", "o_custkey", (F.col("o_orderkey") + 0).alias("same"))
 
 
-@query(f"with m as ({MINED}) select api, 'parity' as \"column\", string_agg(distinct parity::varchar, ',' order by parity::varchar) as \"values\" from m group by 1")
+@query(f"with m as ({MINED}), v as (select api, 'parity' as c, parity::varchar as v from m union all select api, 'o_orderkey', o_orderkey::varchar from m) select api, c as \"column\", string_agg(distinct v, ',' order by v) as \"values\" from v group by 1, 2 having count(distinct v) <= 3")
 def mine_constants(spark, d):
     return rules.mine_constants(_mined(spark, d), ["parity", "o_orderkey"])
 
 
-@query(f"with m as ({MINED}) select distinct api, 'o_orderkey' as a, 'same' as b from m")
+@query(f"with m as ({MINED}), p as (select api, 'o_orderkey' as a, 'o_custkey' as b, bool_and(o_orderkey = o_custkey) as same from m group by 1 union all select api, 'o_orderkey', 'same', bool_and(o_orderkey = same) from m group by 1 union all select api, 'o_custkey', 'same', bool_and(o_custkey = same) from m group by 1) select api, a, b from p where same")
 def mine_equalities(spark, d):
     return rules.mine_equalities(_mined(spark, d), ["o_orderkey", "o_custkey", "same"])
 
 
-ATTACKED = f"""{CHECKS}, {WINDOWS}, inside as (select c.*, w.window_id, case when c.k % 10 = 0 then 'attack' || c.k end as att_name from calls c join windows w on c.t between w.start and w."end" and c.user_id % 4 = w.grp),
-found as (select i.window_id, i.seq, i.api, k.rule_id, i.att_name, i.att_name is not null as is_attack, not k.passed as detected, k.message from inside i join checked k on k.seq = i.seq where not k.passed or i.att_name is not null
-  union all select window_id, seq, api, null, att_name, true, false, null from inside where att_name is not null and seq not in (select seq from checked))"""
+@query(f"with {CHECKS}, c as (select rule_id, count(*) as n_calls, count(*) filter (where not passed) as n_failed, coalesce(list_sort(list(distinct message) filter (where not passed)), []) as reasons from checked group by 1) select rule_id, n_calls, n_failed, array_to_string(reasons, '|') as reasons from c")
+def failure_reasons(spark, d):
+    return rules.failure_reasons(_checks(spark, d)).withColumn("reasons", F.array_join("reasons", "|"))
 
 
-def _inside(spark, d):
-    own = calls(spark, d).withColumn("grp", F.col("user_id") % 4)
-    inside = detect.window_calls(own, _windows(spark, d), on=("grp",))
-    return inside.withColumn("att_name", F.when(F.col("k") % 10 == 0, F.concat(F.lit("attack"), F.col("k").cast("string"))))
+#: Marks of attacks: an interval in either case, a file for some, a name for all.
+ATTACKED = f"""{CHECKS}, {WINDOWS}, inside as (select c.*, w.window_id, c.k % 10 = 0 as is_attack, case when c.k % 10 = 0 then case when c.k % 20 = 0 then 'file' || c.k else 'attack' || c.k end end as att_name from calls c join windows w on c.t between w.start and w."end" and c.user_id % 4 = w.grp),
+found as (select i.window_id, i.seq, i.api, k.rule_id, i.att_name, i.is_attack, not k.passed as detected, k.message from inside i join checked k on k.seq = i.seq where not k.passed or i.is_attack
+  union all select window_id, seq, api, null, att_name, true, false, null from inside where is_attack and api not in (select api from checked))"""
+
+
+def _marked(df):
+    """Headers of attacks for every tenth k; other calls have a name that marks nothing."""
+    k = F.col("k").cast("string")
+    entry = lambda low, high, v: F.struct(F.when(F.col("k") % 4 == 0, low).otherwise(high).alias("key"), v.alias("value"))
+    name = entry("x-att-name", "X-Att-Name", F.concat(F.lit("attack"), k))
+    own = F.array(name, entry("x-att-int", "X-Att-Int", k), entry("x-att-idx", "X-Att-Idx", k))
+    file = F.array(entry("x-att-file", "X-Att-File", F.concat(F.lit("file"), k)))
+    some = F.when(F.col("k") % 20 == 0, F.concat(own, file)).when(F.col("k") % 10 == 0, own).otherwise(F.array(name))
+    return df.withColumn("headers", F.map_from_entries(some))
 
 
 def _found(spark, d):
-    return detect.violations(_checks(spark, d), _inside(spark, d))
+    own = calls(spark, d).withColumn("grp", F.col("user_id") % 4)
+    return detect.violations(_marked(detect.window_calls(own, _windows(spark, d), on=("grp",))), _rules())
 
 
 @query(f"with {ATTACKED} select * from found")
@@ -144,10 +160,18 @@ def confusion(spark, d):
     return detect.confusion(both, F.lower("text").rlike("idiot|stupid|clown"), F.col("toxic") == 1)
 
 
-@query(f"with {CALLS} select seq // 10 as window_id, count(distinct case when api <> 'view' then api end) = 1 and count(distinct auth) >= 1 and count(distinct k // 50) = 1 and count(distinct k // 90) = 1 and not bool_or(k = 13) as valid, count(*) as n_calls from calls group by 1")
+@query(f"with {CALLS}, m as (select seq // 10 as window_id, case when api <> 'view' then 'n' || api end as name, case when api <> 'view' then k // 50 end as idx, case when k % 2 = 0 then 'low' || k // 90 when k % 2 = 1 and k % 3 = 0 then 'low' || k // 90 end as interval, case when k = 13 then 'attack_list_wrong_food.py' else 'f' || k end as file from calls) select window_id, count(distinct name) = 1 and count(distinct idx) = 1 and count(distinct interval) = 1 and not bool_or(file = 'attack_list_wrong_food.py') as valid, count(*) as n_calls from m group by 1")
 def valid_windows(spark, d):
-    own = calls(spark, d).select(F.floor(F.col("seq") / 10).alias("window_id"), F.when(F.col("api") != "view", F.col("api")).alias("att_name"), F.floor(F.col("k") / 50).alias("att_idx"), F.floor(F.col("k") / 90).alias("att_int"), F.col("k").cast("string").alias("att_file"))
-    return detect.valid_windows(own, ignored_files=["13"])
+    # headers in both cases: a name or interval in one case and the same in the other is one
+    entry = lambda low, high, v, some: F.when(some, F.struct(F.when(F.col("k") % 2 == 0, low).otherwise(high).alias("key"), v.cast("string").alias("value")))
+    named = F.col("api") != "view"
+    entries = F.array(
+        entry("x-att-name", "X-Att-Name", F.concat(F.lit("n"), "api"), named), entry("x-att-idx", "X-Att-Idx", F.floor(F.col("k") / 50), named),
+        entry("x-att-int", "X-Att-Int", F.concat(F.lit("low"), F.floor(F.col("k") / 90).cast("string")), (F.col("k") % 2 == 0) | (F.col("k") % 3 == 0)),
+        entry("x-att-file", "X-Att-File", F.when(F.col("k") == 13, "attack_list_wrong_food.py").otherwise(F.concat(F.lit("f"), F.col("k").cast("string"))), F.lit(True)),
+    )
+    own = calls(spark, d).select(F.floor(F.col("seq") / 10).alias("window_id"), F.map_from_entries(F.array_compact(entries)).alias("headers"))
+    return detect.valid_windows(own)
 
 
 @query(f"with {CALLS} select count(*) as n_rows, count(*) filter (where k = 7 or (k > 50) <> (value > 20)) as n_mismatch, coalesce(bool_or(k = 7), false) as failed from calls")

@@ -29,10 +29,13 @@ def write_calls(calls: DataFrame, path: str, *, compression: str = "none") -> No
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Enter and exit lines of an instrumentation log, with their place in it; blank lines are dropped."""
-    text = spark.read.text(path).where(F.trim("value") != "")
+    """Enter and exit lines of instrumentation logs; blank lines are dropped.
+
+    ``file`` and ``pos`` give a line's place: ``pos`` grows within a file, and files have no order among themselves.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
     line = F.from_json("value", LINE_SCHEMA)
-    return text.select(F.monotonically_increasing_id().alias("pos"), line.alias("line")).select("pos", "line.*")
+    return text.select("file", F.monotonically_increasing_id().alias("pos"), line.alias("line")).select("file", "pos", "line.*")
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
@@ -69,3 +72,19 @@ def read_flow_map(spark: SparkSession, path: str) -> DataFrame:
 def write_violations(found: DataFrame, path: str, *, kind: str = "json") -> None:
     """Report records, one folder per window."""
     found.write.mode("errorifexists").partitionBy("window_id").format(kind).save(path)
+
+
+RULE_SCHEMA = (
+    "domain array<struct<api: string, related_fields: map<string,boolean>, quantifier: string>>, premise struct<premise_position: string, premise_type: string>,"
+    " predicate struct<is_true_precisely: boolean, desc: string, py_code: string, num_args: int>"
+)
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules as JSON lines: ``rule_no, domain, premise, predicate``.  Their source text is carried, never run."""
+    return spark.read.schema(RULE_SCHEMA).json(path).select(F.monotonically_increasing_id().alias("rule_no"), "*")
+
+
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Writes rules as JSON lines, in the order of ``rule_no``."""
+    rules.orderBy("rule_no").drop("rule_no").write.mode("errorifexists").json(path)

@@ -231,12 +231,38 @@ def test_object_or_map(spark, optional, required, shape):
 def test_api_schemas_paths(spark):
     df = spark.createDataFrame([("a", '{"x": {"y": [1, {"z": "t"}]}, "n": null}'), ("a", '{"x": {"y": []}}'), ("b", "7")], "api string, j string").select("api", F.try_parse_json("j").alias("v"))
     got = {(r["api"], r["path"]): r["kind"] for r in profile.api_schemas(df).collect()}
+    assert profile.schema_view(profile.api_schemas(df)).where("api = 'b'").first()["placeholder"] == "<some int value>"
     assert got == {("a", "$"): "object", ("a", "$.x"): "object", ("a", "$.n"): "null", ("a", "$.x.y"): "array", ("a", "$.x.y[]"): "unknown", ("a", "$.x.y[].z"): "str", ("b", "$"): "int"}
 
 
+def test_schemas_of_any_depth(spark):
+    text = '{"k":' * 12 + "[7]" + "}" * 12
+    df = spark.createDataFrame([("a", text)], "api string, j string").select("api", F.try_parse_json("j").alias("v"))
+    got = {r["path"]: r["kind"] for r in profile.api_schemas(df).collect()}
+    assert len(got) == 14 and got["$" + ".k" * 12] == "array" and got["$" + ".k" * 12 + "[]"] == "int"
+    assert profile.api_schemas(df.limit(0)).count() == 0
+
+
+def test_view_leaves_header_arguments_out(spark):
+    df = spark.createDataFrame([("a", '{"arguments": {"headers": {"x": "1"}, "header": "2", "headerless": 3}}')], "api string, j string").select("api", F.try_parse_json("j").alias("v"))
+    assert rows(profile.schema_view(profile.api_schemas(df)), "path", "placeholder") == [("$.arguments.headerless", "<some int value>")]
+
+
 def test_shape_signature(spark):
-    df = spark.createDataFrame([('{"b":[{"x":1},{"x":1,"y":"t"}],"a":null}',), ('{"a":true,"b":[]}',)], "j string")
-    assert [r[0] for r in df.select(profile.shape_signature("j")).collect()] == ['{"a":"null","b":[{"x":"int","y":"str"},"extra"]}', '{"a":"bool","b":[]}']
+    df = spark.createDataFrame([('{"b":[{"x":1},{"x":1,"y":"t"}],"a":null}',), ('{"a":true,"b":[]}',), ('[[1]]',)], "j string")
+    assert [r[0] for r in df.select(profile.shape_signature("j")).collect()] == ['{"a":"null","b":[{"x":"int","y":"str"},"extra"]}', '{"a":"bool","b":[]}', '[["int"]]']
+
+
+def test_trimming(spark):
+    df = spark.createDataFrame([('{"a":{"b":null,"c":[1,2,3,4]},"d":[{"e":null}],"f":null}',), (None,)], "j string")
+    assert [r[0] for r in df.select(profile.trimmed_json(F.col("j"))).collect()] == ['{"a":{"c":[1,2,3,"<extra list items . . .>"]},"d":[{"e":null}]}', None]
+
+
+def test_profile_of_odd_columns(spark):
+    df = spark.sql("select cast(null as int) as i, array(1, 2) as a, map('k', 1) as m, named_struct('x', 1) as s union all select 3, null, null, named_struct('x', 1)")
+    got = {r["column"]: r.asDict() for r in profile.profile_columns(df).collect()}
+    assert [(got[c]["kind"], got[c]["nulls"], got[c]["distinct"], got[c]["len_max"]) for c in "iams"] == [("int", 1, 1, None), ("array", 1, 1, 2), ("dict", 1, None, 1), ("object", 0, 1, None)]
+    assert {(r["column"], r["rows"]) for r in profile.profile_columns(df.limit(0)).collect()} == {(c, 0) for c in "iams"}
 
 
 def test_sharded_merge(spark):
@@ -260,14 +286,17 @@ def test_windows_and_detection(spark, tmp_path):
     calls = spark.createDataFrame([(k, t, "a", "x" if k == 2 else None) for k, t in ((1, 11.9), (2, 12.0), (3, 20.0), (4, 20.1))], "seq long, t double, api string, att_name string")
     inside = detect.window_calls(calls, windows)
     assert rows(inside, "seq") == [(2,), (3,)]
-    checks = rules.check_rules(calls, [rules.Rule("r", "b", F.lit(False), "no")])
-    found = detect.violations(checks, inside)
-    assert rows(found, "seq", "is_attack", "detected", "rule_id") == [(2, True, False, None)]
+    marked = inside.withColumn("headers", F.when(F.col("att_name").isNotNull(), F.create_map(F.lit("X-Att-Int"), F.lit("1"), F.lit("x-att-name"), F.col("att_name")))).drop("att_name")
+    found = detect.violations(marked, [rules.Rule("r", "b", F.lit(False), "no")])
+    assert rows(found, "seq", "att_name", "is_attack", "detected", "rule_id") == [(2, "x", True, False, None)]
     assert rows(detect.detection_recall(found, windows)) == [(0, 1, 0.0)]
-    checks = rules.check_rules(calls, [rules.Rule("r", "a", F.col("seq") < 3, "late"), rules.Rule("t", "a", None), rules.Rule("n", "a", F.lit(None).cast("boolean"), "null")])
+    own = [rules.Rule("r", "a", F.col("seq") < 3, "late"), rules.Rule("t", "a", None), rules.Rule("n", "a", F.lit(None).cast("boolean"), "null")]
+    checks = rules.check_rules(calls, own)
     assert rows(checks.where("seq = 2"), "rule_id", "passed", "message") == [("n", False, "null"), ("r", True, None), ("t", True, None)]
-    found = detect.violations(checks, inside)
+    found = detect.violations(marked, own)
+    assert rows(found, "seq", "rule_id", "detected") == [(2, "n", True), (2, "r", False), (2, "t", False), (3, "n", True), (3, "r", True)]
     assert rows(detect.detection_recall(found, windows)) == [(1, 1, 1.0)]
+    assert rows(rules.failure_reasons(checks), "rule_id", "n_failed", "reasons") == [("n", 4, ["null"]), ("r", 2, ["late"]), ("t", 0, [])]
     logs.write_violations(found, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == found.count()
     assert rows(rules.gate_rules(checks), "rule_id") == [("t",)]
@@ -276,8 +305,73 @@ def test_windows_and_detection(spark, tmp_path):
 
 
 def test_valid_windows(spark):
-    df = spark.createDataFrame([("one", "n", "1", "i", "f"), ("one", None, None, None, None), ("two", "n", "1", "i", "f"), ("two", "m", "1", "i", "f"), ("bad", "n", "1", "i", "skip")], "window_id string, att_name string, att_idx string, att_int string, att_file string")
-    assert dict(rows(detect.valid_windows(df, ignored_files=["skip"]), "window_id", "valid")) == {"one": True, "two": False, "bad": False}
+    one = {"x-att-name": "n", "x-att-idx": "1", "X-Att-Int": "i", "x-att-file": "f"}
+    marks = [("one", one), ("one", {}), ("one", {"X-Att-Name": "n"}), ("one", None), ("two", one), ("two", {"X-Att-Name": "m"}), ("bad", one | {"X-Att-File": "attack_list_wrong_food.py"}), ("none", {}), ("half", {"x-att-name": "n"})]
+    df = spark.createDataFrame(marks, "window_id string, headers map<string,string>")
+    assert dict(rows(detect.valid_windows(df), "window_id", "valid")) == {"one": True, "two": False, "bad": False, "none": False, "half": False}
+    assert dict(rows(detect.valid_windows(df, ignored_files=()), "window_id", "valid"))["bad"]
+    named = df.where("window_id in ('one', 'half')").select(detect.attack_name(F.col("headers")).alias("n"), detect.is_attack(F.col("headers")).alias("a"))
+    assert rows(named) == [("f", True), (None, False), (None, False), (None, False), (None, False)]
+
+
+def test_next_end_of_long_groups(spark):
+    rng = random.Random(5)
+    marks = [(k, float(rng.randrange(400)), rng.choice(["start", "end", None]), rng.randrange(2)) for k in range(500)]
+    df = spark.createDataFrame(marks, "seq long, t double, kind string, grp long")
+    want = []
+    for seq, t, kind, grp in marks:
+        later = [m[1] for m in sorted(marks, key=lambda m: (m[1], m[0])) if m[3] == grp and m[2] == "end" and (m[1], m[0]) > (t, seq)]
+        if kind == "start" and later:
+            want.append((seq, later[0]))
+    assert rows(detect.sequence_windows(df), "window_id", "end") == sorted(want, key=str)
+
+
+def test_an_error_in_a_rule_is_a_failed_check(spark):
+    calls = spark.createDataFrame([(1, "a", 0, "x"), (2, "a", 2, "7"), (3, "b", 0, "x")], "seq long, api string, k int, text string")
+    bad = [rules.Rule("divide", "a", 1 / F.col("k") > 0, "d"), rules.Rule("cast", "a", F.col("text").cast("int") > 0, "c"), rules.Rule("place", "a", F.array("k")[F.col("k")] == 0, "p")]
+    assert rows(rules.check_rules(calls, bad), "seq", "rule_id", "passed") == [(1, "cast", False), (1, "divide", False), (1, "place", True), (2, "cast", True), (2, "divide", True), (2, "place", False)]
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    pairs = spark.createDataFrame([(3, 1)], "seq long, related_seq long")
+    assert rows(rules.check_pair_rules(calls, pairs, [rules.Rule("r", "b", 1 / F.col("a.k") > 0, "d")]), "passed", "message") == [(False, "d")]
+
+
+def test_repeated_keys_keep_the_last(spark):
+    df = spark.createDataFrame([("Order(id=1, id=2, price=5) Empty()",)], "line string")
+    assert [o["fields"] for o in df.select(fc.class_objects(F.col("line"))).first()[0]] == [{"id": "2", "price": "5"}, {}]
+    kinds = {(k, v): df.select(fc.field_kind(F.lit(k), F.lit(v))).first()[0] for k, v in (("price", "12.5"), ("price", "12"), ("unitprice", "-3"), ("n", "+3"), ("n", ".5"), ("n", "5."), ("n", "x"))}
+    assert kinds == {("price", "12.5"): "float", ("price", "12"): "str", ("unitprice", "-3"): "str", ("n", "+3"): "int", ("n", ".5"): "float", ("n", "5."): "float", ("n", "x"): "str"}
+    both = F.create_map(F.lit("headers"), F.lit("1"), F.lit("httpHeaders"), F.lit("2"), F.lit("a"), F.lit("3"))
+    assert df.select(fc.header_argument_renamed(both)).first()[0] == {"a": "3", "headers": "1"}
+
+
+def test_json_or_text(spark):
+    df = spark.createDataFrame([("[1, 2]",), ('a "b"',), ("7",), (None,)], "v string")
+    assert [r[0] for r in df.select(fc.json_or_text(F.col("v"))).collect()] == ["[1,2]", '"a \\"b\\""', "7", "null"]
+
+
+def test_merged_keys(spark):
+    schema = "`table` string, primary_keys array<string>, all_columns array<string>"
+    same = spark.createDataFrame([("orders", ["id"], ["id", "x"]), ("orders_other", ["id"], ["id", "x"]), ("user", ["u"], ["u"])], schema)
+    assert rows(versions.merge_table_keys(same), "table") == [("orders",), ("user",)]
+    with pytest.raises(ValueError):
+        versions.merge_table_keys(spark.createDataFrame([("orders", ["id"], ["id"]), ("orders_other", ["k"], ["k"])], schema))
+    whole = versions.merge_tables([spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2,)], "a long")])
+    assert rows(whole) == [(1,), (2,)]
+
+
+def test_unsure_versions(spark):
+    log = spark.createDataFrame([("p", 1, 100, "a", "b"), ("p", 2, 101, "b", "c"), ("p", 3, 500, "c", "d")], "pk string, pos long, ts_s long, before string, after string")
+    looked = spark.createDataFrame([(t, "p") for t in (50.0, 101.5, 101.5, 110.0, 499.5, 600.0)], "t double, pk string")
+    out = versions.ambiguous_versions(looked, versions.row_versions(log, keys=("pk",)), keys=("pk",))
+    assert rows(out, "t", "changes", "none_before") == [(101.5, 2, True), (50.0, 0, True)]
+
+
+def test_rule_files(spark, tmp_path):
+    (tmp_path / "rules.jsonl").write_text('{"domain":[{"api":"a","related_fields":{"include_env":true},"quantifier":"forall"}],"premise":{"premise_position":"derive","premise_type":"true"},"predicate":{"is_true_precisely":false,"desc":"d","py_code":"x","num_args":1}}\n')
+    own = logs.read_rules(spark, str(tmp_path / "rules.jsonl"))
+    logs.write_rules(own, str(tmp_path / "back"))
+    back = logs.read_rules(spark, str(tmp_path / "back")).first()
+    assert back["domain"][0]["api"] == "a" and back["domain"][0]["related_fields"] == {"include_env": True} and back["predicate"]["num_args"] == 1
 
 
 def test_pair_rules_and_python_rules(spark):
