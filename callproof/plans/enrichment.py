@@ -38,7 +38,7 @@ def enrich_calls(calls: DataFrame, tables: dict[str, DataFrame], relations: list
                 rows, columns = changes[name]
                 met = versions.overlay(met, rows, pk=f"`{prefix}@{right}`", columns={f"{prefix}@{c}": v for c, v in columns.items()})
         except AnalysisException as e:  # a column that is not there, or kinds that cannot be compared
-            LOG.warning("relation %s -> %s.%s is skipped: %s", left, name, right, e)
+            LOG.warning("relation %s -> %s.%s is skipped: %s", left, name, right, str(e).split("\n")[0])
             continue
         out = met
         prefixes.append(prefix)
