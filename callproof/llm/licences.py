@@ -66,6 +66,17 @@ Unless required by applicable law or agreed to in writing, software distributed
     *[("MPL-2.0", f"This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http{s}://mozilla.org/MPL/2.0/.") for s in ("", "s")],
     *[(f"{short}-{v}.0-{'or-later' if later else 'only'}".replace("2.1.0", "2.1"), _gnu(name, v, later)) for short, name, v in (("GPL", "General Public License", "2"), ("GPL", "General Public License", "3"), ("LGPL", "Lesser General Public License", "2.1"), ("LGPL", "Lesser General Public License", "3"), ("AGPL", "Affero General Public License", "3")) for later in (True, False)],
 ]
+#: Long licences by the digests of their canonical forms: licence, blocks, digest of the first block, digest of the whole.
+FULL_TEXTS = [
+    ("Apache-2.0", 33, "8f9a07cfc74f13faacedb4ef5f66671824f4db35b0becf50739f877003b330a7", "865f7b0d882ecbae362b1823e2ae250667dfad39760ffda9bada2c579ea3326f"),
+    ("GPL-2.0", 59, "800704d54279141c14d2b5236cc50e7ea885fc8220e3bdaa410f2b54971d7522", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", 122, "10c3854c70c10808f2f455ff7ae311088ab9dd94c2c06693fb750f4c9e482943", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.1", 76, "4de811fed3402b35cc931316356c984d20ec54d660630f4064c708984b91f51a", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", 37, "b1dddaf7ef2e30067896bb2f11cf3c9defcf11564304f448a9257f49502a9e85", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", 81, "58c9a1c62b739e4bead89c80c6af62cd77999c648016e24ba011e53180a5cc15", "cdb5877b9b73b693216820ac5a0090510c6fd9df7c38876e551b865cce774ddd"),
+    ("CC0-1.0", 13, "021f3f319970fcf1f6e1d478e5367d797699877f3434ad73ee1ef815fdc7cd63", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("Artistic-1.0-Perl", 29, "9fed8b0e06b2229a97a10906ed7a4e4608b849d85ed54da1ada55f2d05e8d9db", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+]
 #: Title lines with which a body is known as well.
 TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"]}
 #: Spellings taken as one, on levelled text.
@@ -93,11 +104,27 @@ def all_known() -> list[tuple[str, str]]:
 
 
 def known_licences(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``(digest, licence)`` of the known texts."""
+    """``(digest, licence)`` of the known texts; without ``known``, those of ``FULL_TEXTS`` are among them."""
     rows = all_known() if known is None else known
     if len(rows) > MOST_KNOWN:
         raise ValueError(f"more than {MOST_KNOWN} known texts")
-    return spark.createDataFrame(rows, "licence string, known string").select(F.sha2(canonical(F.col("known")), 256).alias("digest"), "licence").distinct()
+    own = spark.createDataFrame(rows, "licence string, known string").select(digest(F.col("known")).alias("digest"), "licence")
+    full = [(d, name) for name, _, _, d in FULL_TEXTS] if known is None else []
+    return own.unionByName(spark.createDataFrame(full, "digest string, licence string")).distinct()
+
+
+def first_blocks(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> dict[int, list[str]]:
+    """Number of blocks -> the digests of the first blocks of the known texts that have so many; two blocks or more."""
+    split = [re.split(BLOCK_END, t) for _, t in (all_known() if known is None else known)]
+    rows = spark.createDataFrame([(len(b), b[0]) for b in split if len(b) > 1], "n int, block string").select("n", digest(F.col("block")).alias("d")).distinct().collect()  # of the known texts
+    out: dict[int, list[str]] = {}
+    for n, d in [(r["n"], r["d"]) for r in rows] + [(n, first) for _, n, first, _ in (FULL_TEXTS if known is None else [])]:
+        out.setdefault(n, []).append(d)
+    return out
+
+
+def digest(unit: Column) -> Column:
+    return F.sha2(canonical(unit), 256)
 
 
 def licences(docs: DataFrame, known: list[tuple[str, str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,18 +140,18 @@ def licences(docs: DataFrame, known: list[tuple[str, str]] | None = None, *, id_
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     if marked:
         own = own.where(F.col("text").rlike(pattern))
-    all_units = F.concat(units("text", F.array("text")), units("block", F.split("text", BLOCK_END)), units("line", F.split("text", "\n")))
-    # stretches of as many blocks as a known text has, but for the whole text
-    blocks = F.split("text", BLOCK_END)
+    own = own.withColumn("blocks", F.split("text", BLOCK_END))
+    own = own.withColumn("begins", F.when(F.size("blocks") > 1, F.transform("blocks", digest)).otherwise(F.array().cast("array<string>")))
 
-    def stretches(n: int) -> Column:
-        starts = F.when(F.size(blocks) > n, F.sequence(F.lit(0), F.size(blocks) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda k: F.struct(F.lit("blocks").alias("unit"), k.cast("long").alias("unit_no"), F.array_join(F.slice(blocks, k + 1, n), "\n\n").alias("content")))
+    # stretches of as many blocks as a known text has, but for the whole text, where the first block is that text's
+    def stretches(n: int, firsts: list[str]) -> Column:
+        starts = F.when(F.size("blocks") > n, F.filter(F.sequence(F.lit(0), F.size("blocks") - n), lambda k: F.get("begins", k).isin(*firsts))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.struct(F.lit("blocks").alias("unit"), k.cast("long").alias("unit_no"), F.array_join(F.slice("blocks", k + 1, n), "\n\n").alias("content")))
 
-    all_units = F.concat(all_units, *[stretches(n) for n in sorted({len(re.split(BLOCK_END, t)) for t in texts} - {1})])
+    begun = sorted(first_blocks(docs.sparkSession, known).items())
+    all_units = F.concat(units("text", F.array("text")), units("block", F.col("blocks")), units("line", F.split("text", "\n")), *[stretches(n, firsts) for n, firsts in begun])
     if marked:
         all_units = F.filter(all_units, lambda u: u["content"].rlike(pattern))
-    digest = lambda unit: F.sha2(canonical(unit), 256)
     rows = own.select("doc_id", "text", F.explode(all_units).alias("u")).select("doc_id", "text", "u.unit", "u.unit_no", digest(F.col("u.content")).alias("digest"))
     found = rows.join(F.broadcast(known_licences(docs.sparkSession, known)), "digest")
     # a stretch that leaves out only copyright lines is the whole text, which has its row
