@@ -65,7 +65,11 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """The SimHash of a text: unsigned 64 bits over its word shingles, repeats included."""
-    hashes = shingle_hashes(text, words)
+    return folded(shingle_hashes(text, words))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)

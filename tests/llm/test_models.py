@@ -1,7 +1,10 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import xxhash
 from callproof.llm import classifier, toxicity
 
 DOCS = "doc_id long, text string, lang string, score double"
@@ -62,13 +65,13 @@ def lev(a, b):
 def test_automata_equal_edit_distances():
     rng = random.Random(0)
     for _ in range(1500):
-        entries = list({"".join(rng.choices("abc", k=rng.randint(4, 11))) for _ in range(5)})
+        entries = list({"".join(rng.choices("abc", k=rng.randint(2, 15))) for _ in range(5)})
         m = toxicity.Matcher(entries)
-        word = "".join(rng.choices("abc", k=rng.randint(1, 14)))
+        word = "".join(rng.choices("abc", k=rng.randint(1, 18)))
         want = []
         for k, e in enumerate(m.trie.entries):
             r, most = lev(e, word), toxicity.edits_allowed(len(e))
-            if min(r) <= most:
+            if min(r) <= most and (r[-1] <= most or 4 <= len(e) <= 12):
                 want.append((k, r[-1] if r[-1] <= most else min(r), int(r[-1] > most)))
         assert sorted(m.all_matches(word)) == sorted(want)
 
@@ -102,3 +105,92 @@ def test_toxic_texts_are_found_and_clean_ones_left(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
     assert {r["predicted"] for r in toxicity.toxicity(docs, known.limit(0)).collect()} == {0}
     assert toxicity.toxicity(docs.limit(0), known).count() == 0
+
+
+def test_ftrl_against_the_plain_rule():
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(40, 5, replace=False)), rng.random(5), int(rng.integers(0, 2))) for _ in range(300)]
+    z, n = [0.0] * 41, [0.0] * 41
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.02 else -(z[i] - math.copysign(0.02, z[i])) / ((1.0 + math.sqrt(n[i])) / 0.1 + 0.1)
+
+    for at, x, y in rows:
+        pairs = [*zip(at.tolist(), x.tolist(), strict=True), (40, 1.0)]
+        w = {i: weight(i) for i, _ in pairs}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in pairs)))
+        for i, v in pairs:
+            g = (p - y) * v
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.1 * w[i]
+            n[i] += g * g
+    got, bias = classifier.ftrl(iter(rows), 40)
+    assert np.allclose(got, [weight(i) for i in range(40)]) and math.isclose(bias, weight(40))
+
+
+def plain_slots(text, bits):
+    """The slots of a text's n-grams, one by one with whole numbers."""
+    most, out = 2**64, []
+    words = (text or "").encode().split()
+    code = [xxhash.xxh64_intdigest(w.lower().rstrip(b".,;:!?"), 1) for w in words]
+    form = [xxhash.xxh64_intdigest(classifier.shape(w), 2) if k == 0 or w != words[k - 1] else 0x9E3779B97F4A7C15 for k, w in enumerate(words)]
+    for one, k in ((code, 0xC2B2AE3D27D4EB4F), (form, 0x165667B19E3779F9)):
+        out += [*one, *((a * k + b) % most * 0x9E3779B97F4A7C15 % most for a, b in zip(one, one[1:], strict=False))]
+    return [x * 0xD6E8FEB86659FD93 % most >> 64 - bits for x in out]
+
+
+def test_quality_scores_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["", "one", "Two two", "a1-B2!? " + "Ab" * 40 + " Ab!", *(prose(rng, rng.randint(1, 80)) for _ in range(40))]
+    weights = np.random.default_rng(2).normal(size=1 << 10).astype(np.float32)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = {r["k"]: r["s"] for r in df.select("k", classifier.score_column(spark, weights, 0.3, 10)("text").alias("s")).collect()}
+    for k, t in enumerate(texts):
+        slots = plain_slots(t, 10)
+        assert math.isclose(got[k], 1 / (1 + math.exp(-0.3 - classifier.SCALE * (sum(float(weights[i]) for i in slots) / len(slots) if slots else 0))), rel_tol=1e-4), t
+
+
+def test_shapes_are_whole():
+    assert classifier.shape(b"Ab-cD12!!") == b"Aa-aA0!!" and classifier.shape(b"x-" * 20) == b"a-" * 20 != classifier.shape(b"x-" * 19)
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    rng = random.Random(11)
+    entries = ["hag", "gragblob", "vormpel", "zwumpkinistically"]
+    worth = {(k, e, part): 3.0 - e - 0.5 * part + 0.1 * k for k in range(4) for e in range(3) for part in range(2)}
+    model = toxicity.Model(entries, worth, np.array([1.0, 0.5, -0.4, 0.3, 0.2, -0.6, -2.0]), frozenset(["said"]), frozenset(["you"]))
+    bits = ["hag", "hags", "gragblob", "gragbolb", "Vormpelisch!", "vornpel", "zwumpkinistically", "zwumpkinisticaly", "zwumpkinisticallyness", "you", "said", '"oh', 'go"', "plain", "words"]
+    texts = ["", None, *(" ".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(150))]
+
+    def value(word):
+        word = re.sub(r"^[\W_]+|[\W_]+$", "", word).lower()
+        best = 0.0
+        for k, e in enumerate(entries):
+            row, most = lev(e, word), toxicity.edits_allowed(len(e))
+            if not word or min(row) > most or (row[-1] > most and not 4 <= len(e) <= 12):
+                continue
+            best = max(best, worth.get((k, row[-1], 0) if row[-1] <= most else (k, min(row), 1), 0.0))
+        return best
+
+    def score(text):
+        words, x = (text or "").split(), [0.0] * 6
+        for k, w in enumerate(words):
+            if v := value(w):
+                around = {re.sub(r"^[\W_]+|[\W_]+$", "", u).lower() for u in words[max(0, k - 5) : k + 6]}
+                kind = 2 if toxicity.quoted(words, k) or "said" in around else 0 if "you" in around else 1
+                x[kind], x[3 + kind] = max(x[kind], v), x[3 + kind] + v
+        return 1 / (1 + math.exp(2.0 - sum(a * b for a, b in zip(model.weights, [*x[:3], *map(math.log1p, x[3:])], strict=False))))
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = {r["k"]: r["s"] for r in df.select("k", toxicity.score_column(spark, model)("text").alias("s")).collect()}
+    assert all(math.isclose(got[k], score(t), abs_tol=1e-9) for k, t in enumerate(texts))
+
+
+def test_words_of_any_length_can_be_entries(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(600):
+        bad = k % 6 == 0
+        words = prose(rng, 30).split() + ([rng.choice(["zog", "qwerzumpelantischerweise"])] if bad else []) + prose(rng, 5).split()
+        rows.append((" ".join(words), int(bad)))
+    counts = toxicity.word_counts(spark.createDataFrame(rows, "text string, y int"))
+    assert {"zog", "qwerzumpelantischerweise"} & {*toxicity.lexicon(counts, 1 / 6)} and "zog" in toxicity.lexicon(counts, 1 / 6)

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -158,6 +159,35 @@ def test_further_licences_and_stretches_of_blocks(spark):
     assert ("blocks", 1) in {(r["unit"], r["unit_no"]) for r in licences.licences(df.where("doc_id = 0")).collect()}
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts on this machine")
+def test_full_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic-1.0-Perl": "Artistic"}
+    texts = {}
+    for name, file in names.items():
+        with open(f"/usr/share/common-licenses/{file}") as f:
+            texts[name] = f.read().strip("\n")
+    rows = [*texts.items(), *((f"in {n}", f"before\n\n{t}\n\nafter") for n, t in texts.items()), ("cut", texts["GPL-3.0"][:-200])]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], r["unit"], r["licence"]) for r in licences.licences(df).where("unit in ('text', 'blocks')").collect()}
+    # the texts of the GNU licences hold their own headers
+    assert got >= {(n, "text", n) for n in texts} | {(f"in {n}", "blocks", n) for n in texts} and not any(d == "cut" and n == "GPL-3.0" for d, _, n in got)
+
+
+def test_many_candidates_in_one_text(spark):
+    rng = random.Random(3)
+    tokens = ["".join(rng.choices("0123456789abcdef", k=rng.randint(20, 60))) for _ in range(1500)]
+    text = "é " + " 🙂".join(tokens)
+    row = secrets.secrets(docs(spark, [None, text])).where("doc_id = 1").first()
+    assert row["spans"] == ",".join(f"{x[3]}:{x[0]}:{x[2]}" for x in brute_spans(text))
+    masked = secrets.redacted(docs(spark, [None, text])).where("doc_id = 1").first()
+    want, at = [], 0
+    for start, _, end, _ in brute_spans(text):
+        if start >= at:
+            want.append(text[at:start])
+        at = max(at, end)
+    assert masked["text"] == secrets.MASK.join([*want, text[at:]]) and masked["n_chars"] == len(masked["text"])
+
+
 def test_sql_gives_the_same(spark, sf):
     from callproof.llm import registry
 

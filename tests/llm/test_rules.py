@@ -46,3 +46,36 @@ def test_thresholds_adapt_and_clean_texts_stay(spark):
     assert kept.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(k) for k, r in got.items() if r["kept"])
     assert rules.quality_rules(df.limit(0)).count() == 0 and rules.kept_rows(df.limit(0)).count() == 0
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        words = [w + rng.choice(["", "", "", "#", "!", "&&"]) for w in prose(rng, 40).split()]
+        if k % 10 == 0:
+            words = [w + rng.choice("#!%") * rng.randint(1, 6) for w in words]
+        rows.append((k, " ".join(w.upper() if k % 17 == 0 else w for w in words), "en", f"s{k % 2}"))
+    got = {r["doc_id"]: r["kept"] for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    part = lambda a, b: a / b if b else None
+    ratios = {}
+    for k, t, _, _ in rows:
+        c = dict(zip(rules.COUNTS, rules.counts_of(t), strict=True))
+        ratios[k] = {"word_length": part(c["word_chars"], c["n_words"]), "symbols": part(c["n_symbols"], c["n_words"]), "marks": part(c["n_marks"], c["word_chars"]), "capitals": part(c["n_capitals"], c["n_letters"]), "repeats": part(c["n_repeat_words"], c["n_words"])}
+    rejected = 0
+    for k, t, _, source in rows:
+        sure, kept = True, True
+        for name, (low, spread) in rules.RATIOS.items():
+            own = sorted(ratios[j][name] for j, _, _, s in rows if s == source and ratios[j][name] is not None)
+            # groups below the sketch's size are exact, up to which neighbour a quartile is
+            verdicts = set()
+            for move in (-1, 0, 1):
+                a, b = own[len(own) // 4 + move], own[3 * len(own) // 4 + move]
+                width = max(b - a, spread) * rules.REACH
+                verdicts.add(ratios[k][name] <= b + width and (not low or ratios[k][name] >= a - width))
+            sure, kept = sure and len(verdicts) == 1, kept and min(verdicts)
+        failed = brute(t)[0] < 10 or 100 * brute(t)[4] > 20 * brute(t)[0]
+        if sure:
+            assert got[k] == (kept and not failed), t
+            rejected += not kept
+    assert rejected > 10
