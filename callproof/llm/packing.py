@@ -17,9 +17,10 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,6 +69,36 @@ def id_table(path: str) -> ChunkTable:
 
 def packed(docs: DataFrame, path: str, *, limit: int = LIMIT, end_token: int = END_TOKEN, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket`` and, if asked for, ``ids``."""
+    make = _with_ids if with_ids else _places
+    return make(docs, path, limit, end_token, id_col, text_col)
+
+
+def _places(docs: DataFrame, path: str, limit: int, end_token: int, id_col: str, text_col: str) -> DataFrame:
+    names = ["start", "length", "ids_crc32"]
+    fields = [StructField(n, ArrayType(LongType())) for n in names]
+
+    @F.pandas_udf(StructType([StructField("doc_tokens", LongType()), *fields]))
+    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = id_table(path)
+        end = np.array([end_token], "<u4").tobytes()
+        for batch in texts:
+            out = []
+            for values in table.texts(batch):
+                ids = b"".join(values) + end
+                lengths = piece_lengths(len(ids) // 4, limit)
+                starts = [0, *accumulate(lengths)]
+                parts = [ids[4 * a : 4 * b] for a, b in pairwise(starts)]
+                out.append((len(ids) // 4, np.array(starts[:-1]), np.array(lengths), np.array([*map(zlib.crc32, parts)])))
+            yield pd.DataFrame(out, columns=["doc_tokens", *names])
+
+    own = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col).cast("string")).alias("p"))
+    zipped = F.explode(F.arrays_zip(*[F.col(f"p.{f.name}").alias(f.name) for f in fields]))
+    made = own.select("doc_id", F.col("p.doc_tokens").alias("doc_tokens"), zipped.alias("q")).withColumn("sequence_id", F.monotonically_increasing_id())
+    return made.select("doc_id", *[f"q.{n}" for n in names], "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.log2("q.length").cast("int").alias("bucket"))
+
+
+def _with_ids(docs: DataFrame, path: str, limit: int, end_token: int, id_col: str, text_col: str) -> DataFrame:
+    """Pieces with their ids, some documents at a time, so that a batch of long texts is not held whole."""
     id_field = docs.schema[id_col]
 
     def pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,17 +108,15 @@ def packed(docs: DataFrame, path: str, *, limit: int = LIMIT, end_token: int = E
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)
                 own = [b"".join(values) + end for values in table.texts(part.column(1).to_pylist())]
-                yield piece_rows(part.column(0), own, limit, with_ids)
+                yield piece_rows(part.column(0), own, limit)
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fields = [StructField("doc_id", id_field.dataType), *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]]
-    if with_ids:
-        fields.append(StructField("ids", ArrayType(IntegerType())))
+    fields = [StructField("doc_id", id_field.dataType), *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")], StructField("ids", ArrayType(IntegerType()))]
     made = own.mapInArrow(pieces, StructType(fields)).withColumn("sequence_id", F.monotonically_increasing_id())
-    return made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"), *(["ids"] if with_ids else []))
+    return made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"), "ids")
 
 
-def piece_rows(ids: pa.Array, own: list[bytes], limit: int, with_ids: bool) -> pa.RecordBatch:
+def piece_rows(ids: pa.Array, own: list[bytes], limit: int) -> pa.RecordBatch:
     """One row per piece of the documents whose token ids ``own`` holds."""
     lengths = [piece_lengths(len(x) // 4, limit) for x in own]
     counts = np.fromiter(map(len, lengths), np.int64, len(own))
@@ -98,9 +127,8 @@ def piece_rows(ids: pa.Array, own: list[bytes], limit: int, with_ids: bool) -> p
     crc = np.fromiter((zlib.crc32(own[d][4 * a : 4 * (a + n)]) for d, a, n in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)), np.int64, len(doc))
     total = np.fromiter((len(x) // 4 for x in own), np.int64, len(own))[doc]
     columns = {"doc_id": ids.take(pa.array(doc)), "start": pa.array(start), "length": pa.array(size), "ids_crc32": pa.array(crc), "doc_tokens": pa.array(total)}
-    if with_ids:
-        ends = np.r_[0, np.cumsum(size)].astype(np.int32)
-        columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), "<i4")))
+    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), "<i4")))
     return pa.RecordBatch.from_pydict(columns)
 
 
