@@ -161,8 +161,29 @@ def block_links(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": signed[child], "b": signed[root[child]]})
 
 
-def links(prints: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> DataFrame:
-    """``prints(fp long, distinct)`` -> links ``(a, b)`` that connect exactly what lies within the radius."""
+def nearest_links(rows: pd.DataFrame, radius: int) -> pd.DataFrame:
+    """For each fingerprint of one pair of blocks its link to the nearest other one within the radius (of several, the first)."""
+    prints = rows["fp"].to_numpy(np.int64).view(np.uint64)
+    side = rows["side"].to_numpy()
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    best = np.full(len(prints), np.iinfo(np.int64).max)
+
+    def met(i: np.ndarray, j: np.ndarray) -> None:
+        i, j = left[i], right[j]
+        i, j = i[i != j], j[i != j]
+        bits = np.bitwise_count(prints[i] ^ prints[j]).astype(np.int64) << 40
+        np.minimum.at(best, i, bits | j)
+        np.minimum.at(best, j, bits | i)
+
+    if len(left) and len(right):
+        compare(np.ascontiguousarray(prints[left]), np.ascontiguousarray(prints[right]), radius, met)
+    own = np.flatnonzero(best != np.iinfo(np.int64).max)
+    signed = prints.view(np.int64)
+    return pd.DataFrame({"a": signed[own], "b": signed[best[own] & ((1 << 40) - 1)]})
+
+
+def links(prints: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE, block=block_links) -> DataFrame:
+    """``prints(fp long, distinct)`` -> links ``(a, b)`` that connect exactly what lies within the radius, or what ``block`` gives."""
     counts = dict(prints.groupBy(F.bit_count("fp").alias("n")).count().collect())  # 65 rows at most
     slices = [-(-counts.get(n, 0) // slice_rows) for n in range(65)]
     known = F.array(*[F.lit(s) for s in slices])
@@ -183,7 +204,7 @@ def links(prints: DataFrame, radius: int = RADIUS, slice_rows: int = SLICE) -> D
         F.greatest("me", "to").alias("high"),
         F.when(F.col("me") == F.col("to"), 2).when(F.col("me") < F.col("to"), 0).otherwise(1).alias("side"),
     )
-    return dealt.groupBy("low", "high").applyInPandas(lambda rows: block_links(rows, radius), "a long, b long")
+    return dealt.groupBy("low", "high").applyInPandas(lambda rows: block(rows, radius), "a long, b long")
 
 
 EDGES = StructType([StructField("a", LongType()), StructField("b", LongType())])
