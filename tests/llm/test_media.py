@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import zlib
 
@@ -51,6 +52,12 @@ def test_predictors_by_hand():
         assert webp.predicted(np.array([mode]), *args)[0].tolist() == out
 
 
+@pytest.mark.parametrize("file,pixel", [("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==", 0), ("UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA=", 0xFFFFFFFF)])
+def test_files_of_another_encoder(file, pixel):
+    # published one-pixel samples, with which browsers test their support of the format
+    assert webp.decode(base64.b64decode(file)).tolist() == [[pixel]]
+
+
 def test_damaged_files_are_refused():
     good = webp.encode(np.arange(64, dtype=np.uint32).reshape(8, 8))
     with pytest.raises(ValueError):
