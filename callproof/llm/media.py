@@ -3,8 +3,10 @@
 A text's UTF-8 bytes, filled up with zero bytes to a positive multiple of 64, become ARGB
 pixels, 16 to a row.  Payloads of more than 16,384 rows (the format's limit) are stored as
 several WebP files one after the other, so the memory for one image is bounded.  Images of at
-most 16 colours are stored with a palette, others as pixels in one fixed prefix code that suits
-running text.  Reading back goes through the general decoder, whatever the image uses.
+most 16 colours are stored with a palette; of others the smallest of four forms is stored: plain
+pixels, pixels with back-references and a colour cache, and differences from the pixel on the left
+or above (the predictor transform), each in fixed prefix codes.  Reading back goes through the
+general decoder, whatever the image uses, and ``tools`` names what it met.
 
 Defined results: a null or empty text is 64 zero bytes; equal texts give equal bytes; a text of
 any length is stored whole; repeated rows are returned once each; a null ``doc_id`` is kept;
@@ -41,46 +43,23 @@ def byte_weights() -> np.ndarray:
     return w
 
 
-LENGTHS = webp.code_lengths(byte_weights())
-CODES = np.zeros(256, np.uint64)
-for _s, _c, _n in zip(*webp.canonical(LENGTHS), strict=True):
-    CODES[_s] = _c
-
-
-def _head() -> webp.Writer:
-    """What follows the sizes of an image of plain pixels: no transform, no cache, one group, five codes."""
-    out = webp.Writer()
-    out.put(0, 3)
-    webp.put_lengths(out, np.r_[LENGTHS, np.zeros(webp.LENGTH_CODES, np.int64)])
-    for _ in range(3):
-        webp.put_lengths(out, LENGTHS)
-    webp.put_lengths(out, np.zeros(webp.DISTANCE_CODES, np.int64))
-    return out
-
-
-HEAD = _head()
-
-
-def plain_file(rows: np.ndarray) -> bytes:
-    """Payload bytes (pixels, 4) -> a WebP file of pixels in the fixed code."""
-    out = webp.Writer()
-    out.put(WIDTH - 1, 14)
-    out.put(len(rows) // WIDTH - 1, 14)
-    out.put(1, 4)
-    out.put(HEAD.value, HEAD.size)
-    order = rows[:, [2, 1, 3, 0]]  # green, red, blue, alpha of alpha, red, green, blue
-    sizes = LENGTHS[order]
-    before = np.cumsum(sizes, axis=1) - sizes
-    code = (CODES[order] << before.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
-    ends = out.size + np.cumsum(sizes.sum(axis=1))
-    starts = np.r_[out.size, ends[:-1]]
-    words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
-    first = np.frombuffer(out.data().ljust(-(-out.size >> 6) * 8, b"\0"), "<u8")
-    words[: len(first)] = first
-    shift, word = (starts & 63).astype(np.uint64), starts >> 6
-    np.add.at(words, word, code << shift)
-    np.add.at(words, word + 1, np.where(shift > 0, code >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)))
-    return webp.file_of(words.astype("<u8").tobytes()[: (int(ends[-1]) + 7) >> 3])
+def token_weights() -> tuple[np.ndarray, np.ndarray]:
+    """The same for bytes, copies by length and cache slots (nine, two and seven parts), and for copies by distance."""
+    parts = ((9, byte_weights()), (2, 2 ** np.maximum(1, 11 - np.arange(webp.LENGTH_CODES) // 2)), (7, np.ones(1 << CACHE_BITS, np.int64)))
+    return np.concatenate([(w * share * 20_000 // w.sum()).astype(np.int64) + 1 for share, w in parts]), np.ones(webp.DISTANCE_CODES, np.int64)
+
+
+def difference_weights() -> np.ndarray:
+    """The same for differences of bytes: the smaller, the more common."""
+    d = np.minimum(np.arange(256), 256 - np.arange(256))
+    return 4096 // (1 + d) // (1 + d // 16) + 8 + 12288 * (d == 0)
+
+
+CACHE_BITS = 8
+NO_COPIES = np.zeros(webp.LENGTH_CODES, np.int64)
+PLAIN = webp.Codes(np.r_[byte_weights(), NO_COPIES], byte_weights())
+TOKENS = webp.Codes(token_weights()[0], byte_weights(), token_weights()[1], CACHE_BITS)
+DIFFERENCES = webp.Codes(np.r_[difference_weights(), NO_COPIES], difference_weights())
 
 
 def payload_of(text: str | None) -> bytes:
@@ -92,21 +71,20 @@ def store(payload: bytes) -> bytes:
     """A payload as one or more WebP files."""
     files = []
     for at in range(0, len(payload), STRIP):
-        rows = np.frombuffer(payload[at : at + STRIP], np.uint8).reshape(-1, 4)
-        pixels = rows.view(">u4").ravel()
+        pixels = np.frombuffer(payload[at : at + STRIP], ">u4").astype(np.uint32)
         if len(np.unique(pixels)) <= 16:
             files.append(webp.encode(pixels.reshape(-1, WIDTH), palette=True))
         else:
-            files.append(plain_file(rows))
+            files.append(webp.smallest(pixels, WIDTH, PLAIN, TOKENS, DIFFERENCES))
     return b"".join(files)
 
 
-def images(stored: bytes) -> Iterator[np.ndarray]:
-    """The pixel arrays of stored files."""
+def images(stored: bytes, used: set[str] | None = None) -> Iterator[np.ndarray]:
+    """The pixel arrays of stored files; ``used`` gets the tools met."""
     at = 0
     while at < len(stored):
         end = at + 8 + int.from_bytes(stored[at + 4 : at + 8], "little")
-        yield webp.decode(stored[at:end])
+        yield webp.decode(stored[at:end], used)
         at = end
 
 
@@ -118,20 +96,21 @@ def stored_column(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 READ = StructType(
-    [StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType())]
+    [StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType()), StructField("tools", StringType())]
 )
 
 
 def described(stored: bytes) -> tuple:
     """What is read back from a stored image."""
-    payload = b"".join(p.astype(">u4").tobytes() for p in images(stored))
+    used: set[str] = set()
+    payload = b"".join(p.astype(">u4").tobytes() for p in images(stored, used))
     samples = np.frombuffer(payload, np.uint8).reshape(-1, 4)
     # whole numbers only, so equal texts give equal features on any machine
     total, square = samples.sum(0, dtype=np.int64), int((samples.astype(np.int64) ** 2).sum())
     steps = int(np.abs(np.diff(samples.astype(np.int16), axis=0)).sum(dtype=np.int64))
     bright = np.bincount(samples.ravel() >> 5, minlength=8)
     feature = f"{WIDTH}x{len(samples) // WIDTH};sum={','.join(map(str, total.tolist()))};square={square};step={steps};bins={','.join(map(str, bright.tolist()))}"
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_BYTES:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_BYTES:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, "+".join(sorted(used))
 
 
 @F.pandas_udf(READ)

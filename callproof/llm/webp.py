@@ -13,10 +13,14 @@ with several code groups, where a code depends on the pixel's place, are read pi
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = range(4)
+TOOLS = ("predictor", "cross-colour", "subtract-green", "palette")
+#: Predictor modes that take the neighbour on the left, or the one above.
+LEFT, ABOVE = 1, 2
 BLACK = 0xFF000000
 #: Fixed value of the format: the order in which lengths of code-length codes are stored.
 LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
@@ -119,9 +123,10 @@ _GROUPS: list[tuple[int, int, int, int, list[Prefix]]] = []
 
 def read_group(bits: Bits, cache_bits: int) -> list[Prefix]:
     """The five prefix codes: green (with lengths and cache), red, blue, alpha, distance."""
-    for phase, cache, n, value, group in _GROUPS:
+    for k, (phase, cache, n, value, group) in enumerate(_GROUPS):
         if cache == cache_bits and phase == bits.at & 7 and bits.peek(n) == value:
             bits.at += n
+            _GROUPS.insert(0, _GROUPS.pop(k))
             return group
     at = bits.at
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
@@ -130,7 +135,7 @@ def read_group(bits: Bits, cache_bits: int) -> list[Prefix]:
         group.append(next((g for g in group if np.array_equal(g.lengths, lengths)), None) or Prefix(lengths))  # equal codes share their tables
     n, bits.at = bits.at - at, at
     _GROUPS.insert(0, (at & 7, cache_bits, n, bits.peek(n), group))
-    del _GROUPS[4:]
+    del _GROUPS[12:]
     bits.at += n
     return group
 
@@ -154,8 +159,8 @@ def cache_slot(argb: int, cache_bits: int) -> int:
     return (CACHE_FACTOR * argb & 0xFFFFFFFF) >> (32 - cache_bits)
 
 
-def read_image(bits: Bits, width: int, height: int, top: bool = False) -> np.ndarray:
-    """An entropy-coded image, flat; only the top one can have several code groups."""
+def read_image(bits: Bits, width: int, height: int, top: bool = False, used: set[str] | None = None) -> np.ndarray:
+    """An entropy-coded image, flat; only the top one can have several code groups.  ``used`` gets the tools met."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     meta, scale = None, 0
     if top and bits.read(1):
@@ -163,7 +168,7 @@ def read_image(bits: Bits, width: int, height: int, top: bool = False) -> np.nda
         meta = (read_image(bits, -(-width >> scale), -(-height >> scale)) >> np.uint32(8)) & np.uint32(0xFFFF)
     groups = [read_group(bits, cache_bits) for _ in range(int(meta.max()) + 1 if meta is not None else 1)]
     if len(groups) == 1:
-        return read_bulk(bits, width, width * height, groups[0], cache_bits)
+        return read_bulk(bits, width, width * height, groups[0], cache_bits, used)
     return read_each(bits, width, width * height, groups, cache_bits, meta, scale)
 
 
@@ -196,7 +201,7 @@ def read_each(bits: Bits, width: int, total: int, groups: list[list[Prefix]], ca
     return np.array(out, np.uint32)
 
 
-def read_bulk(bits: Bits, width: int, total: int, group: list[Prefix], cache_bits: int) -> np.ndarray:
+def read_bulk(bits: Bits, width: int, total: int, group: list[Prefix], cache_bits: int, used: set[str] | None = None) -> np.ndarray:
     """All pixels of one code group, a window of bits at a time."""
     green, red, blue, alpha, far = group
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # values, lengths (1 but for copies), distances (0: a pixel; -1: a cache slot)
@@ -232,8 +237,9 @@ def read_bulk(bits: Bits, width: int, total: int, group: list[Prefix], cache_bit
             odd = odd[kind[odd] < 256 + LENGTH_CODES]
             code_at = kind[odd] - 256
             at = after[odd] + np.where(code_at < 4, 0, (code_at - 2) >> 1)
-            code_at = value(far, at)
-            ends[odd] = step(far, at) + np.where(code_at < 4, 0, (code_at - 2) >> 1)
+            seen = look.take(at) & ((1 << far.width) - 1)
+            code_at = far.symbol.take(seen)
+            ends[odd] = at + far.length.take(seen) + np.where(code_at < 4, 0, (code_at - 2) >> 1)
         follow, p, stop = memoryview(ends), bits.at & 7, size
         starts: list[int] = []
         need = total - done
@@ -252,10 +258,9 @@ def read_bulk(bits: Bits, width: int, total: int, group: list[Prefix], cache_bit
         b, a = value(blue, a), step(blue, a)
         values = value(alpha, a).astype(np.int64) << 24 | r.astype(np.int64) << 16 | s << 8 | b
         sizes, backs = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
-        for k in np.flatnonzero(s >= 256).tolist():
-            if s[k] >= 256 + LENGTH_CODES:
-                values[k], backs[k] = s[k] - 256 - LENGTH_CODES, -1
-                continue
+        slots = s >= 256 + LENGTH_CODES
+        values[slots], backs[slots] = s[slots] - 256 - LENGTH_CODES, -1
+        for k in np.flatnonzero((s >= 256) & ~slots).tolist():
             here = Bits(bits.data, base * 8 + int(after[at[k]]))
             sizes[k] = prefix_value(int(s[k]) - 256, here)
             backs[k] = distance(prefix_value(far.read(here), here), width)
@@ -267,33 +272,34 @@ def read_bulk(bits: Bits, width: int, total: int, group: list[Prefix], cache_bit
     values, sizes, backs = (np.concatenate(x) for x in zip(*parts, strict=True))
     if done != total or bits.at > 8 * len(bits.data):
         raise ValueError("the pixels do not fill the image")
+    if used is not None:
+        used |= {name for name, met in (("copies", (backs > 0).any()), ("cache", (backs < 0).any())) if met}
     return values.astype(np.uint32) if not backs.any() else unrolled(values, sizes, backs, total, cache_bits)
 
 
 def unrolled(values: np.ndarray, sizes: np.ndarray, backs: np.ndarray, total: int, cache_bits: int) -> np.ndarray:
     """Pixels with back-references and cache slots resolved in order."""
-    out = np.zeros(total, np.uint32)
-    cache = np.zeros(1 << cache_bits, np.uint32)
-    cached, at, k = 0, 0, 0
-    marks = [*np.flatnonzero(backs).tolist(), len(values)]
-    for m in marks:
-        out[at : at + m - k] = values[k:m]
-        at += m - k
-        if m == len(values):
-            break
-        if backs[m] < 0:
-            new = out[cached:at]  # for a slot written twice the last one stays
-            cache[(new * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)] = new
-            cached = at
-            out[at] = cache[values[m]]
-        else:
-            n, back = int(sizes[m]), int(backs[m])
-            if back > at:
+    shift = 32 - cache_bits
+    slots = (values.astype(np.uint32) * np.uint32(CACHE_FACTOR)) >> np.uint32(min(shift, 31))
+    out: list[int] = []
+    cache = [0] * (1 << cache_bits)
+    for value, size, back, slot in zip(values.tolist(), sizes.tolist(), backs.tolist(), slots.tolist(), strict=True):
+        if back < 0:
+            out.append(cache[value])
+        elif back:
+            if back > len(out):
                 raise ValueError("a back-reference leaves the image")
-            have = out[at - back : at]
-            out[at : at + n] = np.resize(have, n) if back < n else have[:n]
-        at, k = at + int(sizes[m]), m + 1
-    return out
+            have = out[len(out) - back :][:size]
+            new = have if back >= size else (have * (size // back + 1))[:size]
+            out += new
+            if cache_bits:
+                for v in new:
+                    cache[cache_slot(v, cache_bits)] = v
+        else:
+            out.append(value)
+            if cache_bits:
+                cache[slot] = value
+    return np.array(out, np.uint32)
 
 
 def channels(argb: np.ndarray) -> np.ndarray:
@@ -334,6 +340,8 @@ def predicted(mode: np.ndarray, left: np.ndarray, top: np.ndarray, right: np.nda
 
 def predict_all(residual: np.ndarray, width: int, height: int, modes: np.ndarray, scale: int, invert: bool) -> np.ndarray:
     """Adds (or with ``invert`` false takes away) predictions, along fronts of pixels that do not need each other."""
+    if len(modes) and modes[0] in (LEFT, ABOVE) and (modes == modes[0]).all():
+        return predict_lines(residual, width, height, int(modes[0]), invert)
     image = channels(residual).reshape(height, width, 4)
     known = image.copy()
     across = -(-width >> scale)
@@ -355,6 +363,22 @@ def predict_all(residual: np.ndarray, width: int, height: int, modes: np.ndarray
     return joined((known if invert else image).reshape(-1, 4))
 
 
+def predict_lines(pixels: np.ndarray, width: int, height: int, mode: int, invert: bool) -> np.ndarray:
+    """Predictions from the left, or from above, throughout: running sums of the first line across, then along all lines."""
+    c = pixels.astype(">u4").view(np.uint8).reshape(height, width, 4)
+    c = c if mode == LEFT else c.transpose(1, 0, 2)
+    out = c.copy()
+    if invert:
+        out[0, 0, 0] -= 1  # plus the 255 of black, in bytes
+        out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+        out = np.cumsum(out, axis=1, dtype=np.uint8)
+    else:
+        out[:, 1:] -= c[:, :-1]
+        out[1:, 0] -= c[:-1, 0]
+        out[0, 0, 0] += 1
+    return np.ascontiguousarray(out if mode == LEFT else out.transpose(1, 0, 2)).view(">u4").ravel().astype(np.uint32)
+
+
 def crossed(argb: np.ndarray, width: int, height: int, elements: np.ndarray, scale: int, invert: bool) -> np.ndarray:
     """The cross-colour transform; each block's element holds its three signed factors."""
     across = -(-width >> scale)
@@ -376,8 +400,8 @@ def palette_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def decode(data: bytes) -> np.ndarray:
-    """A WebP file with one lossless image -> pixels (height, width) of ARGB."""
+def decode(data: bytes, used: set[str] | None = None) -> np.ndarray:
+    """A WebP file with one lossless image -> pixels (height, width) of ARGB; ``used`` gets the tools met."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise ValueError("not a lossless WebP file")
     bits = Bits(data[21 : 20 + int.from_bytes(data[16:20], "little")])
@@ -387,6 +411,8 @@ def decode(data: bytes) -> np.ndarray:
     across, undo = width, []
     while bits.read(1):
         kind = bits.read(2)
+        if used is not None:
+            used.add(TOOLS[kind])
         if kind in (PREDICTOR, CROSS_COLOR):
             scale = bits.read(3) + 2
             undo.append((kind, across, scale, read_image(bits, -(-across >> scale), -(-height >> scale))))
@@ -397,7 +423,7 @@ def decode(data: bytes) -> np.ndarray:
             across = -(-across >> palette_bits(n))
         else:
             undo.append((kind, across, 0, None))
-    image = read_image(bits, across, height, top=True)
+    image = read_image(bits, across, height, top=True, used=used)
     for kind, own, scale, extra in reversed(undo):
         if kind == PREDICTOR:
             image = predict_all(image, own, height, (extra >> np.uint32(8)).astype(np.int64) & 15, scale, True)
@@ -513,9 +539,15 @@ def split_value(value: int) -> tuple[int, int, int]:
     return code, v & ((1 << extra) - 1), extra
 
 
+@lru_cache(maxsize=64)
+def near_codes(width: int) -> dict[int, int]:
+    """The codes of near distances in an image so wide."""
+    return {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
 def pixel_tokens(argb: list[int], width: int, cache_bits: int, copies: bool) -> list[tuple]:
     """Greedy: copies of runs that began with the same two pixels, cache slots, else pixels."""
-    near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR)))}
+    near = near_codes(width)
     seen: dict[tuple[int, int], int] = {}
     cache = [0] * (1 << cache_bits)
     out: list[tuple] = []
@@ -639,3 +671,139 @@ def encode(pixels: np.ndarray, *, palette: bool = False, predictor: np.ndarray |
     out.put(0, 1)
     put_image(out, argb, across, cache_bits, copies, top=True, groups=groups)
     return file_of(out.data())
+
+
+class Codes:
+    """Five prefix codes fixed beforehand: tables, and the bits that declare them after the transforms."""
+
+    def __init__(self, green, other, far=(), cache_bits: int = 0):
+        self.cache_bits = cache_bits
+        self.lengths = [code_lengths(w) for w in (green, other, np.r_[np.array(far, np.int64), np.zeros(DISTANCE_CODES - len(far), np.int64)])]
+        self.codes = []
+        for lengths in self.lengths:
+            table = np.zeros(len(lengths), np.uint64)
+            symbols, codes, _ = canonical(lengths)
+            table[symbols] = codes
+            self.codes.append(table)
+        self.head = Writer()
+        self.head.put(cache_bits > 0, 1)
+        if cache_bits:
+            self.head.put(cache_bits, 4)
+        self.head.put(0, 1)
+        for k in (0, 1, 1, 1, 2):
+            put_lengths(self.head, self.lengths[k])
+
+
+def repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs ``(from, to, back)``: the three pixels at each place of a run last began ``back`` pixels before."""
+    if len(argb) < 4:
+        return []
+    wide = argb.astype(np.uint64)
+    key = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:]
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    back = np.zeros(len(key), np.int64)
+    back[order[same + 1]] = order[same + 1] - order[same]
+    at = np.flatnonzero(back)
+    wrong = np.zeros(len(at), bool)
+    for k in range(3):
+        wrong |= argb[at + k] != argb[at - back[at] + k]
+    back[at[wrong]] = 0  # equal keys of different pixels
+    starts = np.flatnonzero(np.diff(back, prepend=0))
+    ends = np.r_[starts[1:], len(back)]
+    used = back[starts] > 0
+    return list(zip(starts[used].tolist(), ends[used].tolist(), back[starts[used]].tolist(), strict=True))
+
+
+#: The longest copy of the format.
+MOST_COPIED = 4096
+
+
+def coded(argb: np.ndarray, width: int, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """The bits, and their number, of each pixel, cache slot or copy that stands for pixels; the last two only if ``codes`` has them."""
+    value, size = np.zeros(len(argb), np.uint64), np.zeros(len(argb), np.int64)
+    for k, shift in ((0, 8), (1, 16), (1, 0), (1, 24)):
+        part = (argb >> np.uint32(shift)) & np.uint32(255)
+        value |= codes.codes[k][part] << size.astype(np.uint64)
+        size += codes.lengths[k][part]
+    if not codes.cache_bits:
+        return value, size
+    slot = (argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - codes.cache_bits)
+    order = np.argsort(slot, kind="stable")
+    again = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
+    hit = order[1:][again]
+    value[hit] = codes.codes[0][256 + LENGTH_CODES + slot[hit]]
+    size[hit] = codes.lengths[0][256 + LENGTH_CODES + slot[hit]]
+    near = near_codes(width)
+    whole = np.ones(len(argb), bool)
+    at = 0
+    for start, end, back in repeats(argb):
+        start = max(start, at)
+        while start < end:
+            n = min(end - start + 2, MOST_COPIED)
+            (a, more, bits), (b, far, far_bits) = split_value(n), split_value(near.get(back, back + len(NEAR)))
+            code, length = int(codes.codes[0][256 + a]), int(codes.lengths[0][256 + a])
+            for v, m in ((more, bits), (int(codes.codes[2][b]), int(codes.lengths[2][b])), (far, far_bits)):
+                code |= v << length
+                length += m
+            if length < size[start : start + n].sum():
+                value[start], size[start] = code, length
+                whole[start + 1 : start + n] = False
+                start = at = start + n
+            else:
+                break
+    return value[whole], size[whole]
+
+
+def written(before: Writer, value: np.ndarray, size: np.ndarray) -> bytes:
+    """A WebP file of the bits in ``before`` and those of the tokens after them."""
+    ends = before.size + np.cumsum(size)
+    starts = ends - size
+    words = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+    first = np.frombuffer(before.data().ljust(-(-before.size >> 6) * 8, b"\0"), "<u8")
+    words[: len(first)] = first
+    shift, word = (starts & 63).astype(np.uint64), starts >> 6
+    np.add.at(words, word, value << shift)
+    np.add.at(words, word + 1, np.where(shift > 0, value >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)))
+    return file_of(words.astype("<u8").tobytes()[: (int(ends[-1]) + 7) >> 3])
+
+
+@lru_cache(maxsize=256)
+def one_mode(mode: int, across: int, down: int) -> tuple[int, int]:
+    """The bits, and their number, of a predictor of one mode over so many blocks."""
+    out = Writer()
+    out.put(1 | PREDICTOR << 1, 3)
+    out.put(7, 3)
+    put_image(out, np.full(across * down, mode << 8 | BLACK, np.uint32), across)
+    return out.value, out.size
+
+
+def head(width: int, height: int, mode: int = 0) -> Writer:
+    """The sizes of an image, and where ``mode`` is given a predictor of that mode throughout."""
+    out = Writer()
+    out.put(width - 1, 14)
+    out.put(height - 1, 14)
+    out.put(1, 4)
+    if mode:
+        out.put(*one_mode(mode, -(-width >> 9), -(-height >> 9)))
+    out.put(0, 1)
+    return out
+
+
+def smallest(argb: np.ndarray, width: int, plain: Codes, tokens: Codes, residual: Codes) -> bytes:
+    """The smallest file of flat pixels: as they are, with copies and cache slots, or as differences from the left or from above."""
+    height = len(argb) // width
+
+    def bits(mode: int, codes: Codes, pixels: np.ndarray) -> int:
+        return head(width, height, mode).size + codes.head.size + int(codes.lengths[1].take(pixels.view(np.uint8)).sum() + (codes.lengths[0][:256] - codes.lengths[1]).take((pixels >> np.uint32(8)) & np.uint32(255)).sum())
+
+    ways = [(0, plain, argb), *[(mode, residual, predict_lines(argb, width, height, mode, False)) for mode in (LEFT, ABOVE)]]
+    mode, codes, pixels = min(ways, key=lambda way: bits(*way))
+    value, size = coded(argb, width, tokens)
+    if head(width, height).size + tokens.head.size + int(size.sum()) < bits(mode, codes, pixels):
+        mode, codes = 0, tokens
+    else:
+        value, size = coded(pixels, width, codes)
+    out = head(width, height, mode)
+    out.put(codes.head.value, codes.head.size)
+    return written(out, value, size)

@@ -80,3 +80,50 @@ def test_query_columns(spark):
     stored = media.with_media(df.select("doc_id", "text")).where("doc_id = 5").first()["media"]
     assert (len(stored), hashlib.sha256(stored).hexdigest()) == (got[5]["media_bytes"], got[5]["media_sha256"])
     assert media.media_features(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("mode", [webp.LEFT, webp.ABOVE])
+@pytest.mark.parametrize("size", [(1, 1), (1, 9), (7, 1), (12, 16)])
+def test_lines_agree_with_fronts(monkeypatch, mode, size):
+    h, w = size
+    px = np.random.default_rng(h * w).integers(0, 2**32, h * w, dtype=np.uint64).astype(np.uint32)
+    left = webp.predict_all(px, w, h, np.full(1, mode), 9, False)
+    assert (webp.predict_all(left, w, h, np.full(1, mode), 9, True) == px).all()
+    monkeypatch.setattr(webp, "LEFT", 98)
+    monkeypatch.setattr(webp, "ABOVE", 99)
+    assert (webp.predict_all(px, w, h, np.full(1, mode), 9, False) == left).all()
+
+
+@pytest.mark.parametrize(
+    "text,tools",
+    [
+        ("Some words of one rather long line, none of them twice in it, so that no copy pays, nor a slot: just plain letters. ".ljust(128, "x")[:128] + "Quick brown foxes jump over lazy dogs while five wizards box here", ""),
+        ("The same line comes again and once more.    " * 30 + "but not at the end, zyxw 0123", "cache+copies"),
+        ("".join(chr(0x3B1 + (7 * k * k + k) % 24) for k in range(900)), "predictor"),
+        ("abc" * 500, "copies+palette"),
+    ],
+)
+def test_forms_are_chosen_by_size(text, tools):
+    payload = media.payload_of(text)
+    stored = media.store(payload)
+    assert b"".join(p.astype(">u4").tobytes() for p in media.images(stored)) == payload
+    assert media.described(stored)[-1] == tools
+    px = np.frombuffer(payload, ">u4").astype(np.uint32)
+    if "palette" not in tools:
+        for codes in (media.PLAIN, media.TOKENS):
+            value, size = webp.coded(px, media.WIDTH, codes)
+            out = webp.head(media.WIDTH, len(px) // media.WIDTH)
+            out.put(codes.head.value, codes.head.size)
+            file = webp.written(out, value, size)
+            assert (webp.decode(file).ravel() == px).all() and len(stored) <= len(file)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_copies_and_slots_round_trip(seed):
+    rng = np.random.default_rng(seed)
+    words = [bytes(rng.integers(97, 123, int(rng.integers(1, 30))).astype(np.uint8)) for _ in range(int(rng.integers(1, 60)))]
+    data = b" ".join(words[k] for k in rng.integers(0, len(words), int(rng.integers(1, 3000))))
+    if seed % 4 == 0:
+        data += b"\0" * 40_000 + data
+    payload = media.payload_of(data.decode())
+    assert b"".join(p.astype(">u4").tobytes() for p in media.images(media.store(payload))) == payload
