@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import Rule, errors_as_null, verdicts
+from .stretches import carried_last
 
 START, END = "/attack_start_marker?uuid=", "/attack_end_marker?uuid="
 BUCKET_S = 3600.0
@@ -25,9 +26,8 @@ def sequence_windows(marks: DataFrame) -> DataFrame:
 
     Seen from the end of the log the next end is the last one before, so the frame only grows.
     """
-    order = Window.partitionBy("grp").orderBy(F.desc("t"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    nxt = F.last(F.when(F.col("kind") == "end", F.col("t")), ignorenulls=True).over(order)
-    return marks.withColumn("end", nxt).where((F.col("kind") == "start") & F.col("end").isNotNull()).select(F.col("seq").alias("window_id"), "grp", F.col("t").alias("start"), "end")
+    seen = marks.withColumns({"_t": -F.col("t"), "_seq": -F.col("seq"), "_b": F.floor(-F.col("t") / BUCKET_S)})
+    return carried_last(seen, ["grp"], "_b", ["_t", "_seq"], F.when(F.col("kind") == "end", F.col("t")), "end", own=False).where((F.col("kind") == "start") & F.col("end").isNotNull()).select(F.col("seq").alias("window_id"), "grp", F.col("t").alias("start"), "end")
 
 
 def window_calls(calls: DataFrame, windows: DataFrame, *, on: tuple[str, ...] = (), bucket: float = BUCKET_S) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stretches import numbered, with_context
+
+#: Seconds of a stretch in which calls are numbered, and calls in a block of a session.
+BUCKET_S, BLOCK = 3_600, 100_000
+
 
 def external_apis(calls: DataFrame, *, agent: str = "agent") -> DataFrame:
     """APIs that browsers call."""
@@ -33,11 +38,12 @@ def session_lengths(with_sid: DataFrame) -> DataFrame:
 def lookback_score(with_sid: DataFrame, *, rounds: int = 3, decay: float = 0.5) -> DataFrame:
     """``api, source_api, score``: how often a call of ``api`` has ``source_api`` k calls before in its session, decayed by k.
 
-    One window per session; a session start of a long run is what splits the work.
+    Calls are numbered in their session and windows are over blocks of it, each with the calls before that it looks back at.
     """
-    order = Window.partitionBy("sid").orderBy("t", "seq")
+    order = Window.partitionBy("sid", "_block").orderBy("_n")
     lags = F.array(*[F.struct(F.lit(decay ** (k - 1)).alias("w"), F.lag("api", k).over(order).alias("b")) for k in range(1, rounds + 1)])
-    steps = with_sid.select("api", lags.alias("l"))
+    blocks = with_context(numbered(with_sid, "sid", F.floor(F.col("t") / BUCKET_S), ["t", "seq"]), rounds, BLOCK)
+    steps = blocks.select("api", "_own", lags.alias("l")).where("_own").drop("_own")
     total = with_sid.groupBy("api").agg(F.count("*").alias("n"))
     sums = steps.select("api", F.inline("l")).where(F.col("b").isNotNull()).groupBy("api", "b", "w").agg(F.count("*").alias("c"))
     scores = sums.groupBy("api", "b").agg(F.sum(F.col("w") * F.col("c")).alias("s"))
@@ -51,8 +57,9 @@ def normalized(matrix: DataFrame, by: str) -> DataFrame:
 
 def transitions(with_sid: DataFrame, column: str = "api") -> DataFrame:
     """``(i, j, p)``: the share of calls of i that are followed by j in their session."""
-    order = Window.partitionBy("sid").orderBy("t", "seq")
-    pairs = with_sid.select(F.col(column).alias("i"), F.lead(column).over(order).alias("j")).where(F.col("j").isNotNull())
+    order = Window.partitionBy("sid", "_block").orderBy("_n")
+    blocks = with_context(numbered(with_sid, "sid", F.floor(F.col("t") / BUCKET_S), ["t", "seq"]), 1, BLOCK)
+    pairs = blocks.select(F.lag(column).over(order).alias("i"), F.col(column).alias("j"), "_own").where(F.col("_own") & F.col("i").isNotNull() & F.col("j").isNotNull()).drop("_own")
     return normalized(pairs.groupBy("i", "j").agg(F.count("*").cast("double").alias("p")), "i")
 
 

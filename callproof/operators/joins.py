@@ -75,10 +75,10 @@ def event_pairs(calls: DataFrame, api_a: str, api_b: str, *, sample: int | None
     return pairs if sample is None else pairs.orderBy(F.xxhash64(F.lit(seed), "a_seq", "b_seq"), "b_seq").limit(sample)
 
 
-def sessions(calls: DataFrame, session_api: str, *, bucket_s: int = 86_400) -> DataFrame:
+def sessions(calls: DataFrame, session_api: str, *, bucket_s: int = 3_600) -> DataFrame:
     """Adds ``sid``: how many session starts there were up to each call, over the whole log.
 
-    A count within days, and the sum of the days before: only one row per day meets in one task.
+    A count within stretches of time, and the sum of those before: only one row per stretch meets in one task.
     """
     day = F.floor(F.col("t") / bucket_s)
     own = calls.withColumn("_day", day).withColumn("_start", (F.col("api") == session_api).cast("long"))
@@ -93,12 +93,15 @@ def merge_targets(calls: DataFrame, api1: str, api2: str, *, tolerance: float =
 
     ``calls(seq, t, sid, api, auth, args)``: the nearer of the previous and the next call of ``api2`` in the session (a
     tie goes to the next) that is near enough, of equal auth and arguments; else the other one.  A target takes one.
+    Times are cut into stretches of the tolerance, and a call of ``api2`` is put into its own and both next to it: what
+    is further away cannot be near enough, so a long session is many windows.
     """
-    order = Window.partitionBy("sid").orderBy("t", "seq")
+    # the next one is the last before, seen from the end: a frame that only grows
+    order = Window.partitionBy("sid", "_b").orderBy("t", "seq")
+    back = Window.partitionBy("sid", "_b").orderBy(F.desc("t"), F.desc("seq"))
     it = F.when(F.col("api") == api2, F.struct("seq", "t", "auth", "args"))
-    own = calls.where(F.col("api").isin(api1, api2)).select("sid", "seq", "t", "api", "auth", "args")
-    # the next one is the last before, seen from the session's end: a frame that only grows
-    back = Window.partitionBy("sid").orderBy(F.desc("t"), F.desc("seq"))
+    b = F.floor(F.col("t") / max(tolerance, 1))
+    own = calls.where(F.col("api").isin(api1, api2)).select("sid", "seq", "t", "api", "auth", "args", F.explode(F.when(F.col("api") == api2, F.array(b - 1, b, b + 1)).otherwise(F.array(b))).alias("_b"))
     seen = lambda w: F.last(it, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     near = own.withColumns({"_p": seen(order), "_n": seen(back)}).where(F.col("api") == api1)
 

@@ -6,26 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pair_calls(lines: DataFrame, *, key: list[str] | str = "api", order: str = "pos", is_enter: str = "is_enter") -> DataFrame:
-    """Pairs as a stack would: ``key columns, enter_pos, exit_pos`` per call.
+#: Positions in a stretch of the log.
+STRETCH = 1_000_000
+
+
+def matched(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """``lines(keys, _pos, _enter)`` with ``_exit``, the position of the exit that an enter pairs with, and ``_left`` where a line has no partner.
 
     With the running count of enters less exits, an exit is an orphan if it goes below every count before; without
-    orphans, an enter and its exit lie at one depth and follow each other there.  Two windows on the same key, so one
-    shuffle; a key with a host or thread in it splits a hot API.
+    orphans, an enter and its exit lie at one depth and follow each other there.  All windows share one shuffle on the keys.
     """
-    keys = [key] if isinstance(key, str) else key
-    own = lines.select(*keys, F.col(order).alias("_pos"), F.col(is_enter).alias("_enter"))
     line = Window.partitionBy(*keys).orderBy("_pos")
     so_far, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("_enter"), 1).otherwise(-1)
-    run = own.withColumn("_run", F.sum(step).over(so_far))
+    run = lines.withColumn("_run", F.sum(step).over(so_far))
     lowest = F.least(F.lit(0), F.coalesce(F.min("_run").over(before), F.lit(0)))
-    whole = run.withColumn("_orphan", ~F.col("_enter") & (F.col("_run") < lowest)).where(~F.col("_orphan"))
-    after = F.sum(step).over(so_far)
+    whole = run.withColumn("_orphan", ~F.col("_enter") & (F.col("_run") < lowest))
+    after = F.sum(F.when(F.col("_orphan"), 0).otherwise(step)).over(so_far)
     deep = whole.withColumn("_depth", F.when(F.col("_enter"), after).otherwise(after + 1))
-    level = Window.partitionBy(*keys, "_depth").orderBy("_pos")
-    met = deep.withColumn("_exit", F.lead(F.struct("_pos", "_enter")).over(level))
-    return met.where(F.col("_enter") & F.col("_exit").isNotNull() & ~F.col("_exit._enter")).select(*keys, F.col("_pos").alias("enter_pos"), F.col("_exit._pos").alias("exit_pos"))
+    level = Window.partitionBy(*keys, "_depth", "_orphan").orderBy("_pos")
+    follows = F.lead(F.struct("_pos", "_enter")).over(level)
+    met = deep.withColumn("_exit", F.when(F.col("_enter") & ~F.col("_orphan"), F.when(~follows["_enter"], follows["_pos"])))
+    return met.select(*keys, "_pos", "_enter", "_exit", (F.col("_orphan") | (F.col("_enter") & F.col("_exit").isNull())).alias("_left"))
+
+
+def pair_calls(lines: DataFrame, *, key: list[str] | str = "api", order: str = "pos", is_enter: str = "is_enter", stretch: int = STRETCH) -> DataFrame:
+    """Pairs as a stack would: ``key columns, enter_pos, exit_pos`` per call.
+
+    What pairs within a stretch of the log pairs so in the whole, so stretches are paired first, and only the lines left
+    over there, those of calls that cross an edge, meet in a window on the key.
+    """
+    keys = [key] if isinstance(key, str) else key
+    own = lines.select(*keys, F.floor(F.col(order) / stretch).alias("_stretch"), F.col(order).alias("_pos"), F.col(is_enter).alias("_enter"))
+    near = matched(own, [*keys, "_stretch"])
+    far = matched(near.where("_left").select(*keys, "_pos", "_enter"), keys)
+    pairs = [m.where(F.col("_exit").isNotNull()).select(*keys, F.col("_pos").alias("enter_pos"), F.col("_exit").alias("exit_pos")) for m in (near, far)]
+    return pairs[0].unionByName(pairs[1])
 
 
 def calls_of_pairs(lines: DataFrame, pairs: DataFrame, *, key: str = "api", order: str = "pos") -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import kind_of
+from .stretches import carried_last
+
+#: Seconds of a stretch in which a look-up and the versions of its row share a window.
+STRETCH_S = 3_600
 
 #: Shards whose changes belong to one table: fixed values of the system at hand.
 SHARDS = {"orders_other": "orders", "trip2": "trip"}
@@ -52,15 +56,16 @@ def version_at(lookups: DataFrame, versions: DataFrame, *, keys: tuple[str, ...]
     """Adds ``found`` and ``row`` to lookups: the last version before ``int(t - 1)``, else version 0.
 
     After a key's last change nothing is found, and the row of the snapshot holds.  Lookups and versions go through one
-    window on the key, so a key with many versions costs no more than its rows, and no lookup meets every version.
+    window on the key and a stretch of time, and the last version of the stretches before is carried over, so a key with
+    many versions or look-ups is many windows, and no lookup meets every version.
     """
     cut = F.floor(F.col(t) - 1).cast("long")
     names = lookups.columns
     left = lookups.select(*keys, F.struct(*names).alias("_l"), cut.alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("int").alias("_ver"), F.lit(None).cast(versions.schema["row"].dataType).alias("_row"), F.lit(None).cast("long").alias("_last"))
     right = versions.select(*keys, F.lit(None).cast(left.schema["_l"].dataType).alias("_l"), F.when(F.col("ver") == 0, F.lit(-(2**62))).otherwise(F.col("ts_s")).alias("_at"), F.lit(1).alias("_side"), F.col("ver").alias("_ver"), F.col("row").alias("_row"), F.col("last_ts_s").alias("_last"))
-    order = Window.partitionBy(*keys).orderBy("_at", "_side", "_ver")
-    known = F.last(F.when(F.col("_side") == 1, F.struct("_row", "_last")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    met = left.unionByName(right).withColumn("_m", known).where(F.col("_side") == 0)
+    both = left.unionByName(right).withColumn("_b", F.floor(F.col("_at") / STRETCH_S))
+    known = F.when(F.col("_side") == 1, F.struct("_row", "_last"))
+    met = carried_last(both, list(keys), "_b", ["_at", "_side", "_ver"], known, "_m").where(F.col("_side") == 0)
     found = F.col("_m").isNotNull() & (F.col(f"_l.{t}") <= F.col("_m._last"))
     return met.select("_l.*", found.alias("found"), F.when(found, F.col("_m._row")).alias("row"))
 

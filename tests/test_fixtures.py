@@ -33,6 +33,8 @@ def test_pairing_equals_a_stack(spark):
     df = spark.createDataFrame(lines, "pos long, api string, is_enter boolean")
     for n in (1, 8):
         assert rows(pairing.pair_calls(df.repartition(n)), "api", "enter_pos", "exit_pos") == stack_pairs(lines)
+    for stretch in (1, 7, 100):
+        assert rows(pairing.pair_calls(df, stretch=stretch), "api", "enter_pos", "exit_pos") == stack_pairs(lines)
 
 
 def test_calls_of_pairs(spark):
