@@ -13,10 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is configured."""
+    """The cluster's shared checkpoint folder; a folder of our own only where none is configured and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="callproof-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="callproof-checkpoint-"))
     return sc.getCheckpointDir()
 
 

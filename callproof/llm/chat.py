@@ -27,6 +27,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
 #: Turns whose texts are joined in a first step, so that a long conversation is put together by many tasks.
 CHUNK = 256
+#: Turn numbers in a stretch of a conversation.
+STRETCH = 1024
 
 
 def escaped(text: Column) -> Column:
@@ -41,19 +43,27 @@ def formatted(turns: DataFrame) -> DataFrame:
     """``turns(conv_id, turn, role, text)`` -> one row per turn, in formatted order.
 
     ``conv_id, n, segment, start, end``, and for an assistant turn ``loss_start, loss_end``: code points in the
-    conversation's formatted text.
+    conversation's formatted text.  Places are counted in stretches of turns, and the sums of a conversation's earlier
+    stretches added, so a long conversation is many windows.
     """
     own = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     head = F.concat(F.lit(START), F.url_encode("role"), F.lit("\n"))
-    made = own.select("conv_id", "turn", "role", "text", F.char_length(head).alias("head"), F.concat(head, escaped(F.col("text")), F.lit(END)).alias("segment"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    placed = made.withColumn("n", F.row_number().over(order)).withColumn("end", F.sum(F.char_length("segment").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.col("end") - F.char_length("segment")
+    # no key is null, so windows and join share one shuffle; a null turn comes first
+    keys = {"key": F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "no_id": F.col("conv_id").isNull(), "stretch": F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(2**62)))}
+    made = own.select("conv_id", "turn", "role", "text", *[v.alias(k) for k, v in keys.items()], F.char_length(head).alias("head"), F.concat(head, escaped(F.col("text")), F.lit(END)).alias("segment"))
+    size = F.char_length("segment").cast("long")
+    order = Window.partitionBy(*keys).orderBy("turn", "role", "text")
+    placed = made.withColumn("place", F.row_number().over(order)).withColumn("reach", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    past = Window.partitionBy("key", "no_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = made.groupBy(*keys).agg(F.count("*").alias("turns"), F.sum(size).alias("chars"))
+    before = sums.select(*keys, *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}_before") for c in ("turns", "chars")])
+    end = F.col("chars_before") + F.col("reach")
+    start = end - size
     reply = F.col("role") == ASSISTANT
-    return placed.select(
-        "conv_id", "n", "segment", start.alias("start"), "end",
+    return placed.join(before, [*keys]).select(
+        "conv_id", (F.col("turns_before") + F.col("place")).alias("n"), "segment", start.alias("start"), end.alias("end"),
         F.when(reply, start + F.col("head")).alias("loss_start"),
-        F.when(reply, F.col("end") - len(END)).alias("loss_end"),
+        F.when(reply, end - len(END)).alias("loss_end"),
     )
 
 

@@ -199,3 +199,15 @@ def test_sql_gives_the_same(spark, sf):
         columns = sorted(out.columns)
         want = sorted(map(str, con.execute(f"select {', '.join(columns)} from ({sql})").fetchall()))
         assert sorted(str(tuple(r)) for r in out.select(*columns).collect()) == want, name
+
+
+def test_chat_places_over_stretches(spark, monkeypatch):
+    turns = [(c, t, r, x) for c in (None, 1, 2) for k in range(40) for t, r, x in [(None if k == 7 else k * 3 % 41, "assistant" if k % 2 else "user", "t" * (k % 5) + "<|")]]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(5)
+    whole = sorted(map(tuple, chat.formatted(df).collect()), key=str)
+    monkeypatch.setattr(chat, "STRETCH", 4)
+    assert sorted(map(tuple, chat.formatted(df).collect()), key=str) == whole
+    for c in (None, 1, 2):
+        mine = sorted((r for r in whole if r[0] == c), key=lambda r: r[1])
+        assert [r[1] for r in mine] == list(range(1, 41))
+        assert [r[3] for r in mine] == [0, *[r[4] for r in mine[:-1]]] and all(r[4] - r[3] == len(r[2]) for r in mine)
