@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, licences, media, packing, rules, secrets, simhash, toxicity
+from . import bpe, chat, classifier, licences, media, packing, periodic, rules, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_query,
         "op9_chat": chat.op9_query,
         "op10_secrets": secrets.op10_query,
+        "op13_periodic": periodic.op13_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licences": licences.OP3_SQL, "op9_chat": chat.OP9_SQL, "op10_secrets": secrets.OP10_SQL}
+    return {"op3_licences": licences.OP3_SQL, "op9_chat": chat.OP9_SQL, "op10_secrets": secrets.OP10_SQL, "op13_periodic": periodic.OP13_SQL}
