@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, licences, media, packing, periodic, rules, secrets, simhash, toxicity
+from . import bpe, chat, classifier, licences, media, packing, periodic, rules, secrets, simhash, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_query,
         "op9_chat": chat.op9_query,
         "op10_secrets": secrets.op10_query,
+        "op11_whitening": whitening.op11_query,
         "op13_periodic": periodic.op13_query,
     }
 
