@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, classifier, licences, media, packing, periodic, rules, secrets, simhash, toxicity, whitening
+from . import bpe, chat, classifier, licences, media, packing, periodic, rules, secrets, sigtree, simhash, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat": chat.op9_query,
         "op10_secrets": secrets.op10_query,
         "op11_whitening": whitening.op11_query,
+        "op12_jaccard_join": sigtree.op12_query,
         "op13_periodic": periodic.op13_query,
     }
 
