@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rules import Rule, errors_as_null, verdicts
+from .rules import Rule, verdicts
 from .stretches import carried_last
 
 START, END = "/attack_start_marker?uuid=", "/attack_end_marker?uuid="
@@ -79,8 +79,7 @@ def violations(calls: DataFrame, rules: list[Rule]) -> DataFrame:
     projection, so calls are read once and not shuffled.
     """
     marked = is_attack(F.col("headers"))
-    with errors_as_null(calls.sparkSession):
-        seen = calls.select("window_id", "seq", "api", attack_name(F.col("headers")).alias("att_name"), marked.alias("is_attack"), F.explode_outer(verdicts(rules, F.col("api"))).alias("c"))
+    seen = calls.select("window_id", "seq", "api", attack_name(F.col("headers")).alias("att_name"), marked.alias("is_attack"), F.explode_outer(verdicts(rules, F.col("api"), rows=calls)).alias("c"))
     detected = F.coalesce(~F.col("c.passed"), F.lit(False))
     return seen.where(detected | F.col("is_attack")).select("window_id", "seq", "api", "c.rule_id", "att_name", "is_attack", detected.alias("detected"), "c.message")
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
+from .guard import guarded
+
 #: Value formats of rules.
 FORMATS = {
     "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
@@ -56,33 +57,23 @@ def member_of(c: Column, items: Column) -> Column:
     return F.coalesce(F.array_contains(items, c), F.lit(False))
 
 
-@contextmanager
-def errors_as_null(spark: SparkSession):
-    """What is planned inside gives null where it would raise: casts, divisions, overflows, places outside an array.
-
-    Spark notes in each expression how it treats errors when the expression is made, so only these are concerned.
-    """
-    name = "spark.sql.ansi.enabled"
-    was = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, was)
-
-
-def verdicts(rules: list[Rule], api: Column, present: Column | None = None) -> Column:
+def verdicts(rules: list[Rule], api: Column, present: Column | None = None, rows: DataFrame | None = None) -> Column:
     """``array<struct<rule_id, passed, message>>`` of the rules of a row's API, null where it has none.
 
     Only the rules of the row's own API are evaluated.  Where ``present`` is false they fail for want of a related call.
+    An error in a condition fails that check, with the error as message, and nothing else; with ``rows``, what cannot
+    raise on them is not guarded.  No setting of the session is touched.
     """
     by_api: dict[str, list[Column]] = {}
     for r in rules:
-        passed = F.lit(True) if r.condition is None else F.coalesce(r.condition.cast("boolean"), F.lit(False))
-        message = F.when(~passed, F.lit(r.message))
-        if present is not None:
-            passed, message = present & passed, F.when(~present, F.lit("Cannot find related event")).otherwise(message)
-        by_api.setdefault(r.api, []).append(F.struct(F.lit(r.rule_id).alias("rule_id"), passed.alias("passed"), message.alias("message")))
+        def check(value: Column, error: Column, r: Rule = r) -> Column:
+            passed = F.coalesce(value.try_cast("boolean"), F.lit(False))
+            message = F.when(error.isNotNull(), error).when(~passed, F.lit(r.message))
+            if present is not None:
+                passed, message = present & passed, F.when(~present, F.lit("Cannot find related event")).otherwise(message)
+            return F.struct(F.lit(r.rule_id).alias("rule_id"), passed.alias("passed"), message.alias("message"))
+
+        by_api.setdefault(r.api, []).append(check(F.lit(True), F.lit(None).cast("string")) if r.condition is None else guarded(r.condition, check, rows))
     out = F.lit(None).cast("array<struct<rule_id: string, passed: boolean, message: string>>")
     for name, tests in by_api.items():
         out = F.when(api == name, F.array(*tests)).otherwise(out)
@@ -93,10 +84,9 @@ def check_rules(calls: DataFrame, rules: list[Rule]) -> DataFrame:
     """``seq, api, rule_id, passed, message``: every rule on every call of its API.
 
     All rules are evaluated in one projection, so calls are neither joined with rules nor shuffled.  An error in a
-    condition fails that check and nothing else; only ``raise_error``, which asks for it, ends the job.
+    condition fails that check and nothing else; its text is the message.
     """
-    with errors_as_null(calls.sparkSession):
-        return calls.select("seq", "api", F.explode(verdicts(rules, F.col("api"))).alias("c")).select("seq", "api", "c.*")
+    return calls.select("seq", "api", F.explode(verdicts(rules, F.col("api"), rows=calls)).alias("c")).select("seq", "api", "c.*")
 
 
 CHECKED = StructType([StructField("seq", LongType()), StructField("api", StringType()), StructField("rule_id", StringType()), StructField("passed", BooleanType()), StructField("message", StringType())])
@@ -127,12 +117,12 @@ def check_python_rules(calls: DataFrame, rules: dict[str, tuple[str, Callable[[d
 def check_pair_rules(calls: DataFrame, pairs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Two-call rules: ``pairs(seq, related_seq)``; conditions see ``b.`` (the call) and ``a.`` (its related call).
 
-    A call without a related one fails with a message; so does an error in a condition.
+    A call without a related one fails with a message; so does an error in a condition, with the error's text.
     """
     a, b = calls.alias("a"), calls.alias("b")
     both = pairs.join(b, F.col("b.seq") == pairs["seq"]).join(a, F.col("a.seq") == pairs["related_seq"], "left")
-    with errors_as_null(calls.sparkSession):
-        return both.select(F.col("b.seq").alias("seq"), F.col("b.api").alias("api"), F.explode(verdicts(rules, F.col("b.api"), F.col("a.seq").isNotNull())).alias("c")).select("seq", "api", "c.*")
+    found = verdicts(rules, F.col("b.api"), F.col("a.seq").isNotNull(), both)
+    return both.select(F.col("b.seq").alias("seq"), F.col("b.api").alias("api"), F.explode(found).alias("c")).select("seq", "api", "c.*")
 
 
 def failure_reasons(checks: DataFrame, *, most: int = 3) -> DataFrame:

@@ -18,6 +18,10 @@ def _rules():
         rules.Rule("always", "view", None),
         rules.Rule("share", "view", F.lit(100) / (F.col("k") % 5) > 30, "share too small"),  # an error where k % 5 is 0
         rules.Rule("number", "click", F.when(F.col("k") % 2 == 0, "x").otherwise(F.col("auth")).cast("int") >= 0, "no number"),  # an error where it is x
+        rules.Rule("place", "signup", F.element_at(F.array("k"), (F.col("k") % 2).cast("int")) < 50, "large"),  # place 0 is an error
+        rules.Rule("keys", "signup", F.map_from_arrays(F.array(F.col("k") % 3, F.lit(1)), F.array("k", "k"))[1] < 50, "large"),  # an error where key 1 repeats
+        rules.Rule("said", "signup", F.when(F.col("k") % 4 == 0, F.raise_error(F.concat(F.lit("no "), F.col("auth")))).otherwise(F.col("k") < 50), "large"),
+        rules.Rule("format", "signup", F.expr("to_number(case when k % 2 = 0 then '12' else 'x1' end, '99') > 0"), "no number"),
     ]
 
 
@@ -26,8 +30,12 @@ CHECKS = f"""{CALLS}, checks as (
   union all select seq, api, 'k_small', k < 1000, 'k is large' from calls where api = 'purchase'
   union all select seq, api, 'auth_known', k > 10 and auth <> '7', 'unknown auth' from calls where api = 'click'
   union all select seq, api, 'always', true, '' from calls where api = 'view'
-  union all select seq, api, 'share', k % 5 <> 0 and 100.0 / nullif(k % 5, 0) > 30, 'share too small' from calls where api = 'view'
-  union all select seq, api, 'number', k % 2 <> 0 and cast(auth as int) >= 0, 'no number' from calls where api = 'click'),
+  union all select seq, api, 'share', k % 5 <> 0 and 100.0 / nullif(k % 5, 0) > 30, case when k % 5 = 0 then '[DIVIDE_BY_ZERO] `/`(100, `%`(k, 5))' else 'share too small' end from calls where api = 'view'
+  union all select seq, api, 'number', k % 2 <> 0 and cast(auth as int) >= 0, case when k % 2 = 0 then '[CAST_INVALID_INPUT] CAST(CASE WHEN `=`(`%`(k, 2), 0) THEN ''x'' ELSE auth END AS INT)' else 'no number' end from calls where api = 'click'
+  union all select seq, api, 'place', k % 2 = 1 and k < 50, case when k % 2 = 0 then '[INVALID_INDEX_OF_ZERO] element_at(array(k), CAST(`%`(k, 2) AS INT))' else 'large' end from calls where api = 'signup'
+  union all select seq, api, 'keys', k % 3 <> 1 and k < 50, case when k % 3 = 1 then '[DUPLICATED_MAP_KEY]' else 'large' end from calls where api = 'signup'
+  union all select seq, api, 'said', k % 4 <> 0 and k < 50, case when k % 4 = 0 then '[USER_RAISED_EXCEPTION] no ' || auth else 'large' end from calls where api = 'signup'
+  union all select seq, api, 'format', k % 2 = 0, '[INVALID_FORMAT] to_number(CASE WHEN ((k % 2) = 0) THEN ''12'' ELSE ''x1'' END, ''99'')' from calls where api = 'signup'),
 checked as (select seq, api, rule_id, passed, case when not passed then m end as message from checks)"""
 
 
@@ -117,7 +125,7 @@ def mine_equalities(spark, d):
     return rules.mine_equalities(_mined(spark, d), ["o_orderkey", "o_custkey", "same"])
 
 
-@query(f"with {CHECKS}, c as (select rule_id, count(*) as n_calls, count(*) filter (where not passed) as n_failed, coalesce(list_sort(list(distinct message) filter (where not passed)), []) as reasons from checked group by 1) select rule_id, n_calls, n_failed, array_to_string(reasons, '|') as reasons from c")
+@query(f"with {CHECKS}, c as (select rule_id, count(*) as n_calls, count(*) filter (where not passed) as n_failed, coalesce(list_sort(list(distinct message) filter (where not passed))[:3], []) as reasons from checked group by 1) select rule_id, n_calls, n_failed, array_to_string(reasons, '|') as reasons from c")
 def failure_reasons(spark, d):
     return rules.failure_reasons(_checks(spark, d)).withColumn("reasons", F.array_join("reasons", "|"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rules import Rule, check_rules, errors_as_null, verdicts
+from ..operators.rules import Rule, check_rules, verdicts
 
 
 def stream_checks(calls: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -20,7 +20,6 @@ def stream_checks(calls: DataFrame, rules: list[Rule]) -> DataFrame:
 def failure_counts(calls: DataFrame, rules: list[Rule], *, time: str = "ts", window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Failed checks per window of event time, API and rule."""
     timed = calls.withWatermark(time, late)
-    with errors_as_null(calls.sparkSession):
-        checked = timed.select(time, "api", F.explode(verdicts(rules, F.col("api"))).alias("c"))
+    checked = timed.select(time, "api", F.explode(verdicts(rules, F.col("api"), rows=timed)).alias("c"))
     failed = checked.where(~F.col("c.passed")).select(time, "api", "c.rule_id")
     return failed.groupBy(F.window(time, window).alias("window"), "api", "rule_id").agg(F.count("*").alias("n_failed"))

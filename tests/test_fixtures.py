@@ -328,13 +328,43 @@ def test_next_end_of_long_groups(spark):
     assert rows(detect.sequence_windows(df), "window_id", "end") == sorted(want, key=str)
 
 
+def test_errors_stay_with_their_check(spark):
+    """Errors of any kind, of functions without a form that gives null too: one failed check each, told, and no setting changed."""
+    rows_in = [(1, "a", [1, 2], "x", 0), (2, "a", [5], "7", 3), (3, "a", None, None, None), (4, "a", [1, 2], "9", 5)]
+    calls = spark.createDataFrame(rows_in, "seq long, api string, v array<int>, t string, k int")
+    r = rules.Rule
+    three = F.lit(3)
+    own = [
+        r("zero", "a", F.element_at("v", F.lit(0)) > 3, "z"), r("number", "a", F.to_number("t", F.lit("9")) > 8, "small"), r("fine", "a", F.col("k") >= 0, "null"),
+        r("keys", "a", F.map_from_arrays(F.array("k", three), F.array(F.lit(1), F.lit(2)))[3] > 0, "m"), r("text", "a", F.expr("map(k, 1, 3, 2)[3] > 0"), "m"),
+        r("entries", "a", F.map_from_entries(F.array(F.struct(F.col("k").alias("k"), F.lit(1).alias("v")), F.struct(three.alias("k"), F.lit(2).alias("v"))))[3] > 0, "m"),
+        r("said", "a", F.when(F.col("k") == 3, F.raise_error(F.concat(F.lit("no "), "t"))).otherwise(F.lit(True)), "s"), r("way", "a", F.when(F.col("k") != 0, 1 / F.col("k") > 0).otherwise(F.lit(True)), "w"),
+        r("cast", "a", F.col("t") > 3, "c"),
+    ]
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    got = {(x["rule_id"], x["seq"]): (x["passed"], x["message"]) for x in rules.check_rules(calls, own).collect()}
+    assert spark.conf.get("spark.sql.ansi.enabled") == before and len(got) == 36
+    assert [got["zero", k][1] for k in (1, 2, 3)] == ["[INVALID_INDEX_OF_ZERO] element_at(v, 0)"] * 2 + ["z"]
+    assert [got["number", k] for k in (1, 2, 3, 4)] == [(False, "[INVALID_FORMAT] to_number(t, '9')"), (False, "small"), (False, "small"), (True, None)]
+    for name in ("keys", "text", "entries"):
+        assert [got[name, k] for k in (1, 2, 3, 4)] == [(True, None), (False, "[DUPLICATED_MAP_KEY]"), (False, "[NULL_MAP_KEY]"), (True, None)]
+    assert [got["said", k] for k in (1, 2, 3, 4)] == [(True, None), (False, "[USER_RAISED_EXCEPTION] no 7"), (True, None), (True, None)]
+    assert [got["fine", k][0] for k in (1, 2, 3, 4)] == [True, True, False, True] and all(got["way", k][0] for k in (1, 2, 3, 4))
+    assert [got["cast", k] for k in (1, 2, 3, 4)] == [(False, "[CAST_INVALID_INPUT] `>`(t, 3)"), (True, None), (False, "c"), (True, None)]
+    pairs = spark.createDataFrame([(2, 1)], "seq long, related_seq long")
+    both = rules.check_pair_rules(calls, pairs, [r("zero", "a", F.element_at("a.v", F.lit(0)) > 3, "z"), r("fine", "a", F.col("b.k") > F.col("a.k"), "f")])
+    assert rows(both, "rule_id", "passed", "message") == [("fine", True, None), ("zero", False, "[INVALID_INDEX_OF_ZERO] element_at(a.v, 0)")]
+    with pytest.raises(ValueError, match="transform_keys"):
+        rules.check_rules(calls, [r("t", "a", F.transform_keys(F.create_map("t", "k"), lambda k, v: k)["x"] > 0, "t")])
+
+
 def test_an_error_in_a_rule_is_a_failed_check(spark):
     calls = spark.createDataFrame([(1, "a", 0, "x"), (2, "a", 2, "7"), (3, "b", 0, "x")], "seq long, api string, k int, text string")
     bad = [rules.Rule("divide", "a", 1 / F.col("k") > 0, "d"), rules.Rule("cast", "a", F.col("text").cast("int") > 0, "c"), rules.Rule("place", "a", F.array("k")[F.col("k")] == 0, "p")]
     assert rows(rules.check_rules(calls, bad), "seq", "rule_id", "passed") == [(1, "cast", False), (1, "divide", False), (1, "place", True), (2, "cast", True), (2, "divide", True), (2, "place", False)]
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
     pairs = spark.createDataFrame([(3, 1)], "seq long, related_seq long")
-    assert rows(rules.check_pair_rules(calls, pairs, [rules.Rule("r", "b", 1 / F.col("a.k") > 0, "d")]), "passed", "message") == [(False, "d")]
+    assert rows(rules.check_pair_rules(calls, pairs, [rules.Rule("r", "b", 1 / F.col("a.k") > 0, "d")]), "passed", "message") == [(False, "[DIVIDE_BY_ZERO] `/`(1, a.k)")]
 
 
 def test_repeated_keys_keep_the_last(spark):
