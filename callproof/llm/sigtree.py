@@ -29,13 +29,15 @@ are ignored.  Shingles and sets are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._common import cut, table
 from .simhash import Forest, components, found_rows, shingle_hashes, text_key
@@ -53,6 +55,8 @@ SLICE_SETS, SLICE_SHINGLES = 2048, 1 << 20
 FAN, BITS_EACH, MOST_BITS = 8, 16, 1 << 16
 #: Pairs of nodes, and words of bitmaps, looked at together.
 PAIRS_HELD, WORDS_HELD = 1 << 14, 1 << 21
+#: Texts that a task turns to sets together.
+TEXTS_HELD = 256
 EDGE_SCHEMA = "a long, b long"
 
 
@@ -117,27 +121,44 @@ def signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def nodes_column(words: int, similarity: tuple[int, int]):
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit numbers as lists of longs."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64) if len(arrays) else np.zeros(0, np.int64)))
+
+
+def by_text(docs: DataFrame, made: str, make: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+    """The columns of ``docs`` but the last, its text, with what ``make`` gives for ``TEXTS_HELD`` texts at a time."""
+    kept = len(docs.columns) - 1
+    schema = StructType([*docs.schema.fields[:kept], *StructType.fromDDL(made).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_HELD):
+                part = batch.slice(at, TEXTS_HELD)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(kept)), *make(part.column(kept).to_pylist())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def nodes_of(docs: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
     """The node of a text (the hash of its set), the size of its set, and its keys."""
-    @F.pandas_udf("node long, size int, keys array<long>")
-    def nodes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        classes = Classes(similarity)
-        for batch in texts:
-            sets = (shingle_set(t, words) for t in batch)
-            rows = [(node_of(s), len(s), part_keys(s, classes)) for s in sets]
-            yield pd.DataFrame({"node": signed([r[0] for r in rows]), "size": np.array([r[1] for r in rows], np.int32), "keys": pd.Series([r[2] for r in rows], dtype=object)})
+    classes = Classes(similarity)
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        rows = [(node_of(s), len(s), part_keys(s, classes)) for s in (shingle_set(t, words) for t in texts)]
+        return [pa.array(signed([r[0] for r in rows])), pa.array(np.array([r[1] for r in rows], np.int32)), lists_of([r[2] for r in rows])]
 
-    return nodes
+    return by_text(docs, "node long, size int, keys array<long>", make)
 
 
-def sets_column(words: int):
-    @F.pandas_udf("node long, shingles array<long>")
-    def sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            rows = [shingle_set(t, words) for t in batch]
-            yield pd.DataFrame({"node": signed([*map(node_of, rows)]), "shingles": pd.Series([r.view(np.int64) for r in rows], dtype=object)})
+def sets_of(docs: DataFrame, words: int) -> DataFrame:
+    """The node of a text, and its set."""
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        rows = [shingle_set(t, words) for t in texts]
+        return [pa.array(signed([*map(node_of, rows)])), lists_of(rows)]
 
-    return sets
+    return by_text(docs, "node long, shingles array<long>", make)
 
 
 class Tree:
@@ -338,12 +359,12 @@ def all_links(sets: DataFrame, similarity: tuple[int, int], *, most_sets: int =
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, component_docs``."""
     text = F.col(text_col).cast("string")
-    made = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), nodes_column(words, similarity)(text).alias("p"))
-    rows = cut(made.select("doc_id", "text_key", "p.*"))
+    rows = cut(nodes_of(docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text")), words, similarity))
     facts = cut(rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min_by(F.struct("doc_id", "text_key"), "text_key").alias("r")))
     groups = cut(groups_of(facts))
     wanted = cut(facts.join(groups, "node").select("r.doc_id", "r.text_key", "node", "root", "size"))
-    sets = found_rows(docs, wanted.select("doc_id", "text_key").distinct(), id_col, text_col).select(sets_column(words)(text).alias("s")).select("s.node", "s.shingles").dropDuplicates(["node"])
+    sets = found_rows(docs, wanted.select("doc_id", "text_key").distinct(), id_col, text_col)
+    sets = sets_of(sets.select(text.alias("text")), words).dropDuplicates(["node"])
     sets = cut(wanted.select("node", "root", "size").join(sets, "node"))
     tops = components(all_links(sets, similarity))
     classes = facts.select("node", "low", "n").join(tops, "node", "left").withColumn("root", F.coalesce("root", "node"))
