@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DateType, DecimalType, FractionalType, IntegralType, MapType, StringType, StructType, TimestampType
@@ -59,7 +62,10 @@ def unique_columns(df: DataFrame) -> DataFrame:
 
 def json_kind(v: Column) -> Column:
     """The kind of a variant: null, bool, int, float, str, array or object."""
-    s = F.schema_of_variant(v)
+    return _kind_of_type(v, F.schema_of_variant(v))
+
+
+def _kind_of_type(v: Column, s: Column) -> Column:
     return (
         F.when(v.isNull() | (s == "VOID"), "null").when(s == "BOOLEAN", "bool").when(s == "BIGINT", "int").when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float").when(s == "STRING", "str").when(F.startswith(s, F.lit("ARRAY")), "array").when(F.startswith(s, F.lit("OBJECT")), "object").otherwise("unknown")
     )
@@ -99,30 +105,156 @@ def object_or_map(keys: DataFrame, *, max_optional: int = MAX_OPTIONAL, max_keys
     return out.withColumn("kind", F.when((F.col("optional") > max_optional) | (F.col("keys") > max_keys), "dict").otherwise("object"))
 
 
+STEPS = "array<struct<kind: string, key: string>>"
+NODE_SCHEMA = f"api string, steps {STEPS}, kind string, size long, number double, text string, n long"
+#: Different nodes that a task counts before it passes them on; values longer than this stand by their digest.
+NODES_HELD, LONG_TEXT = 100_000, 32
+
+
+class NodeCounts:
+    """Nodes of JSON values, counted by path, kind and value: a buffer that is passed on when it is full and added up by Spark."""
+
+    def __init__(self):
+        self.paths: list[tuple[int, str, str, str]] = []  # parent, kind, key, api
+        self.known: dict[tuple[int, str, str, str], int] = {}
+        self.counts: dict[tuple, int] = {}
+
+    def path(self, parent: int, kind: str, key: str, api: str) -> int:
+        step = (parent, kind, key, api)
+        if (at := self.known.get(step)) is None:
+            at = self.known[step] = len(self.paths)
+            self.paths.append(step)
+        return at
+
+    def add(self, api: str, text: str | None) -> None:
+        root = self.path(-1, "", "", api)
+        self._walk(root, api, None if text is None else json.loads(text, parse_float=lambda f: (f,)))
+
+    def _walk(self, at: int, api: str, value) -> str:
+        """Counts a value and all below it; gives its text, in which fields are in the order of the value."""
+        size = number = None
+        if isinstance(value, dict):
+            kind, text = "object", "{" + ",".join([f"{k!r}:{self._walk(self.path(at, 'field', k, api), api, v)}" for k, v in value.items()])
+        elif isinstance(value, list):
+            kind, size = "array", len(value)
+            below = self.path(at, "item", "", api) if value else at
+            text = "[" + ",".join([self._walk(below, api, v) for v in value])
+        elif isinstance(value, str):
+            kind, size, text = "str", len(value), repr(value)
+        elif value is None:
+            kind, text = "null", "null"
+        elif isinstance(value, bool):
+            kind, text = "bool", str(value)
+        elif isinstance(value, int):
+            kind, text, number = "int", str(value), float(value)
+        else:
+            kind, text, number = "float", value[0], float(value[0])
+        if len(text) > LONG_TEXT:
+            text = hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+        key = (at, kind, size, number, text)
+        self.counts[key] = self.counts.get(key, 0) + 1
+        return text
+
+    def steps(self, at: int) -> list[dict[str, str]]:
+        out = []
+        while (step := self.paths[at])[0] >= 0:
+            out.append({"kind": step[1], "key": step[2]})
+            at = step[0]
+        return out[::-1]
+
+    def batch(self) -> pa.RecordBatch:
+        steps = {at: self.steps(at) for at in {k[0] for k in self.counts}}
+        rows = [(self.paths[k[0]][3], steps[k[0]], *k[1:], n) for k, n in self.counts.items()]
+        kinds = [pa.string(), pa.list_(pa.struct([("kind", pa.string()), ("key", pa.string())])), pa.string(), pa.int64(), pa.float64(), pa.string(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["api", "steps", "kind", "size", "number", "text", "n"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # values nest as deep as Spark reads them
+    held = NodeCounts()
+    for batch in batches:
+        for api, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.add(api, text)
+            if len(held.counts) > NODES_HELD:
+                yield held.batch()
+                held = NodeCounts()
+    yield held.batch()
+
+
+def counted_nodes(calls: DataFrame) -> DataFrame:
+    """``calls(api, v variant)`` -> their values' nodes by path, kind and value, with how many there are.
+
+    Functions on variants would do, but took three times as long, and made every node a row before it is counted.
+    """
+    parts = calls.select(F.col("api").cast("string"), F.to_json("v")).mapInArrow(_counted, NODE_SCHEMA)
+    return parts.groupBy("api", "steps", "kind", "size", "number", "text").agg(F.sum("n").alias("n"))
+
+
+def _last(steps: str = "steps") -> Column:
+    return F.try_element_at(steps, F.lit(-1))["kind"]
+
+
+def _above() -> Column:
+    return F.when(F.size("steps") > 0, F.expr("slice(steps, 1, size(steps) - 1)"))
+
+
+def _maps(paths: DataFrame, max_optional: int, max_keys: int) -> DataFrame:
+    """``(api, steps, rows, objects)`` -> paths of maps that still have fields: too many, too many optional, or beside values already taken together."""
+    below = paths.where(_last().isin("field", "value")).select("api", _above().alias("steps"), (_last() == "field").alias("field"), "rows")
+    both = below.join(paths.select("api", "steps", "objects"), ["api", "steps"])
+    out = both.groupBy("api", "steps").agg(F.count_if("field").alias("keys"), F.count_if(F.col("field") & (F.col("rows") < F.col("objects"))).alias("optional"), F.bool_and("field").alias("record"))
+    return out.where((F.col("keys") > 0) & ((F.col("optional") > max_optional) | (F.col("keys") > max_keys) | ~F.col("record"))).select("api", "steps")
+
+
+def _pooled(paths: DataFrame, maps: DataFrame) -> DataFrame:
+    """``(api, raw, steps)`` with the keys below maps taken together: the steps after one are of kind ``value``."""
+    each = paths.select("api", "raw", "steps", F.explode_outer(F.sequence(F.lit(1), F.greatest(F.size("steps"), F.lit(1)))).alias("at"))
+    prefix = each.withColumn("above", F.expr("slice(steps, 1, at - 1)"))
+    flagged = maps.select("api", F.col("steps").alias("above"), F.lit(True).alias("is_map"))
+    steps = F.array_sort(F.collect_list(F.struct("at", F.coalesce("is_map", F.lit(False)).alias("is_map"))))
+    marks = prefix.join(flagged, ["api", "above"], "left").groupBy("api", "raw", "steps").agg(steps.alias("marks"))
+    pooled = F.transform("steps", lambda s, k: F.when(F.get(F.col("marks"), k)["is_map"] & (s["kind"] == "field"), F.struct(F.lit("value").alias("kind"), F.lit("").alias("key"))).otherwise(s))
+    return marks.select("api", "raw", pooled.cast(STEPS).alias("steps"))
+
+
+def path_text(steps: Column) -> Column:
+    """Steps as ``$.field``, ``[]`` for items and ``{}`` for values of a map; a key that could be read otherwise is quoted."""
+    quoted = lambda k: F.when(k.rlike(r"^[^.\[\]{}\"$]+$"), k).otherwise(F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1))
+    return F.concat(F.lit("$"), F.array_join(F.transform(steps, lambda s: F.when(s["kind"] == "item", "[]").when(s["kind"] == "value", "{}").otherwise(F.concat(F.lit("."), quoted(s["key"])))), ""))
+
+
 def api_schemas(calls: DataFrame, *, max_optional: int = MAX_OPTIONAL, max_keys: int = MAX_KEYS) -> DataFrame:
-    """``calls(api, v variant)`` -> a profile row for every path of each API's values, level by level, however deep.
+    """``calls(api, v variant)`` -> a profile row for every path of each API's values, however deep.
 
-    ``path.k`` is a field of a record, ``path{}`` any value of a map, ``path[]`` any element of an array.  A level
-    is aggregated by ``(api, path)``; the paths, not the values, decide how the next one is reached.
+    ``path.k`` is a field of a record, ``path{}`` any value of a map, ``path[]`` any element of an array; ``steps`` is the path
+    as ``array<struct<kind, key>>``, so keys that hold such marks stay apart, and ``always_exists`` tells of a field whether
+    every record has it.  The values are read once: all their nodes are counted by path, and what is a map is then decided
+    on the paths.  Taking the values of a map together only adds keys to what is below, so a path that is a map by itself
+    stays one, and it is repeated until no more are found.
     """
-    values = calls.select("api", F.lit("$").alias("path"), "v")
-    found: DataFrame | None = None
+    nodes = cut(counted_nodes(calls))
+    counted = nodes.groupBy("api", "steps").agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("kind") == "object", F.col("n")).otherwise(0)).alias("objects"))
+    raw, any_map = cut(counted.withColumn("raw", F.col("steps"))), False
     while True:
-        values = cut(values)  # each level is read several times, and once more by the next
-        level = path_level(values)
-        kind = json_kind(F.col("v"))
-        objects = values.where(kind == "object")
-        keys = object_keys(objects)
-        shapes = cut(object_or_map(keys, max_optional=max_optional, max_keys=max_keys).select("api", "path", F.col("kind").alias("shape")))
-        level = level.join(shapes, ["api", "path"], "left").withColumn("kind", F.when((F.col("kind") == "object") & F.col("shape").isNotNull(), F.col("shape")).otherwise(F.col("kind"))).drop("shape", "kinds")
-        level = cut(level)  # a row per path
-        found = level if found is None else found.unionByName(level)
-        fields = objects.join(shapes, ["api", "path"]).select("api", "path", "shape", F.explode(F.from_json(F.to_json("v"), "map<string,variant>")).alias("k", "x"))
-        fields = fields.select("api", F.when(F.col("shape") == "dict", F.concat("path", F.lit("{}"))).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.col("x").alias("v"))
-        elements = values.where(kind == "array").select("api", F.concat("path", F.lit("[]")).alias("path"), F.explode(F.expr("try_cast(v as array<variant>)")).alias("v"))
-        values = fields.unionByName(elements)
-        if values.isEmpty():
-            return found
+        paths = raw.groupBy("api", "steps").agg(F.sum("rows").alias("rows"), F.sum("objects").alias("objects"))
+        maps = cut(_maps(paths, max_optional, max_keys))
+        if maps.isEmpty():
+            break
+        raw, any_map = cut(raw.drop("steps").join(_pooled(raw.select("api", "raw", "steps"), maps), ["api", "raw"])), True
+    own = nodes.withColumnRenamed("steps", "raw")
+    own = own.join(raw.select("api", "raw", "steps"), ["api", "raw"]) if any_map else own.withColumnRenamed("raw", "steps")
+    zero = F.lit(0)
+    level = own.groupBy("api", "steps").agg(
+        F.collect_set("kind").alias("kinds"), F.sum("n").alias("rows"), F.sum(F.when(F.col("kind") == "null", F.col("n")).otherwise(zero)).alias("nulls"), F.count_distinct(F.when(F.col("kind") != "null", F.struct("kind", "text"))).alias("distinct"),
+        F.min("size").alias("len_min"), F.max("size").alias("len_max"), F.min("number").alias("value_min"), F.max("number").alias("value_max"),
+    ).withColumn("kind", merged_kind(F.array_sort("kinds")))
+    out = level.withColumn("above", _above()).join(paths.select("api", F.col("steps").alias("above"), "objects"), ["api", "above"], "left")
+    values = paths.where(_last() == "value").select("api", _above().alias("steps"), F.lit(True).alias("is_map"))
+    out = out.join(values, ["api", "steps"], "left")
+    kind = F.when((F.col("kind") == "object") & F.col("is_map"), "dict").otherwise(F.col("kind"))
+    always = F.when(_last() == "field", F.col("rows") == F.col("objects"))
+    return out.select("api", path_text(F.col("steps")).alias("path"), "rows", "nulls", "distinct", "len_min", "len_max", "value_min", "value_max", kind.alias("kind"), always.alias("always_exists"), "steps")
 
 
 def schema_diff(left: DataFrame, right: DataFrame, columns: list[str], *, on: str = "column") -> DataFrame:

@@ -73,24 +73,29 @@ def object_or_map(spark, d):
 
 def _schemas_sql() -> str:
     none = "cast(null as bigint)"
-    rows = [  # path, kind, what is counted, its distinct form, lengths, numbers, from
-        ("$", "object", "1", "{'a': user_id, 'b': auth, 'c': k, 'd': value}", None, None, "calls"), ("$.who", "object", "1", "{'a': user_id, 'b': auth}", None, None, "calls"),
-        ("$.who.user_id", "int", "user_id", "user_id", None, "user_id", "calls"), ("$.who.auth", "str", "auth", "auth", "length(auth)", None, "calls"), ("$.items", "array", "1", "k", "2", None, "calls"),
-        ("$.items[]", "int", "x", "x", None, "x", "(select api, unnest([k, k + 1]) as x from calls)"), ("$.value", "float", "value", "value", None, "value", "calls"),
+    some = "case when k % 2 = 0 then value end"
+    rows = [  # path, kind, what is counted, its distinct form, lengths, numbers, from, whether it is a field
+        ("$", "object", "1", f"{{'a': user_id, 'b': auth, 'c': k, 'd': {some}}}", None, None, "calls", 0), ("$.who", "object", "1", "{'a': user_id, 'b': auth}", None, None, "calls", 1),
+        ("$.who.user_id", "int", "user_id", "user_id", None, "user_id", "calls", 1), ("$.who.auth", "str", "auth", "auth", "length(auth)", None, "calls", 1), ("$.items", "array", "1", "k", "2", None, "calls", 1),
+        ("$.items[]", "int", "x", "x", None, "x", "(select api, unnest([k, k + 1]) as x from calls)", 0), ("$.value", "float", some, some, None, some, "calls", 1),
+        ('$."who.auth"', "int", "k", "k", None, "k", "calls", 1), ('$."items[]"', "str", "auth", "auth", "length(auth)", None, "calls", 1),
     ]
     ends = lambda c, t: ", ".join(f"cast({f}({c}) as {t})" if c else (none if t == "bigint" else "cast(null as double)") for f in ("min", "max"))
-    parts = [f"select api, '{p}' as path, '{kind}' as kind, count({what}) as rows, 0 as nulls, count(distinct {form}) as \"distinct\", {ends(size, 'bigint')}, {ends(number, 'double')} from {source} group by 1" for p, kind, what, form, size, number, source in rows]
-    return f"with {CALLS}, found(api, path, kind, rows, nulls, \"distinct\", len_min, len_max, value_min, value_max) as ({' union all '.join(parts)}) select * from found where rows > 0"
+    always = lambda what, field: f"count({what}) = count(*)" if field else "cast(null as boolean)"
+    parts = [f"select api, '{p}' as path, '{kind}' as kind, count({what}) as rows, 0 as nulls, count(distinct {form}) as \"distinct\", {ends(size, 'bigint')}, {ends(number, 'double')}, {always(what, field)} from {source} group by 1" for p, kind, what, form, size, number, source, field in rows]
+    return f"with {CALLS}, found(api, path, kind, rows, nulls, \"distinct\", len_min, len_max, value_min, value_max, always_exists) as ({' union all '.join(parts)}) select * from found where rows > 0"
 
 
 def _nested_values(spark, d):
-    text = F.to_json(F.struct(F.struct("user_id", "auth").alias("who"), F.array("k", F.col("k") + 1).alias("items"), F.col("value")))
+    # keys that look like other paths, and a field that some records lack
+    odd = [F.col("k").alias("who.auth"), F.col("auth").alias("items[]")]
+    text = F.to_json(F.struct(F.struct("user_id", "auth").alias("who"), F.array("k", F.col("k") + 1).alias("items"), F.when(F.col("k") % 2 == 0, F.col("value")).alias("value"), *odd))
     return calls(spark, d).select("api", F.try_parse_json(text).alias("v"))
 
 
 @query(_schemas_sql())
 def api_schemas(spark, d):
-    return profile.api_schemas(_nested_values(spark, d))
+    return profile.api_schemas(_nested_values(spark, d)).drop("steps")
 
 
 @query(f"select api, path, '<some ' || kind || ' value>' as placeholder from ({_schemas_sql()}) where kind not in ('object', 'array')")

@@ -1,5 +1,6 @@
 """Hand fixtures with exact rows for the rules of each operator."""
 
+import json
 import math
 import random
 
@@ -245,6 +246,63 @@ def test_schemas_of_any_depth(spark):
     assert profile.api_schemas(df.limit(0)).count() == 0
 
 
+def test_schemas_of_odd_keys(spark):
+    """Keys that look like paths stay apart, and a field is told from one that some records lack."""
+    texts = ['{"a.b": 1, "a": {"b": "t"}, "x[]": 1, "x": ["t"], "m{}": null, "q\\"": 2, "": true}', '{"a": {"b": "u", "c": 1}, "x": []}']
+    df = spark.createDataFrame([("a", t) for t in texts], "api string, j string").select("api", F.try_parse_json("j").alias("v"))
+    out = profile.api_schemas(df).collect()
+    got = {r["path"]: (r["kind"], r["always_exists"]) for r in out}
+    assert len(got) == len(out) and got == {
+        "$": ("object", None), '$."a.b"': ("int", False), "$.a": ("object", True), "$.a.b": ("str", True), "$.a.c": ("int", False), '$."x[]"': ("int", False), "$.x": ("array", True), "$.x[]": ("str", None),
+        '$."m{}"': ("null", False), '$."q\\""': ("int", False), '$.""': ("bool", False),
+    }
+
+
+def brute_schema(values, max_optional, max_keys):
+    """The schema of JSON values by plain recursion: path -> (kind, rows)."""
+    out = {}
+
+    def go(steps, own):
+        kinds = {"null" if v is None else "bool" if isinstance(v, bool) else "int" if isinstance(v, int) else "str" if isinstance(v, str) else "array" if isinstance(v, list) else "object" for v in own}
+        known = kinds - {"null"}
+        kind = "null" if not known else known.pop() if len(known) == 1 else "unknown"
+        objects = [v for v in own if isinstance(v, dict)]
+        keys = sorted({k for v in objects for k in v})
+        is_map = len(keys) > max_keys or sum(any(k not in v for v in objects) for k in keys) > max_optional
+        out[steps] = ("dict" if kind == "object" and is_map else kind, len(own))
+        if items := [x for v in own if isinstance(v, list) for x in v]:
+            go(steps + "[]", items)
+        if is_map:
+            go(steps + "{}", [x for v in objects for x in v.values()])
+        else:
+            for k in keys:
+                go(f"{steps}.{k}", [v[k] for v in objects if k in v])
+
+    go("$", values)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_schemas_with_maps_in_maps(spark, seed, monkeypatch):
+    """Maps found only when the values of a map above are taken together, against plain recursion."""
+    rnd = random.Random(seed)
+
+    def value(depth):
+        kind = rnd.choice("imoooal") if depth < 4 else "i"
+        if kind == "m":
+            return {f"u{rnd.randrange(60)}": value(depth + 1) for _ in range(rnd.randrange(5))}
+        if kind == "o":
+            return {k: value(depth + 1) for k in rnd.sample("abcd", rnd.randrange(4))}
+        return [value(depth + 1) for _ in range(rnd.randrange(3))] if kind == "a" else None if kind == "l" else rnd.choice([1, "t", True])
+
+    values = [{"m": {f"k{rnd.randrange(9)}": {"sub": {f"x{rnd.randrange(9)}": 1 for _ in range(rnd.randrange(4))}} for _ in range(3)}, "v": value(0)} for _ in range(25)]
+    df = spark.createDataFrame([("a", json.dumps(v)) for v in values], "api string, j string").select("api", F.try_parse_json("j").alias("v"))
+    for held in (100_000, 20):
+        monkeypatch.setattr(profile, "NODES_HELD", held)
+        got = {r["path"]: (r["kind"], r["rows"]) for r in profile.api_schemas(df, max_optional=2, max_keys=6).collect()}
+        assert got == brute_schema(values, 2, 6)
+
+
 def test_view_leaves_header_arguments_out(spark):
     df = spark.createDataFrame([("a", '{"arguments": {"headers": {"x": "1"}, "header": "2", "headerless": 3}}')], "api string, j string").select("api", F.try_parse_json("j").alias("v"))
     assert rows(profile.schema_view(profile.api_schemas(df)), "path", "placeholder") == [("$.arguments.headerless", "<some int value>")]
