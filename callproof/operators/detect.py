@@ -30,11 +30,38 @@ def sequence_windows(marks: DataFrame) -> DataFrame:
     return carried_last(seen, ["grp"], "_b", ["_t", "_seq"], F.when(F.col("kind") == "end", F.col("t")), "end", own=False).where((F.col("kind") == "start") & F.col("end").isNotNull()).select(F.col("seq").alias("window_id"), "grp", F.col("t").alias("start"), "end")
 
 
+#: Each level of the index joins so many stretches of the one below; so many levels there are.
+RADIX, LEVELS = 4, 20
+
+
+def covering(first: Column, last: Column) -> Column:
+    """``array<struct<level, place>>``: the largest aligned stretches that together are the stretches ``first`` to ``last``.
+
+    Of each level at most some six, so a window of ten years is some fifty, whatever its hours.
+    """
+    def of(level: Column) -> Column:
+        size, over = F.pow(F.lit(RADIX), level).cast("long"), F.pow(F.lit(RADIX), level + 1).cast("long")
+        inside = lambda n: (F.ceil(first / n).cast("long"), F.floor((last + 1) / n).cast("long"))
+        (low, high), (a, b) = inside(size), inside(over)
+        places = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+        found = F.when(a < b, F.concat(places(low, a * RADIX), places(b * RADIX, high))).otherwise(places(low, high))
+        return F.transform(found, lambda p: F.struct(level.cast("int").alias("level"), p.alias("place")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), of))
+
+
 def window_calls(calls: DataFrame, windows: DataFrame, *, on: tuple[str, ...] = (), bucket: float = BUCKET_S) -> DataFrame:
-    """Calls with the windows that hold them, both ends included: an equi-join on stretches of time, then the exact test."""
-    spans = windows.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))))
-    own = calls.withColumn("_b", F.floor(F.col("t") / bucket))
-    return own.join(spans, ["_b", *on]).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end"))).drop("_b")
+    """Calls with the windows that hold them, both ends included: an equi-join on stretches of time, then the exact test.
+
+    Stretches are joined to longer ones, level by level; a window is the few largest that it is made of, and a call has one
+    row for each level that any window uses, so both stay short for windows of any length.  A window that ends before it starts, or has no
+    start or end, holds nothing.
+    """
+    place = lambda c: F.floor(F.col(c) / bucket).cast("long")
+    spans = windows.where(F.col("start") <= F.col("end")).withColumn("_n", F.explode(covering(place("start"), place("end")))).withColumns({"_level": F.col("_n.level"), "_place": F.col("_n.place")}).drop("_n")
+    used = F.array(*[F.lit(r["_level"]) for r in spans.select("_level").distinct().orderBy("_level").collect()]).cast("array<int>")  # LEVELS at most
+    own = calls.withColumn("_level", F.explode(used)).withColumn("_place", F.floor(place("t") / F.pow(F.lit(RADIX), F.col("_level"))).cast("long"))
+    return own.join(spans, ["_level", "_place", *on]).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end"))).drop("_level", "_place")
 
 
 #: Files whose attacks are left out, and the headers of an attack in either case: fixed values of the system at hand.

@@ -131,10 +131,37 @@ def template_requests(calls: DataFrame, templates: DataFrame) -> DataFrame:
     return calls.join(each, "api").select("seq", "api", "query_id", "query", context.alias("context"))
 
 
-def any_pair_holds(left: DataFrame, right: DataFrame, on: list[str], test: Column) -> DataFrame:
-    """Per left row, whether any right row of equal ``on`` columns passes ``test`` (on ``l.`` and ``r.`` columns)."""
-    both = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on], "left")
-    return both.groupBy(*[F.col(f"l.{c}") for c in left.columns]).agg(F.coalesce(F.bool_or(test), F.lit(False)).alias("holds"))
+def any_pair_holds(left: DataFrame, right: DataFrame, on: list[str], test: Column | tuple[str, str, str]) -> DataFrame:
+    """Adds ``holds`` to the rows of ``left``: whether any right row of equal ``on`` columns passes ``test``.  Equal left rows stay rows.
+
+    A comparison ``(left column, operator, right column)`` of ``< <= > >= = !=`` needs no pairs: for an order the least or
+    greatest right value of the key decides, for ``!=`` both, and for ``=`` its distinct values are joined.  Any other test, on
+    ``l.`` and ``r.`` columns, is the condition of a semi-join, which leaves a left row at its first match, and of the
+    anti-join that has the rest.  A null is no match.
+    """
+    if isinstance(test, tuple):
+        x, op, y = test
+        names = [free_name(left, f"_{k}") for k in range(len(on) + 2)]
+        keys, (low, high) = names[: len(on)], names[len(on) :]
+        same = reduce(lambda a, b: a & b, [left[c] == F.col(k) for c, k in zip(on, keys, strict=True)], F.lit(True))
+        known = right.where(F.col(y).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(on, keys, strict=True)], F.col(y).alias(low))
+        if op == "=":
+            holds = left.join(known.distinct(), same & (left[x] == F.col(low)), "left").withColumn("holds", F.col(low).isNotNull())
+            return holds.drop(*keys, low)
+        ends = known.groupBy(*keys).agg(F.min(low).alias(low), F.max(low).alias(high))
+        found = {"<": left[x] < F.col(high), "<=": left[x] <= F.col(high), ">": left[x] > F.col(low), ">=": left[x] >= F.col(low), "!=": (left[x] != F.col(low)) | (left[x] != F.col(high))}[op]
+        return left.join(ends, same, "left").withColumn("holds", F.coalesce(found, F.lit(False))).drop(*names)
+    pair = reduce(lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on], test)
+    of = lambda how: left.alias("l").join(right.alias("r"), pair, how)
+    return of("left_semi").withColumn("holds", F.lit(True)).unionByName(of("left_anti").withColumn("holds", F.lit(False)))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def renest(joined: DataFrame, prefixes: list[str], keep: list[str], *, name: str = "db_info") -> DataFrame:

@@ -1,5 +1,7 @@
 """Queries on joins of calls with rows and calls."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import detect, joins, keys, versions
@@ -77,11 +79,24 @@ def template_requests(spark, d):
     return joins.template_requests(calls(spark, d).select("seq", "api", "k"), templates)
 
 
-@query(f"with {CALLS} select a.seq, coalesce(bool_or(b.k > a.k), false) as holds from (select * from calls where api = 'click') a left join (select * from calls where api = 'error') b on a.user_id = b.user_id group by 1")
+PAIR_TESTS = (("general", "b.k > a.k + a.user_id % 7"), ("<", "a.k < b.k"), ("<=", "a.k <= b.k"), (">", "a.k > b.k"), (">=", "a.k >= b.k"), ("=", "a.k = b.k"), ("!=", "a.k <> b.k"))
+
+
+def _any_pair_sql() -> str:
+    right = "(select user_id, case when seq % 3 > 0 then k end as k from calls where api = 'error') b"
+    parts = [f"select '{name}' as test, user_id, k, exists (select 1 from {right} where b.user_id = a.user_id and {test}) as holds from (select user_id, k % 50 as k from calls where api = 'click') a" for name, test in PAIR_TESTS]
+    return f"with {CALLS}, h as ({' union all '.join(parts)}) select test, user_id, k, holds, count(*) as n from h group by all"
+
+
+@query(_any_pair_sql())
 def any_pair_holds(spark, d):
+    # left rows repeat, and some right values are null
     own = calls(spark, d)
-    left = own.where("api = 'click'").select("seq", "user_id", "k")
-    return joins.any_pair_holds(left, own.where("api = 'error'").select("user_id", "k"), ["user_id"], F.col("r.k") > F.col("l.k")).select("seq", "holds")
+    left = own.where("api = 'click'").select("user_id", (F.col("k") % 50).alias("k"))
+    right = own.where("api = 'error'").select("user_id", F.when(F.col("seq") % 3 > 0, F.col("k")).alias("k"))
+    tests = [(name, F.col("r.k") > F.col("l.k") + F.col("l.user_id") % 7 if name == "general" else ("k", name, "k")) for name, _ in PAIR_TESTS]
+    found = [joins.any_pair_holds(left, right, ["user_id"], test).withColumn("test", F.lit(name)) for name, test in tests]
+    return reduce(lambda a, b: a.unionByName(b), found).groupBy("test", "user_id", "k", "holds").agg(F.count("*").alias("n"))
 
 
 WINDOWS = "w as (select s.seq as window_id, s.user_id % 4 as grp, s.t as start, (select min(e.t) from calls e where e.api = 'error' and e.user_id % 4 = s.user_id % 4 and e.seq > s.seq) as \"end\" from calls s where s.api = 'signup'), windows as (select * from w where \"end\" is not null)"
@@ -93,6 +108,14 @@ def _windows(spark, d):
     return detect.sequence_windows(marks)
 
 
+@query(f"with {CALLS}, w as (select seq as window_id, t - seq % 5 * 40000 as start, t + seq % 7 * 90000000 - 1 as \"end\" from calls where seq % 100 = 7) select window_id, count(*) as n_calls, min(c.seq) as first_seq from w join calls c on c.t between w.start and w.\"end\" group by 1")
+def long_windows(spark, d):
+    # windows of a day to many years, and some that end before they start
+    own = calls(spark, d)
+    windows = own.where("seq % 100 = 7").select(F.col("seq").alias("window_id"), (F.col("t") - F.col("seq") % 5 * 40000).alias("start"), (F.col("t") + F.col("seq") % 7 * 90000000 - 1).alias("end"))
+    return detect.window_calls(own.select("seq", "t"), windows).groupBy("window_id").agg(F.count("*").alias("n_calls"), F.min("seq").alias("first_seq"))
+
+
 @query(f"with {CALLS}, {WINDOWS} select window_id, count(*) as n_calls, min(seq) as first_seq from windows join calls on t between start and \"end\" and user_id % 4 = grp group by 1")
 def window_calls(spark, d):
     own = calls(spark, d).withColumn("grp", F.col("user_id") % 4)

@@ -386,6 +386,35 @@ def test_next_end_of_long_groups(spark):
     assert rows(detect.sequence_windows(df), "window_id", "end") == sorted(want, key=str)
 
 
+def test_covering_stretches(spark):
+    """Each stretch of a window is covered once, by few pieces, at any length and place."""
+    rnd = random.Random(8)
+    spans = [(0, 0), (-5, 3), (7, 6), (-87_600, 0), (1, 87_600), (5, 10**9 + 5)] + [(a := rnd.randrange(-300, 300), a + rnd.randrange(200)) for _ in range(60)]
+    df = spark.createDataFrame(spans, "a long, b long").select("a", "b", detect.covering(F.col("a"), F.col("b")).alias("c"))
+    for r in df.collect():
+        pieces = [(x["place"] * detect.RADIX ** x["level"], detect.RADIX ** x["level"]) for x in r["c"]]
+        assert sum(n for _, n in pieces) == max(0, r["b"] - r["a"] + 1) and len(pieces) < 100
+        if r["b"] - r["a"] < 1000:
+            assert sorted(k for at, n in pieces for k in range(at, at + n)) == list(range(r["a"], r["b"] + 1))
+
+
+def test_windows_of_ten_years(spark):
+    calls = spark.createDataFrame([(k, k * 1e7) for k in range(60)], "seq long, t double")
+    windows = spark.createDataFrame([(1, 0.0, 3.2e8), (2, 5e7, 5e7), (3, 9e7, 8e7), (4, None, 1e9), (5, 1.5e7, 2.5e7)], "window_id int, start double, end double")
+    got = rows(detect.window_calls(calls, windows), "window_id", "seq")
+    assert got == sorted([*((1, k) for k in range(33)), (2, 5), (5, 2)], key=str)
+
+
+def test_any_pair_keeps_equal_rows(spark):
+    left = spark.createDataFrame([(1, 2, {"m": 1}), (1, 2, {"m": 1}), (3, 4, None), (None, 1, None), (5, None, None)], "g int, x int, m map<string,int>")
+    right = spark.createDataFrame([(1, 3), (1, 1), (3, 4), (None, 9), (5, 1), (7, None)], "g int, y int")
+    want = {"<": [True, True, False], "<=": [True, True, True], ">": [True, True, False], ">=": [True, True, True], "=": [False, False, True], "!=": [True, True, False]}
+    for op, holds in want.items():
+        assert rows(joins.any_pair_holds(left.drop("m"), right, ["g"], ("x", op, "y")), "g", "holds") == sorted([(1, holds[0]), (1, holds[1]), (3, holds[2]), (5, False), (None, False)], key=str)
+    out = joins.any_pair_holds(left, right, ["g"], F.col("l.x") < F.col("r.y"))
+    assert rows(out, "g", "holds") == sorted([(1, True), (1, True), (3, False), (5, False), (None, False)], key=str) and out.columns == ["g", "x", "m", "holds"]
+
+
 def test_errors_stay_with_their_check(spark):
     """Errors of any kind, of functions without a form that gives null too: one failed check each, told, and no setting changed."""
     rows_in = [(1, "a", [1, 2], "x", 0), (2, "a", [5], "7", 3), (3, "a", None, None, None), (4, "a", [1, 2], "9", 5)]
