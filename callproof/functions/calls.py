@@ -37,9 +37,10 @@ def json_or_text(text: Column) -> Column:
 
 
 def named_arguments(names: Column, values: Column) -> Column:
-    """Positional arguments by name; the longer of the two is cut."""
+    """Positional arguments by name; the longer of the two is cut, of a repeated name the last value stands, and one without a name is left out."""
     n = F.least(F.size(names), F.size(values))
-    return F.when(n > 0, F.map_from_arrays(F.slice(names, F.lit(1), n), F.slice(values, F.lit(1), n))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    pairs = F.zip_with(F.slice(names, F.lit(1), n), F.slice(values, F.lit(1), n), lambda k, v: F.struct(k.alias("key"), v.alias("value")))
+    return F.when(names.isNotNull() & values.isNotNull() & (n > 0), last_of_each(F.filter(pairs, lambda e: e["key"].isNotNull()))).otherwise(F.expr("cast(map() as map<string,string>)"))
 
 
 def static_prefix(path: Column) -> Column:
@@ -221,8 +222,3 @@ def declared_arguments(line: Column, declared: str) -> Column:
             value, place = F.get(values, F.lit(place)), place + 1
         entries.append(F.struct(F.lit(name).alias("key"), value.alias("value")))
     return F.when(parts.isNotNull(), last_of_each(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())))
-
-
-def trimmed(items: Column, most: int = 3) -> Column:
-    """The first items of a list, for display."""
-    return F.slice(items, 1, most)

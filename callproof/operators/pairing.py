@@ -51,3 +51,11 @@ def calls_of_pairs(lines: DataFrame, pairs: DataFrame, *, key: str = "api", orde
     both = pairs.join(enter, "enter_pos").join(leave, "exit_pos")
     failed = F.coalesce("has_error", F.lit(False))
     return both.select(key, "enter_pos", "time", "arguments", "headers", "response_time", failed.alias("has_error"), F.when(~failed, F.col("returned")).alias("response"), F.when(failed, F.col("throwable")).alias("throwable")).orderBy("time", "enter_pos")
+
+
+def calls_of_lines(lines: DataFrame) -> DataFrame:
+    """Calls from the lines that ``read_lines`` gives, by time."""
+    own = lines.select(
+        F.col("methodName").alias("api"), "pos", F.col("isEnter").alias("is_enter"), "time", "arguments", "headers", F.col("hasError").alias("has_error"), F.col("returnObj").alias("returned"), "throwable",
+    )
+    return calls_of_pairs(own, pair_calls(own))

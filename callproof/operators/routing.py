@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calls import json_or_text, named_arguments, static_prefix, time_seconds
+from ..functions.calls import body_arguments, json_or_text, last_of_each, named_arguments, path_params, static_prefix, time_seconds, time_text
 
 #: Catalogues of up to this many routes become a constant of the plan.
 MOST_ROUTES = 1000
@@ -64,6 +64,19 @@ def flow_status(flows: DataFrame) -> DataFrame:
     return flows.where(F.col("status").isNotNull()).withColumn("has_error", F.col("status") >= 400).withColumn("is_json", F.try_parse_json("resp_body").isNotNull())
 
 
+def calls_of_flows(flows: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Calls from answered flows of known routes: ``api, time, response_time, arguments, headers, has_error, response``.
+
+    Arguments are the parts of the path, then the fields of the body, of which one with the same name stands.
+    """
+    known = route_urls(flow_status(flows), catalogue)
+    arguments = last_of_each(F.concat(F.map_entries(path_params(F.col("path"), F.col("prefix"))), F.map_entries(body_arguments(F.col("req_body")))))
+    return known.select(
+        "api", time_text(F.col("req_ts")).alias("time"), time_text(F.col("resp_ts")).alias("response_time"), arguments.alias("arguments"), F.col("req_headers").alias("headers"), "has_error",
+        json_or_text(F.col("resp_body")).alias("response"),
+    )
+
+
 def of_split(calls: DataFrame, split: str | None = None) -> DataFrame:
     """The calls of one split (``train`` or ``test``), or all."""
     return calls if split is None else calls.where(F.col("split") == split)

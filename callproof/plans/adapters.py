@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import cut, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
 
 
+def reread(spark: SparkSession, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``read`` gives of the folder that ``write`` fills; the folder is removed, and the rows stand in the checkpoint folder."""
+    path = scratch(spark)
+    write(path)
+    back = cut(read(path))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return back
+
+
 def micros(df: DataFrame, column: str) -> Column:
     """A time as microseconds since 1970, whatever the session's zone."""
     if dict(df.dtypes)[column] == "timestamp_ntz":

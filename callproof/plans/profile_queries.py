@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import keys, profile
 from ..sources import logs, snapshots
-from .adapters import CALLS, calls, scratch, table
+from .adapters import CALLS, calls, reread, table
 from .registry import query
 
 NAMES = ["customer", "orders", "part", "supplier", "nation", "region"]
@@ -212,10 +212,8 @@ def related_names(spark, d):
 def _written(spark, d):
     from ..functions.calls import time_text
 
-    path = scratch(spark)
     own = calls(spark, d).select(time_text(F.col("t")).alias("time"), "api", "arguments", F.create_map(F.lit("authorization"), F.col("auth")).alias("headers"), (F.col("k") > 90).alias("has_error"), F.when(F.col("seq") % 5 == 0, "test").otherwise("train").alias("split"))
-    logs.write_calls(own, path, compression="gzip")
-    return logs.read_calls(spark, path)
+    return reread(spark, lambda path: logs.write_calls(own, path, compression="gzip"), lambda path: logs.read_calls(spark, path))
 
 
 @query(f"with {CALLS} select api, count(*) as n, min(auth) as low_auth, sum(k)::bigint as k from calls group by 1")

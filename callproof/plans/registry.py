@@ -21,6 +21,6 @@ def query(sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from . import calls_queries, change_queries, flow_queries, join_queries, nested_queries, profile_queries, rule_queries  # noqa: F401
+    from . import calls_queries, change_queries, file_queries, flow_queries, join_queries, nested_queries, profile_queries, rule_queries  # noqa: F401
 
     return QUERIES, SQL

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CALL_SCHEMA = (
@@ -29,13 +29,17 @@ def write_calls(calls: DataFrame, path: str, *, compression: str = "none") -> No
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Enter and exit lines of instrumentation logs; blank lines are dropped.
+    """Enter and exit lines of instrumentation logs, with ``file`` and ``pos``; blank lines are dropped.
 
-    ``file`` and ``pos`` give a line's place: ``pos`` grows within a file, and files have no order among themselves.
+    ``pos`` is the place of a line in all files, by name, one after the other, whatever the splits they are read in: lines are
+    numbered within a split, and a split starts where the lines of those before it end.  Only one row for each split meets in a task.
     """
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
-    line = F.from_json("value", LINE_SCHEMA)
-    return text.select("file", F.monotonically_increasing_id().alias("pos"), line.alias("line")).select("file", "pos", "line.*")
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = text.groupBy("file", "_block").agg(F.min("_id").alias("_low"), F.count("*").alias("_rows"))
+    past = Window.orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "_block", (F.coalesce(F.sum("_rows").over(past), F.lit(0)) - F.col("_low")).alias("_shift"))
+    placed = text.where(F.trim("value") != "").join(starts, ["file", "_block"])
+    return placed.select("file", (F.col("_id") + F.col("_shift")).alias("pos"), F.from_json("value", LINE_SCHEMA).alias("line")).select("file", "pos", "line.*")
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
@@ -69,9 +73,9 @@ def read_flow_map(spark: SparkSession, path: str) -> DataFrame:
     return flows_from_map(spark.read.text(path, wholetext=True))
 
 
-def write_violations(found: DataFrame, path: str, *, kind: str = "json") -> None:
-    """Report records, one folder per window."""
-    found.write.mode("errorifexists").partitionBy("window_id").format(kind).save(path)
+def write_violations(found: DataFrame, path: str, *, kind: str = "json", by: str = "window_id") -> None:
+    """Report records, one folder per window, or per value of another column."""
+    found.write.mode("errorifexists").partitionBy(by).format(kind).save(path)
 
 
 RULE_SCHEMA = (

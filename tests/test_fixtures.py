@@ -485,6 +485,38 @@ def test_unsure_versions(spark):
     assert rows(out, "t", "changes", "none_before") == [(101.5, 2, True), (50.0, 0, True)]
 
 
+def test_places_of_lines_do_not_depend_on_splits(spark, tmp_path):
+    """Several files, many splits: a line's place is that in all files by name; blank lines count and are dropped."""
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    texts = [[json.dumps({"methodName": f"m{k}{j}", "isEnter": j % 2 == 0, "time": 1.0}) if j % 7 else " " for j in range(40)] for k in range(3)]
+    for k, own in enumerate(texts):
+        (folder / f"part-{k}.jsonl").write_text("\n".join(own) + "\n")
+    want = [(at, json.loads(t)["methodName"]) for at, t in enumerate(t for own in texts for t in own) if t.strip()]
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        for size in ("128m", "600b", "150b"):
+            spark.conf.set(name, size)
+            assert sorted(tuple(r) for r in logs.read_lines(spark, str(folder)).select("pos", "methodName").collect()) == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_calls_of_lines(spark, tmp_path):
+    lines = [("a", True, 1.0, False, None, None), ("a", True, 2.0, False, None, None), ("a", False, 3.0, True, "x", " boom "), ("a", False, 4.0, None, " ", None), ("a", False, 5.0, False, "lost", None)]
+    text = "\n".join(json.dumps({"methodName": m, "isEnter": e, "time": t, "hasError": h, "returnObj": r, "throwable": w}) for m, e, t, h, r, w in lines)
+    (tmp_path / "own.jsonl").write_text(text)
+    out = pairing.calls_of_lines(logs.read_lines(spark, str(tmp_path / "own.jsonl")))
+    assert [tuple(r) for r in out.select("time", "response_time", "has_error", "response", "throwable").collect()] == [(1.0, 4.0, False, None, None), (2.0, 3.0, True, None, "boom")]
+
+
+def test_repeated_and_missing_names(spark):
+    df = spark.sql("select array('a', 'b', 'a', null) as n, array('1', '2', '3', '4', '5') as v union all select null, array('1') union all select array(), array()")
+    got = df.select(fc.named_arguments(F.col("n"), F.col("v")).alias("m")).collect()
+    assert sorted((r["m"] for r in got), key=str) == sorted([{"b": "2", "a": "3"}, {}, {}], key=str)
+
+
 def test_rule_files(spark, tmp_path):
     (tmp_path / "rules.jsonl").write_text('{"domain":[{"api":"a","related_fields":{"include_env":true},"quantifier":"forall"}],"premise":{"premise_position":"derive","premise_type":"true"},"predicate":{"is_true_precisely":false,"desc":"d","py_code":"x","num_args":1}}\n')
     own = logs.read_rules(spark, str(tmp_path / "rules.jsonl"))
