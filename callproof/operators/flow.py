@@ -92,7 +92,12 @@ def candidate_flows(ranked: DataFrame, external: DataFrame, *, least: float = 0.
     return own.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("api", "source_api", "place")
 
 
-def sample_calls(calls: DataFrame, n: int, *, seed: int = 0) -> DataFrame:
-    """n calls of each API, by hash of the sequence number, in log order."""
-    order = Window.partitionBy("api").orderBy(F.xxhash64(F.lit(seed), "seq"), "seq")
-    return calls.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r").orderBy("seq")
+def sample_calls(calls: DataFrame, n: int, *, seed: int = 0, parts: int = 64) -> DataFrame:
+    """n calls of each API, those whose digest of seed and sequence number is lowest, in log order.
+
+    The lowest of each API are those among the lowest of its parts, so a busy API is many windows and at most ``parts * n`` rows meet in one.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("seq").cast("string")).cast("binary"))
+    lowest = lambda df, *keys: df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_d", "seq"))).where(F.col("_r") <= n)
+    own = calls.withColumns({"_d": digest, "_part": F.pmod(F.xxhash64("seq"), F.lit(parts))})
+    return lowest(lowest(own, "api", "_part"), "api").drop("_r", "_d", "_part").orderBy("seq")

@@ -58,12 +58,12 @@ def event_pairs(spark, d):
 
 MERGE = """m as (select seq, t, auth, api, k % 3 as args, (select count(*) from calls c where c.api = 'signup' and c.seq <= calls.seq) as sid from calls),
 near as (select a.seq, a.t, a.auth, a.args, (select max(b.seq) from m b where b.api = 'view' and b.sid = a.sid and b.seq < a.seq) as p, (select min(b.seq) from m b where b.api = 'view' and b.sid = a.sid and b.seq > a.seq) as n from m a where a.api = 'click'),
-g as (select near.*, p.t as pt, n.t as nt, p.seq is not null and near.t - p.t <= 900 and p.auth = near.auth as p_ok, n.seq is not null and n.t - near.t <= 900 and n.auth = near.auth as n_ok from near left join m p on p.seq = near.p left join m n on n.seq = near.n),
+g as (select near.*, p.t as pt, n.t as nt, p.seq is not null and near.t - p.t <= 900 and p.auth = near.auth and p.args = near.args as p_ok, n.seq is not null and n.t - near.t <= 900 and n.auth = near.auth and n.args = near.args as n_ok from near left join m p on p.seq = near.p left join m n on n.seq = near.n),
 f as (select seq, case when coalesce(t - pt, 1e300) < coalesce(nt - t, 1e300) then case when p_ok then p when n_ok then n end else case when n_ok then n when p_ok then p end end as target from g)"""
 
 
 def _shards(spark, d):
-    own = joins.sessions(calls(spark, d), "signup").withColumn("args", F.lit("same"))
+    own = joins.sessions(calls(spark, d), "signup").withColumn("args", (F.col("k") % 3).cast("string"))
     return own.withColumn("data", F.array("k"))
 
 

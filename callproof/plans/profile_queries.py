@@ -222,9 +222,9 @@ def read_calls(spark, d):
     return back.groupBy("api").agg(F.count("*").alias("n"), F.min(F.col("headers")["authorization"]).alias("low_auth"), F.sum(F.get_json_object("arguments", "$.k").cast("long")).alias("k"))
 
 
-@query()
+@query(f"with {CALLS} select strftime(make_timestamp(cast(round(t * 1e6) as bigint)), '%Y-%m-%d %H:%M:%S.%f') as time, api, arguments, auth, k > 90 as has_error, case when seq % 5 = 0 then 'test' else 'train' end as split, cast(null as varchar) as response from calls")
 def write_calls(spark, d):
-    return _written(spark, d)
+    return _written(spark, d).select("time", "api", "arguments", F.col("headers")["authorization"].alias("auth"), "has_error", "split", "response")
 
 
 @query(" union all ".join(f"select '{n}' as \"table\", count(*) as n from {n}" for n in NAMES))
