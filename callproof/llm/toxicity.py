@@ -60,6 +60,8 @@ _LETTERS = re.compile(r"[^\W_]+")
 
 def plain(word: str) -> str:
     """A word in lower case without marks around it; what is inside stays."""
+    if word.isalpha():
+        return word.lower()
     found = _LETTERS.search(word)
     if not found:
         return ""
@@ -84,14 +86,19 @@ class Trie:
         self.entries = entries
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
+        #: The most edits that an entry below a node allows.
+        self.most: list[int] = [0]
         for k, entry in enumerate(entries):
-            at = 0
+            at, allowed = 0, edits_allowed(len(entry))
             for letter in entry:
                 if letter not in self.next[at]:
                     self.next[at][letter] = len(self.next)
                     self.next.append({})
                     self.ends.append(-1)
+                    self.most.append(0)
+                self.most[at] = max(self.most[at], allowed)
                 at = self.next[at][letter]
+            self.most[at] = max(self.most[at], allowed)
             self.ends[at] = k
         # an edit spoils at most one of k + 1 parts, and moves the others by k places at most
         self.parts: dict[tuple[int, int], set[str]] = {}
@@ -103,8 +110,12 @@ class Trie:
                     if a + move >= 0:
                         self.parts.setdefault((a + move, b - a), set()).add(entry[a:b])
 
+        # the same as one pattern: a part at its place, from the start of the word
+        at_place = ["(?s:.{%d})(?:%s)" % (a, "|".join(map(re.escape, sorted(parts)))) for (a, _), parts in sorted(self.parts.items())]
+        self.pattern = re.compile("|".join(at_place)) if at_place else None
+
     def may_match(self, word: str) -> bool:
-        return any(word[a : a + n] in parts for (a, n), parts in self.parts.items())
+        return self.pattern is not None and self.pattern.match(word) is not None
 
 
 class Automata:
@@ -116,14 +127,14 @@ class Automata:
         self.longest = max(map(len, trie.entries), default=0)
         self.steps: dict[tuple, tuple] = {}
 
-    def step(self, state: tuple[int, ...], where: tuple[bool, ...]) -> tuple[int, ...]:
-        """The state after one more entry letter; ``where`` marks the places of the word that have it."""
+    def step(self, state: tuple[int, ...], where: int) -> tuple[int, ...]:
+        """The state after one more entry letter; the bits of ``where`` mark the places of the word that have it."""
         key = (state, where)
         if (out := self.steps.get(key)) is None:
             most = self.limit + 1
             row = [min(state[0] + 1, most)]
-            for j, same in enumerate(where):
-                row.append(min(state[j] + (not same), state[j + 1] + 1, row[j] + 1, most))
+            for j in range(len(state) - 1):
+                row.append(min(state[j] + (not where >> j & 1), state[j + 1] + 1, row[j] + 1, most))
             if len(self.steps) > 500_000:
                 self.steps.clear()
             out = self.steps[key] = tuple(row)
@@ -131,21 +142,25 @@ class Automata:
 
     def matches(self, word: str) -> list[tuple[int, int, int]]:
         """(entry, edits, 1 if only a beginning of the word) for each entry within its limit."""
-        trie, found = self.trie, []
-        most = self.longest + self.limit + 1  # what is beyond can be no part of a match, and the word no whole one
+        trie, found, limit = self.trie, [], self.limit
+        most = self.longest + limit + 1  # what is beyond can be no part of a match, and the word no whole one
         word = word[:most] + ("…" if len(word) > most else "")
-        todo = [(0, tuple(min(j, self.limit + 1) for j in range(len(word) + 1)))]
+        places: dict[str, int] = {}
+        for j, letter in enumerate(word):
+            places[letter] = places.get(letter, 0) | 1 << j
+        todo = [(0, tuple(min(j, limit + 1) for j in range(len(word) + 1)))]
         while todo:
             node, state = todo.pop()
-            if min(state) > self.limit:
+            best = min(state)
+            if best > trie.most[node]:
                 continue
             if (k := trie.ends[node]) >= 0:
-                entry, best = trie.entries[k], min(state)
+                entry = trie.entries[k]
                 whole = state[-1] <= edits_allowed(len(entry))
                 if whole or (best <= edits_allowed(len(entry)) and covers_beginnings(entry)):
                     found.append((k, state[-1] if whole else best, 0 if whole else 1))
             for letter, below in trie.next[node].items():
-                todo.append((below, self.step(state, tuple(c == letter for c in word))))
+                todo.append((below, self.step(state, places.get(letter, 0))))
         return found
 
 
@@ -158,24 +173,33 @@ class Matcher:
         self.automata = Automata(self.trie)
         self.worth = worth
         self.known: dict[str, float] = {}
+        self.clean: set[str] = set()
 
     def all_matches(self, word: str) -> list[tuple[int, int, int]]:
         return self.automata.matches(word) if word and self.trie.may_match(word) else []
 
     def value(self, raw: str) -> float:
         """The worth of a word as it stands in a text; 0 without a match."""
+        if raw in self.clean:
+            return 0.0
         if (out := self.known.get(raw)) is None:
-            if len(self.known) > WORDS_KEPT:
+            if len(self.known) + len(self.clean) > WORDS_KEPT:
                 self.known.clear()
-            out = self.known[raw] = max((self.worth.get(m, 0.0) for m in self.all_matches(plain(raw))), default=0.0)
+                self.clean.clear()
+            out = max((self.worth.get(m, 0.0) for m in self.all_matches(plain(raw))), default=0.0)
+            if out > 0:
+                self.known[raw] = out
+            else:
+                self.clean.add(raw)
         return out
 
     def features(self, text: str | None) -> np.ndarray:
         """Best and summed worth of direct, plain and quoted matches."""
         out = np.zeros(6)
         words = text.split() if text else []
-        known = self.known
-        hits = [k for k, w in enumerate(words) if (known[w] if w in known else self.value(w)) > 0]
+        # most words are known to match nothing, and go at once
+        some = {w for w in set(words).difference(self.clean) if self.value(w) > 0}
+        hits = [k for k, w in enumerate(words) if w in some] if some else []
         for k in hits:
             around = [plain(w) for w in words[max(0, k - WINDOW) : k + WINDOW + 1]]
             kind = 2 if quoted(words, k) or not self.reporting.isdisjoint(around) else 0 if not self.address.isdisjoint(around) else 1
