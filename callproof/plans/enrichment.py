@@ -5,12 +5,11 @@ from __future__ import annotations
 import logging
 from collections import Counter
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import joins, versions
-
+from ..operators.profile import kind_of
 
 LOG = logging.getLogger(__name__)
 
@@ -32,15 +31,13 @@ def enrich_calls(calls: DataFrame, tables: dict[str, DataFrame], relations: list
     for left, name, right in wanted:
         prefix = name if uses[name] == 1 else f"{name}#{seen[name]}"
         seen[name] += 1
-        try:
-            met = joins.fk_join_unchecked(out, tables[name], left, right, prefix)
-            if changes and name in changes:
-                rows, columns = changes[name]
-                met = versions.overlay(met, rows, pk=f"`{prefix}@{right}`", columns={f"{prefix}@{c}": v for c, v in columns.items()})
-        except AnalysisException as e:  # a column that is not there, or kinds that cannot be compared
-            LOG.warning("relation %s -> %s.%s is skipped: %s", left, name, right, str(e).split("\n")[0])
+        if reason := _not_joined(out, left, tables[name], right):
+            LOG.warning("relation %s -> %s.%s is skipped: %s", left, name, right, reason)
             continue
-        out = met
+        out = joins.fk_join_unchecked(out, tables[name], left, right, prefix)
+        if changes and name in changes:
+            rows, columns = changes[name]
+            out = versions.overlay(out, rows, pk=f"`{prefix}@{right}`", columns={f"{prefix}@{c}": v for c, v in columns.items()})
         prefixes.append(prefix)
     out = joins.renest(out, prefixes, keep) if prefixes else out.withColumn("db_info", F.lit(None).cast("string"))
     own_flows = flows.where(F.col("api") == api)
@@ -52,6 +49,17 @@ def enrich_calls(calls: DataFrame, tables: dict[str, DataFrame], relations: list
     return out.join(by_call.select("seq", F.struct(*names).alias("related")), "seq", "left")
 
 
+def _not_joined(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> str | None:
+    """Why two columns cannot be a relation: one is not there, or their kinds cannot be compared; None if they can be."""
+    kinds = []
+    for df, name in ((left, left_key), (right, right_key)):
+        found = [f.dataType for f in df.schema if f.name.lower() == name.lower()]
+        if not found:
+            return f"there is no column {name}"
+        kinds.append("value" if kind_of(found[0]) in ("bool", "int", "float", "str") else found[0].simpleString())
+    return None if kinds == ["value", "value"] or kinds[0] == kinds[1] and "map<" not in kinds[0] else f"{kinds[0]} and {kinds[1]} are not compared"
+
+
 def joins_checked(tables: dict[str, DataFrame], wanted: list[tuple[str, str, str]]) -> list:
     """Each distinct right key is checked once."""
     from ..operators.keys import joinable_keys
