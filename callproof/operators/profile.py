@@ -276,6 +276,28 @@ def api_fields(calls: DataFrame, *, column: str = "response") -> DataFrame:
     return pairs.groupBy("api").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("fields"))
 
 
+def loaded(text: str):
+    """The value of JSON text; text that is none, or nests deeper than Python reads, is a string."""
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return text
+
+
+def _per_text(texts: Iterator[pd.Series], make) -> Iterator[pd.Series]:
+    """``make`` of each text's value as JSON text; nulls stay, and a value too deep for Python to walk gives ``"str"``."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+
+    def one(text: str) -> str:
+        try:
+            return json.dumps(make(loaded(text)), separators=(",", ":"), ensure_ascii=False)
+        except RecursionError:
+            return '"str"'
+
+    for batch in texts:
+        yield pd.Series([None if t is None else one(t) for t in batch], dtype=object)
+
+
 def shape_of(value) -> object:
     """The shape of a JSON value: leaves as kinds, lists as their longest element and, where there are more, a mark."""
     if isinstance(value, dict):
@@ -288,9 +310,11 @@ def shape_of(value) -> object:
 
 @F.pandas_udf(StringType())
 def shape_signature(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The shape of JSON of any depth, as text.  Needs Python: JSON without a bound on its depth has no Spark type."""
-    for batch in texts:
-        yield pd.Series([None if t is None else json.dumps(shape_of(json.loads(t)), separators=(",", ":")) for t in batch])
+    """The shape of JSON of any depth, as text; text that is no JSON has the shape of a string.
+
+    Needs Python: JSON without a bound on its depth has no Spark type.
+    """
+    yield from _per_text(texts, shape_of)
 
 
 #: What stands for the items left out of a list: a fixed value of the format.
@@ -305,12 +329,11 @@ def trim_of(value, most: int):
 
 
 def trimmed_json(text: Column, most: int = 3) -> Column:
-    """JSON of any depth trimmed for display; needs Python, as ``shape_signature``."""
+    """JSON of any depth trimmed for display; needs Python, as ``shape_signature``.  Text that is no JSON becomes a JSON string."""
 
     @F.pandas_udf(StringType())
     def trim(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([None if t is None else json.dumps(trim_of(json.loads(t), most), separators=(",", ":"), ensure_ascii=False) for t in batch], dtype=object)
+        yield from _per_text(texts, lambda value: trim_of(value, most))
 
     return trim(text)
 

@@ -156,11 +156,36 @@ def mine_constants(calls: DataFrame, columns: list[str], *, most: int = 3) -> Da
     return distinct.join(few, ["api", "column"]).groupBy("api", "column").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("values"))
 
 
+def _prints(calls: DataFrame, columns: list[str]) -> DataFrame:
+    """``(api, column, kind, total, mix)``: sums over rows of hashes of row and value, which equal columns share."""
+    value = lambda c: F.col(c) + 0.0 if calls.schema[c].dataType.typeName() in ("float", "double") else F.col(c)  # noqa: E731  one zero
+    row = calls.select("api", F.monotonically_increasing_id().alias("_row"), *[value(c).alias(c) for c in columns])
+    cells = F.inline(F.array(*[F.struct(F.lit(k).alias("column"), F.lit(calls.schema[c].dataType.simpleString()).alias("kind"), F.xxhash64("_row", c).alias("h")) for k, c in enumerate(columns)]))
+    return row.select("api", cells).groupBy("api", "column", "kind").agg(F.sum(F.col("h").cast("decimal(20,0)")).alias("total"), F.bit_xor("h").alias("mix"))
+
+
 def mine_equalities(calls: DataFrame, columns: list[str]) -> DataFrame:
-    """Per API, pairs of columns of one kind that are equal in every call; one aggregate for all pairs."""
-    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :] if calls.schema[a].dataType == calls.schema[b].dataType]
-    tests = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.bool_and(F.col(a).eqNullSafe(F.col(b))).alias("same")) for a, b in pairs])
-    return calls.groupBy("api").agg(tests.alias("t")).select("api", F.inline("t")).where("same").select("api", "a", "b")
+    """Per API, pairs of columns of one kind that are equal in every call, nulls being equal.
+
+    Columns with one print make a class, and each of its members is then compared with the first, row by row; so the plan
+    grows with the columns and not with their pairs.
+    """
+    spark, schema = calls.sparkSession, "api string, a string, b string"
+    if len(columns) < 2:
+        return spark.createDataFrame([], schema)
+    classes = _prints(calls, columns).groupBy("api", "kind", "total", "mix").agg(F.array_sort(F.collect_list("column")).alias("members")).where(F.size("members") > 1)
+    found = [(r["api"], r["members"]) for r in classes.select("api", "members").collect()]  # columns by APIs at most
+    asked = sorted({(m[0], k) for _, m in found for k in m[1:]})
+    if not asked:
+        return spark.createDataFrame([], schema)
+    tests = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("member"), F.bool_and(F.col(columns[a]).eqNullSafe(F.col(columns[b]))).alias("same")) for a, b in asked])
+    same = calls.groupBy("api").agg(tests.alias("t")).select("api", F.inline("t")).where("same").select("api", "first", "member")
+    known = spark.createDataFrame([(api, m[0], k) for api, m in found for k in m[1:]], "api string, first int, member int")
+    same = same.join(known, ["api", "first", "member"], "left_semi")
+    members = same.select("api", "first", "member").union(same.select("api", "first", F.col("first").alias("member"))).distinct()
+    pairs = members.alias("x").join(members.alias("y"), ["api", "first"]).where(F.col("x.member") < F.col("y.member"))
+    names = F.array(*map(F.lit, columns))
+    return pairs.select("api", F.get(names, F.col("x.member")).alias("a"), F.get(names, F.col("y.member")).alias("b"))
 
 
 def branch_mismatch(rows: DataFrame, actual: Column, expected: Column) -> DataFrame:

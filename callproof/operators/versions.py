@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .profile import kind_of
-from .stretches import carried_last
+from .stretches import carried_last, joined_on
 
 #: Seconds of a stretch in which a look-up and the versions of its row share a window.
 STRETCH_S = 3_600
@@ -38,15 +38,24 @@ def normalized_changes(changes: DataFrame, keys: DataFrame, *, schema: str | Non
     return out.select("pos", "idx", "type", "table", "ts_s", pk.alias("pk"), F.element_at("after", F.col("key")).alias("new_pk"), "before", "after")
 
 
-def row_versions(changes: DataFrame, *, keys: tuple[str, ...] = ("table", "pk")) -> DataFrame:
+#: Positions in the log of a stretch in which the changes of a row are numbered.
+STRETCH_ROWS = 1_000_000
+
+
+def row_versions(changes: DataFrame, *, keys: tuple[str, ...] = ("table", "pk"), stretch: int = STRETCH_ROWS) -> DataFrame:
     """``changes(keys, pos, ts_s, before, after)`` -> versions: number 0 at time 0 is the old value of the first change.
 
-    ``keys, ver, ts_s, row, last_ts_s``; a null row means that there is none then.
+    ``keys, ver, ts_s, row, last_ts_s``; a null row means that there is none then.  Changes are numbered within stretches of the
+    log, and one row for each key and stretch tells how many came before, so a row that changes all the time is many windows.
     """
-    order = Window.partitionBy(*keys).orderBy("pos")
-    every = Window.partitionBy(*keys)
-    own = changes.withColumns({"ver": F.row_number().over(order), "last_ts_s": F.max("ts_s").over(every)})
-    later = F.struct(F.col("ver").cast("int").alias("ver"), F.col("ts_s").alias("ts_s"), F.col("after").alias("row"))
+    names = [*keys, "_stretch"]
+    own = changes.withColumn("_stretch", F.floor(F.col("pos") / stretch))
+    counts = own.groupBy(*names).agg(F.count("*").alias("_rows"), F.max("ts_s").alias("_last"))
+    past, every = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    before = counts.select(*names, F.coalesce(F.sum("_rows").over(past), F.lit(0)).alias("_before"), F.max("_last").over(every).alias("last_ts_s"))
+    placed = own.withColumn("_place", F.row_number().over(Window.partitionBy(*names).orderBy("pos")))
+    own = joined_on(placed, before, names).withColumn("ver", (F.col("_before") + F.col("_place")).cast("int"))
+    later = F.struct(F.col("ver"), F.col("ts_s").alias("ts_s"), F.col("after").alias("row"))
     first = F.struct(F.lit(0).alias("ver"), F.lit(0).cast("long").alias("ts_s"), F.col("before").alias("row"))
     both = F.when(F.col("ver") == 1, F.array(first, later)).otherwise(F.array(later))
     return own.select(*keys, "last_ts_s", F.explode(both).alias("v")).select(*keys, "v.ver", "v.ts_s", "v.row", "last_ts_s")

@@ -517,6 +517,34 @@ def test_repeated_and_missing_names(spark):
     assert sorted((r["m"] for r in got), key=str) == sorted([{"b": "2", "a": "3"}, {}, {}], key=str)
 
 
+def test_shapes_of_odd_texts(spark):
+    """Text that is no JSON, nulls and values of any depth have a defined result."""
+    deep = "[" * 2000 + "1" + "]" * 2000
+    df = spark.createDataFrame([(1, "{oops"), (2, None), (3, ""), (4, deep), (5, '{"a":[1,2]}')], "k int, t string")
+    got = {r["k"]: (r["s"], r["d"]) for r in df.select("k", profile.shape_signature("t").alias("s"), profile.trimmed_json(F.col("t"), 1).alias("d")).collect()}
+    assert got[1] == ('"str"', '"{oops"') and got[2] == (None, None) and got[3] == ('"str"', '""') and got[5] == ('{"a":["int","extra"]}', '{"a":[1,2]}'.replace("[1,2]", f'[1,"{profile.EXTRA}"]'))
+    assert got[4][0] in ('"str"', "[" * 2000 + '"int"' + "]" * 2000) and got[4][1] in (deep, '"str"')
+
+
+def test_equalities_of_many_columns(spark):
+    """Classes of equal columns, nulls and zeros of either sign equal; five hundred columns are planned at once."""
+    df = spark.createDataFrame([("x", 1, 1, 1, 0.0, None), ("x", 2, 2, 5, -0.0, None), ("y", 3, 3, 3, 1.0, None)], "api string, a int, b int, c int, d double, e int")
+    out = rules.mine_equalities(df.withColumn("f", F.col("d") * 1).withColumn("g", F.col("e")), list("abcdefg"))
+    assert rows(out, "api", "a", "b") == [("x", "a", "b"), ("x", "d", "f"), ("x", "e", "g"), ("y", "a", "b"), ("y", "a", "c"), ("y", "b", "c"), ("y", "d", "f"), ("y", "e", "g")]
+    assert rules.mine_equalities(df, ["a", "c"]).where("api = 'x'").count() == 0 and rules.mine_equalities(df, ["a"]).count() == 0
+    wide = spark.range(50).select(F.lit("x").alias("api"), *[(F.col("id") * (k // 2)).alias(f"c{k}") for k in range(500)])
+    assert rules.mine_equalities(wide, wide.columns[1:]).count() == 250
+
+
+def test_versions_of_a_busy_row(spark):
+    """Stretches of any length give the versions of one window."""
+    rnd = random.Random(4)
+    log = [("t", rnd.choice("ab"), k, k // 3, str(k - 1), str(k)) for k in range(40)]
+    df = spark.createDataFrame(log, "table string, pk string, pos long, ts_s long, before string, after string")
+    want = rows(versions.row_versions(df))
+    assert all(rows(versions.row_versions(df, stretch=n)) == want for n in (1, 7)) and len(want) == 42
+
+
 def test_rule_files(spark, tmp_path):
     (tmp_path / "rules.jsonl").write_text('{"domain":[{"api":"a","related_fields":{"include_env":true},"quantifier":"forall"}],"premise":{"premise_position":"derive","premise_type":"true"},"predicate":{"is_true_precisely":false,"desc":"d","py_code":"x","num_args":1}}\n')
     own = logs.read_rules(spark, str(tmp_path / "rules.jsonl"))
