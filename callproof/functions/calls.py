@@ -156,6 +156,7 @@ def execute_record(parts: dict[str, Column], include: dict[str, bool], related:
 
 #: Parts of keys whose digits are text: fixed values of the legacy format.
 TEXT_KEYS = ("consigneePhone", "phoneNumber", "password", "phone", "price")
+#: How the legacy format writes numbers, the bearer token and the order's difference: fixed values.
 DECIMAL, WHOLE = r"^[+-]?([0-9]*\.[0-9]+|[0-9]+\.[0-9]*)$", r"^[+-]?[0-9]+$"
 BEARER, DIFFERENCE = r'authorization:"Bearer ([^"]+)"', r"orderMoneyDifference=([0-9]+\.[0-9]+)"
 
@@ -192,6 +193,7 @@ def field_kind(key: Column, value: Column) -> Column:
     return F.when(value.rlike(DECIMAL), "float").when(value.rlike(WHOLE) & ~is_text, "int").otherwise("str")
 
 
+#: The layout of a legacy log line: a fixed value.
 LINE = (
     r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+)\s.*?Entering in Method: (.*?), Class: (.*?), Arguments: \[(.*?)\], Request Headers: (.*?), Execution Time: (\d+) milliseconds, Return: (.*)$"
 )
@@ -204,6 +206,10 @@ def log_line(line: Column) -> Column:
     return F.when(line.rlike(LINE), F.struct(*[part(k + 1).alias(n) for k, n in enumerate(names)]))
 
 
+#: How the headers of a legacy line write the authorization: a fixed value.
+AUTHORIZATION = r'authorization:("|\s)(.*?)("|,)'
+
+
 def declared_arguments(line: Column, declared: str) -> Column:
     """The arguments of a legacy line by a list of ``type name`` fields, as text; null where the line has another layout.
 
@@ -215,7 +221,7 @@ def declared_arguments(line: Column, declared: str) -> Column:
     entries, place = [], 0
     for name in (f.split(" ")[1] for f in declared.split(", ")):
         if name == "authorization":
-            value = F.try_element_at(F.regexp_extract_all(line, F.lit(r'authorization:("|\s)(.*?)("|,)'), F.lit(2)), F.lit(-1))
+            value = F.try_element_at(F.regexp_extract_all(line, F.lit(AUTHORIZATION), F.lit(2)), F.lit(-1))
         elif name == "headers":
             value = parts["headers"]
         else:

@@ -545,6 +545,22 @@ def test_versions_of_a_busy_row(spark):
     assert all(rows(versions.row_versions(df, stretch=n)) == want for n in (1, 7)) and len(want) == 42
 
 
+def test_sketches_drop_only_hopeless_pairs(spark, monkeypatch):
+    """Columns of many sizes and overlaps: the same pairs and numbers as without sketches, and fewer pairs joined."""
+    monkeypatch.setattr(keys, "JUDGED", 64)
+    rnd = random.Random(12)
+    columns = {f"c{k}": [*rnd.sample(range(k % 3 * 6000, k % 3 * 6000 + 8000), rnd.choice([3, 40, 900, 4000]))] for k in range(9)} | {"all": list(range(20000))}
+    df = spark.createDataFrame([("t" + c[-1], c, "int", str(v)) for c, own in columns.items() for v in own], "table string, column string, kind string, value string")
+    want = {(a, b): (len(set(x) & set(y)), len(x)) for a, x in columns.items() for b, y in columns.items() if a != b}
+    for threshold in (0.2, 0.9):
+        likely = {(r["from_column"], r["to_column"]): r for r in keys.likely_pairs(df, threshold, size=256).collect()}
+        good = {p for p, (n, size) in want.items() if n > threshold * size}
+        assert good <= set(likely) and len(likely) < len(want)
+        monkeypatch.setattr(keys.likely_pairs, "__kwdefaults__", {"size": 256})
+        found = {(r["from_column"], r["to_column"]): (r["shared"], r["values"]) for r in keys.shared_values(df, threshold=threshold).collect()}
+        assert all(found[p] == want[p] for p in good) and all(found[p] == want[p] for p in found)
+
+
 def test_rule_files(spark, tmp_path):
     (tmp_path / "rules.jsonl").write_text('{"domain":[{"api":"a","related_fields":{"include_env":true},"quantifier":"forall"}],"premise":{"premise_position":"derive","premise_type":"true"},"predicate":{"is_true_precisely":false,"desc":"d","py_code":"x","num_args":1}}\n')
     own = logs.read_rules(spark, str(tmp_path / "rules.jsonl"))
