@@ -53,20 +53,37 @@ def asof_related_call(calls: DataFrame, flows: DataFrame, *, tolerance: float =
     return met.where(good).select("seq", F.col("_to").alias("api"), "source_api", F.col("_m.seq").alias("related_seq"))
 
 
+#: Fine stretches that a stretch of the tolerance is made of.
+FINE = 60_000
+
+
 def nearest_event(calls: DataFrame, api_a: str | None, api_b: str, *, direction: str = "before", tolerance: float = TOLERANCE_S) -> DataFrame:
     """For each call of ``api_b`` the nearest call of ``api_a`` (of any API where None) before or after, less than ``tolerance`` away.
 
-    ``seq, related_seq`` (null where there is none).  Stretches of time as in ``asof_related_call``.
+    ``seq, related_seq`` (null where there is none).  Calls meet in windows on fine stretches of time (10 ms at ten minutes), so a busy
+    second is many; what comes before a stretch is carried over from the last call of each earlier one, through windows on stretches
+    of the tolerance that hold a row for each fine stretch.
     """
-    sign = 1 if direction == "before" else -1
-    base = calls.select("seq", "t", "api", F.floor(F.col("t") / tolerance).alias("_b"))
-    left = base.where(F.col("api") == api_b).select("seq", "t", "_b", F.lit(0).alias("_side"))
-    right = (base.where(F.col("api") == api_a) if api_a else base).select("seq", "t", F.explode(F.array("_b", F.col("_b") + sign)).alias("_b"), F.lit(1).alias("_side"))
+    sign, fine = 1 if direction == "before" else -1, tolerance / FINE
+    place = lambda c, n: F.floor(c / F.lit(n)).cast("long")
+    base = calls.select("seq", "t", "api", (F.col("t") * sign).alias("_t"), (F.col("seq") * sign).alias("_s"))
+    base = base.withColumn("_f", place(F.col("_t"), fine))
     # rows of a call itself must not be its match: sides are ordered so that it comes later than its own lookup
-    order = Window.partitionBy("_b").orderBy(F.col("t") * sign, F.col("seq") * sign, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    met = left.unionByName(right).withColumn("_m", F.last(F.when(F.col("_side") == 1, F.struct("seq", "t")), ignorenulls=True).over(order)).where("_side = 0")
+    left = base.where(F.col("api") == api_b).withColumn("_side", F.lit(0))
+    right = (base.where(F.col("api") == api_a) if api_a else base).withColumn("_side", F.lit(1))
+    both = left.unionByName(right)
+    match = F.when(F.col("_side") == 1, F.struct("seq", "t"))
+    within = F.last(match, ignorenulls=True).over(Window.partitionBy("_f").orderBy("_t", "_s", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("_m", within).where("_side = 0")
+    ends = right.groupBy("_f").agg(F.max_by(F.struct("seq", "t"), F.struct("_t", "_s")).alias("_end")).unionByName(left.select("_f").distinct(), allowMissingColumns=True)
+    ends = ends.groupBy("_f").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    coarse = place(F.col("_f"), FINE)
+    spread = ends.withColumn("_c", F.explode(F.array(coarse, coarse + 1)))
+    past = Window.partitionBy("_c").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    before = spread.withColumn("_before", F.last("_end", ignorenulls=True).over(past)).where(F.col("_c") == coarse).select("_f", "_before")
+    known = met.join(before, "_f", "left").withColumn("_m", F.coalesce("_m", "_before"))
     good = F.col("_m").isNotNull() & (F.abs(F.col("t") - F.col("_m.t")) < tolerance)
-    return met.select("seq", F.when(good, F.col("_m.seq")).alias("related_seq"))
+    return known.select("seq", F.when(good, F.col("_m.seq")).alias("related_seq"))
 
 
 def event_pairs(calls: DataFrame, api_a: str, api_b: str, *, sample: int | None = None, seed: int = 0, tolerance: float = TOLERANCE_S) -> DataFrame:

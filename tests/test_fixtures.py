@@ -561,6 +561,24 @@ def test_sketches_drop_only_hopeless_pairs(spark, monkeypatch):
         assert all(found[p] == want[p] for p in good) and all(found[p] == want[p] for p in found)
 
 
+@pytest.mark.parametrize("direction", ["before", "after"])
+@pytest.mark.parametrize("api", ["a", None])
+def test_nearest_event_on_busy_seconds(spark, direction, api):
+    """Crowded and empty stretches, ties, and matches just in and out of reach, against a plain look-up."""
+    rnd = random.Random(5)
+    times = [rnd.choice([rnd.randrange(0, 4000) / 1.0, 100 + rnd.randrange(40) / 40, 1500.0, rnd.uniform(-50, 50)]) for _ in range(400)]
+    log = [(k, t, rnd.choice("abc")) for k, t in enumerate(times)]
+    sign = 1 if direction == "before" else -1
+    want = []
+    for seq, t, name in log:
+        if name == "b":
+            others = [(u * sign, k * sign, k, u) for k, u, n in log if (api is None or n == api) and (u * sign, k * sign) < (t * sign, seq * sign)]
+            best = max(others, default=None)
+            want.append((seq, best[2] if best and abs(best[3] - t) < 60 else None))
+    df = spark.createDataFrame(log, "seq long, t double, api string")
+    assert rows(joins.nearest_event(df, api, "b", direction=direction, tolerance=60)) == sorted(want, key=str)
+
+
 def test_rule_files(spark, tmp_path):
     (tmp_path / "rules.jsonl").write_text('{"domain":[{"api":"a","related_fields":{"include_env":true},"quantifier":"forall"}],"premise":{"premise_position":"derive","premise_type":"true"},"predicate":{"is_true_precisely":false,"desc":"d","py_code":"x","num_args":1}}\n')
     own = logs.read_rules(spark, str(tmp_path / "rules.jsonl"))
