@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
 #: Positions in a stretch of the log.
 STRETCH = 1_000_000
@@ -38,7 +39,7 @@ def pair_calls(lines: DataFrame, *, key: list[str] | str = "api", order: str = "
     """
     keys = [key] if isinstance(key, str) else key
     own = lines.select(*keys, F.floor(F.col(order) / stretch).alias("_stretch"), F.col(order).alias("_pos"), F.col(is_enter).alias("_enter"))
-    near = matched(own, [*keys, "_stretch"])
+    near = cut(matched(own, [*keys, "_stretch"]).where(F.col("_exit").isNotNull() | F.col("_left")))  # read twice: its pairs, and what is left over
     far = matched(near.where("_left").select(*keys, "_pos", "_enter"), keys)
     pairs = [m.where(F.col("_exit").isNotNull()).select(*keys, F.col("_pos").alias("enter_pos"), F.col("_exit").alias("exit_pos")) for m in (near, far)]
     return pairs[0].unionByName(pairs[1])
