@@ -1,94 +1,97 @@
-"""Near duplicates by SimHash, each link checked by the Jaccard similarity of word shingles.
-
-Texts are linked when the sets of their five-word shingles have a Jaccard similarity of ``similarity`` or more; linked
-texts form one component.  Candidates come from SimHash's tiled comparison over fingerprints of the same shingles, at a
-radius that suits the similarity (at 0.8 some ten of 64 bits differ, give or take three): in each pair of blocks every
-fingerprint is paired with the nearest other one, so their number is linear in what was compared, however large a group
-of near copies is.  Equal sets are one node, and nodes of one fingerprint are paired with the first of them.  Of the pairs
-those are left whose shingles, counted in ``PARTS`` parts by hash, could overlap enough, and each of these is checked with
-both whole sets, which are made for them alone.  So no text goes for a likeness that it does not have; a text stays where
-its fingerprint is further from all that it is like than the radius (one pair in a hundred at 0.8), or where another one is
-nearer in every block and is not like it.
+"""Near duplicates by SimHash, made whole by an exact join: texts whose word shingles have a Jaccard similarity of ``similarity`` or more.
+
+Texts are linked when the sets of their five-word shingles are as similar as that; linked texts form one component, and every
+link counts.  Equal sets are one node.  Three steps leave out only what cannot have a link:
+
+*Shared shingles.*  A linked set has at most ``|x| - ceil(similarity * |x|)`` shingles that the other one has not.  So of any
+part of its shingles (here those in ``SHARE`` eighths of the hashes) all but that many are in another set too; nodes of which
+this is not so, mostly nearly all, go no further.
+
+*Groups.*  The shingles of the nodes that are left are ordered from the rarest to the most frequent.  Linked sets have one in
+common among their first ``|x| - ceil(similarity * |x|) + 1`` (prefix filter), and those of one set only need not be looked up.
+Nodes that share such a shingle, however indirectly, form a group.
+
+*Links.*  SimHash's tiled comparison, at a radius that suits the similarity (at 0.8 some ten of 64 bits differ, give or take
+three), pairs each fingerprint of a group with the nearest other one of each pair of blocks, and these pairs are checked with
+both whole sets.  That connects most groups; the others are compared exactly by signature trees (``sigtree.all_links``), which
+find the links where a fingerprint is further away or another one is nearer.  Tasks return spanning forests, never all pairs.
 
 Defined results: a null or empty text, or one of white space only, has the empty set, and all such are one component;
-a text of fewer than five words is one shingle; a null ``doc_id`` is kept; an empty table gives an empty result.
+a text of fewer than five words is one shingle; a null ``doc_id`` is kept; an empty table gives an empty result.  Shingles and
+sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut
+from .sigtree import all_links, by_text, groups_of, lists_of, node_of, sets_of, signed
 from .simhash import components, folded, found_rows, links, nearest_links, one_each, shingle_hashes, text_key
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 #: Bits by which fingerprints of candidates may differ.
 NEAR = 16
-#: Parts by hash in which shingles are counted.
-PARTS = 128
-
+#: Eighths of the hashes in which shingles are first looked for in other sets.
+SHARE = 3
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, words)).view(np.int64)
 
+def ratio(similarity: float) -> tuple[int, int]:
+    """Numerator and denominator of a similarity."""
+    exact = Fraction(str(similarity)).limit_denominator(10**6)
+    return exact.numerator, exact.denominator
 
-def node_of(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes())
 
+def missing(size: Column, similarity: tuple[int, int]) -> Column:
+    """How many shingles of a set of this size a linked one may lack at most."""
+    return F.floor(size * F.lit(similarity[1] - similarity[0]) / F.lit(similarity[1]) + F.lit(1e-9)).cast("int")
 
-def sets_column(words: int):
-    """The node of a text (the hash of its set) and the set."""
 
-    @F.pandas_udf("node long, shingles array<long>")
-    def sets(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            found = [shingle_set(t, words) for t in batch]
-            yield pd.DataFrame({"node": np.array([*map(node_of, found)], np.uint64).view(np.int64), "shingles": pd.Series(found, dtype=object)})
+def nodes_of(docs: DataFrame, words: int) -> DataFrame:
+    """The node of a text (the hash of its set), its fingerprint, the size of its set, and the shingles that are looked for first."""
 
-    return sets
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        hashes = [shingle_hashes(t, words) for t in texts]
+        sets = [np.unique(h) for h in hashes]
+        some = [own[(own & np.uint64(7)) < SHARE] for own in sets]
+        return [pa.array(signed([*map(node_of, sets)])), pa.array(signed([*map(folded, hashes)])), pa.array(np.array([*map(len, sets)], np.int32)), lists_of(some)]
 
+    return by_text(docs, "node long, fp long, size int, some array<long>", make)
 
-def nodes_column(words: int):
-    """The node of a text, its fingerprint, the size of its set, and the counts of its parts."""
 
-    @F.pandas_udf("node long, fp long, size int, parts array<int>")
-    def nodes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            out = []
-            for text in batch:
-                hashes = shingle_hashes(text, words)
-                own = np.unique(hashes).view(np.int64)
-                out.append((node_of(own), folded(hashes), len(own), np.bincount(own & (PARTS - 1), minlength=PARTS).astype(np.int32)))
-            node, fp, size, parts = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pd.DataFrame({"node": np.array(node, np.uint64).view(np.int64), "fp": np.array(fp, np.uint64).view(np.int64), "size": np.array(size, np.int32), "parts": pd.Series(parts, dtype=object)})
+def sharing(facts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``facts(node, size, some, ...)`` without the nodes too many of whose shingles are in no other set."""
+    keyed = facts.select("node", F.explode("some").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    counts = keyed.join(shared, "key").groupBy("node").agg(F.count("*").alias("shared"))
+    found = F.coalesce("shared", F.lit(0))
+    return facts.join(counts, "node", "left").where(found >= F.size("some") - missing(F.col("size"), similarity)).drop("shared")
 
-    return nodes
 
+def prefixes(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``sets(node, size, shingles)`` -> ``(node, keys)``: of the first shingles of each set, rarest first, those that another set has."""
+    one = sets.select("node", "size", F.explode("shingles").alias("shingle"))
+    often = one.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    own = one.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    first = missing(F.col("size"), similarity) + 1 - (F.col("size") - F.size("own"))
+    return own.where(first > 0).select("node", F.slice("own", F.lit(1), first).alias("own")).select("node", F.transform("own", lambda x: x["shingle"]).alias("keys"))
 
-def likely(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """The distinct pairs ``(a, b)`` that can be as similar as asked for by the counts of their parts; ``facts(node, size, parts)``."""
-    side = lambda end: facts.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("parts").alias(f"{end}_parts"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
-    return both.where(most >= similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-6).select("a", "b")
 
-
-def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The pairs ``(a, b)`` of nodes whose sets are as similar as asked for."""
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common")) - 1e-9).select("a", "b")
+    return both.where(similarity[1] * F.col("common") >= similarity[0] * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
 def print_pairs(prints: DataFrame, radius: int) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that SimHash finds near: ``prints(node, fp)``, a row per node."""
+    """Pairs ``(a, b)`` of nodes that SimHash finds near: ``prints(node, fp)``, a row per node.  Not all that are; see ``set_links``."""
     one = cut(prints.groupBy("fp").agg(F.min("node").alias("low")))
     alike = prints.join(one, "fp").where("node <> low").select(F.col("node").alias("x"), F.col("low").alias("y"))
     ends = lambda end, node: one.select(F.col("fp").alias(end), F.col("low").alias(node))
@@ -96,17 +99,31 @@ def print_pairs(prints: DataFrame, radius: int) -> DataFrame:
     return alike.union(linked).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def set_links(sets: DataFrame, similarity: tuple[int, int], radius: int) -> DataFrame:
+    """``sets(root, node, size, fp, shingles)`` -> links ``(a, b)`` that connect exactly what is linked within groups.
+
+    Links between near fingerprints come first; groups that these leave in several components are compared by their sets.
+    """
+    place = lambda end: sets.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    pairs = print_pairs(sets.select("node", "fp"), radius).distinct().join(place("a"), "a").join(place("b"), "b").where("a_root = b_root").select("a", "b")
+    near = cut(checked(pairs, sets.select("node", "shingles"), similarity))
+    tops = components(near).withColumnRenamed("root", "top")
+    parts = sets.select("node", "root").join(tops, "node", "left").groupBy("root").agg(F.count_distinct(F.coalesce("top", "node")).alias("parts"))
+    rest = cut(sets.join(parts.where("parts > 1"), "root", "left_semi").select("root", "node", "size", "shingles"))
+    return near.union(all_links(rest, similarity))
+
+
 def roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = NEAR) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text_key, root``, the root being that of its component."""
-    text = F.col(text_col).cast("string")
-    made = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), nodes_column(words)(text).alias("p"))
-    rows = cut(made.select("doc_id", "text_key", "p.node", "p.fp", "p.size", "p.parts"))
-    facts = cut(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("parts").alias("parts"), F.min_by(F.struct("doc_id", "text_key"), "text_key").alias("r")))
-    some = cut(likely(print_pairs(facts.select("node", "fp"), radius), facts, similarity))
-    ends = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
-    wanted = cut(facts.join(ends, "node", "left_semi").select("r.doc_id", "r.text_key").distinct())
-    sets = found_rows(docs, wanted, id_col, text_col).select(sets_column(words)(text).alias("s")).select("s.node", "s.shingles")
-    tops = components(checked(some, cut(sets.dropDuplicates(["node"])), similarity))
+    text, least = F.col(text_col).cast("string"), ratio(similarity)
+    rows = cut(nodes_of(docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text")), words))
+    facts = rows.where("size > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("some").alias("some"), F.min_by(F.struct("doc_id", "text_key"), "text_key").alias("r"))
+    wanted = cut(sharing(cut(facts), least).select("r.doc_id", "r.text_key", "node", "fp", "size"))
+    sets = found_rows(docs, wanted.select("doc_id", "text_key").distinct(), id_col, text_col)
+    sets = sets_of(sets.select(text.alias("text")), words).dropDuplicates(["node"])
+    sets = cut(wanted.select("node", "fp", "size").join(sets, "node"))
+    groups = groups_of(cut(prefixes(sets, least)))
+    tops = components(set_links(cut(sets.join(groups, "node")), least, radius))
     return rows.join(tops, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 

@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
 
 Quality rules and toxicity drop the documents that they reject, the near-duplicate stage keeps one document of each
-group that SimHash finds near and that a similarity of 0.8 over five-word shingles links, the secret scan masks what it finds, and packing cuts what is left into sequences.
+group that a similarity of 0.8 over five-word shingles links (SimHash first, then exactly), the secret scan masks what it finds, and packing cuts what is left into sequences.
 """
 
 from __future__ import annotations

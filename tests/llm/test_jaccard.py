@@ -82,3 +82,33 @@ def test_nearest_links():
         want = [k for k in range(len(prints)) if d[k].min() <= 20]
         assert got["a"].tolist() == prints[want].tolist()
         assert [d[k, [*prints].index(b)] for k, b in zip(want, got["b"], strict=True)] == d[want].min(1).tolist()
+
+
+def test_no_link_is_left_out(spark):
+    """Short texts that are alike, but whose fingerprints are further apart than the radius, or nearer to others."""
+    rng = random.Random(5)
+    texts = []
+    for k in range(400):
+        base = [f"v{rng.randrange(90)}" for _ in range(rng.randint(8, 14))]
+        texts += [" ".join(base), " ".join([*base, f"end{k}"]), " ".join([f"start{k}", *base[:-1]])]
+    rows = list(enumerate(texts))
+    prints = [simhash.fingerprint(t, jaccard.SHINGLE_WORDS) for t in texts]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if len(grams(texts[i]) & grams(texts[j])) >= 0.8 * len(grams(texts[i]) | grams(texts[j]))]
+    assert sum((prints[i] ^ prints[j]).bit_count() > jaccard.NEAR for i, j in linked) > 5
+    want, _ = brute(rows)
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_set_links_are_whole_whatever_simhash_finds(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(words, k=80)
+        texts += [" ".join(base[k:] + rng.choices(words, k=k)) for k in (0, 2, 4, 6, 8, 10)]
+    rows = list(enumerate(texts))
+    want, linked = brute(rows)
+    assert linked > 12
+    for radius in (0, jaccard.NEAR):
+        got = jaccard.roots(spark.createDataFrame(rows, "doc_id long, text string"), radius=radius).groupBy("root").agg({"doc_id": "min"}).collect()
+        assert sorted(r["min(doc_id)"] for r in got) == want
