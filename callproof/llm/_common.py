@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,3 +37,18 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: What a worker keeps for its later tasks, by the use it has.
+KEPT: dict[tuple[str, str], object] = {}
+
+
+def give_back(use: tuple[str, str] | None = None) -> None:
+    """Drops what a worker kept for other uses than this one, and gives its unused memory back to the system.
+
+    Workers go from stage to stage; without this the tables of earlier stages count beside what the next one takes.
+    """
+    for other in [k for k in KEPT if k != use]:
+        del KEPT[other]
+    gc.collect()
+    pa.default_memory_pool().release_unused()

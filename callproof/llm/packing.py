@@ -17,24 +17,23 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from ._common import unused
-from .bpe import ChunkTable, opened, vocabulary
+from ._common import KEPT, give_back, unused
+from .bpe import opened, vocabulary
 
 LIMIT = 2048
 END_TOKEN = 1
-#: Pieces of text whose ids a worker keeps in each of two generations: some 100 MB.
-CHUNKS_KEPT = 500_000
+#: Pieces of text whose ids a worker keeps in each of two generations (some 70 MB), and words of composed pieces.
+CHUNKS_KEPT, PARTS_KEPT = 350_000, 50_000
 #: Documents whose pieces are returned in one go.
-DOCS_AT_ONCE = 1000
+DOCS_AT_ONCE = 500
 
 
 def piece_lengths(n: int, limit: int = LIMIT) -> list[int]:
@@ -43,62 +42,63 @@ def piece_lengths(n: int, limit: int = LIMIT) -> list[int]:
     return [limit] * (n // limit) + [1 << k for k in range(limit.bit_length() - 1, -1, -1) if rest >> k & 1 and 1 << k < limit]
 
 
-_TABLES: dict[str, ChunkTable] = {}
+class IdTable(dict):
+    """The ids, as bytes, of pieces between white space, made when a piece is first asked for.
 
-
-def id_table(path: str) -> ChunkTable:
-    """The ids, as bytes, of pieces between white space; kept by the worker for its later tasks.
-
-    Pieces are cut into the tokenizer file's words, and each new word goes through the tokenizers library's model once.
+    A new piece is cut into the tokenizer file's words, which go through the tokenizers library's model.  When the table is
+    full it becomes the older generation, from which pieces that come again are taken back.
     """
-    if path not in _TABLES:
+
+    def __init__(self, path: str, keep: int):
         from tokenizers import Tokenizer
 
-        bpe = opened(path)
-        model = Tokenizer.from_file(path).model
-        words = ChunkTable(None, lambda fresh: [array("I", [t.id for t in model.tokenize(bpe.spelled(w))]).tobytes() for w in fresh])
+        super().__init__()
+        self.bpe, self.tokenize, self.keep = opened(path), Tokenizer.from_file(path).model.tokenize, keep
+        self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-        def values(chunks: list[str]) -> Iterator[bytes]:
-            return (b"".join(v) for v in words.pieces([[c] if c in bpe.special else bpe.words(c) for c in chunks]))
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.old.get(chunk)
+        if value is None:
+            value = array("I", [self.bpe.special[chunk]]).tobytes() if chunk in self.bpe.special else self.made(self.bpe.words(chunk))
+        self[chunk] = value
+        return value
 
-        words.young.update((s, array("I", [i]).tobytes()) for s, i in bpe.special.items())
-        words.fixed = dict(words.young)
-        _TABLES[path] = ChunkTable(bpe.chunks, values, keep=CHUNKS_KEPT)
-    return _TABLES[path]
+    def made(self, words: list[str]) -> bytes:
+        return self.word(words[0]) if len(words) == 1 else b"".join(map(self.part, words))
 
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(word if word.isascii() and word.isprintable() else self.bpe.spelled(word))]).tobytes()
 
-def packed(docs: DataFrame, path: str, *, limit: int = LIMIT, end_token: int = END_TOKEN, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket`` and, if asked for, ``ids``."""
-    make = _with_ids if with_ids else _places
-    return make(docs, path, limit, end_token, id_col, text_col)
+    def part(self, word: str) -> bytes:
+        """The ids of one of several words, mostly a mark or a common word."""
+        if (value := self.parts.get(word)) is None:
+            if len(self.parts) >= PARTS_KEPT:
+                self.parts.clear()
+            value = self.parts[word] = self.word(word)
+        return value
 
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a text, four bytes each."""
+        if len(self) > self.keep:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, self.bpe.chunks(text)))
 
-def _places(docs: DataFrame, path: str, limit: int, end_token: int, id_col: str, text_col: str) -> DataFrame:
-    names = ["start", "length", "ids_crc32"]
-    fields = [StructField(n, ArrayType(LongType())) for n in names]
 
-    @F.pandas_udf(StructType([StructField("doc_tokens", LongType()), *fields]))
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table = id_table(path)
-        end = np.array([end_token], "<u4").tobytes()
-        for batch in texts:
-            out = []
-            for values in table.texts(batch):
-                ids = b"".join(values) + end
-                lengths = piece_lengths(len(ids) // 4, limit)
-                starts = [0, *accumulate(lengths)]
-                parts = [ids[4 * a : 4 * b] for a, b in pairwise(starts)]
-                out.append((len(ids) // 4, np.array(starts[:-1]), np.array(lengths), np.array([*map(zlib.crc32, parts)])))
-            yield pd.DataFrame(out, columns=["doc_tokens", *names])
-
-    own = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col).cast("string")).alias("p"))
-    zipped = F.explode(F.arrays_zip(*[F.col(f"p.{f.name}").alias(f.name) for f in fields]))
-    made = own.select("doc_id", F.col("p.doc_tokens").alias("doc_tokens"), zipped.alias("q")).withColumn("sequence_id", F.monotonically_increasing_id())
-    return made.select("doc_id", *[f"q.{n}" for n in names], "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.log2("q.length").cast("int").alias("bucket"))
-
-
-def _with_ids(docs: DataFrame, path: str, limit: int, end_token: int, id_col: str, text_col: str) -> DataFrame:
-    """Pieces with their ids, some documents at a time, so that a batch of long texts is not held whole."""
+def id_table(path: str) -> IdTable:
+    """The table of a tokenizer file, kept by the worker for its later tasks."""
+    give_back(use := ("packing", path))
+    if use not in KEPT:
+        KEPT[use] = IdTable(path, CHUNKS_KEPT)
+    return KEPT[use]
+
+
+def packed(docs: DataFrame, path: str, *, limit: int = LIMIT, end_token: int = END_TOKEN, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket`` and, if asked for, ``ids``.
+
+    Some documents are packed at a time, so that the ids of a batch of long texts are not held whole.
+    """
     id_field = docs.schema[id_col]
 
     def pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +107,16 @@ def _with_ids(docs: DataFrame, path: str, limit: int, end_token: int, id_col: st
         for batch in rows:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(at, DOCS_AT_ONCE)
-                own = [b"".join(values) + end for values in table.texts(part.column(1).to_pylist())]
-                yield piece_rows(part.column(0), own, limit)
+                own = [table.ids(text) + end for text in part.column(1).to_pylist()]
+                yield piece_rows(part.column(0), own, limit, with_ids)
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fields = [StructField("doc_id", id_field.dataType), *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")], StructField("ids", ArrayType(IntegerType()))]
+    fields = [StructField("doc_id", id_field.dataType), *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")], *[StructField("ids", ArrayType(IntegerType()))] * with_ids]
     made = own.mapInArrow(pieces, StructType(fields)).withColumn("sequence_id", F.monotonically_increasing_id())
-    return made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"), "ids")
+    return made.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"), *["ids"] * with_ids)
 
 
-def piece_rows(ids: pa.Array, own: list[bytes], limit: int) -> pa.RecordBatch:
+def piece_rows(ids: pa.Array, own: list[bytes], limit: int, with_ids: bool = True) -> pa.RecordBatch:
     """One row per piece of the documents whose token ids ``own`` holds."""
     lengths = [piece_lengths(len(x) // 4, limit) for x in own]
     counts = np.fromiter(map(len, lengths), np.int64, len(own))
@@ -127,8 +127,9 @@ def piece_rows(ids: pa.Array, own: list[bytes], limit: int) -> pa.RecordBatch:
     crc = np.fromiter((zlib.crc32(own[d][4 * a : 4 * (a + n)]) for d, a, n in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)), np.int64, len(doc))
     total = np.fromiter((len(x) // 4 for x in own), np.int64, len(own))[doc]
     columns = {"doc_id": ids.take(pa.array(doc)), "start": pa.array(start), "length": pa.array(size), "ids_crc32": pa.array(crc), "doc_tokens": pa.array(total)}
-    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
-    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), "<i4")))
+    if with_ids:
+        ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(own), "<i4")))
     return pa.RecordBatch.from_pydict(columns)
 
 

@@ -3,7 +3,7 @@ import random
 import zlib
 
 import numpy as np
-from callproof.llm import bpe, packing
+from callproof.llm import _common, bpe, packing
 from tokenizers import Tokenizer
 
 PATH = bpe.vocabulary()
@@ -89,3 +89,41 @@ def test_packing_against_the_library(spark):
     drawn = packing.batches(packing.packed(frame(spark, values), PATH), tokens=4096)
     sizes = drawn.groupBy("batch").agg({"length": "sum", "bucket": "max"}).collect()
     assert all(r["sum(length)"] <= 4096 for r in sizes)
+
+
+def test_ids_of_packing_stay_right_when_tables_are_full(monkeypatch):
+    monkeypatch.setattr(packing, "PARTS_KEPT", 20)
+    table, t = packing.IdTable(PATH, 40), library()
+    values = texts(400, seed=12)[:-6] + ["the quick brown fox"] * 20
+    for text in [*values, None, "", "tab\x7f\x00end <|endoftext|>x<|startoftext|>"]:
+        assert np.frombuffer(table.ids(text), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+    assert len(table.parts) <= 20
+
+
+def test_packing_asks_once_for_the_ids_of_a_piece():
+    """Each piece is looked up in one table, and a new one goes through the model once; marks at its end do not make a new word."""
+    table = packing.id_table(PATH)
+    asked = []
+    table.tokenize = lambda w, f=table.tokenize: asked.append(w) or f(w)
+    text = " ".join(f"qzx{'abcdefghij'[k % 10]}v{mark}" for k in range(200) for mark in ("", ".", "$$$", ","))
+    table.ids(text)
+    assert len(asked) <= 40 + 3
+    before = len(asked)
+    table.ids(text)
+    assert len(asked) == before
+    _common.KEPT.clear()
+
+
+def test_packing_without_ids_equals_packing_with(spark):
+    docs = frame(spark, texts(200, seed=6))
+    with_ids = packing.packed(docs, PATH)
+    without = packing.packed(docs, PATH, with_ids=False)
+    assert without.columns == with_ids.drop("ids").columns and without.exceptAll(with_ids.drop("ids")).count() == 0 and without.count() == with_ids.count()
+
+
+def test_tables_of_other_uses_are_dropped():
+    table = packing.id_table(PATH)
+    table.ids("kept for later tasks")
+    assert packing.id_table(PATH) is table and "later" in table
+    _common.give_back()
+    assert not _common.KEPT and packing.id_table(PATH) is not table
