@@ -65,18 +65,21 @@ def nodes_of(docs: DataFrame, words: int) -> DataFrame:
     return by_text(docs, "node long, fp long, size int, some array<long>", make)
 
 
-def sharing(facts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``facts(node, size, some, ...)`` without the nodes too many of whose shingles are in no other set."""
-    keyed = facts.select("node", F.explode("some").alias("key"))
+def sharing(rows: DataFrame, facts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``facts(node, size, first, rows, ...)`` without the nodes too many of whose shingles are in no other set; ``rows(node, some)``.
+
+    What is exploded is dealt by shingle once, for the count and the join; copies of a text are counted as often as they are there.
+    """
+    keyed = rows.select("node", F.explode("some").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     counts = keyed.join(shared, "key").groupBy("node").agg(F.count("*").alias("shared"))
     found = F.coalesce("shared", F.lit(0))
-    return facts.join(counts, "node", "left").where(found >= F.size("some") - missing(F.col("size"), similarity)).drop("shared")
+    return facts.join(counts, "node", "left").where(found >= F.col("rows") * (F.col("first") - missing(F.col("size"), similarity))).drop("shared")
 
 
 def prefixes(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``sets(node, size, shingles)`` -> ``(node, keys)``: of the first shingles of each set, rarest first, those that another set has."""
-    one = sets.select("node", "size", F.explode("shingles").alias("shingle"))
+    one = sets.select("node", "size", F.explode("shingles").alias("shingle")).repartition("shingle")  # dealt once for the count and the join
     often = one.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     own = one.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
     first = missing(F.col("size"), similarity) + 1 - (F.col("size") - F.size("own"))
@@ -117,8 +120,8 @@ def roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wo
     """One row per row of ``docs``: ``doc_id, text_key, root``, the root being that of its component."""
     text, least = F.col(text_col).cast("string"), ratio(similarity)
     rows = cut(nodes_of(docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text")), words))
-    facts = rows.where("size > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("some").alias("some"), F.min_by(F.struct("doc_id", "text_key"), "text_key").alias("r"))
-    wanted = cut(sharing(cut(facts), least).select("r.doc_id", "r.text_key", "node", "fp", "size"))
+    facts = rows.where("size > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first(F.size("some")).alias("first"), F.count("*").alias("rows"), F.min_by(F.struct("doc_id", "text_key"), "text_key").alias("r"))
+    wanted = cut(sharing(rows, facts, least).select("r.doc_id", "r.text_key", "node", "fp", "size"))
     sets = found_rows(docs, wanted.select("doc_id", "text_key").distinct(), id_col, text_col)
     sets = sets_of(sets.select(text.alias("text")), words).dropDuplicates(["node"])
     sets = cut(wanted.select("node", "fp", "size").join(sets, "node"))
