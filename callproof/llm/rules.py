@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import cut, unused
+from ._common import cut, give_back, unused
 
 WINDOW = 5
 BASE_WORDS = 10
@@ -91,6 +91,7 @@ def counts_of(text: str | None) -> tuple[int, ...]:
 
 @F.pandas_udf(SHAPE)
 def counts_column(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    give_back()
     for batch in texts:
         yield pd.DataFrame([counts_of(t) for t in batch], columns=COUNTS)
 
@@ -164,9 +165,10 @@ def kept_rows(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     counts = counts_column(F.col(text_col).cast("string"))
     limits = fences(docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), counts.alias("c")), reach=reach, least_rows=least_rows)
     limits = limits.select(F.col("lang").alias(lang), F.col("source").alias(source), F.col("fence").alias(fence))
-    own = docs.withColumn(c, counts).where(~base_failed(c))
+    own = docs.withColumn(c, counts)
     joined = own.join(limits, own[lang_col].eqNullSafe(limits[lang]) & own[source_col].eqNullSafe(limits[source]), "left")
-    return joined.where(within(c, fence)).select(*[docs[x] for x in docs.columns])
+    # one condition over both sides: a part of it that needs the counts only would be moved below the join, and they be made again there
+    return joined.where(F.when(~base_failed(c), within(c, fence))).select(*[docs[x] for x in docs.columns])
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import cut, table
+from ._common import cut, give_back, table
 from .simhash import Forest, components, found_rows, shingle_hashes, text_key
 
 SHINGLE_WORDS = 3
@@ -133,6 +133,7 @@ def by_text(docs: DataFrame, made: str, make: Callable[[list[str | None]], list[
     schema = StructType([*docs.schema.fields[:kept], *StructType.fromDDL(made).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_HELD):
                 part = batch.slice(at, TEXTS_HELD)

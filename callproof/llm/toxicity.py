@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from ._common import cut, table
+from ._common import cut, give_back, table
 from .classifier import remainder, training_sample
 
 TRAIN_ROWS = 20_000
@@ -384,6 +384,7 @@ def score_column(spark, model: Model):
 
     @F.pandas_udf(DoubleType())
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        give_back()
         m = shared.value
         matcher = m.matcher()
         for batch in texts:

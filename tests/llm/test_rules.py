@@ -79,3 +79,8 @@ def test_verdicts_against_brute_force(spark):
             assert got[k] == (kept and not failed), t
             rejected += not kept
     assert rejected > 10
+
+
+def test_kept_rows_counts_a_text_once_in_its_last_pass(spark, sf):
+    plan = rules.kept_rows(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("counts_column(") == 1
