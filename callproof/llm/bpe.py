@@ -45,25 +45,63 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class Bpe:
-    """An encoder for a tokenizer file of byte-level BPE with a word-end suffix."""
+class Splitter:
+    """What a tokenizer file says about cutting texts into words and spelling them, without its vocabulary and merges."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.vocab: dict[str, int] = model["vocab"]
-        self.suffix: str = model["end_of_word_suffix"] or ""
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])}
-        self.tokens = {i: t for t, i in self.vocab.items()}
+            self.read(json.load(f))
+
+    def read(self, spec: dict) -> None:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens |= {i: t for t, i in self.special.items()}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(pattern.replace(r"\s", r"\p{White_Space}")).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.letters = byte_letters()
-        self.longest = max(map(len, self.vocab))
         self.space = regex.compile(r"\p{White_Space}+").split
+
+    def normal(self, text: str) -> str:
+        """Canonical composition and lower case letter by letter (no final-sigma rule); white space only separates words."""
+        text = unicodedata.normalize("NFC", text)
+        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+
+    def words(self, chunk: str) -> list[str]:
+        """The words of a piece between white space; plain ones, the most, are told without the pattern."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,":
+                return [chunk[:-1], chunk[-1]]
+        return self.find(chunk)
+
+    def spelled(self, word: str) -> str:
+        """A word in the letters that stand for its bytes."""
+        return "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
+
+    def chunks(self, text: str | None) -> list[str]:
+        """The pieces of a text between white space; no word spans two of them.  Special tokens are pieces."""
+        if not text:
+            return []
+        if any(s in text for s in self.special):
+            return [c for i, part in enumerate(self.cut(text)) for c in ([part] if i % 2 else self.plain(part))]
+        return self.plain(text)
+
+    def plain(self, text: str) -> list[str]:
+        text = self.normal(text)
+        return text.split() if not any(c in text for c in SEPARATORS) else [c for c in self.space(text) if c]
+
+
+class Bpe(Splitter):
+    """An encoder for a tokenizer file of byte-level BPE with a word-end suffix."""
+
+    def read(self, spec: dict) -> None:
+        super().read(spec)
+        model = spec["model"]
+        self.vocab: dict[str, int] = model["vocab"]
+        self.suffix: str = model["end_of_word_suffix"] or ""
+        self.ranks = {(a, b): i for i, (a, b) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])}
+        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.longest = max(map(len, self.vocab))
         self.known: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
         self.pair_keys = np.zeros(0, np.int64)
@@ -173,36 +211,6 @@ class Bpe:
                 ids = self.merge([*spell[:-1], spell[-1] + self.suffix])
             self.known[word] = ids
 
-    def normal(self, text: str) -> str:
-        """Canonical composition and lower case letter by letter (no final-sigma rule); white space only separates words."""
-        text = unicodedata.normalize("NFC", text)
-        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-
-    def words(self, chunk: str) -> list[str]:
-        """The words of a piece between white space; plain ones, the most, are told without the pattern."""
-        if chunk.isascii():
-            if chunk.isalpha():
-                return [chunk]
-            if chunk[:-1].isalpha() and chunk[-1] in ".,":
-                return [chunk[:-1], chunk[-1]]
-        return self.find(chunk)
-
-    def spelled(self, word: str) -> str:
-        """A word in the letters that stand for its bytes."""
-        return "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
-
-    def chunks(self, text: str | None) -> list[str]:
-        """The pieces of a text between white space; no word spans two of them.  Special tokens are pieces."""
-        if not text:
-            return []
-        if any(s in text for s in self.special):
-            return [c for i, part in enumerate(self.cut(text)) for c in ([part] if i % 2 else self.plain(part))]
-        return self.plain(text)
-
-    def plain(self, text: str) -> list[str]:
-        text = self.normal(text)
-        return text.split() if not any(c in text for c in SEPARATORS) else [c for c in self.space(text) if c]
-
     def encode_chunks(self, chunks: list[str]) -> Iterator[list[int]]:
         """The ids of each chunk; all chunks' new words are verified together."""
         for at in range(0, len(chunks), WORDS_KEPT // 4):

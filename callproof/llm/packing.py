@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ._common import KEPT, give_back, unused
-from .bpe import opened, vocabulary
+from .bpe import Splitter, vocabulary
 
 LIMIT = 2048
 END_TOKEN = 1
-#: Pieces of text whose ids a worker keeps in each of two generations (some 70 MB), and words of composed pieces.
-CHUNKS_KEPT, PARTS_KEPT = 350_000, 50_000
+#: Pieces of text whose ids a worker keeps in each of two generations (just below a step of a dict's size; some 90 MB in all), and words of composed pieces.
+CHUNKS_KEPT, PARTS_KEPT = 170_000, 50_000
 #: Documents whose pieces are returned in one go.
 DOCS_AT_ONCE = 500
 
@@ -53,14 +53,14 @@ class IdTable(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.bpe, self.tokenize, self.keep = opened(path), Tokenizer.from_file(path).model.tokenize, keep
+        self.split, self.tokenize, self.keep = Splitter(path), Tokenizer.from_file(path).model.tokenize, keep
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.old.get(chunk)
         if value is None:
-            value = array("I", [self.bpe.special[chunk]]).tobytes() if chunk in self.bpe.special else self.made(self.bpe.words(chunk))
+            value = array("I", [self.split.special[chunk]]).tobytes() if chunk in self.split.special else self.made(self.split.words(chunk))
         self[chunk] = value
         return value
 
@@ -68,7 +68,7 @@ class IdTable(dict):
         return self.word(words[0]) if len(words) == 1 else b"".join(map(self.part, words))
 
     def word(self, word: str) -> bytes:
-        return array("I", [t.id for t in self.tokenize(word if word.isascii() and word.isprintable() else self.bpe.spelled(word))]).tobytes()
+        return array("I", [t.id for t in self.tokenize(word if word.isascii() and word.isprintable() else self.split.spelled(word))]).tobytes()
 
     def part(self, word: str) -> bytes:
         """The ids of one of several words, mostly a mark or a common word."""
@@ -83,7 +83,7 @@ class IdTable(dict):
         if len(self) > self.keep:
             self.old = dict(self)
             self.clear()
-        return b"".join(map(self.__getitem__, self.bpe.chunks(text)))
+        return b"".join(map(self.__getitem__, self.split.chunks(text)))
 
 
 def id_table(path: str) -> IdTable:
@@ -91,6 +91,7 @@ def id_table(path: str) -> IdTable:
     give_back(use := ("packing", path))
     if use not in KEPT:
         KEPT[use] = IdTable(path, CHUNKS_KEPT)
+        give_back(use)  # what reading the file took
     return KEPT[use]
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -127,3 +128,15 @@ def test_tables_of_other_uses_are_dropped():
     assert packing.id_table(PATH) is table and "later" in table
     _common.give_back()
     assert not _common.KEPT and packing.id_table(PATH) is not table
+
+
+def test_a_worker_s_table_of_pieces_is_small():
+    """It holds no vocabulary and merges beside the library's, and when full it takes tens of MB."""
+    table = packing.id_table(PATH)
+    assert not hasattr(table.split, "ranks") and not hasattr(table.split, "vocab")
+    table.made = lambda words: bytes(12)
+    for k in range(0, 800_000, 1000):
+        table.ids(" ".join(map("piece{}".format, range(k, k + 1000))))
+    held = [*table.items(), *table.old.items()]
+    _common.KEPT.clear()
+    assert sum(sys.getsizeof(x) for row in held for x in row) + sys.getsizeof(table) + sys.getsizeof(table.old) < 60_000_000
