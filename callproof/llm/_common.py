@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def laid_down(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows as a table in the shared folder, and its path; ``removed`` frees its place as soon as nothing reads it any more."""
+    path = f"{checkpoint_dir(df.sparkSession)}/laid-down-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a table of ours from the shared folder."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path)
+    done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have (compared as Spark does, without case)."""
     taken = {c.lower() for c in df.columns}

@@ -27,10 +27,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, laid_down, removed
 from .sigtree import all_links, by_text, groups_of, lists_of, node_of, sets_of, signed
 from .simhash import components, folded, found_rows, links, nearest_links, one_each, shingle_hashes, text_key
 
@@ -68,20 +68,23 @@ def nodes_of(docs: DataFrame, words: int) -> DataFrame:
 def sharing(rows: DataFrame, facts: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``facts(node, size, first, rows, ...)`` without the nodes too many of whose shingles are in no other set; ``rows(node, some)``.
 
-    What is exploded is dealt by shingle once, for the count and the join; copies of a text are counted as often as they are there.
+    What is exploded is dealt by shingle once; copies of a text are counted as often as they are there.
     """
-    keyed = rows.select("node", F.explode("some").alias("key")).repartition("key")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
-    counts = keyed.join(shared, "key").groupBy("node").agg(F.count("*").alias("shared"))
+    same = Window.partitionBy("key")
+    keyed = rows.select("node", F.explode("some").alias("key")).select("node", (F.min("node").over(same) != F.max("node").over(same)).alias("met"))
+    counts = keyed.where("met").groupBy("node").agg(F.count("*").alias("shared"))
     found = F.coalesce("shared", F.lit(0))
     return facts.join(counts, "node", "left").where(found >= F.col("rows") * (F.col("first") - missing(F.col("size"), similarity))).drop("shared")
 
 
 def prefixes(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``sets(node, size, shingles)`` -> ``(node, keys)``: of the first shingles of each set, rarest first, those that another set has."""
-    one = sets.select("node", "size", F.explode("shingles").alias("shingle")).repartition("shingle")  # dealt once for the count and the join
-    often = one.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    own = one.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    """``sets(node, size, shingles)`` -> ``(node, keys)``: of the first shingles of each set, rarest first, those that another set has.
+
+    What is exploded is dealt by shingle once.
+    """
+    one = sets.select("node", "size", F.explode("shingles").alias("shingle"))
+    often = one.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).where("n > 1")
+    own = often.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
     first = missing(F.col("size"), similarity) + 1 - (F.col("size") - F.size("own"))
     return own.where(first > 0).select("node", F.slice("own", F.lit(1), first).alias("own")).select("node", F.transform("own", lambda x: x["shingle"]).alias("keys"))
 
@@ -102,31 +105,36 @@ def print_pairs(prints: DataFrame, radius: int) -> DataFrame:
     return alike.union(linked).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def set_links(sets: DataFrame, similarity: tuple[int, int], radius: int) -> DataFrame:
-    """``sets(root, node, size, fp, shingles)`` -> links ``(a, b)`` that connect exactly what is linked within groups.
+def set_links(nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int], radius: int) -> DataFrame:
+    """``nodes(root, node, size, fp)`` and ``sets(node, shingles)`` -> links ``(a, b)`` that connect exactly what is linked within groups.
 
     Links between near fingerprints come first; groups that these leave in several components are compared by their sets.
     """
-    place = lambda end: sets.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-    pairs = print_pairs(sets.select("node", "fp"), radius).distinct().join(place("a"), "a").join(place("b"), "b").where("a_root = b_root").select("a", "b")
-    near = cut(checked(pairs, sets.select("node", "shingles"), similarity))
+    place = lambda end: nodes.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    pairs = print_pairs(nodes.select("node", "fp"), radius).distinct().join(place("a"), "a").join(place("b"), "b").where("a_root = b_root").select("a", "b")
+    near = cut(checked(pairs, sets, similarity))
     tops = components(near).withColumnRenamed("root", "top")
-    parts = sets.select("node", "root").join(tops, "node", "left").groupBy("root").agg(F.count_distinct(F.coalesce("top", "node")).alias("parts"))
-    rest = cut(sets.join(parts.where("parts > 1"), "root", "left_semi").select("root", "node", "size", "shingles"))
-    return near.union(all_links(rest, similarity))
+    parts = nodes.select("node", "root").join(tops, "node", "left").groupBy("root").agg(F.count_distinct(F.coalesce("top", "node")).alias("parts"))
+    apart = nodes.select("root", "node", "size").join(parts.where("parts > 1"), "root", "left_semi")
+    return near.union(all_links(cut(apart.join(sets, "node").select("root", "node", "size", "shingles")), similarity))
 
 
 def roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = NEAR) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, text_key, root``, the root being that of its component."""
+    """One row per row of ``docs``: ``doc_id, text_key, root``, the root being that of its component.
+
+    The shingles that are looked for first are removed when they have been; sets stay by node, apart from their groups.
+    """
     text, least = F.col(text_col).cast("string"), ratio(similarity)
-    rows = cut(nodes_of(docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text")), words))
-    facts = rows.where("size > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first(F.size("some")).alias("first"), F.count("*").alias("rows"), F.min_by(F.struct("doc_id", "text_key"), "text_key").alias("r"))
-    wanted = cut(sharing(rows, facts, least).select("r.doc_id", "r.text_key", "node", "fp", "size"))
+    looked, path = laid_down(nodes_of(docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text")), words))
+    facts = looked.where("size > 0").groupBy("node").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first(F.size("some")).alias("first"), F.count("*").alias("rows"), F.min_by(F.struct("doc_id", "text_key"), "text_key").alias("r"))
+    wanted = cut(sharing(looked, facts, least).select("r.doc_id", "r.text_key", "node", "fp", "size"))
+    rows = cut(looked.select("doc_id", "text_key", "node"))
+    removed(docs.sparkSession, path)
     sets = found_rows(docs, wanted.select("doc_id", "text_key").distinct(), id_col, text_col)
     sets = sets_of(sets.select(text.alias("text")), words).dropDuplicates(["node"])
-    sets = cut(wanted.select("node", "fp", "size").join(sets, "node"))
+    sets = cut(wanted.select("node", "size").join(sets, "node"))
     groups = groups_of(cut(prefixes(sets, least)))
-    tops = components(set_links(cut(sets.join(groups, "node")), least, radius))
+    tops = components(set_links(cut(wanted.select("node", "fp", "size").join(groups, "node")), sets.select("node", "shingles"), least, radius))
     return rows.join(tops, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 

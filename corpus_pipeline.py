@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from callproof.llm import bpe, jaccard, packing, rules, secrets, toxicity
-from callproof.llm._common import checkpoint_dir, table
+from callproof.llm._common import checkpoint_dir, removed, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before is not None:
-            done = spark._jvm.org.apache.hadoop.fs.Path(before)
-            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+            removed(spark, before)
         before = path
     return docs

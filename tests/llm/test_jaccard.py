@@ -1,9 +1,10 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 from callproof.llm import jaccard, simhash
-from callproof.llm._common import table
+from callproof.llm._common import checkpoint_dir, table
 
 import corpus_pipeline
 
@@ -112,3 +113,29 @@ def test_set_links_are_whole_whatever_simhash_finds(spark):
     for radius in (0, jaccard.NEAR):
         got = jaccard.roots(spark.createDataFrame(rows, "doc_id long, text string"), radius=radius).groupBy("root").agg({"doc_id": "min"}).collect()
         assert sorted(r["min(doc_id)"] for r in got) == want
+
+
+def test_shingles_are_dealt_once(spark):
+    """Whether a shingle is in other sets, and in how many, is settled where it was dealt to, without a second shuffle of all of them."""
+
+    def exploded(df):
+        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Generate explode")
+
+    rows = spark.createDataFrame([(1, [1, 2, 3, 4]), (1, [1, 2, 3, 4]), (2, [4, 5, 6, 7]), (3, [1, 2, 3, 8]), (4, [9, 10, 11, 12])], "node long, some array<long>")
+    facts = spark.createDataFrame([(1, 5, 4, 2), (2, 5, 4, 1), (3, 5, 4, 1), (4, 5, 4, 1)], "node long, size int, first int, rows long")
+    near = jaccard.sharing(rows, facts, (4, 5))
+    assert sorted(r["node"] for r in near.collect()) == [1, 3] and exploded(near) == 1
+    sets = spark.createDataFrame([(1, 5, [1, 2, 3, 4, 5]), (2, 5, [2, 3, 4, 5, 6]), (3, 5, [3, 4, 5, 6, 2]), (4, 5, [9, 10, 11, 12, 3])], "node long, size int, shingles array<long>")
+    first = jaccard.prefixes(sets, (4, 5))
+    assert {r["node"]: r["keys"] for r in first.collect()} == {1: [2], 2: [6, 2], 3: [6, 2]} and exploded(first) == 1
+
+
+def test_shingles_looked_for_first_take_no_place_afterwards(spark):
+    """Of texts that nothing is like, only ids and hashes stay in the shared folder, not a good third of their shingles."""
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    held = lambda: {f: f.stat().st_size for f in folder.rglob("*") if f.is_file() and not f.name.startswith(".")}
+    rng, before = random.Random(2), held()
+    rows = [(k, " ".join(str(rng.randrange(10**9)) for _ in range(2000))) for k in range(100)]
+    found = jaccard.roots(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.select("root").distinct().count() == 100
+    assert sum(n for f, n in held().items() if f not in before) < 100 * 1000
