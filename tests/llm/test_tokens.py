@@ -50,6 +50,43 @@ def test_failing_words_only_are_merged_exactly():
     assert 0 < b.exact_words < len(words)
 
 
+def test_new_words_are_merged_together(monkeypatch):
+    """Failing words and pairs not judged before go through numpy in few steps; only words of many letters are merged alone."""
+    alone = []
+    monkeypatch.setattr(bpe.Bpe, "merge", lambda self, symbols, f=bpe.Bpe.merge: alone.append(len(symbols)) or f(self, symbols))
+    b, t, rng = bpe.Bpe(PATH), library(), random.Random(8)
+    words = sorted({"".join(rng.choices("abcdeinorstéßς한", k=rng.randint(1, 10))) for _ in range(3000)})
+    text = " ".join(words)
+    assert b.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert b.exact_words > 100 and not alone
+    long = " ".join("".join(rng.choices("abcdeinorst", k=k)) for k in range(1, 140))
+    assert b.encode(long).tolist() == t.encode(long, add_special_tokens=False).ids
+    assert alone and min(alone) > bpe.ROW_LETTERS
+
+
+def test_merging_together_equals_merging_alone(monkeypatch):
+    monkeypatch.setattr(bpe, "ROWS", 7)
+    b, rng = bpe.Bpe(PATH), random.Random(5)
+    words = [[rng.choice(b"aeinorsthx\xc3\xa9") for _ in range(rng.choice([1, 2, 5, 9, 31, 32, 33, 64, 65, 90]))] for _ in range(300)] + [[97] * 32, [97] * 31]
+    for w in words:
+        w[-1] += bpe.LAST
+    ids, counts = b.merge_all(np.array([c for w in words for c in w]), np.array([*map(len, words)]))
+    want = [b.merge([b.code_symbols[c] for c in w]) for w in words]
+    assert counts.tolist() == [*map(len, want)] and ids.tolist() == [i for w in want for i in w]
+    empty = b.merge_all(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert len(empty[0]) == len(empty[1]) == 0
+
+
+def test_numbers_by_numbers():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 5000, 3000))
+    table = bpe.Numbers(keys, np.arange(len(keys)))
+    want = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+    asked = np.arange(-2, 6000)
+    assert table.get(asked).tolist() == [want.get(k, -1) for k in asked.tolist()]
+    assert bpe.Numbers(keys[:0], keys[:0]).get(asked).max() == -1
+
+
 def test_long_words_merge_as_short_ones():
     b = bpe.Bpe(PATH)
     word = "abcabcinthethere" * 3
