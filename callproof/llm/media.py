@@ -72,7 +72,7 @@ def store(payload: bytes) -> bytes:
     files = []
     for at in range(0, len(payload), STRIP):
         pixels = np.frombuffer(payload[at : at + STRIP], ">u4").astype(np.uint32)
-        if len(np.unique(pixels)) <= 16:
+        if len(np.unique(pixels[:WIDTH * 4])) <= 16 and len(np.unique(pixels)) <= 16:
             files.append(webp.encode(pixels.reshape(-1, WIDTH), palette=True))
         else:
             files.append(webp.smallest(pixels, WIDTH, PLAIN, TOKENS, DIFFERENCES))

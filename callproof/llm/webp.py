@@ -28,7 +28,10 @@ LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 CACHE_FACTOR = 0x1E35A7BD
 LENGTH_CODES, DISTANCE_CODES = 24, 40
-WINDOW_BITS = 1 << 16
+#: Bits whose codes are looked up together: the tables of a window stay in a core's own cache.
+WINDOW_BITS = 1 << 15
+#: Bits of a code's length, where it stands beside its symbol.
+LENGTH_BITS = 4
 #: More bits than one pixel or back-reference can take.
 REACH = 96
 
@@ -57,6 +60,7 @@ class Prefix:
         used = np.flatnonzero(lengths)
         if len(used) <= 1:  # one symbol takes no bits
             self.width, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0]), np.zeros(1, np.int64)
+            self.both = self.symbol << LENGTH_BITS
             return
         self.width = int(lengths.max())
         self.symbol, self.length = np.zeros(1 << self.width, np.int64), np.zeros(1 << self.width, np.int64)
@@ -66,6 +70,7 @@ class Prefix:
             room += 1 << (self.width - n)
         if room != 1 << self.width:
             raise ValueError("not a complete prefix code")
+        self.both = self.symbol << LENGTH_BITS | self.length
 
     def read(self, bits: Bits) -> int:
         v = bits.peek(self.width)
@@ -121,6 +126,12 @@ def read_lengths(bits: Bits, size: int) -> np.ndarray:
 _GROUPS: list[tuple[int, int, int, int, list[Prefix]]] = []
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two lists of code lengths are the same, but for symbols at the end of one that have no code."""
+    n = min(len(a), len(b))
+    return np.array_equal(a[:n], b[:n]) and not a[n:].any() and not b[n:].any()
+
+
 def read_group(bits: Bits, cache_bits: int) -> list[Prefix]:
     """The five prefix codes: green (with lengths and cache), red, blue, alpha, distance."""
     for k, (phase, cache, n, value, group) in enumerate(_GROUPS):
@@ -132,7 +143,7 @@ def read_group(bits: Bits, cache_bits: int) -> list[Prefix]:
     sizes = (256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCE_CODES)
     group: list[Prefix] = []
     for lengths in [read_lengths(bits, n) for n in sizes]:
-        group.append(next((g for g in group if np.array_equal(g.lengths, lengths)), None) or Prefix(lengths))  # equal codes share their tables
+        group.append(next((g for g in group if alike(g.lengths, lengths)), None) or Prefix(lengths))  # equal codes share their tables
     n, bits.at = bits.at - at, at
     _GROUPS.insert(0, (at & 7, cache_bits, n, bits.peek(n), group))
     del _GROUPS[12:]
@@ -210,49 +221,56 @@ def read_bulk(bits: Bits, width: int, total: int, group: list[Prefix], cache_bit
         base = bits.at >> 3
         raw = np.frombuffer(bits.data[base : base + (WINDOW_BITS + 2 * REACH >> 3)] + bytes(2 * REACH >> 3), np.uint8).astype(np.int64)
         wide = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-        look = ((wide[:, None] >> np.arange(8)) & 0xFFFF).ravel()  # what follows each bit
+        look = np.empty((len(wide), 8), np.int64)
+        for k in range(8):
+            np.right_shift(wide, k, out=look[:, k])
+        look = look.ravel()  # what follows each bit: 17 bits at least
         size = min(WINDOW_BITS, len(look) - REACH)
-        steps: dict[int, np.ndarray] = {}
-
-        def step(code: Prefix, at: np.ndarray, look=look, steps=steps) -> np.ndarray:
+        place = np.arange(len(look))
+        first = green.both.take(look & ((1 << green.width) - 1))
+        after = first & ((1 << LENGTH_BITS) - 1)
+        after += place
+        nexts = {id(green): after}
+
+        def step(code: Prefix, at: np.ndarray, look=look, place=place, nexts=nexts) -> np.ndarray:
+            """Where the code that begins at each bit ends."""
             if not code.width:
                 return at
-            if id(code) not in steps:
-                steps[id(code)] = code.length.take(look & ((1 << code.width) - 1))
-            return at + steps[id(code)].take(at)
+            if id(code) not in nexts:
+                nexts[id(code)] = code.length.take(look & ((1 << code.width) - 1))
+                nexts[id(code)] += place
+            return nexts[id(code)].take(at)
 
         def value(code: Prefix, at: np.ndarray, look=look) -> np.ndarray:
             return code.symbol.take(look.take(at) & ((1 << code.width) - 1))
 
-        place = np.arange(size)
-        kind = green.symbol.take(look[:size] & ((1 << green.width) - 1))
-        after = step(green, place)
+        first, after = first[:size], after[:size]
         ends = after
         for code in (red, blue, alpha):
             ends = step(code, ends)
-        odd = np.flatnonzero(kind >= 256)
-        if len(odd):
-            ends = ends.copy()
-            ends[odd] = after[odd]
-            odd = odd[kind[odd] < 256 + LENGTH_CODES]
-            code_at = kind[odd] - 256
+        odd = first >= 256 << LENGTH_BITS
+        if odd.any():
+            ends = np.where(odd, after, ends)
+            odd = np.flatnonzero(odd & (first < 256 + LENGTH_CODES << LENGTH_BITS))
+            code_at = (first[odd] >> LENGTH_BITS) - 256
             at = after[odd] + np.where(code_at < 4, 0, (code_at - 2) >> 1)
             seen = look.take(at) & ((1 << far.width) - 1)
             code_at = far.symbol.take(seen)
             ends[odd] = at + far.length.take(seen) + np.where(code_at < 4, 0, (code_at - 2) >> 1)
-        follow, p, stop = memoryview(ends), bits.at & 7, size
+        follow, p = memoryview(ends), bits.at & 7
         starts: list[int] = []
         need = total - done
         add = starts.append
-        for _ in range(need):
-            if p >= stop:
-                break
-            add(p)
-            p = follow[p]
+        try:
+            for _ in range(need):
+                add(p)
+                p = follow[p]
+        except IndexError:  # the next one begins beyond the window
+            starts.pop()
         if not starts:
             raise ValueError("the data ends early")
         at = np.array(starts, np.int64)
-        s = kind[at].astype(np.int64)
+        s = first[at] >> LENGTH_BITS
         a = after[at]
         r, a = value(red, a), step(red, a)
         b, a = value(blue, a), step(blue, a)
@@ -284,9 +302,13 @@ def unrolled(values: np.ndarray, sizes: np.ndarray, backs: np.ndarray, total: in
     out: list[int] = []
     cache = [0] * (1 << cache_bits)
     for value, size, back, slot in zip(values.tolist(), sizes.tolist(), backs.tolist(), slots.tolist(), strict=True):
-        if back < 0:
+        if not back:
+            out.append(value)
+            if cache_bits:
+                cache[slot] = value
+        elif back < 0:
             out.append(cache[value])
-        elif back:
+        else:
             if back > len(out):
                 raise ValueError("a back-reference leaves the image")
             have = out[len(out) - back :][:size]
@@ -295,10 +317,6 @@ def unrolled(values: np.ndarray, sizes: np.ndarray, backs: np.ndarray, total: in
             if cache_bits:
                 for v in new:
                     cache[cache_slot(v, cache_bits)] = v
-        else:
-            out.append(value)
-            if cache_bits:
-                cache[slot] = value
     return np.array(out, np.uint32)
 
 
@@ -699,9 +717,13 @@ def repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
     if len(argb) < 4:
         return []
     wide = argb.astype(np.uint64)
-    key = (wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:]
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    key = ((wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:]) * np.uint64(0x9E3779B97F4A7C15)
+    below = np.uint64(len(key).bit_length())  # the lowest bits of a key make room for its place
+    key = key >> below << below | np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    order = (key & ((np.uint64(1) << below) - np.uint64(1))).astype(np.int64)
+    key >>= below
+    same = np.flatnonzero(key[1:] == key[:-1])
     back = np.zeros(len(key), np.int64)
     back[order[same + 1]] = order[same + 1] - order[same]
     at = np.flatnonzero(back)
@@ -723,13 +745,13 @@ def coded(argb: np.ndarray, width: int, codes: Codes) -> tuple[np.ndarray, np.nd
     """The bits, and their number, of each pixel, cache slot or copy that stands for pixels; the last two only if ``codes`` has them."""
     value, size = np.zeros(len(argb), np.uint64), np.zeros(len(argb), np.int64)
     for k, shift in ((0, 8), (1, 16), (1, 0), (1, 24)):
-        part = (argb >> np.uint32(shift)) & np.uint32(255)
-        value |= codes.codes[k][part] << size.astype(np.uint64)
-        size += codes.lengths[k][part]
+        part = ((argb >> np.uint32(shift)) & np.uint32(255)).astype(np.intp)
+        value |= codes.codes[k].take(part) << size.view(np.uint64)
+        size += codes.lengths[k].take(part)
     if not codes.cache_bits:
         return value, size
     slot = (argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - codes.cache_bits)
-    order = np.argsort(slot, kind="stable")
+    order = np.argsort(slot.astype(np.uint16), kind="stable")  # sorted by digits
     again = (slot[order[1:]] == slot[order[:-1]]) & (argb[order[1:]] == argb[order[:-1]])
     hit = order[1:][again]
     value[hit] = codes.codes[0][256 + LENGTH_CODES + slot[hit]]
@@ -795,12 +817,15 @@ def smallest(argb: np.ndarray, width: int, plain: Codes, tokens: Codes, residual
     height = len(argb) // width
 
     def bits(mode: int, codes: Codes, pixels: np.ndarray) -> int:
-        return head(width, height, mode).size + codes.head.size + int(codes.lengths[1].take(pixels.view(np.uint8)).sum() + (codes.lengths[0][:256] - codes.lengths[1]).take((pixels >> np.uint32(8)) & np.uint32(255)).sum())
+        met = np.bincount(pixels.view(np.uint8), minlength=256)
+        more = codes.lengths[0][:256] - codes.lengths[1]  # of green
+        return head(width, height, mode).size + codes.head.size + int(codes.lengths[1] @ met) + (int(more.take((pixels >> np.uint32(8)) & np.uint32(255)).sum()) if more.any() else 0)
 
     ways = [(0, plain, argb), *[(mode, residual, predict_lines(argb, width, height, mode, False)) for mode in (LEFT, ABOVE)]]
-    mode, codes, pixels = min(ways, key=lambda way: bits(*way))
+    least, best = min((bits(*way), k) for k, way in enumerate(ways))
+    mode, codes, pixels = ways[best]
     value, size = coded(argb, width, tokens)
-    if head(width, height).size + tokens.head.size + int(size.sum()) < bits(mode, codes, pixels):
+    if head(width, height).size + tokens.head.size + int(size.sum()) < least:
         mode, codes = 0, tokens
     else:
         value, size = coded(pixels, width, codes)

@@ -128,3 +128,49 @@ def test_copies_and_slots_round_trip(seed):
         data += b"\0" * 40_000 + data
     payload = media.payload_of(data.decode())
     assert b"".join(p.astype(">u4").tobytes() for p in media.images(media.store(payload))) == payload
+
+
+def test_alike_codes_share_one_table():
+    """Plain text has one code for all channels; its table is looked up once for each bit."""
+    out = webp.Writer()
+    out.put(media.PLAIN.head.value, media.PLAIN.head.size)
+    bits = webp.Bits(out.data(), 2)  # after the flags of cache and groups
+    green, red, blue, alpha, _ = webp.read_group(bits, 0)
+    assert green is red is blue is alpha
+    assert webp.alike(np.array([1, 2, 2, 0]), np.array([1, 2, 2])) and not webp.alike(np.array([1, 2, 2]), np.array([1, 1]))
+
+
+def test_colours_are_counted_only_where_few(monkeypatch):
+    rich = media.payload_of("".join(np.random.default_rng(4).choice([*"aehinorst "], 200_000)))
+    late = media.payload_of("abcd" * 64 + "".join(f"{k:04}" for k in range(200)))
+    counted = []
+    monkeypatch.setattr(media.np, "unique", lambda x, f=np.unique: counted.append(len(x)) or f(x))
+    for payload, most in ((rich, 1000), (late, len(late))):
+        counted.clear()
+        stored = media.store(payload)
+        assert sum(counted) <= most and b"".join(p.astype(">u4").tobytes() for p in media.images(stored)) == payload
+
+
+@pytest.mark.parametrize("window", [64, 256, 4096])
+def test_windows_join(monkeypatch, window):
+    """Codes, copies and cache slots that end beyond a window are read on in the next."""
+    texts = ["The same line comes again and once more.    " * 30 + "but not at the end, zyxw 0123", "".join(np.random.default_rng(3).choice([*"aehinorst "], 2560)), "".join(np.random.default_rng(6).choice([chr(0x3B1 + k) for k in range(17)], 900))]
+    stored = [media.store(media.payload_of(x)) for x in texts]
+    monkeypatch.setattr(webp, "WINDOW_BITS", window)
+    for text, s in zip(texts, stored, strict=True):
+        assert b"".join(p.astype(">u4").tobytes() for p in media.images(s)) == media.payload_of(text)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_repeats_by_hand(seed):
+    rng = np.random.default_rng(seed)
+    px = rng.integers(0, 3, 300, dtype=np.uint64).astype(np.uint32) << np.uint32(8 * (seed % 4))
+    back, last = [], {}
+    for k in range(len(px) - 2):
+        key = tuple(px[k : k + 3].tolist())
+        back.append(k - last.get(key, k))
+        last[key] = k
+    got = [0] * len(back)
+    for start, end, far in webp.repeats(px):
+        got[start:end] = [far] * (end - start)
+    assert got == back
