@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .rules import Rule, verdicts
-from .stretches import carried_last
+from .stretches import carried_last, joined_on
 
 START, END = "/attack_start_marker?uuid=", "/attack_end_marker?uuid="
 BUCKET_S = 3600.0
@@ -64,6 +65,38 @@ def window_calls(calls: DataFrame, windows: DataFrame, *, on: tuple[str, ...] =
     return own.join(spans, ["_level", "_place", *on]).where((F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end"))).drop("_level", "_place")
 
 
+def window_totals(calls: DataFrame, windows: DataFrame, *, on: tuple[str, ...] = (), bucket: float = BUCKET_S) -> DataFrame:
+    """``window_id, n_calls, first_seq``: how many calls the windows hold, both ends included, and the least ``seq``; windows without calls are left out.
+
+    What ``window_calls`` gives, counted without a row per call and window.  The times of calls are numbered (within stretches of
+    ``bucket`` seconds, and after those before), so that a window is a range of numbers; ranges are joined to totals of aligned
+    ones, level by level, and a window adds up the few largest that it is made of.
+    """
+    known = calls.where(F.col("t").isNotNull())
+    low, high, n = known.agg(F.min("t"), F.max("t"), F.count("*")).first()
+    # what lies outside the log holds nothing
+    inside = windows.where((F.col("start") <= F.col("end")) & (F.col("start") <= F.lit(high)) & (F.col("end") >= F.lit(low)))
+    inside = inside.withColumns({"start": F.greatest("start", F.lit(low)), "end": F.least("end", F.lit(high))})
+    times = known.groupBy(*on, "t").agg(F.count("*").alias("_calls"), F.min("seq").alias("_first")).withColumn("_side", F.lit(1))
+    # of equal times a start comes before the calls and an end after them
+    marks = lambda c, side: inside.select(*on, F.col(c).alias("t"), F.lit(side).alias("_side")).distinct()
+    both = times.unionByName(marks("start", 0), allowMissingColumns=True).unionByName(marks("end", 2), allowMissingColumns=True)
+    both = both.withColumn("_stretch", F.floor(F.col("t") / bucket).cast("long"))
+    past = Window.partitionBy(*on).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    before = both.groupBy(*on, "_stretch").agg(F.count("_calls").alias("_times")).select(*on, "_stretch", F.coalesce(F.sum("_times").over(past), F.lit(0)).alias("_before"))
+    line = Window.partitionBy(*on, "_stretch").orderBy("t", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined_on(both.withColumn("_n", F.count("_calls").over(line)), before, [*on, "_stretch"])
+    placed = cut(placed.select(*on, "t", "_side", "_calls", "_first", (F.col("_before") + F.col("_n")).alias("_n")))  # read three times
+
+    levels = [k for k in range(LEVELS) if RADIX**k <= max(n, 1)]
+    place = F.floor(F.col("_n") / F.pow(F.lit(RADIX), F.col("_level"))).cast("long")
+    totals = placed.where("_side = 1").withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).groupBy(*on, "_level", place.alias("_place")).agg(F.sum("_calls").alias("_calls"), F.min("_first").alias("_first"))
+    at = lambda c, side, name: placed.where(F.col("_side") == side).select(*on, F.col("t").alias(c), F.col("_n").alias(name))
+    spans = inside.join(at("start", 0, "_from"), [*on, "start"]).join(at("end", 2, "_to"), [*on, "end"])
+    spans = spans.select("window_id", *on, F.explode(covering(F.col("_from"), F.col("_to") - 1)).alias("_p")).select("window_id", *on, F.col("_p.level").alias("_level"), F.col("_p.place").alias("_place"))
+    return spans.join(totals, [*on, "_level", "_place"]).groupBy("window_id").agg(F.sum("_calls").alias("n_calls"), F.min("_first").alias("first_seq"))
+
+
 #: Files whose attacks are left out, and the headers of an attack in either case: fixed values of the system at hand.
 IGNORED_FILES = ("attack_detail_likecollect.py", "attack_profile_information_others.py", "attack_profile_post_others.py", "attack_profile_saved_others.py", "attack_list_wrong_food.py", "attack_order_consign_wrong_date.py")
 ATTACK_HEADERS = {"name": ("x-att-name", "X-Att-Name"), "idx": ("x-att-idx", "X-Att-Idx"), "int": ("x-att-int", "X-Att-Int"), "file": ("x-att-file", "X-Att-File")}

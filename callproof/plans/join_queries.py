@@ -113,7 +113,7 @@ def long_windows(spark, d):
     # windows of a day to many years, and some that end before they start
     own = calls(spark, d)
     windows = own.where("seq % 100 = 7").select(F.col("seq").alias("window_id"), (F.col("t") - F.col("seq") % 5 * 40000).alias("start"), (F.col("t") + F.col("seq") % 7 * 90000000 - 1).alias("end"))
-    return detect.window_calls(own.select("seq", "t"), windows).groupBy("window_id").agg(F.count("*").alias("n_calls"), F.min("seq").alias("first_seq"))
+    return detect.window_totals(own.select("seq", "t"), windows)
 
 
 @query(f"with {CALLS}, {WINDOWS} select window_id, count(*) as n_calls, min(seq) as first_seq from windows join calls on t between start and \"end\" and user_id % 4 = grp group by 1")

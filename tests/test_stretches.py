@@ -81,3 +81,30 @@ def test_merge_targets_over_stretches(spark):
                 want[x[0]] = min(want.get(x[0], r[0]), r[0])
                 break
     assert {r["target_seq"]: r["source_seq"] for r in joins.merge_targets(df, "a", "b").collect()} == want
+
+
+def test_window_totals(spark):
+    rng = random.Random(6)
+    calls = [(k, rng.choice([None, *(x / 4 for x in range(80))]) if k % 3 else 7200.5, rng.choice([1, 2, None])) for k in range(400)]
+    ends = [None, -1e300, -5.0, 3.0, 3.25, 7200.5, 1e15, float("inf")]
+    windows = [(k, rng.choice(ends) if k % 2 else rng.randrange(90) / 4, rng.choice(ends) if k % 3 else rng.randrange(90) / 4, rng.choice([1, 2, None])) for k in range(200)]
+    windows += windows[:50]
+    own, spans = spark.createDataFrame(calls, "seq long, t double, g int"), spark.createDataFrame(windows, "window_id long, start double, end double, g int")
+    for on in ((), ("g",)):
+        want = {}
+        for w, a, b, g in windows:
+            held = [s for s, t, h in calls if None not in (a, b, t) and a <= t <= b and (not on or g is not None and g == h)]
+            if held:
+                n, first = want.get(w, (0, held[0]))
+                want[w] = (n + len(held), min(first, *held, held[0]))
+        for bucket in (1.0, 3600.0):
+            assert {r[0]: (r[1], r[2]) for r in detect.window_totals(own, spans, on=on, bucket=bucket).collect()} == want
+    assert detect.window_totals(own.where("seq < 0"), spans).count() == detect.window_totals(own, spans.where("window_id < 0")).count() == 0
+
+
+def test_window_totals_makes_no_pairs(spark):
+    # 2.5 billion pairs of calls and windows
+    calls = spark.range(100_000).select(F.col("id").alias("seq"), F.col("id").cast("double").alias("t"))
+    windows = spark.range(50_000).select(F.col("id").alias("window_id"), F.col("id").cast("double").alias("start"), (99_999.0 - F.col("id")).alias("end"))
+    out = detect.window_totals(calls, windows)
+    assert out.where("n_calls <> 100000 - 2 * window_id or first_seq <> window_id").count() == 0 and out.count() == 50_000
