@@ -7,9 +7,10 @@ link counts.  Equal sets are one node.  Three steps leave out only what cannot h
 part of its shingles (here those in ``SHARE`` eighths of the hashes) all but that many are in another set too; nodes of which
 this is not so, mostly nearly all, go no further.
 
-*Groups.*  The shingles of the nodes that are left are ordered from the rarest to the most frequent.  Linked sets have one in
-common among their first ``|x| - ceil(similarity * |x|) + 1`` (prefix filter), and those of one set only need not be looked up.
-Nodes that share such a shingle, however indirectly, form a group.
+*Groups.*  The shingles of the nodes that are left are ordered: those in the same part of the hashes first, from the rarest to the
+most frequent, then all others by their hash.  Linked sets have one in common among their first ``|x| - ceil(similarity * |x|) + 1``
+(prefix filter), and those of one set only need not be looked up.  Few sets, mostly small ones, reach beyond that part, so
+only its shingles are dealt and counted.  Nodes that share such a shingle, however indirectly, form a group.
 
 *Links.*  SimHash's tiled comparison, at a radius that suits the similarity (at 0.8 some ten of 64 bits differ, give or take
 three), pairs each fingerprint of a group with the nearest other one of each pair of blocks, and these pairs are checked with
@@ -77,16 +78,21 @@ def sharing(rows: DataFrame, facts: DataFrame, similarity: tuple[int, int]) -> D
     return facts.join(counts, "node", "left").where(found >= F.col("rows") * (F.col("first") - missing(F.col("size"), similarity))).drop("shared")
 
 
-def prefixes(sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``sets(node, size, shingles)`` -> ``(node, keys)``: of the first shingles of each set, rarest first, those that another set has.
+def prefixes(sets: DataFrame, similarity: tuple[int, int], share: int = 8) -> DataFrame:
+    """``sets(node, size, shingles)`` -> ``(node, keys)``: of the first shingles of each set those that another set may have.
 
-    What is exploded is dealt by shingle once.
+    First come the shingles in ``share`` eighths of the hashes, rarest first, then the others as they stand.  Only the former are
+    exploded, and dealt by shingle once.  ``more`` is how many are asked for beyond the former; a node may have two rows.
     """
-    one = sets.select("node", "size", F.explode("shingles").alias("shingle"))
+    early = lambda x: x.bitwiseAND(F.lit(7)) < share
+    parted = sets.select("node", "shingles", F.filter("shingles", early).alias("some")).withColumn("more", missing(F.size("shingles"), similarity) + 1 - F.size("some"))
+    one = parted.select("node", "more", F.explode("some").alias("shingle"))
     often = one.withColumn("n", F.count("*").over(Window.partitionBy("shingle"))).where("n > 1")
-    own = often.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
-    first = missing(F.col("size"), similarity) + 1 - (F.col("size") - F.size("own"))
-    return own.where(first > 0).select("node", F.slice("own", F.lit(1), first).alias("own")).select("node", F.transform("own", lambda x: x["shingle"]).alias("keys"))
+    own = often.groupBy("node", "more").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("own"))
+    first = F.col("more") + F.size("own")  # those of one set only come before
+    rare = own.where(first > 0).select("node", F.slice("own", F.lit(1), first).alias("own")).select("node", F.transform("own", lambda x: x["shingle"]).alias("keys"))
+    beyond = parted.where("more > 0").select("node", F.slice(F.filter("shingles", lambda x: ~early(x)), F.lit(1), F.col("more")).alias("keys"))
+    return rare.union(beyond)
 
 
 def checked(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -122,7 +128,8 @@ def set_links(nodes: DataFrame, sets: DataFrame, similarity: tuple[int, int], ra
 def roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, radius: int = NEAR) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, text_key, root``, the root being that of its component.
 
-    The shingles that are looked for first are removed when they have been; sets stay by node, apart from their groups.
+    The shingles that are looked for first are removed when they have been; sets stay by node, apart from their groups.  Sets are
+    written as they are made; only where rows are repeated, id and text, are they dealt by node to have each once.
     """
     text, least = F.col(text_col).cast("string"), ratio(similarity)
     looked, path = laid_down(nodes_of(docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text")), words))
@@ -131,9 +138,10 @@ def roots(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wo
     rows = cut(looked.select("doc_id", "text_key", "node"))
     removed(docs.sparkSession, path)
     sets = found_rows(docs, wanted.select("doc_id", "text_key").distinct(), id_col, text_col)
-    sets = sets_of(sets.select(text.alias("text")), words).dropDuplicates(["node"])
-    sets = cut(wanted.select("node", "size").join(sets, "node"))
-    groups = groups_of(cut(prefixes(sets, least)))
+    sets = cut(sets_of(sets.select(text.alias("text")), words).select("node", F.size("shingles").alias("size"), "shingles"))
+    if sets.count() > wanted.count():
+        sets = cut(sets.dropDuplicates(["node"]))
+    groups = groups_of(cut(prefixes(sets, least, SHARE)))
     tops = components(set_links(cut(wanted.select("node", "fp", "size").join(groups, "node")), sets.select("node", "shingles"), least, radius))
     return rows.join(tops, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 

@@ -139,3 +139,28 @@ def test_shingles_looked_for_first_take_no_place_afterwards(spark):
     found = jaccard.roots(spark.createDataFrame(rows, "doc_id long, text string"))
     assert found.select("root").distinct().count() == 100
     assert sum(n for f, n in held().items() if f not in before) < 100 * 1000
+
+
+def test_prefixes_stay_in_the_part_that_is_looked_for_first(spark):
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in [*range(1, 40), *[200] * 20]:
+        one = rng.integers(0, 2**64, size, np.uint64)
+        other = one.copy()
+        other[: max(1, size // 10)] = rng.integers(0, 2**64, max(1, size // 10), np.uint64)
+        sets += [np.unique(one), np.unique(other), np.unique(np.r_[one, rng.integers(0, 2**64, 1, np.uint64)])]
+    df = spark.createDataFrame([(k, len(s), s.view(np.int64).tolist()) for k, s in enumerate(sets)], "node long, size int, shingles array<long>")
+    keys = {}
+    for r in jaccard.prefixes(df, (4, 5), jaccard.SHARE).collect():
+        keys.setdefault(r["node"], set()).update(r["keys"])
+    linked = 0
+    for a, x in enumerate(sets):
+        early = int(((x & np.uint64(7)) < jaccard.SHARE).sum())
+        if early > len(x) // 5:
+            assert all(k & 7 < jaccard.SHARE for k in keys.get(a, ()))
+        for b, y in enumerate(sets[:a]):
+            common = len(np.intersect1d(x, y))
+            if 5 * common >= 4 * (len(x) + len(y) - common):
+                linked += 1
+                assert keys[a] & keys[b]
+    assert linked > 50
